@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
 
     Alternates the large-star and small-star steps: every step is a partial
     ``min`` per node and one join, so a node with very many links is combined
-    before the shuffle and its join side can be split. Only nodes with a link
+    before the shuffle. The minima are stored before they are joined: both sides
+    of the join are then plain exchanges, whose large partitions Spark splits. Only nodes with a link
     to another node come back. Null ends and self-links are ignored.
     """
     e = edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("v"), F.least(left, right).alias("u")).distinct()
@@ -53,12 +54,12 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
     for _ in range(rounds):
         # large star: what is above a node moves to the least neighbour of that node
         both = e.select(F.col("v").alias("n"), F.col("u").alias("x")).unionByName(e.select(F.col("u").alias("n"), F.col("v").alias("x")))
-        least = both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m"))
+        least = stored(both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m")), "least")
         large = e.select(F.col("u").alias("n"), F.col("v").alias("x")).join(least, "n").select(F.col("x").alias("v"), F.col("m").alias("u"))
         # nodes whose least neighbour lies below carry a link to it from the upper side, too
-        large = large.unionByName(least.where("m < n").select(F.col("n").alias("v"), F.col("m").alias("u"))).distinct()
+        large = stored(large.unionByName(least.where("m < n").select(F.col("n").alias("v"), F.col("m").alias("u"))).distinct(), "large")
         # small star: a node and what is below it move to the least of them
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        least = stored(large.groupBy("v").agg(F.min("u").alias("m")), "least")
         small = large.join(least, "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         e = stored(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "components")
         after = _summary(e)

@@ -18,8 +18,8 @@ anchors still holds every repeat of 50 words or more.
    another of its documents is a repeat; neighbouring ones merge to the
    maximal repeats, which are the removed ranges.
 
-No step gathers a group in one task: each is a partial ``min`` and a join whose
-sides can be split. Sequences are compared by two independent 64-bit hashes
+No step gathers a group in one task: each is a partial ``min``, stored, and a
+join of plain exchanges, whose large partitions Spark splits. Sequences are compared by two independent 64-bit hashes
 (of the prefix and of the window or stretch), 128 bits in all.
 """
 
@@ -139,17 +139,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = base.where("doc_id is not null")
 
     suffixes = known.mapInArrow(lambda it: _stretches(it, window, prefix), STRETCH)
-    shared = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("stretch") != F.max("stretch")).alias("forks")).where("least < most").select("prefix", "forks")
+    shared = stored(suffixes.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("stretch") != F.max("stretch")).alias("forks")).where("least < most").select("prefix", "forks"), "prefixes")
     live = stored(suffixes.join(shared, "prefix"), "suffixes")
 
-    nodes = live.groupBy("prefix", "stretch").agg(F.min("doc_id").alias("least"))
+    nodes = stored(live.groupBy("prefix", "stretch").agg(F.min("doc_id").alias("least")), "stretches")
     marked = live.join(nodes, ["prefix", "stretch"])
     whole = marked.where("doc_id > least").select("doc_id", "text_key", "first", (F.col("first") + F.col("windows") + (window - 1)).alias("stop"))
 
     opened = marked.where("doc_id = least and forks").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "first", "windows")).alias("spans"))
     deep = known.join(opened, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans").mapInArrow(lambda it: _nodes(it, window), NODE)
     deep = stored(deep, "nodes")
-    repeats = deep.groupBy("prefix", "node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("prefix", "node", "least")
+    repeats = stored(deep.groupBy("prefix", "node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("prefix", "node", "least"), "repeats")
     parts = deep.join(repeats, ["prefix", "node"]).where("doc_id > least").select("doc_id", "text_key", "first", (F.col("first") + window).alias("stop"))
 
     ranges = whole.unionByName(parts).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "stop")).alias("ranges"))
