@@ -36,8 +36,8 @@ SHINGLE = 4
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 STARS = 2
-#: Of sets like one another so many at most are read to order shingles by frequency; any order gives the same links.
-ORDER_SETS = 1000
+#: Shingles are ordered by the counts of 2**BINS hashed bins, summed in PARTS parts.
+BINS, PARTS = 20, 256
 
 SKETCH = "doc_id long, text_key long, n_shingles long, set_id binary, bands array<long>"
 SETS = "rep long, n long, shingles binary"
@@ -148,24 +148,43 @@ def _star(rows: DataFrame) -> DataFrame:
     return rows.join(other, "bucket").where("label != b_label").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], percent: int, ranks: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _bins(h: np.ndarray) -> np.ndarray:
+    return (mix(h ^ _U(0x2545F4914F6CDD1D)) >> _U(64 - BINS)).astype(np.int64)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], percent: int, sent) -> Iterator[pa.RecordBatch]:
     """The shingles of a set that a partner of at least its own similarity must share one of, rarest first, with places."""
+    often = sent.value
     for batch in batches:
         out = []
         for rep, label, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             h = np.frombuffer(raw, np.uint64)
-            at = np.minimum(np.searchsorted(ranks, h), max(len(ranks) - 1, 0))
-            often = np.where(ranks[at] == h, counts[at], 0) if len(ranks) else np.zeros(len(h), np.int64)
-            order = np.lexsort((h, often))[: n - -(-percent * n // 100) + 1]
+            order = np.lexsort((h, often[_bins(h)]))[: n - -(-percent * n // 100) + 1]
             out.append((np.full(len(order), rep), np.full(len(order), label), np.full(len(order), n), h[order].view(np.int64), np.arange(len(order))))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(5)], names=["rep", "label", "n", "bucket", "place"])
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a bounded sample of sets holds more than once, and how often. Only orders shingles."""
-    rows = sets.orderBy(F.xxhash64("rep"), "rep").limit(ORDER_SETS).select(F.substring("shingles", 1, 8 * 4096).alias("s")).collect()
-    h, n = np.unique(np.concatenate([np.frombuffer(bytes(r.s), np.uint64) for r in rows] or [np.zeros(0, np.uint64)]), return_counts=True)
-    return h[n > 1], n[n > 1]
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(1 << BINS, np.int64)
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            np.add.at(n, _bins(np.frombuffer(raw, np.uint64)), 1)
+    parts = n.reshape(PARTS, -1)
+    used = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].astype("<u4").tobytes() for i in used], pa.binary())], names=["part", "counts"])
+
+
+def _add(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist())
+    return pa.table({"part": table.column("part")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each of 2**BINS hashed bins: a fixed size, summed over every set. It only orders shingles; any order gives the same links."""
+    n = np.zeros((PARTS, (1 << BINS) // PARTS), np.uint32)
+    for r in sets.select("shingles").mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_add, "part int, counts binary").toLocalIterator():
+        n[r.part] = np.frombuffer(bytes(r.counts), "<u4")
+    return n.ravel()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -202,8 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = _open(_labelled(rows.select("bucket", "rep"), links))
     left = stored(sets.join(rows.select("rep", "label").distinct(), "rep").select("rep", "label", "n", "shingles"), "left")
-    ranks, counts = _frequent(left)
-    prefix = stored(_open(left.mapInArrow(lambda it: _prefixes(it, percent, ranks, counts), "rep long, label long, n long, bucket long, place long")), "prefixes")
+    sent = docs.sparkSession.sparkContext.broadcast(_frequencies(left))  # 2**BINS numbers
+    prefix = stored(_open(left.mapInArrow(lambda it: _prefixes(it, percent, sent), "rep long, label long, n long, bucket long, place long")), "prefixes")
     links.append(_links(_star(prefix), sets, percent))
     prefix = stored(_open(_labelled(prefix.drop("label"), links)), "prefixes")
     x, y = (prefix.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "label", "n", "place"))) for s in "xy")
