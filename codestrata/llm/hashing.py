@@ -18,6 +18,8 @@ _FOLDED = _TABLE.copy()
 _FOLDED[65:91] = _TABLE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_NO_LETTER = np.ones(256, dtype=bool)
+_NO_LETTER[128:] = _NO_LETTER[48:58] = _NO_LETTER[65:91] = _NO_LETTER[97:123] = False
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INV = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _WORD_BASE = _U(0xD1342543DE82EF95)
@@ -51,14 +53,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a block of texts, in order: hash, text number, byte span."""
+    """The words of a block of texts, in order: hash, text number, byte span.
 
-    def __init__(self, texts: list[bytes], fold: bool = False):
+    fold lower-cases A-Z; letters takes runs of ASCII letters, digits and bytes over 127 instead.
+    """
+
+    def __init__(self, texts: list[bytes], fold: bool = False, letters: bool = False):
         data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
         space = np.ones(len(data) + 2, dtype=np.int8)
-        space[1:-1] = _SPACE[data]
+        space[1:-1] = (_NO_LETTER if letters else _SPACE)[data]
         edge = np.diff(space)
         self.start = np.flatnonzero(edge == -1)
         self.stop = np.flatnonzero(edge == 1)

@@ -68,9 +68,13 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return a.withColumn("n_repeat_words", covered).drop("__words", "__lines", "__hashes", "__sorted", "__places")
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id as doc_id, measurements, and failures, the bits of the rules that it fails."""
-    out = measure(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")), "__text").drop("__text")
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per document: its id as doc_id, measurements, and failures, the bits of the rules that it fails.
+
+    With carry, the document's own row is there too, as the struct ``row``.
+    """
+    own = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
+    out = measure(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *own), "__text").drop("__text")
     bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(0) for k, rule in enumerate(RULES.values())), F.lit(0))
     return out.withColumn("failures", bits.cast("long"))
 

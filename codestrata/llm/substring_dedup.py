@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .hashing import Words, blocks
 from .shared import stored
@@ -41,7 +42,6 @@ PREFIX = 25
 
 STRETCH = "doc_id long, text_key long, prefix long, stretch long, first long, windows long"
 NODE = "doc_id long, text_key long, prefix long, node long, first long"
-RESULT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -103,10 +103,13 @@ def _nodes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[begin + doc[of]], keys[begin + doc[of]], prefix[of], _signed(w.ranges(p, p + window)), place)], names=names)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], text_at: int | None) -> Iterator[pa.RecordBatch]:
+    """Cuts the ranges out of the text, which is the first column or the field text_at of it."""
     for batch in batches:
+        own = batch.column(0)
+        texts = own if text_at is None else own.field(text_at).cast(pa.binary())
         n_words, n_removed, kept, digest = [], [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, spans in zip(texts.to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = (text or b"").split()
             n_words.append(len(words))
             if spans:
@@ -117,17 +120,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = [words[i] for i in np.flatnonzero(stays)]
             n_removed.append(n_words[-1] - len(words))
             left = b" ".join(words)
-            kept.append(left.decode("utf-8", "replace"))
+            kept.append(left)
             digest.append(hashlib.sha256(left).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in ((n_words, pa.int64()), (n_removed, pa.int64()), (kept, pa.string()), (digest, pa.string())))], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
+        made = [pa.array(x, t) for x, t in ((n_words, pa.int64()), (n_removed, pa.int64()), (kept, pa.binary()), (digest, pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column(2) if text_at is None else own, *made], names=["doc_id" if text_at is None else "row", "n_words", "n_removed", "kept", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept, kept_sha256.
 
     Words are runs outside ``\\x20\\x09-\\x0D``. Each word covered by a window of
     ``window`` words that also starts in a document with a smaller id is
-    removed; ``kept`` holds the rest, joined by one space.
+    removed; ``kept`` holds the rest, joined by one space. With carry, the
+    document's own row is there in place of its id, as the struct ``row``.
 
     Null or empty text: no words, kept is ''. Rows with one id are one document
     to the comparison (none is smaller than the other) yet each keeps a result
@@ -153,4 +158,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = deep.join(repeats, ["prefix", "node"]).where("doc_id > least").select("doc_id", "text_key", "first", (F.col("first") + window).alias("stop"))
 
     ranges = whole.unionByName(parts).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "stop")).alias("ranges"))
-    return base.join(ranges, ["doc_id", "text_key"], "left").select("doc_id", "text", "ranges").mapInArrow(_cut, RESULT)
+    join = lambda df: df.join(ranges, ["doc_id", "text_key"], "left")
+    result = "n_words long, n_removed long, kept binary, kept_sha256 string"
+    if carry:
+        whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+        at = docs.columns.index(text_col)
+        schema = StructType([whole.schema["row"], *StructType.fromDDL(result).fields])
+        out = join(whole).select("row", "ranges").mapInArrow(lambda it: _cut(it, at), schema)
+    else:
+        out = join(base).select("text", "ranges", "doc_id").mapInArrow(lambda it: _cut(it, None), f"doc_id long, {result}")
+    return out.withColumn("kept", F.col("kept").cast("string"))
