@@ -76,7 +76,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     own = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
     out = measure(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *own), "__text").drop("__text")
     bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(0) for k, rule in enumerate(RULES.values())), F.lit(0))
-    return out.withColumn("failures", bits.cast("long"))
+    # a generated row keeps later filters above the measuring: pushed below, they would repeat it inside their conditions
+    measured = [c for c in out.columns if c not in ("doc_id", "row")]
+    return out.select("doc_id", *["row"] * carry, F.inline(F.array(F.struct(*measured, bits.cast("long").alias("failures")))))
 
 
 def judge(book: DataFrame, policy: str = "v1") -> DataFrame:
