@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A worker forgets its chunks beyond this many: memory stays bounded, results do not change.
-MEMORY = 400_000
+#: A worker remembers at most about so many chunks: memory stays bounded, results do not change.
+MEMORY = 1_000_000
+
+
+def halved(known: dict) -> dict:
+    """The earlier half of a memory: frequent chunks are met early, so they stay."""
+    return dict(islice(known.items(), len(known) // 2))
 
 
 class ByteLevelEncoder:
@@ -55,13 +61,10 @@ class ByteLevelEncoder:
             new = list({c for c, ids in zip(chunks, found, strict=True) if ids is None})
             if any(not c or c[0].isspace() for c in new):
                 return self._ids([text])[0]
-            if len(self.rest) > MEMORY:
-                self.rest.clear()
-                new = list(set(chunks))
             self.rest.update(zip(new, self._ids([" " + c for c in new]), strict=True))
-            found = list(map(self.rest.get, chunks))
-            if None in found:
-                return self._ids([text])[0]
+            found = list(map(self.rest.__getitem__, chunks))
+            if len(self.rest) > MEMORY:
+                self.rest = halved(self.rest)
         return begin + b"".join(found)
 
 
