@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import halved
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words compiled into the lexicon, which bounds what is collected and sent out.
@@ -33,7 +35,7 @@ LEXICON_WORDS = 50_000
 #: Longer chunks are never compiled.
 LONGEST = 64
 #: Chunks that a worker remembers.
-MEMORY = 250_000
+MEMORY = 400_000
 
 RESULT = "doc_id long, n_tokens long, ids binary, decoded string, ids_sha256 string, decoded_sha256 string"
 
@@ -203,11 +205,10 @@ class Encoder:
             found = list(map(self.known.get, chunks))
             if None in found:
                 new = list({c for c, x in zip(chunks, found, strict=True) if x is None})
-                if len(self.known) > MEMORY:
-                    self.known = {"": (b"", "")}
-                    new = list(set(chunks) - {""})
                 self._learn(new)
                 found = list(map(self.known.__getitem__, chunks))
+                if len(self.known) > MEMORY:
+                    self.known = halved(self.known)
             yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
 
 
