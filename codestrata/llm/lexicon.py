@@ -6,10 +6,11 @@ lexicon words sort before the ones behind it, so the sum along a path is the
 word's number, and the number selects its ids. The automaton is a few arrays;
 a worker writes them once to an unnamed temporary file and maps it.
 
-A word here is a chunk between ``\\x20\\x09-\\x0D``: the tokenizer's pattern never
+Texts are cut into chunks between ``\\x20\\x09-\\x0D``: the tokenizer's pattern never
 matches across white space and its normaliser (NFC, white space, lower case)
 never looks across it, so a text's ids are its chunks' ids in order. Chunks
-outside the lexicon are merged exactly by the ``tokenizers`` library.
+are cut by the pattern into words; those outside the lexicon are merged exactly
+by the ``tokenizers`` library.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import mmap
 import os
+import re
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +39,8 @@ LEXICON_WORDS = 50_000
 LONGEST = 64
 #: Chunks that a worker remembers.
 MEMORY = 400_000
+#: Texts whose new chunks are learned together.
+TOGETHER = 100
 
 RESULT = "doc_id long, n_tokens long, ids binary, decoded string, ids_sha256 string, decoded_sha256 string"
 
@@ -152,24 +157,34 @@ def _chunks(text: str) -> list[str]:
     return text.split(" ")
 
 
+#: Chunks of visible ASCII and the letters of Latin-1, where case and composition are settled; others go to the library whole.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: The file's own pre-tokens of such a chunk, lower-cased.
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 def _plain(chunk: str) -> bool:
-    """Whether lower-casing is character by character and NFC changes nothing: nothing beyond U+00FF."""
-    return chunk.isascii() or max(chunk) <= "\xff"
+    return _PLAIN.fullmatch(chunk) is not None and "<|" not in chunk  # a special token's string is no word
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        words = [w for w in held if len(w) <= LONGEST and w and _plain(w)]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())], names=["word", "n"])
+        words: Counter = Counter()
+        for chunk, n in held.items():
+            if _plain(chunk):
+                for w in _WORDS.findall(chunk):
+                    words[w] += n
+        kept = [w for w in words if len(w) <= LONGEST]
+        return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([words[w] for w in kept], pa.int64())], names=["word", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             held.update(_chunks(text.lower()))
-        if len(held) > MEMORY:
-            yield out()
-            held.clear()
+            if len(held) > MEMORY:
+                yield out()
+                held.clear()
     if held:
         yield out()
 
@@ -184,32 +199,47 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.lexicon = Lexicon.mapped(data)
-        self.names = np.array([self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())], dtype=object)
+        self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        self.words: dict[str, tuple[bytes, str]] = {}
+
+    def _entry(self, ids: list[int]) -> tuple[bytes, str]:
+        return array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
+
+    def _merge(self, texts: list[str], into: dict) -> None:
+        for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            into[t] = self._entry(e.ids)
 
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if _plain(c) and "<|" not in c]  # a special token's string is case-sensitive
-        numbers = self.lexicon.numbers([c.lower().encode() for c in plain])
-        for c, k in zip(plain, numbers.tolist(), strict=True):
+        parts = {c: _WORDS.findall(c.lower()) for c in chunks if _plain(c)}
+        unseen = list({w for ws in parts.values() for w in ws if w not in self.words})
+        numbers = self.lexicon.numbers([w.encode() for w in unseen]).tolist()
+        for w, k in zip(unseen, numbers, strict=True):
             if k >= 0:
-                ids = self.lexicon.ids_of(k)
-                self.known[c] = ids.astype("<u4").tobytes(), " ".join(self.names[ids])
-        unseen = [c for c in chunks if c not in self.known]
-        for c, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, dtype="<u4").tobytes(), " ".join(self.names[e.ids])
+                self.words[w] = self._entry(self.lexicon.ids_of(k).tolist())
+        self._merge([w for w, k in zip(unseen, numbers, strict=True) if k < 0], self.words)
+        for c, ws in parts.items():
+            if len(ws) == 1:
+                self.known[c] = self.words[ws[0]]
+            else:
+                found = [self.words[w] for w in ws]
+                self.known[c] = b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        self._merge([c for c in chunks if c not in parts], self.known)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """Ids (little-endian unsigned 32 bits) and decoded text of each text."""
-        for text in texts:
-            chunks = _chunks(text)
-            found = list(map(self.known.get, chunks))
-            if None in found:
-                new = list({c for c, x in zip(chunks, found, strict=True) if x is None})
-                self._learn(new)
+        """Ids (little-endian unsigned 32 bits) and decoded text of each text. Texts are taken some at a time, so that what is new in them is learned at once."""
+        for begin in range(0, len(texts), TOGETHER):
+            rows = [_chunks(t) for t in texts[begin : begin + TOGETHER]]
+            new = {c for chunks in rows for c in chunks}.difference(self.known)
+            if new:
+                self._learn(list(new))
+            for chunks in rows:
                 found = list(map(self.known.__getitem__, chunks))
-                if len(self.known) > MEMORY:
-                    self.known = halved(self.known)
-            yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+                yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+            if len(self.known) > MEMORY:
+                self.known = halved(self.known)
+            if len(self.words) > MEMORY:
+                self.words = halved(self.words)
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
