@@ -21,8 +21,10 @@ from .hashing import Words, blocks, mix
 BITS = 22
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
 FIT_ROWS = 16_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 0.01
+EPOCHS = 10
+#: A strong L1 keeps coordinates that only chance ties to a label at zero. A toxic row counts TOXIC_WEIGHT times, being the rarer kind.
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 8.0, 0.01
+TOXIC_WEIGHT = 3.0
 THRESHOLD = 0.7
 
 _U = np.uint64
@@ -69,7 +71,7 @@ def fit(samples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> tuple[np
         for label, at in samples:
             at = np.concatenate([[0], at.astype(np.int64)])
             w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+            g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (TOXIC_WEIGHT if label else 1.0)
             root = np.sqrt(n[at])
             grown = n[at] + g * g
             z[at] += g - (np.sqrt(grown) - root) / ALPHA * w
