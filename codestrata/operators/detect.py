@@ -49,7 +49,7 @@ def stack(files: DataFrame) -> DataFrame:
     languages = files.select(lang[F.col("ext")].alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n")).select(F.lit("language").alias("kind"), "name", "n")
     deps = files.where(base_name(F.col("rel_path")) == "package.json").select(F.map_keys(F.from_json(F.get_json_object("content", "$.dependencies"), "map<string,string>")).alias("d"))
     known = F.create_map(*(F.lit(x) for kv in FRAMEWORKS.items() for x in kv))
-    frameworks = deps.select(known[F.explode("d")].alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n")).select(F.lit("framework").alias("kind"), "name", "n")
+    frameworks = deps.select(F.explode("d").alias("d")).select(known[F.col("d")].alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n")).select(F.lit("framework").alias("kind"), "name", "n")
     lock = F.create_map(*(F.lit(x) for kv in LOCKS.items() for x in kv))
     managers = files.select(lock[F.lower(base_name(F.col("rel_path")))].alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n")).select(F.lit("package-manager").alias("kind"), "name", "n")
     return languages.unionByName(frameworks).unionByName(managers)

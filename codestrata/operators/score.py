@@ -15,11 +15,12 @@ HOURS_PER_POINT, HOURLY_RATE, CURRENCY, MINUTES_PER_IMPACT = 0.5, 50.0, "US$", 5
 
 
 def complexity(content: Column) -> Column:
-    """1 + branch keywords and operators outside comments and strings; ``else if`` counts besides its ``if``; ``??`` is no branch."""
+    """1 + branch keywords and operators outside comments and strings; ``else if`` counts besides its ``if``; ``??`` is no branch. Word edges are ASCII ones."""
     code = content
     for pattern in (r"(?s)/\*.*?\*/", r"//[^\n]*", r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\.)*'", r"(?s)`(?:[^`\\]|\\.)*`"):
         code = F.regexp_replace(code, pattern, " ")
-    branches = (r"\bif\b", r"\belse\s+if\b", r"\bfor\b", r"\bwhile\b", r"\bdo\b", r"\bcase\b", r"\bcatch\b", r"&&", r"\|\|", r"\?(?!\?)")
+    words = ("if", r"else\s+if", "for", "while", "do", "case", "catch")
+    branches = [rf"(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])" for w in words] + [r"&&", r"\|\|", r"\?(?!\?)"]
     return F.least(sum((F.regexp_count(code, F.lit(p)) for p in branches), F.lit(1)), F.lit(MAX_COMPLEXITY)).cast("long")
 
 

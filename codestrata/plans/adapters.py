@@ -63,7 +63,7 @@ def impact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sha, ts, author, file, is_fix)."""
     e = table(spark, sf_dir, "events")
-    return e.select(_key("e", "event_id").alias("sha"), "ts", _key("u", "user_id").alias("author"), F.concat(F.lit("f"), F.get_json_object("props", "$.k")).alias("file"), (F.col("event_type") == "error").alias("is_fix"))
+    return e.select(_key("e", "event_id").alias("sha"), F.col("ts").cast("timestamp").alias("ts"), _key("u", "user_id").alias("author"), F.concat(F.lit("f"), F.get_json_object("props", "$.k")).alias("file"), (F.col("event_type") == "error").alias("is_fix"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,9 +32,9 @@ def blast_radius(spark, sf_dir):
     return traverse.blast_radius(A.impact_edges(spark, sf_dir), ENTITY)
 
 
-@query("q03_impact_of", _walk("nation:FRANCE") + "SELECT id, kind, depth, confidence, (SELECT count(*) > 2000 FROM impacted) AS truncated FROM impacted ORDER BY depth, id LIMIT 2000")
+@query("q03_impact_of", _walk("nation:NATION_7") + "SELECT id, kind, depth, confidence, (SELECT count(*) > 2000 FROM impacted) AS truncated FROM impacted ORDER BY depth, id LIMIT 2000")
 def impact_of(spark, sf_dir):
-    return traverse.impact_of(A.impact_edges(spark, sf_dir), "nation:FRANCE")
+    return traverse.impact_of(A.impact_edges(spark, sf_dir), "nation:NATION_7")
 
 
 @query("q03_impact_by_kind", _walk("supplier:7") + "SELECT kind, count(*) AS n FROM impacted GROUP BY kind")
@@ -97,10 +97,10 @@ def module_matrix(spark, sf_dir):
 
 def _level_sql(node: str) -> str:
     return A.with_sql("files", "edges") + f""", ends AS (SELECT rel_path, count(*) AS degree FROM (SELECT from_file AS rel_path FROM edges UNION ALL SELECT to_file FROM edges) e GROUP BY 1),
-  top AS (SELECT rel_path FROM (SELECT f.rel_path, row_number() OVER (PARTITION BY module ORDER BY degree DESC, f.rel_path) AS r FROM files f JOIN ends USING (rel_path) WHERE module = 'FRANCE') t WHERE r <= 150),
-  at AS (SELECT rel_path, {node} AS node FROM files)
+  top AS (SELECT rel_path FROM (SELECT f.rel_path, row_number() OVER (PARTITION BY module ORDER BY degree DESC, f.rel_path) AS r FROM files f JOIN ends USING (rel_path) WHERE module = 'NATION_7') t WHERE r <= 150),
+  place AS (SELECT rel_path, {node} AS node FROM files)
   SELECT a.node AS from_id, b.node AS to_id, count(*) AS weight, sum((confidence = 'resolved')::INT)::BIGINT AS resolved_weight
-  FROM edges JOIN at a ON from_file = a.rel_path JOIN at b ON to_file = b.rel_path WHERE a.node <> b.node GROUP BY 1, 2"""
+  FROM edges JOIN place a ON from_file = a.rel_path JOIN place b ON to_file = b.rel_path WHERE a.node <> b.node GROUP BY 1, 2"""
 
 
 @query("q10_level_layer", _level_sql("'layer:' || layer"))
@@ -113,10 +113,10 @@ def level_module(spark, sf_dir):
     return levels.level(A.edges(spark, sf_dir), A.files(spark, sf_dir), layers=("EUROPE",))
 
 
-@query("q10_level_file", _level_sql("""CASE WHEN rel_path IN (SELECT rel_path FROM top) THEN 'file:' || rel_path WHEN module = 'FRANCE' THEN 'more:' || module
-    WHEN layer IN (SELECT layer FROM files WHERE module = 'FRANCE') THEN 'module:' || module ELSE 'layer:' || layer END"""))
+@query("q10_level_file", _level_sql("""CASE WHEN rel_path IN (SELECT rel_path FROM top) THEN 'file:' || rel_path WHEN module = 'NATION_7' THEN 'more:' || module
+    WHEN layer IN (SELECT layer FROM files WHERE module = 'NATION_7') THEN 'module:' || module ELSE 'layer:' || layer END"""))
 def level_file(spark, sf_dir):
-    return levels.level(A.edges(spark, sf_dir), A.files(spark, sf_dir), modules=("FRANCE",))
+    return levels.level(A.edges(spark, sf_dir), A.files(spark, sf_dir), modules=("NATION_7",))
 
 
 @query("g01_dependency_edges", A.with_sql("edges") + """, d AS (SELECT file, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (
@@ -164,10 +164,10 @@ def name_affinity(spark, sf_dir):
     return build.match_names(f, ends)
 
 
-@query("q01_resolve", """WITH q AS (SELECT 'nation:' || n_name AS id FROM nation WHERE n_name = 'CHINA') SELECT id, 3 AS rank FROM q""")
+@query("q01_resolve", """WITH q AS (SELECT 'nation:' || n_name AS id FROM nation WHERE n_name = 'NATION_12') SELECT id, 3 AS rank FROM q""")
 def resolve(spark, sf_dir):
     none = spark.createDataFrame([], "file string, simple_name string")
-    return traverse.resolve_id(A.impact_edges(spark, sf_dir), none, A.files(spark, sf_dir), "china")
+    return traverse.resolve_id(A.impact_edges(spark, sf_dir), none, A.files(spark, sf_dir), "nation_12")
 
 
 @query("q02_resolve_file", A.with_sql("files") + "SELECT rel_path FROM files WHERE lower(rel_path) LIKE '%/12' ORDER BY length(rel_path), rel_path LIMIT 1")
@@ -182,14 +182,14 @@ def dead_objects(spark, sf_dir):
     return levels.dead_objects(parts, used).select(F.col("name").alias("id"))
 
 
-@query("q23_dead_files", A.with_sql("files", "edges") + "SELECT rel_path AS id FROM files WHERE rel_path LIKE 'S/%' AND rel_path NOT IN (SELECT to_file FROM edges WHERE confidence = 'inferred')")
+@query("q23_dead_files", A.with_sql("files", "edges") + "SELECT rel_path AS id FROM files WHERE rel_path LIKE 'S/%' AND rel_path NOT IN (SELECT to_file FROM edges WHERE from_file LIKE 'C/1%' AND confidence = 'inferred' AND to_file LIKE '%5')")
 def dead_files(spark, sf_dir):
-    return levels.dead_files(A.files(spark, sf_dir), A.edges(spark, sf_dir).where("confidence = 'inferred'"), "^S/")
+    return levels.dead_files(A.files(spark, sf_dir), A.edges(spark, sf_dir).where("from_file like 'C/1%' and confidence = 'inferred' and to_file like '%5'"), "^S/")
 
 
-@query("q24_fuzzy_module", """SELECT n_name AS name, CASE WHEN lower(n_name) = 'united' THEN 100 WHEN lower(n_name) LIKE 'united%' THEN 80 WHEN lower(n_name) LIKE '%united%' THEN 60 ELSE 0 END::INT AS score FROM nation WHERE lower(n_name) LIKE '%united%'""")
+@query("q24_fuzzy_module", """SELECT n_name AS name, CASE WHEN lower(n_name) = 'nation_1' THEN 100 WHEN lower(n_name) LIKE 'nation_1%' THEN 80 WHEN lower(n_name) LIKE '%nation_1%' THEN 60 ELSE 20 + 20 * (n_name LIKE '%1%')::INT END::INT AS score FROM nation""")
 def fuzzy_module(spark, sf_dir):
-    return levels.fuzzy_modules(A.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "united")
+    return levels.fuzzy_modules(A.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "nation_1")
 
 
 @query("q25_zoom_out", A.with_sql("files", "edges") + """, m AS (SELECT module, min(layer) AS layer, count(*) AS n FROM files GROUP BY 1),
@@ -239,7 +239,7 @@ def openapi(spark, sf_dir):
     return levels.openapi(e)
 
 
-@query("q07_trace", A.with_sql("impact", recursive=True) + """, seed AS (SELECT 'nation:KENYA' AS s),
+@query("q07_trace", A.with_sql("impact", recursive=True) + """, seed AS (SELECT 'nation:NATION_3' AS s),
   walk(id, depth) AS (SELECT s, 0 FROM seed UNION SELECT from_id, depth + 1 FROM impact JOIN walk ON to_id = id),
   near AS (SELECT id, min(depth)::INT AS depth, CASE split_part(id, ':', 1) WHEN 'order' THEN 'frontend' WHEN 'customer' THEN 'backend' WHEN 'supplier' THEN 'backend' ELSE 'database' END AS layer FROM walk GROUP BY id)
   SELECT id, layer, depth FROM near ORDER BY depth, id LIMIT 800""")
@@ -247,7 +247,7 @@ def trace(spark, sf_dir):
     e = A.impact_edges(spark, sf_dir)
     layer = F.expr("case substring_index(id, ':', 1) when 'order' then 'frontend' when 'customer' then 'backend' when 'supplier' then 'backend' else 'database' end")
     nodes = e.select(F.col("from_id").alias("id")).union(e.select("to_id")).distinct().withColumn("layer", layer)
-    return traverse.trace(e, nodes, "nation:KENYA").select("id", "layer", "depth")
+    return traverse.trace(e, nodes, "nation:NATION_3").select("id", "layer", "depth")
 
 
 @query("q09_flow", A.with_sql("impact", recursive=True) + """, up(id, depth) AS (SELECT from_id, 1 FROM impact WHERE to_id = 'customer:4' UNION SELECT from_id, depth + 1 FROM impact JOIN up ON to_id = id),
