@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import halved
+from .shared import stored
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -268,11 +269,18 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, sent, keep: bool) -> I
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The transducer of the ``words`` most frequent words of all texts (ties: least word)."""
+    """The transducer of the most frequent words of all texts: whole grades of frequency, ``words`` words at most."""
     from tokenizers import Tokenizer
 
     counts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+    counts = stored(counts, "words")
+    grade = F.floor(F.log2("n") * 16).cast("int")
+    left, least = words, None  # a few hundred grades at most, so what comes to the driver never grows with the corpus
+    for r in sorted(counts.groupBy(grade.alias("grade")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.grade):
+        if r.n > left:
+            break
+        left, least = left - r.n, r.grade
+    top = [r.word for r in counts.where(grade >= least).select("word").collect()] if least is not None else []
     library = Tokenizer.from_file(tokenizer)
     library.no_truncation()
     library.no_padding()
