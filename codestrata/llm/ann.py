@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import about, stored
 
 NEAREST = 20
 #: Vectors that centroids are fitted on, at most; every vector is indexed.
@@ -154,7 +154,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, probed: float
     head = usable.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("most")).first()
     if not head.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()
+    sample = about(usable, "vec_id", FIT_ROWS, head.n).orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()
     fitted = _lifted(np.array([r.v for r in sample]), head.most)
     cells = int(np.clip(head.n // 500, 1, CELLS))
     sent = spark.sparkContext.broadcast((centroids(fitted, min(cells, len(fitted))), head.most))  # at most CELLS rows

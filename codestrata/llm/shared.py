@@ -33,6 +33,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def about(df: DataFrame, id_col: str, rows: int, n: int) -> DataFrame:
+    """Of df's n rows about twice ``rows``, by the hash of their id: what is then ordered and cut to ``rows`` stays bounded on every partition."""
+    share = min(1 << 30, (2 * rows << 30) // max(n, 1) + 1)
+    return df.where(F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(1 << 30)) < share)
+
+
 def _summary(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0))).first())
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .hashing import Words, blocks, mix
+from .shared import about
 
 BITS = 22
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
@@ -110,6 +111,7 @@ def held_out(doc_id) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Weights from at most ``rows`` labelled documents that are not held out. Null labels are ignored; a document labelled twice counts as toxic if any label says so."""
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id"))
+    usable = about(usable, "doc_id", rows, usable.count())
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     known = texts.join(F.broadcast(chosen), "doc_id")  # at most `rows` rows of three numbers
