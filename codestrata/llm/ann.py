@@ -11,6 +11,8 @@ k-th. Survivors are ranked by exact inner products of the original vectors.
 
 A list is cut into blocks of bounded size and met by blocks of queries, so one
 vector, or one list, that holds a third of all rows is scanned by many tasks.
+Each query's nearest list is scanned first; its k-th there bounds the scans of
+the others from the start, which then return only what reaches it.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from .shared import about, stored
 NEAREST = 20
 #: Vectors that centroids are fitted on, at most; every vector is indexed.
 FIT_ROWS = 16_384
-CELLS = 256
+CELLS = 64
 #: Share of the lists that a query probes, and how many vectors they hold at least.
-PROBED, LEAST_PROBED = 0.35, 2_000
+PROBED, LEAST_PROBED = 0.8, 2_000
 BLOCK, QUERIES = 2_048, 256
 COLUMNS = 16
 EPSILON = 2.1
@@ -79,7 +81,8 @@ def _cells(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32())], names=["vec_id", "v", "cell"])
 
 
-def _probes(batches: Iterator[pa.RecordBatch], sent, sizes: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+def _probes(batches: Iterator[pa.RecordBatch], sent, sizes: np.ndarray, begin: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The lists that each query probes, from its begin-th on. Columns: query_id, q, floor."""
     c, _ = sent.value
     for batch in batches:
         v = _matrix(batch.column(1))
@@ -88,14 +91,19 @@ def _probes(batches: Iterator[pa.RecordBatch], sent, sizes: np.ndarray, least: i
         q = np.hstack([v, np.zeros((len(v), 1))])
         order = ((c * c).sum(1)[None] - 2 * q @ c.T).argsort(1, kind="stable")
         held = np.cumsum(sizes[order], axis=1) - sizes[order]
-        rows, at = np.nonzero((np.arange(len(c))[None] < least) | (held < LEAST_PROBED))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(order[rows, at], pa.int32())], names=["query_id", "q", "cell"])
+        place = np.arange(len(c))[None]
+        chosen = (place < least) | ((held < LEAST_PROBED) & (least > 1))  # the first look takes one list only
+        rows, at = np.nonzero((place >= begin) & chosen)
+        own = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(3)), pa.array(order[rows, at], pa.int32())], names=["query_id", "q", "floor", "cell"])
 
 
-def scan(queries: np.ndarray, rotated_queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def scan(queries: np.ndarray, rotated_queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None, most: float = 0.0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its k nearest of a block: (query, ids, inner products), nearest first, ties to the smaller id.
 
-    The first vectors are measured whole and set each query's bound. The rest
+    With floor, only inner products of at least each query's floor are wanted;
+    most is the largest squared norm. The first vectors are measured whole and
+    set each query's bound. The rest
     are read by column blocks and tested after each.
     """
     d = rotated.shape[1]
@@ -104,6 +112,9 @@ def scan(queries: np.ndarray, rotated_queries: np.ndarray, own: np.ndarray, vect
     first = full(rotated[:head])
     first[own[:, None] == ids[None, :head]] = np.inf
     bound = np.partition(first, min(k, head) - 1, axis=1)[:, min(k, head) - 1] if head >= k else np.full(len(queries), np.inf)
+    if floor is not None:
+        wanted = (rotated_queries**2).sum(1) + most - 2 * floor
+        bound = np.minimum(bound, wanted + 1e-9 * (np.abs(wanted) + most + 1))
     rest = rotated[head:]
     partial, q_row, x_row, t = None, None, None, 0
     while t < d and len(rest):
@@ -125,6 +136,8 @@ def scan(queries: np.ndarray, rotated_queries: np.ndarray, own: np.ndarray, vect
         rows = np.concatenate([np.arange(head), head + x_row[at[i] : at[i + 1]]]) if q_row is not None else np.arange(head)
         rows = rows[ids[rows] != own[i]]
         score = (vectors[rows] * queries[i]).sum(1)
+        if floor is not None:
+            rows, score = rows[score >= floor[i]], score[score >= floor[i]]
         best = np.lexsort((ids[rows], -score))[:k]
         yield i, ids[rows[best]], score[best]
 
@@ -136,7 +149,8 @@ def _scan(batches: Iterator[pa.RecordBatch], turn, most: float, k: int) -> Itera
             v, q = (np.asarray(batch.column(c)[i].values.flatten()).reshape(n, -1) for c, n in ((1, len(ids)), (3, len(queries))))
             x = _lifted(v, most) @ turn.value
             y = np.hstack([q, np.zeros((len(q), 1))]) @ turn.value
-            out = list(scan(q, y, queries, v, x, ids, k))
+            floor = np.asarray(batch.column(4)[i].values)
+            out = list(scan(q, y, queries, v, x, ids, k, floor, most))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, [len(o[1]) for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], names=["query_id", "vec_id", "score"])
 
 
@@ -168,13 +182,25 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, probed: float
     blocks = listed.groupBy("cell", F.pmod(F.xxhash64("vec_id", "v"), salts).alias("part")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("x"))
     blocks = blocks.select("cell", F.col("x.vec_id").alias("ids"), F.col("x.v").alias("vs"))
 
-    asked = usable.where(F.col("vec_id") % every == 0)
+    blocks = stored(blocks, "blocks")
     groups = max(1, int(head.n / every * probed / QUERIES))
-    probes = asked.mapInArrow(lambda it: _probes(it, sent, sizes, least), "query_id long, q array<double>, cell int")
-    met = probes.groupBy("cell", F.pmod(F.xxhash64("query_id", "q"), F.lit(groups)).alias("part")).agg(F.collect_list(F.struct("query_id", "q")).alias("y"))
-    met = met.select(F.col("cell").alias("asked"), F.col("y.query_id").alias("queries"), F.col("y.q").alias("qs"))
-
-    pairs = stored(blocks, "blocks").join(stored(met, "queries"), F.col("cell") == F.col("asked")).select("ids", "vs", "queries", "qs")
-    found = pairs.mapInArrow(lambda it: _scan(it, turn, head.most, k), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def search(asked: DataFrame, begin: int, stop: int) -> DataFrame:
+        """The nearest of asked (query_id, q, floor) in their lists begin : stop."""
+        probes = asked.mapInArrow(lambda it: _probes(it, sent, sizes, begin, stop), "query_id long, q array<double>, floor double, cell int")
+        met = probes.groupBy("cell", F.pmod(F.xxhash64("query_id", "q"), F.lit(groups)).alias("part")).agg(F.collect_list(F.struct("query_id", "q", "floor")).alias("y"))
+        met = stored(met.select(F.col("cell").alias("asked"), F.col("y.query_id").alias("queries"), F.col("y.q").alias("qs"), F.col("y.floor").alias("floors")), "queries")
+        pairs = blocks.join(met, F.col("cell") == F.col("asked")).select("ids", "vs", "queries", "qs", "floors")
+        found = pairs.mapInArrow(lambda it: _scan(it, turn, head.most, k), FOUND)
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    asked = usable.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(float("-inf")).alias("floor"))
+    first = stored(search(asked, 0, 1).drop("rank"), "first")
+    if least <= 1 and len(sizes) == 1:
+        found = first
+    else:
+        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
+        bounded = asked.drop("floor").join(floors, "query_id", "left").select("query_id", "q", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+        found = first.unionByName(search(bounded, 1, max(least, 2)).drop("rank"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
