@@ -15,7 +15,7 @@ HOURS_PER_POINT, HOURLY_RATE, CURRENCY, MINUTES_PER_IMPACT = 0.5, 50.0, "US$", 5
 
 
 def complexity(content: Column) -> Column:
-    """1 + branch keywords and operators outside comments and strings; ``else if`` counts besides its ``if``; ``??`` is no branch. Word edges are ASCII ones."""
+    """1 + branch keywords and operators outside comments and strings; ``else if`` counts besides its ``if``; a run of ``?`` counts once. Word edges are ASCII ones."""
     code = content
     for pattern in (r"(?s)/\*.*?\*/", r"//[^\n]*", r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\.)*'", r"(?s)`(?:[^`\\]|\\.)*`"):
         code = F.regexp_replace(code, pattern, " ")
