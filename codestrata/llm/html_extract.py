@@ -11,8 +11,10 @@ styles, and a content that f of them share:
 
 Branches of low importance are removed from each page, besides those that HTML
 itself marks as no content (menus, forms, comments and so on). Prose inside an
-``article`` or ``main`` is only removed by such marks: the same paragraph in
-many articles is still text.
+``article`` or ``main``, and every branch that holds such prose, whether it
+stands inside or around them, is only removed by such marks: the same paragraph
+in many articles is still text. Nor does the tree take more than half of the
+text of an ``article`` or ``main`` that is no prose by its tags.
 """
 
 from __future__ import annotations
@@ -59,11 +61,12 @@ _WORD = re.compile(r"[a-z]+|[0-9]+", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "label", "dropped", "core")
+    __slots__ = ("tag", "parent", "children", "label", "dropped", "core", "prose")
 
     def __init__(self, tag: str, parent: Node | None, label: str, dropped: bool, core: bool):
         self.tag, self.parent, self.label, self.dropped, self.core = tag, parent, label, dropped, core
         self.children: list[Node | str] = []
+        self.prose = False
 
     def text(self) -> str:
         """The text below, references decoded, white space as one space."""
@@ -140,6 +143,9 @@ def parse(page: str) -> Node:
         dropped = at.dropped or tag in DROPPED or (marked and tag not in ("html", "body", "article", "main")) or (marked and tag == "article" and at.core) or (tag == "header" and not core)
         node = Node(tag, at, tag + label, dropped, core)
         at.children.append(node)
+        above = node if core and tag in PROSE and not dropped else None
+        while above is not None and not above.prose:
+            above.prose, above = True, above.parent
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
             node.children.append(page[pos : close.start() if close else end])
@@ -165,7 +171,18 @@ def _walk(node: Node, path: str) -> Iterator[tuple[Node, int]]:
 
 
 def _removable(node: Node) -> bool:
-    return not (node.core and node.tag in PROSE)
+    return not node.prose
+
+
+def _mostly(core: Node, gone: set[int]) -> bool:
+    """Whether the branches in gone hold more than half of the core's text."""
+
+    def length(cut) -> int:
+        out: list[str] = []
+        core._gather(out, cut)
+        return len(" ".join(html.unescape("".join(out)).split()))
+
+    return 2 * length(lambda n: n.dropped or id(n) in gone) < length(lambda n: n.dropped)
 
 
 PRESENT, STYLE, CONTENT = 0, 1, 2
@@ -211,7 +228,18 @@ def main_text(page: str, noise: set[tuple[int, int]]) -> str:
     root = parse(page)
     gone = set()
     if noise:
-        gone = {id(node) for node, path in _walk(root, "") if _removable(node) and (path, _hash(node.text())) in noise}
+        low = [node for node, path in _walk(root, "") if _removable(node) and (path, _hash(node.text())) in noise]
+        gone = {id(node) for node in low}
+        inside: dict[int, tuple[Node, set[int]]] = {}  # by the nearest article or main
+        for node in low:
+            core = node
+            while core.core and core.tag not in ("article", "main"):
+                core = core.parent
+            if core.core:
+                inside.setdefault(id(core), (core, set()))[1].add(id(node))
+        for core, ids in inside.values():
+            if _mostly(core, ids):
+                gone -= ids
     cut = lambda node: node.dropped or id(node) in gone
 
     def cores(node: Node, tag: str) -> Iterator[Node]:

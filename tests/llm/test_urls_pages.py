@@ -1,6 +1,7 @@
 """URL filters, main text, and connected components on small tables."""
 
 import random
+import re
 
 from codestrata.llm.html_extract import extract, main_text
 from codestrata.llm.shared import connected_components
@@ -96,3 +97,24 @@ def test_shared_paragraph_of_articles_stays(spark):
     page = "<body><article><p>Often said.</p><p>Own {0}.</p></article></body>"
     rows = [(i, f"http://h.net/{i}", page.format(i)) for i in range(20)]
     assert {r.text for r in extract(pages(spark, rows)).collect()} == {f"Often said. Own {i}." for i in range(20)}
+
+
+def test_copied_articles_in_wrappers_stay(spark):
+    """Copies of a page on a large host, the prose in a div or section inside, around, or without tags of its own."""
+    forms = [
+        "<article><div><p>{0}</p></div></article>", "<article><section><div><h2>T</h2><p>{0}</p></div></section></article>", "<main><div class='b'><ul><li>{0}</li></ul></div></main>",
+        "<div class='page'><article><p>{0}</p></article></div>", "<article><div>{0}</div></article>", "<article><div>{0} a</div><div>{0} b</div><div>{0} c</div></article>",
+    ]
+    rows, want = [], {}
+    for k, form in enumerate(forms):
+        for i in range(1000):
+            text = "The copied text of many pages" if i < 400 else f"Own text number {i}"
+            rows.append((1000 * k + i, f"http://h{k}.net/{i}", f"<body>{form.format(text)}<div class='x'>Read our terms</div></body>"))
+            want[1000 * k + i] = " ".join(re.sub("<[^>]*>", " ", form.format(text)).split())
+    assert {r.page_id: r.text for r in extract(pages(spark, rows)).collect()} == want
+
+
+def test_shared_block_without_prose_in_article_goes(spark):
+    page = "<body><article><p>Own text {0} of this page.</p><div class='x'>Read more</div></article></body>"
+    rows = [(i, f"http://h.net/{i}", page.format(i)) for i in range(20)]
+    assert {r.text for r in extract(pages(spark, rows)).collect()} == {f"Own text {i} of this page." for i in range(20)}
