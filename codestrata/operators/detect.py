@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
+from ..sources.durable import stored
 
 CODE = [".ts", ".tsx", ".js", ".jsx", ".java", ".kt", ".cs", ".py", ".rb", ".php", ".go"]
 JVM = [".java", ".kt", ".scala", ".groovy"]
@@ -361,19 +362,27 @@ def classes(files: DataFrame) -> DataFrame:
     return rows.where(F.col("text").rlike(p)).select(g(2).alias("name"), g(1).alias("kind"), F.coalesce(g(4), g(3)).alias("parent"), F.filter(F.transform(F.split(F.coalesce(F.regexp_replace(g(5), "<[^>]*>", ""), F.lit("")), ","), F.trim), lambda x: x != "").alias("interfaces"), F.col("rel_path").alias("file"))
 
 
-def inheritance(found: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(name, parent, depth, is_root, is_leaf): depth 1 for roots (no parent, or one that is not declared); cycles stop at no depth."""
-    one = found.groupBy("name").agg(F.min("parent").alias("parent"))
+def inheritance(found: DataFrame) -> DataFrame:
+    """(name, parent, depth, is_root, is_leaf): depth 1 for roots (no parent, or one that is not declared); classes on or below a cycle have no depth.
+
+    Pointers to ancestors double their reach each round, so a chain of d classes takes log2(d) rounds, however long.
+    A round that reaches no further root ends it: what is left leads into cycles.
+    """
+    one = stored(found.groupBy("name").agg(F.min("parent").alias("parent")), "classes")
     names = one.select(F.col("name").alias("parent"))
     extended = found.select(F.col("parent").alias("name")).union(found.select(F.explode("interfaces"))).where("name is not null").distinct()
     root = one.join(names, "parent", "left_anti").select("name")
-    level, done = root.withColumn("depth", F.lit(1)), None
-    for d in range(2, max_depth + 1):
-        done = level if done is None else done.unionByName(level)
-        level = one.join(level.select(F.col("name").alias("parent")), "parent").select("name", F.lit(d).alias("depth"))
-        if level.isEmpty():
+    known = stored(root.select("name", F.lit(None).cast("string").alias("up"), F.lit(1).cast("long").alias("dist")), "roots")  # without up, dist is the depth
+    left = stored(one.join(names, "parent").select("name", F.col("parent").alias("up"), F.lit(1).cast("long").alias("dist")), "children")
+    while True:
+        far = known.unionByName(left).select(F.col("name").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
+        rows = stored(left.join(far, "up").select("name", F.col("next").alias("up"), (F.col("dist") + F.col("more")).alias("dist")), "pointers")
+        done = rows.where("up is null")
+        if done.isEmpty():
             break
-    marked = one.join(done.groupBy("name").agg(F.min("depth").alias("depth")), "name", "left").join(root.withColumn("is_root", F.lit(True)), "name", "left")
+        known, left = known.unionByName(done), rows.where("up is not null")
+    depth = known.select("name", F.col("dist").cast("int").alias("depth"))
+    marked = one.join(depth, "name", "left").join(root.withColumn("is_root", F.lit(True)), "name", "left")
     used = extended.withColumn("used", F.lit(True))
     return marked.join(used, "name", "left").select("name", "parent", "depth", F.coalesce("is_root", F.lit(False)).alias("is_root"), F.col("used").isNull().alias("is_leaf"))
 

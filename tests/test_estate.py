@@ -121,6 +121,23 @@ def test_inheritance(spark):
     assert got["A"] == (1, True, False) and got["C"] == (3, False, True) and got["D"] == (1, True, True) and got["X"] == (None, False, False) and got["I"] == (1, True, False)
 
 
+def test_inheritance_of_long_chains(spark):
+    """Depths beyond 50, by brute force: a chain, a bush with a hot parent, a cycle and what hangs on it."""
+    parent = {f"k{i}": f"k{i - 1}" if i else None for i in range(131)} | {f"b{i}": f"k{i % 3 and 60}" for i in range(300)}
+    parent |= {"x": "z", "y": "x", "z": "y", "below": "x", "lower": "below", "self": "self", "out": "Outside", "under": "out"}
+
+    def depth(name):
+        seen = []
+        while name in parent and name not in seen:
+            seen.append(name)
+            name = parent[name]
+        return None if name in seen else len(seen)
+
+    c = spark.createDataFrame([(k, v, []) for k, v in parent.items()], "name string, parent string, interfaces array<string>")
+    got = {r.name: (r.parent, r.depth, r.is_root, r.is_leaf) for r in detect.inheritance(c).collect()}
+    assert got == {k: (v, depth(k), depth(k) == 1, k not in parent.values()) for k, v in parent.items()}
+
+
 def test_parsers(files):
     tables = {r.name: r for r in parse.db_schema(files).collect()}
     sql = parse.parse_tables("t.sql", ".sql", FILES["db/tables.sql"])[0]
