@@ -45,7 +45,7 @@ BLOCK = frozenset(
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ol ul dl dt dd blockquote pre table thead tbody tfoot tr td th figcaption figure article main body".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form iframe object embed svg canvas button select textarea input menu dialog noembed noframes title".split())
-#: Words in class, id or role that mark what is no content.
+#: Words that, alone or joined ("cookie-notice"), are a whole class, id or role that marks what is no content.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay"
     " newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar widget related recommended share sharing social comment comments"
@@ -57,16 +57,17 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORD = re.compile(r"[a-z]+|[0-9]+", re.I)
+_WORD = re.compile(r"[a-z]+")
+HARD, SOFT = 2, 1
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "label", "dropped", "core", "prose")
+    __slots__ = ("tag", "parent", "children", "label", "mark", "dropped", "core", "prose")
 
-    def __init__(self, tag: str, parent: Node | None, label: str, dropped: bool, core: bool):
-        self.tag, self.parent, self.label, self.dropped, self.core = tag, parent, label, dropped, core
+    def __init__(self, tag: str, parent: Node | None, label: str, mark: int, core: bool):
+        self.tag, self.parent, self.label, self.mark, self.core = tag, parent, label, mark, core
         self.children: list[Node | str] = []
-        self.prose = False
+        self.dropped = self.prose = False
 
     def text(self) -> str:
         """The text below, references decoded, white space as one space."""
@@ -96,15 +97,63 @@ def _attributes(raw: str) -> tuple[str, bool]:
         name, value = name.lower(), value.strip("\"' ").lower()
         if name in ("class", "id", "role"):
             label += f".{value}" if name != "role" else ""
-            marked |= any(w in MARKS for w in _WORD.findall(value))
+            marked |= any(MARKS.issuperset(w) for w in map(_WORD.findall, value.split()) if w)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             marked = True
     return label, marked
 
 
+def _above(node: Node) -> Iterator[Node]:
+    while (node := node.parent) is not None:
+        yield node
+
+
+def _settle(root: Node, nodes: list[Node]) -> None:
+    """Sets dropped and prose, parents before children.
+
+    Marks don't count on what contains a main; nor on what contains an article
+    if no other is left and its articles have more text than the rest has.
+    """
+
+    def drop() -> None:
+        for node in nodes:
+            node.dropped = node.parent.dropped or bool(node.mark)
+
+    def unmark(cores: list[Node]) -> list[Node]:
+        """The marked elements around these, as far as nothing else drops them."""
+        found = [n for c in cores if not any(n.mark == HARD for n in [c, *_above(c)]) for n in _above(c) if n.mark]
+        for n in found:
+            n.mark = 0
+        return found
+
+    outer = [n for n in nodes if n.tag in ("article", "main") and not n.parent.core]
+    if outer:
+        unmark([n for n in outer if n.tag == "main"])
+    drop()
+    if outer and all(n.dropped for n in outer):
+        rest = len(_kept(root))
+        found = unmark(outer)
+        drop()
+        if found and sum(len(_kept(n)) for n in outer if not n.dropped) <= rest:
+            for n in found:
+                n.mark = SOFT
+            drop()
+    for node in nodes:
+        above = node if node.core and node.tag in PROSE and not node.dropped else None
+        while above is not None and not above.prose:
+            above.prose, above = True, above.parent
+
+
+def _kept(node: Node) -> str:
+    out: list[str] = []
+    node._gather(out, lambda n: n.dropped)
+    return " ".join(html.unescape("".join(out)).split())
+
+
 def parse(page: str) -> Node:
     """A tree of the page's elements. Every element that is open at its parent's end ends there."""
-    root = Node("", None, "", False, False)
+    root = Node("", None, "", 0, False)
+    nodes: list[Node] = []
     at, pos, end = root, 0, len(page)
     while pos < end:
         m = _TAG.search(page, pos)
@@ -140,18 +189,18 @@ def parse(page: str) -> Node:
             at = last.parent if last is not None else at
         label, marked = _attributes(raw)
         core = at.core or tag in ("article", "main")
-        dropped = at.dropped or tag in DROPPED or (marked and tag not in ("html", "body", "article", "main")) or (marked and tag == "article" and at.core) or (tag == "header" and not core)
-        node = Node(tag, at, tag + label, dropped, core)
+        hard = tag in DROPPED or (marked and tag == "article" and at.core) or (tag == "header" and not core)
+        mark = HARD if hard else SOFT if marked and tag not in ("html", "body", "article", "main") else 0
+        node = Node(tag, at, tag + label, mark, core)
         at.children.append(node)
-        above = node if core and tag in PROSE and not dropped else None
-        while above is not None and not above.prose:
-            above.prose, above = True, above.parent
+        nodes.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
             node.children.append(page[pos : close.start() if close else end])
             pos = close.end() if close else end
         elif tag not in VOID and not raw.endswith("/"):
             at = node
+    _settle(root, nodes)
     return root
 
 

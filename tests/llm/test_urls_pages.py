@@ -118,3 +118,15 @@ def test_shared_block_without_prose_in_article_goes(spark):
     page = "<body><article><p>Own text {0} of this page.</p><div class='x'>Read more</div></article></body>"
     rows = [(i, f"http://h.net/{i}", page.format(i)) for i in range(20)]
     assert {r.text for r in extract(pages(spark, rows)).collect()} == {f"Own text {i} of this page." for i in range(20)}
+
+
+def test_marked_wrappers_of_articles():
+    article = "<article><h1>A</h1><p>one two three</p></article>"
+    for wrapper in ("<div class='layout has-sidebar'>", "<section id='search-results'>", "<div class='search'>", "<div class='widget'><div id='dialog'>"):
+        assert main_text(f"<body>{wrapper}{article}</div></body>", set()) == "A one two three", wrapper
+        assert main_text(f"<body>{wrapper}{article.replace('article', 'main')}</div></body>", set()) == "A one two three", wrapper
+    assert main_text("<body><div class='has-sidebar'>text</div><div class='no sidebar'>no</div></body>", set()) == "text"
+    comments = "<div class='comments'><article>comment</article></div>"
+    assert main_text(f"<body>{article}{comments}</body>", set()) == "A one two three"
+    assert main_text(f"<body><div>The text of a page without articles</div>{comments}</body>", set()) == "The text of a page without articles"
+    assert main_text(f"<body><form>{comments}</form><p>short</p></body>", set()) == "short"
