@@ -36,7 +36,8 @@ BLOCK, QUERIES = 2_048, 256
 COLUMNS = 16
 EPSILON = 2.1
 
-FOUND = "query_id long, vec_id long, score double"
+#: nr tells the vectors of one query id apart.
+FOUND = "query_id long, nr long, vec_id long, score double"
 
 
 def rotation(d: int) -> np.ndarray:
@@ -82,7 +83,7 @@ def _cells(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
 
 
 def _probes(batches: Iterator[pa.RecordBatch], sent, sizes: np.ndarray, begin: int, least: int) -> Iterator[pa.RecordBatch]:
-    """The lists that each query probes, from its begin-th on. Columns: query_id, q, floor."""
+    """The lists that each query probes, from its begin-th on. Columns: query_id, q, floor, nr."""
     c, _ = sent.value
     for batch in batches:
         v = _matrix(batch.column(1))
@@ -95,7 +96,7 @@ def _probes(batches: Iterator[pa.RecordBatch], sent, sizes: np.ndarray, begin: i
         chosen = (place < least) | ((held < LEAST_PROBED) & (least > 1))  # the first look takes one list only
         rows, at = np.nonzero((place >= begin) & chosen)
         own = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(3)), pa.array(order[rows, at], pa.int32())], names=["query_id", "q", "floor", "cell"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(4)), pa.array(order[rows, at], pa.int32())], names=["query_id", "q", "floor", "nr", "cell"])
 
 
 def scan(queries: np.ndarray, rotated_queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None, most: float = 0.0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -149,9 +150,10 @@ def _scan(batches: Iterator[pa.RecordBatch], turn, most: float, k: int) -> Itera
             v, q = (np.asarray(batch.column(c)[i].values.flatten()).reshape(n, -1) for c, n in ((1, len(ids)), (3, len(queries))))
             x = _lifted(v, most) @ turn.value
             y = np.hstack([q, np.zeros((len(q), 1))]) @ turn.value
-            floor = np.asarray(batch.column(4)[i].values)
+            floor, nrs = (np.asarray(batch.column(c)[i].values) for c in (4, 5))
             out = list(scan(q, y, queries, v, x, ids, k, floor, most))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, [len(o[1]) for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], names=["query_id", "vec_id", "score"])
+            n = [len(o[1]) for o in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, n)), pa.array(np.repeat(nrs, n)), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], names=["query_id", "nr", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, probed: float = PROBED) -> DataFrame:
@@ -161,7 +163,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, probed: float
     ties go to the smaller vec_id. Null ids, null, empty or zero vectors, and
     vectors with null or non-finite components take no part, nor do those of
     another dimension than most have. A row that repeats an id is never its own
-    id's neighbour. Other columns are ignored. No rows give no rows.
+    id's neighbour. Rows that repeat a query's id and vector are one query; each
+    other vector of the id is a query with ranks of its own. Other columns are
+    ignored. No rows give no rows.
     """
     spark: SparkSession = vectors.sparkSession
     usable = stored(_usable(vectors), "vectors")
@@ -184,23 +188,24 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, probed: float
 
     blocks = stored(blocks, "blocks")
     groups = max(1, int(head.n / every * probed / QUERIES))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "nr").orderBy(F.desc("score"), "vec_id")
 
     def search(asked: DataFrame, begin: int, stop: int) -> DataFrame:
-        """The nearest of asked (query_id, q, floor) in their lists begin : stop."""
-        probes = asked.mapInArrow(lambda it: _probes(it, sent, sizes, begin, stop), "query_id long, q array<double>, floor double, cell int")
-        met = probes.groupBy("cell", F.pmod(F.xxhash64("query_id", "q"), F.lit(groups)).alias("part")).agg(F.collect_list(F.struct("query_id", "q", "floor")).alias("y"))
-        met = stored(met.select(F.col("cell").alias("asked"), F.col("y.query_id").alias("queries"), F.col("y.q").alias("qs"), F.col("y.floor").alias("floors")), "queries")
-        pairs = blocks.join(met, F.col("cell") == F.col("asked")).select("ids", "vs", "queries", "qs", "floors")
+        """The nearest of asked (query_id, q, floor, nr) in their lists begin : stop."""
+        probes = asked.mapInArrow(lambda it: _probes(it, sent, sizes, begin, stop), "query_id long, q array<double>, floor double, nr long, cell int")
+        met = probes.groupBy("cell", F.pmod(F.xxhash64("query_id", "q"), F.lit(groups)).alias("part")).agg(F.collect_list(F.struct("query_id", "q", "floor", "nr")).alias("y"))
+        met = stored(met.select(F.col("cell").alias("asked"), F.col("y.query_id").alias("queries"), F.col("y.q").alias("qs"), F.col("y.floor").alias("floors"), F.col("y.nr").alias("nrs")), "queries")
+        pairs = blocks.join(met, F.col("cell") == F.col("asked")).select("ids", "vs", "queries", "qs", "floors", "nrs")
         found = pairs.mapInArrow(lambda it: _scan(it, turn, head.most, k), FOUND)
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    asked = usable.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(float("-inf")).alias("floor"))
+    asked = usable.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
+    asked = stored(asked.select("query_id", "q", F.lit(float("-inf")).alias("floor"), F.xxhash64("q").alias("nr")), "asked")
     first = stored(search(asked, 0, 1).drop("rank"), "first")
     if least <= 1 and len(sizes) == 1:
         found = first
     else:
-        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
-        bounded = asked.drop("floor").join(floors, "query_id", "left").select("query_id", "q", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+        floors = first.groupBy("query_id", "nr").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
+        bounded = asked.drop("floor").join(floors, ["query_id", "nr"], "left").select("query_id", "q", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "nr")
         found = first.unionByName(search(bounded, 1, max(least, 2)).drop("rank"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

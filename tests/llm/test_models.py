@@ -65,6 +65,24 @@ def test_nearest_small_tables_are_exact(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_nearest_of_repeated_queries(spark):
+    """Copies of a query row change no query's neighbours; another vector of its id has ranks of its own."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8)]) for i in range(1500)]
+    own = [(20, rows[20][1])] * 2 + [(40, rows[40][1])] + [(60, rows[61][1])]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows + own, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    rank = lambda v, q: [(k + 1, i, s) for k, (s, i) in enumerate((-s, i) for s, i in sorted((-float((np.array(v) * np.array(x)).sum()), i) for i, x in rows + own if i != q)[:20])]
+    want = {q: rank(rows[q][1], q) for q in range(0, 1500, 20)}
+    want[60] += rank(rows[61][1], 60)
+    assert set(got) == set(want)
+    for q, near in want.items():
+        mine, near = sorted(got[q]), sorted(near)
+        assert [k for k, *_ in mine] == [k for k, *_ in near], q
+        assert np.allclose(sorted(s for *_, s in mine), sorted(s for *_, s in near)) and sorted(i for _, i, _ in mine) == sorted(i for _, i, _ in near), q
+
+
 def test_recall_over_probed_lists(spark):
     rng = np.random.default_rng(8)
     v = rng.standard_normal((4000, 8)).astype(np.float32)
