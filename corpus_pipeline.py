@@ -21,6 +21,8 @@ from codestrata.llm.substring_dedup import remove_repeats
 from codestrata.llm.toxicity import score_toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Words of a shingle in the near_dedup stage; op8's contract has four.
+SHINGLE = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies. Only the removed ids are joined, and stored first, so that a join without a shuffle is chosen where they are few."""
-    gone = stored(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
+    gone = stored(near_duplicates(docs, words=SHINGLE).where("not kept").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

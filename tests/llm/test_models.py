@@ -112,3 +112,16 @@ def test_pipeline_stages(spark, make, words, tmp_path):
     assert left[5].text.endswith(passage) and left[6].text == words(100, 3000) and left[6].n_chars == len(left[6].text)
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == {1, 5, 6} and all(r.offset + r.length <= 1024 for r in packed)
+
+
+def test_pipeline_near_copies_by_five_words(spark, make, words):
+    """7 or 8 scattered edits in 300 words: 0.83 and 0.81 by four words, but below 0.8 by five; 5 edits are 0.84."""
+    base = words(300).split()
+
+    def edited(n):
+        return " ".join(f"edit{n}at{i}" if i % 30 == 15 and i // 30 < n else w for i, w in enumerate(base))
+
+    docs = make([(1, " ".join(base)), (7, edited(7)), (8, edited(8)), (5, edited(5)), (9, " ".join(base))]).select("doc_id", "text", "lang", "source", "n_chars")
+    for n, kept in ((7, True), (8, True), (5, False)):
+        left = corpus_pipeline.near_dedup(spark, docs.where(f"doc_id in (1, 9, {n})"), "")
+        assert {r.doc_id for r in left.collect()} == ({1, n} if kept else {1}), n
