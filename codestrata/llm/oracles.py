@@ -5,15 +5,24 @@ from __future__ import annotations
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_URL = r"""host_path AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(coalesce(url, ''), '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)"""
+def _host(url: str) -> str:
+    return f"translate(regexp_extract({url}, '^[\\s\\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: Pages tie to one another by canonical links with absolute targets only (there are no others in the tables).
+
+def _path(url: str) -> str:
+    return f"regexp_extract({url}, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1)"
+
+
+#: Canonical links and refreshes with absolute, scheme-relative, rooted and relative targets tie pages to one another.
 URLS = f"""WITH RECURSIVE rules AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) v(rh, rp, said)),
-  {_URL},
-  linked AS (SELECT host || path AS a, regexp_extract(html, '(?i)<link[^>]*rel=["'']?canonical[^>]*href=["'']?[a-z]+://([^"''\\s>?#]+)', 1) AS b FROM host_path WHERE regexp_matches(html, '(?i)rel=["'']?canonical')),
-  ends AS (SELECT a, b FROM linked WHERE b <> '' UNION SELECT b, a FROM linked WHERE b <> ''),
-  fits AS (SELECT n, arg_max(said, length(rh || rp)) AS said FROM (SELECT a AS n, regexp_extract(a, '^[^/]*') AS h, regexp_extract(a, '^[^/]*(.*)$', 1) AS p FROM ends) x JOIN rules ON (h = rh OR ends_with(h, '.' || rh)) AND starts_with(p, rp) GROUP BY n),
+  host_path AS (SELECT page_id, html, {_host("coalesce(url, '')")} AS host, {_path("coalesce(url, '')")} AS path FROM pages),
+  tags AS (SELECT host, path, regexp_extract(unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>')), '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) AS t FROM host_path WHERE host <> ''
+    UNION ALL SELECT host, path, regexp_extract(unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>')), '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) FROM host_path WHERE host <> ''),
+  absolute AS (SELECT *, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t END AS u, regexp_extract(t, '^[^?#]*') AS plain, regexp_extract(path, '^[\\s\\S]*/') AS folder FROM tags WHERE t <> ''),
+  linked AS (SELECT host || path AS a, CASE WHEN u IS NOT NULL THEN {_host("u")} ELSE host END AS b_host,
+      CASE WHEN u IS NOT NULL THEN {_path("u")} WHEN starts_with(t, '/') THEN plain WHEN plain = '' THEN path ELSE CASE folder WHEN '' THEN '/' ELSE folder END || plain END AS b_path FROM absolute),
+  ends AS (SELECT a, b_host || b_path AS b FROM linked WHERE b_host <> '' UNION SELECT b_host || b_path, a FROM linked WHERE b_host <> ''),
+  fits AS (SELECT n, arg_max(said, length(rh || rp)) AS said FROM (SELECT a AS n, regexp_extract(a, '^[^/]*') AS h, regexp_extract(a, '^[^/]*([\\s\\S]*)$', 1) AS p FROM ends) x JOIN rules ON (h = rh OR ends_with(h, '.' || rh)) AND starts_with(p, rp) GROUP BY n),
   spread(n) AS (SELECT n FROM fits WHERE said = 'block' UNION SELECT b FROM ends JOIN spread ON a = n),
   best AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(said, length(rh || rp)) AS said
     FROM host_path LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, host, path)

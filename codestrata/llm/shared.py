@@ -49,8 +49,9 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
     Alternates the large-star and small-star steps: every step is a partial
     ``min`` per node and one join, so a node with very many links is combined
     before the shuffle. The minima are stored before they are joined: both sides
-    of the join are then plain exchanges, whose large partitions Spark splits. Only nodes with a link
-    to another node come back. Null ends and self-links are ignored.
+    of the join are then plain exchanges, whose large partitions Spark splits.
+    Only nodes other than their component's smallest come back: a node that is
+    absent is its own component. Null ends and self-links are ignored.
     """
     e = edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("v"), F.least(left, right).alias("u")).distinct()
     e = stored(e, "components")

@@ -81,8 +81,10 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES
     """One row per page: page_id, host, path, rule, verdict (allow or block).
 
     Null urls and urls without :// have empty host and path, fit no rule and
-    are allowed. A null html has no links. Repeated pages are judged each.
-    Other columns are ignored. An empty table gives no rows.
+    are allowed. A null html has no links. Urls and pages of any length are
+    read whole. Repeated pages are judged each. Of two rules of one length that
+    fit a url the greater (host, path) wins. Other columns are ignored. An
+    empty table gives no rows.
     """
     node = lambda h, p: F.concat(h, p)  # noqa: E731  a host holds no slash and a path starts with one, so this is one to one
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -93,10 +95,10 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES
     if edges.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"))
     ends = edges.select(node(F.col("a_host"), F.col("a_path")).alias("a"), node(F.col("b_host"), F.col("b_path")).alias("b"))
-    component = connected_components(ends, "a", "b")
+    component = connected_components(ends, "a", "b")  # without the smallest nodes, which are their own component
     named = edges.select(F.col("a_host").alias("host"), F.col("a_path").alias("path")).union(edges.select("b_host", "b_path")).distinct()
     blocked = named.where(_rules(F.col("host"), F.col("path"), rules)[1] == "block").select(node(F.col("host"), F.col("path")).alias("node"))
-    bad = component.join(blocked, "node").select("component").distinct()
-    aliases = stored(component.join(bad, "component").select("node").distinct(), "blocked")
+    bad = stored(blocked.join(component, "node", "left").select(F.coalesce("component", "node").alias("component")).distinct(), "blocked")
+    aliases = stored(component.join(bad, "component").select("node").unionByName(bad.select(F.col("component").alias("node"))).distinct(), "blocked-aliases")
     out = judged.withColumn("node", node(F.col("host"), F.col("path"))).join(aliases.withColumn("hit", F.lit(True)), "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("hit"), "block"), F.lit("allow")).alias("verdict"))
