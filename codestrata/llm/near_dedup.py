@@ -9,20 +9,23 @@
 3. Banding: BANDS bands of ROWS coordinates. At similarity 0.8 a pair misses
    all bands with probability (1 - 0.8**4)**32 = 5e-8.
 4. Exact verification on full sets, star-wise: in a bucket each set is compared
-   with the bucket's centre only, and pairs already in one component never
-   again. STARS rounds use another centre each.
-5. What is still open, members of one bucket in different components, goes to an
+   with the bucket's centre only. What is linked gets one label, and from here
+   on only links between labels are looked for: each merging works on the few
+   labels that new links touch, never again on all links.
+5. What is still open, members of one bucket with different labels, goes to an
    exact prefix filter, which has no cap and loses nothing: sets of similarity
    0.8 share one of their rarest shingles within the pair's prefix lengths.
    There, too, stars come first; then the remaining pairs, which by then differ
-   in nearly all such shingles.
+   in nearly all such shingles. Nothing open ends the search.
+
+Minima per bucket are stored before they are joined: both sides of the join are
+plain exchanges, and Spark splits those where a bucket or shingle is hot.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,8 @@ from .shared import connected_components, stored
 SHINGLE = 4
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
-STARS = 2
-#: Shingles are ordered by the counts of 2**BINS hashed bins, summed in PARTS parts.
-BINS, PARTS = 20, 256
+#: Shingles are ordered by the counts of 2**BINS hashed bins.
+BINS = 20
 
 SKETCH = "doc_id long, text_key long, n_shingles long, set_id binary, bands array<long>"
 SETS = "rep long, n long, shingles binary"
@@ -122,30 +124,23 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar enough. Sizes too far apart are never compared."""
+    """The label pairs (a, b) of those of pairs (x_rep, y_rep, a, b) whose full sets are similar enough. Sizes too far apart are never compared."""
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    left = pairs.join(sets.select(F.col("rep").alias("a"), "n", F.col("shingles").alias("x")), "a")
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("y"))
-    return stored(left.join(right, "b").where(near).select("a", "b", "x", "y").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
-
-
-def _labelled(rows: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Rows with the component of their rep (itself without links)."""
-    found = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
-    return rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    left = pairs.join(sets.select(F.col("rep").alias("x_rep"), "n", F.col("shingles").alias("x")), "x_rep")
+    right = sets.select(F.col("rep").alias("y_rep"), F.col("n").alias("m"), F.col("shingles").alias("y"))
+    return stored(left.join(right, "y_rep").where(near).select("a", "b", "x", "y").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """Rows in buckets that still hold more than one component."""
-    mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return rows.join(mixed.select("bucket"), "bucket", "left_semi")
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """Rows with the labels that theirs have become."""
+    now = merged.select(F.col("node").alias("label"), "component")
+    return rows.join(now, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
 
 
-def _star(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b): every member of a bucket with a centre, the least rep outside the component of the bucket's least rep."""
-    lowest = rows.groupBy("bucket").agg(F.min(F.struct("rep", "label")).alias("c")).select("bucket", F.col("c.label").alias("c_label"))
-    other = rows.join(lowest, "bucket").where("label != c_label").groupBy("bucket").agg(F.min(F.struct("rep", "label")).alias("c")).select("bucket", F.col("c.rep").alias("b"), F.col("c.label").alias("b_label"))
-    return rows.join(other, "bucket").where("label != b_label").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Buckets with more than one label, and a centre: the member with the greatest label (and rep)."""
+    ends = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max(F.struct("label", "rep")).alias("top"))
+    return stored(ends.where("low < top.label").select("bucket", F.col("top.label").alias("b"), F.col("top.rep").alias("y_rep")), "mixed")
 
 
 def _bins(h: np.ndarray) -> np.ndarray:
@@ -167,24 +162,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch], percent: int, sent) -> Iterator
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(1 << BINS, np.int64)
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            np.add.at(n, _bins(np.frombuffer(raw, np.uint64)), 1)
-    parts = n.reshape(PARTS, -1)
-    used = np.flatnonzero(parts.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].astype("<u4").tobytes() for i in used], pa.binary())], names=["part", "counts"])
-
-
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"part": table.column("part")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
+        for _, texts in blocks(batch.column(0).to_pylist()):
+            n += np.bincount(_bins(np.frombuffer(b"".join(texts), np.uint64)), minlength=1 << BINS)
+    used = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used])], names=["bin", "n"])
 
 
 def _frequencies(sets: DataFrame) -> np.ndarray:
     """How many shingles of all sets fall in each of 2**BINS hashed bins: a fixed size, summed over every set. It only orders shingles; any order gives the same links."""
-    n = np.zeros((PARTS, (1 << BINS) // PARTS), np.uint32)
-    for r in sets.select("shingles").mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_add, "part int, counts binary").toLocalIterator():
-        n[r.part] = np.frombuffer(bytes(r.counts), "<u4")
-    return n.ravel()
+    n = np.zeros(1 << BINS, np.uint32)
+    found = sets.select("shingles").mapInArrow(_count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    n[np.asarray(found.column("bin"))] = np.minimum(np.asarray(found.column("n")), 2**32 - 1)
+    return n
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -197,42 +186,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whether it is the document's own.
 
     Null or empty text, or one without words: n_shingles 0, linked with nothing.
-    Rows that repeat an id are one node of the graph with the links of all of
-    them, and each keeps its row. A null id has component_id null and is kept.
-    Other columns are ignored. An empty table gives no rows.
+    Texts of any length are compared whole. Rows that repeat an id are one node
+    of the graph with the links of all of them, and each keeps its row. A null
+    id has component_id null and is kept. Other columns are ignored. An empty
+    table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
     sketch = stored(base.mapInArrow(lambda it: _sketch(it, words), SKETCH), "sketches")
-    classes = stored(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
-    member = stored(sketch.join(classes, "set_id").select("doc_id", "text_key", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
+    full = sketch.where("n_shingles > 0 and doc_id is not null")
+    classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
+    member = stored(full.join(classes, "set_id").select("doc_id", "text_key", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
 
     banded = member.where("bands is not null").select("rep", F.explode("bands").alias("bucket"))
     shared = stored(banded.groupBy("bucket").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b < other").select("bucket", "b"), "centres")
-    buckets = stored(banded.join(shared, "bucket").distinct(), "buckets")
-    reps = buckets.select("rep").distinct()
-    keys = stored(member.where("bands is not null").join(reps, "rep").select("doc_id", "text_key").distinct(), "live")
+    buckets = stored(banded.join(shared, "bucket"), "buckets")
+    keys = stored(member.where("bands is not null").join(buckets.select("rep").distinct(), "rep").select("doc_id", "text_key").distinct(), "live")
     sets = stored(base.join(keys, ["doc_id", "text_key"]).select("doc_id", "text").distinct().mapInArrow(lambda it: _full(it, words), SETS), "sets")
 
-    links = [_links(buckets.where("rep != b").select(F.col("rep").alias("a"), "b").distinct(), sets, percent)]
-    rows = buckets.select("bucket", "rep")
-    for _ in range(STARS - 1):
-        rows = stored(_open(_labelled(rows.select("bucket", "rep"), links)), "open")
-        links.append(_links(_star(rows), sets, percent))
-
-    rows = _open(_labelled(rows.select("bucket", "rep"), links))
-    left = stored(sets.join(rows.select("rep", "label").distinct(), "rep").select("rep", "label", "n", "shingles"), "left")
-    sent = docs.sparkSession.sparkContext.broadcast(_frequencies(left))  # 2**BINS numbers
-    prefix = stored(_open(left.mapInArrow(lambda it: _prefixes(it, percent, sent), "rep long, label long, n long, bucket long, place long")), "prefixes")
-    links.append(_links(_star(prefix), sets, percent))
-    prefix = stored(_open(_labelled(prefix.drop("label"), links)), "prefixes")
-    x, y = (prefix.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "label", "n", "place"))) for s in "xy")
-    need = f"ceil({percent} * (x_n + y_n) / {100 + percent})"
-    cross = x.join(y, "bucket").where(f"x_rep > y_rep and x_label != y_label and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and x_place <= x_n - {need} and y_place <= y_n - {need}")
-    links.append(_links(cross.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct(), sets, percent))
-
-    found = connected_components(reduce(DataFrame.unionByName, links), "a", "b").select(F.col("node").alias("rep"), "component")
-    known = member.select("doc_id", "rep").distinct().join(found, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    # an id with several texts ties their components: all of them take the least
-    out = sketch.select("doc_id", "n_shingles").join(known, "doc_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    merged: list[DataFrame] = []  # what labels have become, step by step
+
+    def merge(links: DataFrame) -> DataFrame | None:
+        if links.isEmpty():
+            return None
+        merged.append(connected_components(links, "a", "b"))
+        return merged[-1]
+
+    pairs = buckets.where("rep != b").select("rep", "b").distinct()
+    links = _links(pairs.select(F.col("rep").alias("x_rep"), F.col("b").alias("y_rep"), F.col("rep").alias("a"), "b"), sets, percent)
+    several = stored(member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("b < a"), "several")
+    if not several.isEmpty():  # ids with different texts tie the classes of all of them
+        links = links.unionByName(member.join(several.select("doc_id", "b"), "doc_id").where("rep != b").select(F.col("rep").alias("a"), "b").distinct())
+    rows = buckets.select("bucket", "rep", F.col("rep").alias("label"))
+    if (now := merge(links)) is not None:
+        rows = stored(_relabelled(rows, now), "labelled")
+
+    mixed = _mixed(rows)
+    if not mixed.isEmpty():
+        open_reps = rows.join(mixed.select("bucket"), "bucket").select("rep", "label").distinct()
+        left = stored(sets.join(open_reps, "rep").select("rep", "label", "n", "shingles"), "left")
+        sent = docs.sparkSession.sparkContext.broadcast(_frequencies(left))  # 2**BINS numbers
+        prefix = stored(left.mapInArrow(lambda it: _prefixes(it, percent, sent), "rep long, label long, n long, bucket long, place long"), "prefixes")
+        mixed = _mixed(prefix)
+    if not mixed.isEmpty():
+        prefix = stored(prefix.join(mixed, "bucket"), "open")
+        star = prefix.where("label != b").select(F.col("rep").alias("x_rep"), "y_rep", F.col("label").alias("a"), "b").distinct()
+        if (now := merge(_links(star, sets, percent))) is not None:
+            prefix = stored(_relabelled(prefix, now), "open")
+        # pairs of a bucket's commonest label with the others, and of the others: never those within that label
+        labels = prefix.groupBy("bucket", "label").agg(F.count("*").alias("rows")).groupBy("bucket").agg(F.max(F.struct("rows", "label")).alias("most"), F.count("*").alias("labels"))
+        common = stored(labels.where("labels > 1").select("bucket", F.col("most.label").alias("common")), "common")
+        sides = stored(prefix.select("bucket", "rep", "label", "n", "place").join(common, "bucket"), "sides")
+        x, y = (sides.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "label", "n", "place", "common"))) for s in "xy")
+        need = f"ceil({percent} * (x_n + y_n) / {100 + percent})"
+        cross = x.where("x_label != x_common").join(y, "bucket").where(f"x_label != y_label and (y_label = y_common or x_rep > y_rep) and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and x_place <= x_n - {need} and y_place <= y_n - {need}")
+        merge(_links(cross.select("x_rep", "y_rep", F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct(), sets, percent))
+
+    out = member.select("doc_id", "n_shingles", F.col("rep").alias("label"))
+    for now in merged:
+        out = _relabelled(out, now)
+    out = out.select("doc_id", "n_shingles", F.col("label").alias("component_id"))
+    alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
+    return out.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept)

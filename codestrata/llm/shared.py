@@ -67,12 +67,11 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
         large = stored(large.unionByName(least.where("m < n").select(F.col("n").alias("v"), F.col("m").alias("u"))).distinct(), "large")
         # small star: a node and what is below it move to the least of them
         least = stored(large.groupBy("v").agg(F.min("u").alias("m")), "least")
+        if _summary(large) == before and least.count() == before[0]:  # every node has one link, and that to a node without: nothing can move any more
+            break
         small = large.join(least, "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         e = stored(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "components")
-        after = _summary(e)
-        if after == before:
-            break
-        before = after
+        before = _summary(e)
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return e.select(F.col("v").alias("node"), F.col("u").alias("component"))
