@@ -26,7 +26,7 @@ _WORD_BASE = _U(0xD1342543DE82EF95)
 _WORD_INV = _U(pow(0xD1342543DE82EF95, -1, 2**64))
 
 #: Texts are hashed in blocks of about this many bytes, which bounds memory.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

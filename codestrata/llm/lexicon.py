@@ -16,6 +16,7 @@ by the ``tokenizers`` library.
 from __future__ import annotations
 
 import hashlib
+import json
 import mmap
 import os
 import re
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import halved
-from .shared import stored
+from .shared import bounded, stored
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -158,6 +159,9 @@ def _chunks(text: str) -> list[str]:
     return text.split(" ")
 
 
+#: The file's pattern and normalisers, which the cutting of chunks and words below relies on.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: Chunks of visible ASCII and the letters of Latin-1, where case and composition are settled; others go to the library whole.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 #: The file's own pre-tokens of such a chunk, lower-cased.
@@ -190,6 +194,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def cuts_words(tokenizer) -> bool:
+    """Whether a tokenizer normalises and cuts as _chunks and _WORDS do, and decodes by joining tokens with a space."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None or tokenizer.decoder is not None:
+        return False
+    split = [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]
+    normal, pre = (json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    return normal == {"type": "Sequence", "normalizers": NORMALIZERS} and pre == {"type": "Sequence", "pretokenizers": split}
+
+
 class Encoder:
     """Ids and token strings of chunks: remembered, from the lexicon, or merged by the library."""
 
@@ -199,6 +215,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.by_word = cuts_words(self.tokenizer)
         self.lexicon = Lexicon.mapped(data)
         self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, tuple[bytes, str]] = {"": (b"", "")}
@@ -229,6 +246,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Ids (little-endian unsigned 32 bits) and decoded text of each text. Texts are taken some at a time, so that what is new in them is learned at once."""
+        if not self.by_word:  # another kind of file: the library alone
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                yield array("I", e.ids).tobytes(), self.tokenizer.decode(e.ids, skip_special_tokens=False)
+            return
         for begin in range(0, len(texts), TOGETHER):
             rows = [_chunks(t) for t in texts[begin : begin + TOGETHER]]
             new = {c for chunks in rows for c in chunks}.difference(self.known)
@@ -290,14 +311,16 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", wor
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, decoded, ids_sha256, decoded_sha256.
 
-    As the ``tokenizers`` library with the file ``tokenizer`` (a word BPE
-    without decoder), add_special_tokens=False, no truncation or padding;
-    decoded is its decode(ids, skip_special_tokens=False). Without ``keep``,
-    ids and decoded are null and only their digests are made.
+    As the ``tokenizers`` library with the file ``tokenizer``,
+    add_special_tokens=False, no truncation or padding; decoded is its
+    decode(ids, skip_special_tokens=False). Without ``keep``, ids and decoded
+    are null and only their digests are made. A file that cuts words by another
+    pattern than this module knows is left to the library whole.
 
-    Null or empty text: no ids, decoded ''. Repeated rows and null ids give a
+    Null or empty text: no ids, decoded ''. Texts of any length are encoded whole. Repeated rows and null ids give a
     row each. Other columns are ignored. No rows give no rows.
     """
+    bounded(docs.sparkSession)
     data = compile_lexicon(docs, tokenizer, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(data)  # at most LEXICON_WORDS words of LONGEST characters
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, blocks, mix
-from .shared import connected_components, stored
+from .shared import bounded, connected_components, stored
 
 SHINGLE = 4
 BANDS, ROWS = 32, 4
@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id has component_id null and is kept. Other columns are ignored. An empty
     table gives no rows.
     """
+    spark = bounded(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
     sketch = stored(base.mapInArrow(lambda it: _sketch(it, words), SKETCH), "sketches")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
@@ -224,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not mixed.isEmpty():
         open_reps = rows.join(mixed.select("bucket"), "bucket").select("rep", "label").distinct()
         left = stored(sets.join(open_reps, "rep").select("rep", "label", "n", "shingles"), "left")
-        sent = docs.sparkSession.sparkContext.broadcast(_frequencies(left))  # 2**BINS numbers
+        sent = spark.sparkContext.broadcast(_frequencies(left))  # 2**BINS numbers
         prefix = stored(left.mapInArrow(lambda it: _prefixes(it, percent, sent), "rep long, label long, n long, bucket long, place long"), "prefixes")
         mixed = _mixed(prefix)
     if not mixed.isEmpty():

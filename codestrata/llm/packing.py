@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_level
-from .shared import stored
+from .shared import bounded, stored
 
 CAPACITY = 1024
 END_ID = 2
@@ -188,8 +188,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = encode(text or "") + end
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            ids += end
             n = len(ids) // 4
             stop = n % capacity or capacity
             start = piece = 0
@@ -208,9 +208,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     One longer than ``capacity`` is cut into pieces of just that many, the first
     being what is over. Sequences hold at most ``capacity`` and have no gaps.
 
-    Null or empty text: the end id alone. Repeated rows and null ids are packed
-    like any others. Other columns are ignored. No rows give no rows.
+    Null or empty text: the end id alone. Texts of any length are encoded whole
+    and cut into as many pieces as they need. Repeated rows and null ids are
+    packed like any others. Other columns are ignored. No rows give no rows.
     """
+    bounded(docs.sparkSession)
     schema = PIECES + ", ids binary" * keep_ids
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = stored(base.mapInArrow(lambda it: _pieces(it, tokenizer, end_id, capacity, keep_ids), schema), "pieces")

@@ -8,9 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch, about. Spark's own 64 MB times a batch's copies in the JVM, the pipe and numpy is a large part of an executor.
+BATCH_BYTES = 8 << 20
+
 _own_folder: list[str] = []
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most BATCH_BYTES from now on, however long its rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 

@@ -25,8 +25,24 @@ def test_byte_level_ids_are_the_librarys():
     own, library = ByteLevelEncoder(BYTE), Tokenizer.from_file(BYTE)
     rng = random.Random(5)
     pieces = ["a", "Word", " ", "  ", "\n", "\t", "'s", "é", "漢", "<|endoftext|>", "12", "!?", " ", "\x1c"]
-    for text in HARD + ["".join(rng.choices(pieces, k=rng.randrange(1, 30))) for _ in range(400)]:
-        assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    texts = HARD + ["".join(rng.choices(pieces, k=rng.randrange(1, 30))) for _ in range(400)]
+    for text, together in zip(texts, ByteLevelEncoder(BYTE).encode(texts), strict=True):
+        want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert own.encode([text])[0] == want == together, repr(text)
+
+
+def test_files_with_other_patterns_go_to_the_library():
+    """The word file is no byte-level one and the other way round: neither encoder may cut texts then."""
+    library = Tokenizer.from_file(WORD)
+    own = ByteLevelEncoder(WORD)
+    assert not own.by_chunk
+    assert own.encode(HARD) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in HARD]
+    library = Tokenizer.from_file(BYTE)
+    encoder = Encoder(BYTE, Lexicon.build({}))
+    assert not encoder.by_word
+    for text, (raw, decoded) in zip(HARD, encoder.encode(HARD), strict=True):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert (raw, decoded) == (np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)), repr(text)
 
 
 def test_memory_does_not_change_ids(monkeypatch):
@@ -36,7 +52,7 @@ def test_memory_does_not_change_ids(monkeypatch):
     own, library = ByteLevelEncoder(BYTE), Tokenizer.from_file(BYTE)
     for i in range(30):
         text = " ".join(f"w{(i * k) % 41}" for k in range(30))
-        assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert own.encode([text])[0] == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_lexicon_is_exact_and_minimal():
