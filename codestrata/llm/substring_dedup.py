@@ -1,26 +1,32 @@
 """Substring dedup by prefix-partitioned suffix trees (operator 9).
 
-Only suffixes that can matter are partitioned. Of the 26 prefixes of 25 words
-inside a 50-word window the one with the least hash is its *anchor*: equal
-windows have equal anchors at equal places, so the sparse suffix tree over
-anchors still holds every repeat of 50 words or more.
-
-1. Suffixes are split by their 25-word prefix. A prefix seen in one document
-   only has no repeat below it; its subtree is pruned after one partial
+A window of 50 words is a suffix cut at depth 50, the depth that matters. Of
+the 26 places in a window where a prefix of 25 words begins, the one with the
+least hash is its *anchor*: equal windows have equal anchors at equal places.
+Consecutive windows with one anchor form a *stretch* of 50 to 75 words, whose
+suffixes all go to one subtree.
+
+1. Stretches are partitioned by the 25 words at their anchor. A prefix seen in
+   one document only has no repeat below it; it is pruned after one partial
    aggregation.
-2. Prefixes are lengthened: consecutive windows with one anchor form one
-   stretch, and the whole stretch (50 to 75 words) is the longer prefix. Below
-   it all suffixes agree, so the node needs nothing but its smallest document;
-   thousands of copies shrink to one row on the map side.
-3. Where one 25-word prefix has several longer ones, the subtree is opened down
-   to depth 50: its nodes of depth 50 are the windows themselves, built from
-   one document for each stretch. A node whose smallest document lies before
-   another of its documents is a repeat; neighbouring ones merge to the
-   maximal repeats, which are the removed ranges.
-
-No step gathers a group in one task: each is a partial ``min``, stored, and a
-join of plain exchanges, whose large partitions Spark splits. Sequences are compared by two independent 64-bit hashes
-(of the prefix and of the window or stretch), 128 bits in all.
+2. Equal stretches are one path of the tree: a prefix as long as the stretch
+   splits them off, and one partial minimum per path gives the smallest document
+   that has it. All others lose the stretch. Thousands of copies are one row
+   from here on.
+3. A prefix with 2 to GROUP_ROWS different stretches is a group that fits in
+   memory. A task takes group after group, sorts its suffixes word by word,
+   and computes the longest common prefixes of neighbours; intervals of these
+   that reach 50 are the deep internal nodes. A node whose smallest document lies
+   before another of its documents is a repeat, and neighbouring repeats of a
+   stretch merge to a maximal one, which is removed.
+4. A prefix with more stretches is lengthened to the 50 words of each window.
+   A subtree below so long a prefix is a single node, of which nothing but the
+   smallest document is needed: again one partial minimum, and no group is ever
+   gathered.
+
+Minima are stored, then joined by plain exchanges, whose large partitions Spark
+splits. Suffixes in a task are compared by 64 bits a word; paths and lengthened
+prefixes by two independent 64-bit hashes, 128 bits in all.
 """
 
 from __future__ import annotations
@@ -35,13 +41,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .hashing import Words, blocks
-from .shared import stored
+from .shared import bounded, stored
 
 WINDOW = 50
-PREFIX = 25
+#: Different stretches below a prefix that one task sorts at once: about 600 bytes of word hashes each.
+GROUP_ROWS = 1024
 
-STRETCH = "doc_id long, text_key long, prefix long, stretch long, first long, windows long"
-NODE = "doc_id long, text_key long, prefix long, node long, first long"
+STRETCH = "doc_id long, text_key long, prefix long, stretch long, first long, windows int, anchor int"
+SUFFIX = "doc_id long, text_key long, prefix long, node long, first long, windows int, anchor int, words binary"
+RANGE = "doc_id long, text_key long, first long, stop long"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -82,25 +90,86 @@ def _stretches(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> I
             s = np.flatnonzero(new)
             count = np.diff(np.append(s, len(p)))
             first, doc = p[s], w.text[p[s]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[begin + doc], keys[begin + doc], _signed(gram[anchor[s]]), _signed(w.ranges(first, first + count - 1 + window)), first - w.first[doc], count)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[begin + doc], keys[begin + doc], _signed(gram[anchor[s]]), _signed(w.ranges(first, first + count - 1 + window)), first - w.first[doc], count.astype(np.int32), (anchor[s] - first).astype(np.int32))], names=names)
 
 
-def _nodes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The windows of the given stretches of each text, a row each."""
-    names = [f.split()[0] for f in NODE.split(", ")]
+def _suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The word hashes of the given stretches of each text; of those below a prefix with too many, each window's hash instead."""
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (f.split() for f in SUFFIX.split(", "))])
     for batch in batches:
-        ids, keys = (np.asarray(batch.column(i)) for i in (0, 1))
+        ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         rows = batch.column(3).to_pylist()
         for begin, texts in blocks(batch.column(2).to_pylist()):
-            w = Words(texts)
-            spans = [(i, x["prefix"], x["first"], x["windows"]) for i in range(len(texts)) for x in rows[begin + i]]
-            if not spans:
-                continue
-            doc, prefix, first, count = (np.array(x, dtype=np.int64) for x in zip(*spans))
-            of = np.repeat(np.arange(len(doc)), count)
-            place = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            p = place + w.first[doc[of]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[begin + doc[of]], keys[begin + doc[of]], prefix[of], _signed(w.ranges(p, p + window)), place)], names=names)
+            w, out = Words(texts), []
+            for i in range(len(texts)):
+                who = ids[begin + i], keys[begin + i]
+                for x in rows[begin + i]:
+                    p = int(w.first[i]) + x["first"]
+                    if x["large"]:
+                        at = np.arange(p, p + x["windows"])
+                        out += [(*who, x["prefix"], node, x["first"] + k, 1, 0, None) for k, node in enumerate(_signed(w.ranges(at, at + window)).tolist())]
+                    else:
+                        out.append((*who, x["prefix"], None, x["first"], x["windows"], x["anchor"], w.hash[p : p + x["windows"] + window - 1].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def deep_nodes(group: np.ndarray, doc: np.ndarray, anchor: np.ndarray, windows: np.ndarray, words: list[bytes], window: int) -> np.ndarray:
+    """For each stretch (row) and window of it whether a smaller document has that window, in the same group.
+
+    Suffixes that begin equally far before their anchors are sorted word by
+    word; the longest common prefixes of neighbours give the tree's nodes.
+    """
+    prefix = window // 2
+    ahead = window - prefix
+    n = len(group)
+    text = np.zeros((n, ahead + window), np.uint64)
+    size = windows + window - 1
+    row = np.repeat(np.arange(n), size)
+    text[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + (ahead - anchor)[row]] = np.frombuffer(b"".join(words), np.uint64)
+    found = np.zeros((n, ahead + 1), dtype=bool)
+    for before in range(ahead + 1):
+        at = anchor - before
+        rows = np.flatnonzero((at >= 0) & (at < windows))
+        if len(rows) < 2:
+            continue
+        suffix = text[rows, ahead - before : ahead - before + window]
+        free = [*range(before), *range(before + prefix, window)]  # the anchor's own words are equal within a group
+        order = np.lexsort((*(suffix[:, c] for c in reversed(free)), group[rows]))
+        suffix, rows = suffix[order], rows[order]
+        differs = suffix[1:] != suffix[:-1]
+        common = np.where(differs.any(axis=1), differs.argmax(axis=1), window)
+        common[group[rows[1:]] != group[rows[:-1]]] = 0
+        starts = np.flatnonzero(np.append(True, common < window))
+        least = np.repeat(np.minimum.reduceat(doc[rows], starts), np.diff(np.append(starts, len(rows))))
+        found[rows, at[rows]] = least < doc[rows]
+    return found
+
+
+def _grow(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The maximal repeats of whole groups, which come in order. What is held back is the last, unfinished group."""
+
+    def repeats(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows < 2:
+            return
+        ids, keys, group, first, windows, anchor = (np.asarray(rows.column(c)) for c in ("doc_id", "text_key", "prefix", "first", "windows", "anchor"))
+        found = deep_nodes(group, ids, anchor, windows, rows.column("words").to_pylist(), window)
+        edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, begin = np.nonzero(edge == 1)
+        _, end = np.nonzero(edge == -1)
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], keys[row], first[row] + begin, first[row] + end - 1 + window)], names=[f.split()[0] for f in RANGE.split(", ")])
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        group = np.asarray(rows.column("prefix"))
+        done = int(np.searchsorted(group, group[-1])) if len(group) else 0
+        yield from repeats(rows.slice(0, done))
+        held = rows.slice(done)
+    if held is not None:
+        yield from repeats(held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text_at: int | None) -> Iterator[pa.RecordBatch]:
@@ -126,7 +195,7 @@ def _cut(batches: Iterator[pa.RecordBatch], text_at: int | None) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(2) if text_at is None else own, *made], names=["doc_id" if text_at is None else "row", "n_words", "n_removed", "kept", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept, kept_sha256.
 
     Words are runs outside ``\\x20\\x09-\\x0D``. Each word covered by a window of
@@ -134,28 +203,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed; ``kept`` holds the rest, joined by one space. With carry, the
     document's own row is there in place of its id, as the struct ``row``.
 
-    Null or empty text: no words, kept is ''. Rows with one id are one document
-    to the comparison (none is smaller than the other) yet each keeps a result
-    row of its own. A null id is never smaller and never removed from. Other
-    columns are ignored. An empty table gives no rows.
+    Null or empty text: no words, kept is ''. Texts of any length are compared
+    whole. Rows with one id are one document to the comparison (none is smaller
+    than the other) yet each keeps a result row of its own. A null id is never
+    smaller and never removed from. Other columns are ignored. An empty table
+    gives no rows.
     """
+    bounded(docs.sparkSession)
     prefix = window // 2
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
     known = base.where("doc_id is not null")
 
-    suffixes = known.mapInArrow(lambda it: _stretches(it, window, prefix), STRETCH)
-    shared = stored(suffixes.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("stretch") != F.max("stretch")).alias("forks")).where("least < most").select("prefix", "forks"), "prefixes")
-    live = stored(suffixes.join(shared, "prefix"), "suffixes")
+    stretches = stored(known.mapInArrow(lambda it: _stretches(it, window, prefix), STRETCH), "stretches")
+    shared = stored(stretches.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("prefix"), "prefixes")
+    live = stored(stretches.join(shared, "prefix"), "live")
 
-    nodes = stored(live.groupBy("prefix", "stretch").agg(F.min("doc_id").alias("least")), "stretches")
-    marked = live.join(nodes, ["prefix", "stretch"])
+    paths = stored(live.groupBy("prefix", "stretch").agg(F.min("doc_id").alias("least")), "paths")
+    forks = stored(paths.groupBy("prefix").agg(F.count("*").alias("paths")).where("paths > 1").select("prefix", (F.col("paths") > group_rows).alias("large")), "forks")
+    marked = live.join(paths, ["prefix", "stretch"])
     whole = marked.where("doc_id > least").select("doc_id", "text_key", "first", (F.col("first") + F.col("windows") + (window - 1)).alias("stop"))
 
-    opened = marked.where("doc_id = least and forks").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "first", "windows")).alias("spans"))
-    deep = known.join(opened, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans").mapInArrow(lambda it: _nodes(it, window), NODE)
-    deep = stored(deep, "nodes")
-    repeats = stored(deep.groupBy("prefix", "node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("prefix", "node", "least"), "repeats")
-    parts = deep.join(repeats, ["prefix", "node"]).where("doc_id > least").select("doc_id", "text_key", "first", (F.col("first") + window).alias("stop"))
+    heads = stored(marked.where("doc_id = least").select("doc_id", "text_key", "prefix", "first", "windows", "anchor"), "heads").join(forks, "prefix")
+    opened = heads.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "first", "windows", "anchor", "large")).alias("spans"))
+    suffixes = stored(known.join(opened, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans").mapInArrow(lambda it: _suffixes(it, window), SUFFIX), "suffixes")
+    groups = suffixes.where("words is not null").drop("node").repartition("prefix").sortWithinPartitions("prefix")
+    parts = groups.mapInArrow(lambda it: _grow(it, window), RANGE)
+    long = suffixes.where("words is null")
+    if not long.isEmpty():
+        nodes = stored(long.groupBy("prefix", "node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("prefix", "node", "least"), "nodes")
+        parts = parts.unionByName(long.join(nodes, ["prefix", "node"]).where("doc_id > least").select("doc_id", "text_key", "first", (F.col("first") + window).alias("stop")))
 
     ranges = whole.unionByName(parts).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "stop")).alias("ranges"))
     join = lambda df: df.join(ranges, ["doc_id", "text_key"], "left")

@@ -5,11 +5,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from codestrata.llm.near_dedup import near_duplicates
 from codestrata.llm.quality import POLICIES, ablations, compare, judge, ledger, mask
-from codestrata.llm.substring_dedup import remove_repeats
+from codestrata.llm.substring_dedup import deep_nodes, remove_repeats
 
 WORD = "[^\x20\x09-\x0d]+"
 
@@ -56,6 +57,35 @@ def test_near_duplicates(spark, make, words, odd):
     assert got[None] == (1, None, True)
 
 
+def test_near_duplicates_of_repeated_ids(make, words):
+    """Rows with one id tie the groups of all their texts."""
+    a, b, c = words(40), words(40, 1000), words(40, 2000)
+    got = near_duplicates(make([(1, a), (2, a), (2, b), (3, b), (3, c), (4, c), (4, c), (9, words(30, 5000))])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (4, 1), (4, 1), (9, 9)]
+
+
+def test_near_duplicates_with_large_open_buckets(make, words):
+    """Many near copies of one text, and texts that share half of it and stay open: links across labels only, none lost."""
+    rng = random.Random(8)
+    base, rows = words(120).split(), []
+    for i in range(60):
+        copy = list(base)
+        for k in range(3 if i % 2 else 60):
+            copy[(7 * i + k) % 120 if i % 2 else 60 + k] = f"e{i if i % 2 else i % 12}_{k}"
+        rows.append((i, " ".join(copy)))
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in sets:
+        for b in sets:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in near_duplicates(make(rows)).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) > 3
+
+
 def test_near_duplicates_empty(make):
     assert near_duplicates(make([])).collect() == []
 
@@ -85,6 +115,46 @@ def test_repeats(make, words, odd):
     assert all(r.n_words == 7 for r in carried)
 
 
+def test_repeats_in_trees_and_below_lengthened_prefixes(make):
+    """Passages of many lengths between changing neighbours: all groups sorted as trees, some lengthened, all lengthened."""
+    rng = random.Random(11)
+    passages = [[f"p{k}_{j % 7 if k == 3 else j}" for j in range(rng.randrange(30, 140))] for k in range(6)]
+    rows = []
+    for i in range(120):
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            x = rng.choice(passages)
+            a = rng.randrange(0, 12)
+            text += [f"own{i}_{rng.randrange(4)}"] * rng.randrange(0, 4) + x[a : len(x) - rng.randrange(0, 12)]
+        rows.append((i, " ".join(text)))
+    want = brute_repeats(rows)
+    assert sum(n for _, n, _ in want.values()) > 1000
+    for group_rows in (1024, 5, 0):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(make(rows), group_rows=group_rows).collect()}
+        assert got == want, group_rows
+
+
+def test_deep_nodes():
+    """Nodes of depth 8 (window) against comparing all windows of a group with each other."""
+    rng = np.random.default_rng(4)
+    window, prefix = 8, 4
+    n = 60
+    group, doc = np.sort(rng.integers(0, 3, n)), rng.integers(0, 20, n)
+    anchor = rng.integers(0, window - prefix + 1, n)
+    windows = np.array([rng.integers(1, a + 2) for a in anchor])  # all hold the anchor
+    texts = []
+    for g, a, k in zip(group, anchor, windows, strict=True):
+        x = rng.integers(0, 2, k + window - 1).astype(np.uint64)
+        x[a : a + prefix] = [g + 10, g + 11, g + 12, g + 13]
+        texts.append(x)
+    got = deep_nodes(group, doc, anchor, windows, [x.tobytes() for x in texts], window)
+    assert got.any()
+    for i in range(n):
+        for k in range(windows[i]):
+            same = [doc[j] for j in range(n) if group[j] == group[i] and 0 <= (m := anchor[j] - anchor[i] + k) < windows[j] and (texts[j][m : m + window] == texts[i][k : k + window]).all()]
+            assert got[i, k] == (min(same) < doc[i])
+
+
 def test_repeats_of_repeated_ids(make, words):
     text = words(60)
     got = remove_repeats(make([(1, text), (1, text), (1, "other " + text), (2, text)])).collect()
