@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
+from codestrata.llm import ann
 from codestrata.llm.ann import nearest
 from codestrata.llm.toxicity import fit, score_toxicity
 
@@ -83,6 +84,43 @@ def test_nearest_of_repeated_queries(spark):
         assert np.allclose(sorted(s for *_, s in mine), sorted(s for *_, s in near)) and sorted(i for _, i, _ in mine) == sorted(i for _, i, _ in near), q
 
 
+def test_probed_share_is_measured():
+    """Clustered vectors need few lists, vectors without clusters most of them."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((40, 16)) * 8
+    clustered = centres[rng.integers(0, 40, 3000)] + rng.standard_normal((3000, 16))
+    for v, least, most in ((clustered, 1, 15), (rng.standard_normal((3000, 16)), 20, 54)):
+        lifted = ann._lifted(v, (v * v).sum(1).max())
+        assert least <= ann.probes_needed(v, lifted, ann.centroids(lifted, 54), 20, 0.95) <= most
+
+
+def test_abandoned_pairs():
+    """With every bound known, what lives is what lies within it, whether pairs are many (matrix products) or few (one by one)."""
+    rng = np.random.default_rng(6)
+    x, q = rng.standard_normal((500, 64)), rng.standard_normal((40, 64))
+    d = ((q[:, None] - x[None]) ** 2).sum(2)
+    for rank in (3, 300):
+        bound = np.sort(d, axis=1)[:, rank]
+        row, col = ann.living(q, x, bound, 20)
+        got, want = set(zip(row.tolist(), col.tolist(), strict=True)), set(zip(*(a.tolist() for a in np.nonzero(d <= bound[:, None])), strict=True))
+        assert got <= want and len(got) >= 0.97 * len(want)
+    row, col = ann.living(q, x, np.full(40, np.inf), 7)
+    assert set(zip(row.tolist(), col.tolist(), strict=True)) == set(zip(*(a.tolist() for a in np.nonzero(d <= np.sort(d, axis=1)[:, 6:7])), strict=True))
+
+
+def test_nearest_with_clashing_columns_and_a_hot_vector(spark):
+    """A third of all rows are one vector; other columns have the result's names."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(x)) for x in (np.ones(8) if i % 3 == 0 else rng.standard_normal(8))], 5, 0.5, "x") for i in range(6000)]
+    found = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score double, query_id string")).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert set(found) == set(range(0, 6000, 20)) and all(sorted(x) == list(range(1, 21)) for x in found.values())
+    want = brute([r[:2] for r in rows], 20)
+    hits = [s >= near[-1][1] - 1e-9 for q, near in want.items() for _, s in found[q].values()]
+    assert np.mean(hits) >= 0.9
+
+
 def test_recall_over_probed_lists(spark):
     rng = np.random.default_rng(8)
     v = rng.standard_normal((4000, 8)).astype(np.float32)
