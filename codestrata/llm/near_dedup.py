@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not mixed.isEmpty():
         prefix = stored(prefix.join(mixed, "bucket"), "open")
         star = prefix.where("label != b").select(F.col("rep").alias("x_rep"), "y_rep", F.col("label").alias("a"), "b").distinct()
-        if (now := merge(_links(star, sets, percent))) is not None:
+        if (now := merge(_links(star, left, percent))) is not None:
             prefix = stored(_relabelled(prefix, now), "open")
         # pairs of a bucket's commonest label with the others, and of the others: never those within that label
         labels = prefix.groupBy("bucket", "label").agg(F.count("*").alias("rows")).groupBy("bucket").agg(F.max(F.struct("rows", "label")).alias("most"), F.count("*").alias("labels"))
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x, y = (sides.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "label", "n", "place", "common"))) for s in "xy")
         need = f"ceil({percent} * (x_n + y_n) / {100 + percent})"
         cross = x.where("x_label != x_common").join(y, "bucket").where(f"x_label != y_label and (y_label = y_common or x_rep > y_rep) and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and x_place <= x_n - {need} and y_place <= y_n - {need}")
-        merge(_links(cross.select("x_rep", "y_rep", F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct(), sets, percent))
+        merge(_links(cross.select("x_rep", "y_rep", F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct(), left, percent))
 
     out = member.select("doc_id", "n_shingles", F.col("rep").alias("label"))
     for now in merged:

@@ -220,14 +220,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     paths = stored(live.groupBy("prefix", "stretch").agg(F.min("doc_id").alias("least")), "paths")
     forks = stored(paths.groupBy("prefix").agg(F.count("*").alias("paths")).where("paths > 1").select("prefix", (F.col("paths") > group_rows).alias("large")), "forks")
-    marked = live.join(paths, ["prefix", "stretch"])
-    whole = marked.where("doc_id > least").select("doc_id", "text_key", "first", (F.col("first") + F.col("windows") + (window - 1)).alias("stop"))
+    marked = stored(live.join(paths, ["prefix", "stretch"]).select("doc_id", "text_key", "prefix", "first", "windows", "anchor", (F.col("doc_id") > F.col("least")).alias("copy")), "marked")
+    whole = marked.where("copy").select("doc_id", "text_key", "first", (F.col("first") + F.col("windows") + (window - 1)).alias("stop"))
 
-    heads = stored(marked.where("doc_id = least").select("doc_id", "text_key", "prefix", "first", "windows", "anchor"), "heads").join(forks, "prefix")
-    opened = heads.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "first", "windows", "anchor", "large")).alias("spans"))
+    opened = marked.where("not copy").join(forks, "prefix").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "first", "windows", "anchor", "large")).alias("spans"))
     suffixes = stored(known.join(opened, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans").mapInArrow(lambda it: _suffixes(it, window), SUFFIX), "suffixes")
     groups = suffixes.where("words is not null").drop("node").repartition("prefix").sortWithinPartitions("prefix")
-    parts = groups.mapInArrow(lambda it: _grow(it, window), RANGE)
+    parts = stored(groups.mapInArrow(lambda it: _grow(it, window), RANGE), "repeats")
     long = suffixes.where("words is null")
     if not long.isEmpty():
         nodes = stored(long.groupBy("prefix", "node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("prefix", "node", "least"), "nodes")
