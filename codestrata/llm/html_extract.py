@@ -10,11 +10,17 @@ styles, and a content that f of them share:
     importance      = (1 - GAMMA**l) * P + GAMMA**l * C
 
 Branches of low importance are removed from each page, besides those that HTML
-itself marks as no content (menus, forms, comments and so on). Prose inside an
-``article`` or ``main``, and every branch that holds such prose, whether it
-stands inside or around them, is only removed by such marks: the same paragraph
-in many articles is still text. Nor does the tree take more than half of the
-text of an ``article`` or ``main`` that is no prose by its tags.
+itself says are no content (menus, forms, scripts and so on). Class words
+("notice", "ad") are a prior only: they don't hold for what contains a main or
+the page's articles, nor, on a page without either, for blocks that have nearly
+all of its prose; those are left to the tree. Prose inside an ``article`` or
+``main``, and every branch that holds such prose, whether it stands inside or
+around them, is only removed by such marks: the same paragraph in many articles
+is still text. Nor does the tree take more than half of the text of an
+``article`` or ``main`` that is no prose by its tags.
+
+A page meets the low branches of its host by (host, path, value), then those it
+has by its own key, so a host with a third of all pages is spread like others.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import bounded, stored
 from .url_filter import host_of
 
 GAMMA = 0.9
@@ -51,6 +57,10 @@ MARKS = frozenset(
     " newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar widget related recommended share sharing social comment comments"
     " commentlist disqus reply replies respond footer masthead toolbar pagination pager search skip complementary contentinfo form dialog".split()
 )
+#: Of these, the words of what readers write, which is never taken for the main text.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: On a page without article or main, marked prose that is so many times as long as all the rest is no mere notice.
+FAR_MORE = 4
 #: Start tags that end an open element of these.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -58,7 +68,7 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
-HARD, SOFT = 2, 1
+HARD, READER, SOFT = 3, 2, 1
 
 
 class Node:
@@ -88,18 +98,20 @@ class Node:
             out.append("\n")
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """Class and id of a tag as its label, and whether it is marked as no content."""
+def _attributes(raw: str) -> tuple[str, int]:
+    """Class and id of a tag as its label, and what it is marked as: 0, SOFT for no content, READER for readers' words or hidden ones."""
     if not raw or raw.isspace():
-        return "", False
-    label, marked = "", False
+        return "", 0
+    label, marked = "", 0
     for name, value in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), value.strip("\"' ").lower()
         if name in ("class", "id", "role"):
             label += f".{value}" if name != "role" else ""
-            marked |= any(MARKS.issuperset(w) for w in map(_WORD.findall, value.split()) if w)
+            for words in map(_WORD.findall, value.split()):
+                if words and MARKS.issuperset(words):
+                    marked = max(marked, SOFT if READERS.isdisjoint(words) else READER)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            marked = True
+            marked = READER
     return label, marked
 
 
@@ -112,7 +124,8 @@ def _settle(root: Node, nodes: list[Node]) -> None:
     """Sets dropped and prose, parents before children.
 
     Marks don't count on what contains a main; nor on what contains an article
-    if no other is left and its articles have more text than the rest has.
+    if no other is left and its articles have more text than the rest has; nor,
+    without a main or article, on blocks whose prose is FAR_MORE than the rest.
     """
 
     def drop() -> None:
@@ -138,12 +151,32 @@ def _settle(root: Node, nodes: list[Node]) -> None:
             for n in found:
                 n.mark = SOFT
             drop()
+    if not outer and (large := _marked_prose(nodes)):
+        rest = len(_kept(root))
+        for n in large:
+            n.mark = 0
+        drop()
+        if len(_kept(root)) - rest <= FAR_MORE * rest:
+            for n in large:
+                n.mark = SOFT
+            drop()
     for node in nodes:
         above = node if node.core and node.tag in PROSE and not node.dropped else None
         while above is not None and not above.prose:
             above.prose, above = True, above.parent
 
 
+def _marked_prose(nodes: list[Node]) -> list[Node]:
+    """The outermost elements dropped by a class word alone that have paragraphs or headings in them."""
+    found: dict[int, Node] = {}
+    for node in nodes:
+        if node.tag == "p" or node.tag in ("h1", "h2", "blockquote"):
+            marked = [n for n in (node, *_above(node)) if n.mark]
+            if marked and all(n.mark == SOFT for n in marked):
+                found |= {id(n): n for n in marked}
+    return list(found.values())
+
+
 def _kept(node: Node) -> str:
     out: list[str] = []
     node._gather(out, lambda n: n.dropped)
@@ -190,7 +223,7 @@ def parse(page: str) -> Node:
         label, marked = _attributes(raw)
         core = at.core or tag in ("article", "main")
         hard = tag in DROPPED or (marked and tag == "article" and at.core) or (tag == "header" and not core)
-        mark = HARD if hard else SOFT if marked and tag not in ("html", "body", "article", "main") else 0
+        mark = HARD if hard else marked if tag not in ("html", "body", "article", "main") else 0
         node = Node(tag, at, tag + label, mark, core)
         at.children.append(node)
         nodes.append(node)
@@ -256,6 +289,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=names)
 
 
+BRANCHES = "page_id long, page_key long, host string, path long, value long"
+
+
+def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The removable branches of each page."""
+    names = [f.split()[0] for f in BRANCHES.split(", ")]
+    for batch in batches:
+        rows: list[tuple] = []
+        for page_id, key, host, page in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            found = {(path, _hash(text)) for node, path in _walk(parse(page or ""), "") if _removable(node) and (text := node.text())}
+            rows += ((page_id, key, host, *x) for x in found)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=names)
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
     """The low-importance contents of each host's style tree: (host, path, value, importance)."""
     rows = pages.mapInArrow(_features, FEATURES)
@@ -305,6 +353,9 @@ def main_text(page: str, noise: set[tuple[int, int]]) -> str:
     return " ".join(html.unescape("".join(out)).split())
 
 
+RESULT = "page_id long, url string, text string, n_chars long"
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
@@ -317,11 +368,18 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
     White space inside a block becomes one space; blocks are joined in page
-    order by one space. Null or empty html: empty text. A null url has the host
-    ''. Repeated rows are pages like others. Other columns are ignored. No rows
-    give no rows.
+    order by one space. Null or empty html: empty text. Pages of any length are
+    read whole. A null url has the host ''. Repeated rows are pages like others.
+    Other columns are ignored. No rows give no rows.
     """
-    base = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    low = style_tree(base.select("host", "html"))
-    noise = stored(low.groupBy("host").agg(F.collect_list(F.struct("path", "value")).alias("noise")), "noise")
-    return base.join(noise, "host", "left").select("page_id", "url", "html", "noise").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    bounded(pages.sparkSession)
+    html_of = F.col("html").cast("string")
+    base = pages.select("page_id", "url", html_of.alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64("url", html_of).alias("page_key"))
+    low = stored(style_tree(base.select("host", "html")).select("host", "path", "value"), "low")
+    if low.isEmpty():
+        return base.select("page_id", "url", "html", F.lit(None).cast("array<struct<path:bigint,value:bigint>>").alias("noise")).mapInArrow(_extract, RESULT)
+    own = base.select("page_id", "page_key", "host", "html").mapInArrow(_branches, BRANCHES)
+    noise = own.join(low, ["host", "path", "value"]).groupBy("page_id", "page_key").agg(F.collect_set(F.struct("path", "value")).alias("noise"))
+    met = (F.col("page_id").eqNullSafe(F.col("of_id"))) & (F.col("page_key") == F.col("of_key"))
+    noise = stored(noise.select(F.col("page_id").alias("of_id"), F.col("page_key").alias("of_key"), "noise"), "noise")
+    return base.join(noise, met, "left").select("page_id", "url", "html", "noise").mapInArrow(_extract, RESULT)
