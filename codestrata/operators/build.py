@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, domain_keyword, node_id, same_route, segments
+from ..functions.text import base_name, domain_keyword, is_parameter, node_id, same_route, segments
+from ..sources.durable import stored
 
 CENTRAL = 20
 
@@ -82,22 +83,38 @@ def symbol_edges(calls: DataFrame, types: DataFrame, fields: DataFrame, imports:
     return dependency_edges(called, direct)
 
 
-def barrels(imports: DataFrame, exports: DataFrame, max_depth: int = 16) -> DataFrame:
-    """imports (file, name, origin) with origins followed through re-exports (file, name, origin) to where a name is defined."""
-    at = imports
-    for _ in range(max_depth):
-        step = at.join(exports.select(F.col("file").alias("origin"), "name", F.col("origin").alias("next")), ["origin", "name"], "left")
-        if step.where("next is not null").isEmpty():
+def barrels(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """imports (file, name, origin) with origins followed through re-exports (file, name, origin) to where a name is defined.
+
+    Re-exports double their reach each round, so chains of any length take few
+    rounds; a name that only leads in circles keeps its origin.
+    """
+    hop = exports.groupBy(F.col("file").alias("at"), "name").agg(F.min("origin").alias("to"))
+    hop = stored(hop, "exports")
+    for _ in range(max(1, hop.count()).bit_length()):
+        further = hop.select(F.col("at").alias("to"), "name", F.col("to").alias("further"))
+        step = stored(hop.join(further, ["to", "name"], "left").select("at", "name", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "exports")
+        hop, moved = step.select("at", "name", "to"), step.where("moved")
+        if moved.isEmpty():
             break
-        at = step.select("file", "name", F.coalesce("next", "origin").alias("origin"))
-    return at
+    ends = hop.join(hop.select(F.col("at").alias("to"), "name"), ["to", "name"], "left_anti").select(F.col("at").alias("origin"), "name", F.col("to").alias("end"))
+    return imports.join(ends, ["origin", "name"], "left").select("file", "name", F.coalesce("end", "origin").alias("origin"))
 
 
 def match_routes(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """calls (call_id, url) with the first endpoint (endpoint_id, path, by ord) of equal route. Joined on the number of segments and the last plain segment's kind."""
-    c = calls.withColumn("cs", segments(F.col("url"))).withColumn("n", F.size("cs"))
-    e = endpoints.withColumn("es", segments(F.col("path"))).withColumn("n", F.size("es"))
-    pairs = c.join(F.broadcast(e) if _few(endpoints) else e, "n").where(same_route(F.col("cs"), F.col("es")))
+    """calls (call_id, url) with the first endpoint (endpoint_id, path, by ord) of equal route.
+
+    Joined on the number of segments and on the first one: a plain one meets
+    itself and parameters, a parameter meets all of its number.
+    """
+    def keyed(rows: DataFrame, parts: str, plain: list[str], any_: list[str]) -> DataFrame:
+        head = F.when(F.size(parts) > 0, F.element_at(parts, 1)).otherwise(F.lit(""))
+        own = F.array(head, *(F.lit(x) for x in plain))
+        return rows.withColumn("n", F.size(parts)).withColumn("head", F.explode(F.when(is_parameter(head), F.array(*(F.lit(x) for x in any_))).otherwise(own)))
+
+    c = keyed(calls.withColumn("cs", segments(F.col("url"))), "cs", ["\0some"], ["\0any"])
+    e = keyed(endpoints.withColumn("es", segments(F.col("path"))), "es", ["\0any"], ["\0some", "\0any"])
+    pairs = c.join(F.broadcast(e) if _few(endpoints) else e, ["n", "head"]).where(same_route(F.col("cs"), F.col("es")))
     return pairs.groupBy("call_id").agg(F.min_by("endpoint_id", "ord").alias("endpoint_id"))
 
 

@@ -29,9 +29,9 @@ FRAMEWORKS = {"react": "React", "@angular/core": "Angular", "vue": "Vue", "expre
 LOCKS = {"package-lock.json": "npm", "yarn.lock": "yarn", "pnpm-lock.yaml": "pnpm", "pom.xml": "maven", "build.gradle": "gradle", "requirements.txt": "pip", "go.mod": "go", "cargo.toml": "cargo", "composer.json": "composer"}
 
 #: Extensions and folders that tell a file's layer.
-DATABASE_EXT = [".sql", ".pks", ".pkb", ".pls", ".plsql", ".prc", ".fnc", ".trg", ".vw", ".pck"]
-FRONTEND_EXT = [".html", ".css", ".scss", ".less", ".vue", ".svelte", ".tsx", ".jsx", ".osw"]
-FRONTEND_DIRS = ["frontend", "front", "web", "client", "ui", "components", "pages", "views", "screens"]
+DATABASE_EXT = ".sql .plsql .pls .pck .pks .pkb .prc .fnc .trg .pkg".split()
+FRONTEND_EXT = ".tsx .jsx .vue .html .css .scss .less .osw".split()
+FRONTEND_DIRS = "frontend front ui web webapp client pages components views".split()
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def file_layer(path: Column, ext: Column) -> Column:
-    segment = F.exists(F.split(F.lower(path), "/"), lambda p: p.isin(*FRONTEND_DIRS) | p.rlike(r"[-_.](frontend|front|ui|web|client)$"))
+    segment = F.exists(F.split(F.lower(path), "/"), lambda p: p.isin(*FRONTEND_DIRS) | p.rlike(r"(^|[-_.])(frontend|front|ui|web|client)$"))
     return F.when(ext.isin(*DATABASE_EXT), "database").when(ext.isin(*FRONTEND_EXT) | (ext.isin(".ts", ".js", ".json", ".md") & segment), "frontend").otherwise("backend")
 
 
@@ -69,25 +69,33 @@ def modules(files: DataFrame, most: int = 25, least: int = 5, big: int = 80) ->
     return out.join(F.broadcast(top), "module", "left").select("rel_path", F.when(F.col("shown"), F.col("module")).otherwise("other").alias("module"))  # at most `most` rows
 
 
-#: Risk rules on a line: level, title, what must match, what must not.
+#: Extensions that line rules read, and the line counts that make a file large and very large.
+RISK_EXT = ".ts .tsx .js .jsx .java .py .cs .go .rs .php .rb".split()
+LARGE, VERY_LARGE = 500, 1500
+
+#: Risk rules on a line: level, title, patterns that must all be found, one that must not.
 RISK_RULES = [
-    ("low", "open task", r"(?i)\b(todo|fixme|hack|xxx)\b", None),
-    ("critical", "SQL by concatenation", r"""(?i)(?=.*\+).*["'`]\s*(select|insert|update|delete|drop|alter|create)\b""", None),
-    ("critical", "process with concatenated arguments", r"(?=.*(\+|\$\{)).*\b(exec|execSync|spawn|spawnSync|system|popen|Runtime\.getRuntime\(\)\.exec)\s*\(", None),
-    ("critical", "eval of a variable", r"""\beval\(\s*[^"'`)\s]""", r"^\s*//"),
-    ("medium", "empty catch", r"\bcatch\s*(\([^)]*\))?\s*(\{\s*\}|$)", None),
-    ("high", "weak cryptography", r"\b(MD5|SHA1|SHA-1|DES|RC4|ECB)\b", r"^\s*(//|\*|#)"),
-    ("high", "insecure random", r"Math\.random\(\)", None),
-    ("high", "CORS for all", r"""(?i)(Access-Control-Allow-Origin["']?\s*[,:]\s*["']\*|origin\s*:\s*["']\*["']|allowedOrigins\(\s*["']\*["'])""", None),
-    ("critical", "TLS check disabled", r"(rejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED|verify\s*=\s*False|InsecureSkipVerify\s*:\s*true)", None),
-    ("high", "sensitive data logged", r"(?i)(?=.*(password|senha|secret|token|cpf|credit)).*\b(console\.(log|info|debug|error)|log(ger)?\.(info|debug|warn|error)|System\.out\.print|print)\w*\s*\(", None),
-    ("critical", "hard-coded credential", r"""(?i)\b(password|passwd|secret|senha)\w*\s*[:=]\s*["'][^"']{3,}["']""", None),
+    ("low", "open task", [r"(?i)\b(todo|fixme|hack|xxx)\b"], None),
+    ("critical", "SQL by concatenation", [r"""(?i)['"`]\s*(select|insert|update|delete|drop|alter)\b""", r"\+"], None),
+    ("critical", "process with concatenated arguments", [r"Runtime\.getRuntime\(\)\.exec\s*\(|new\s+ProcessBuilder\s*\(", r"\+|\$\{"], None),
+    ("critical", "eval of a variable", [r"""\beval\s*\([^'")\s]"""], r"^\s*//"),
+    ("medium", "empty catch", [r"catch\s*\([^)]*\)\s*(\{\s*\}|$)"], None),
+    ("high", "weak cryptography", [r"\b(MD5|SHA1|SHA-1|DES|RC4|RC2)\b"], r"^(?:(?!\b(?:MD5|SHA1)).)*//."),
+    ("high", "insecure random", [r"Math\.random\s*\(\)", r"(?i)token|password|secret|key|nonce|salt|seed|rand"], None),
+    ("high", "CORS for all", [r"""cors\s*\(\s*\{[^}]*origin\s*:\s*['"`]\*['"`]|allowedOrigins.*\*|setHeader.*Access-Control-Allow-Origin.*\*"""], None),
+    ("critical", "TLS check disabled", [r"(?i:ssl\s*:\s*false)|verify\s*=\s*False|rejectUnauthorized\s*:\s*false|(?i:DISABLE_SSL)"], None),
+    ("high", "sensitive data logged", [r"(?:console\.log|System\.out\.print|logger\.\w+)\s*\(", r"(?i)password|senha|token|secret|apikey|api_key|cpf|cnpj|credit.card|card.number"], None),
+    ("critical", "hard-coded credential", [r"""(?i)(password|secret)\s*=\s*['"][^'"]{3,}"""], None),
 ]
 
 
 def line_rules(rows: DataFrame, rules) -> DataFrame:
-    """(level, title, rel_path, line): the first line of each file that a rule (level, title, match, unless) fits. One scan for all rules."""
-    fits = [F.when(F.col("text").rlike(must) & (~F.col("text").rlike(unless) if unless else F.lit(True)), F.struct(F.lit(level).alias("level"), F.lit(title).alias("title"))) for level, title, must, unless in rules]
+    """(level, title, rel_path, line): the first line of each file that a rule (level, title, must, unless) fits. One scan for all rules."""
+    fits = []
+    for level, title, must, unless in rules:
+        hit = reduce(lambda a, b: a & b, [F.col("text").rlike(p) for p in ([must] if isinstance(must, str) else must)])
+        hit = hit & ~F.col("text").rlike(unless) if unless else hit
+        fits.append(F.when(hit, F.struct(F.lit(level).alias("level"), F.lit(title).alias("title"))))
     found = rows.select("rel_path", "line", F.explode(F.array_compact(F.array(*fits))).alias("r"))
     return found.groupBy("r.level", "r.title", "rel_path").agg(F.min("line").alias("line"))
 
@@ -95,8 +103,8 @@ def line_rules(rows: DataFrame, rules) -> DataFrame:
 def risks(files: DataFrame, rules=RISK_RULES) -> DataFrame:
     """(level, title, rel_path, line): oversized files, and line rules over code."""
     n = F.size(F.split("content", "\n", -1))
-    size = files.where(n > 500).select(F.when(n > 1500, "critical").otherwise("medium").alias("level"), F.lit("large file").alias("title"), "rel_path", F.lit(1).alias("line"))
-    return size.unionByName(line_rules(lines(files.where(F.col("ext").isin(*CODE))), rules))
+    size = files.where(n > LARGE).select(F.when(n > VERY_LARGE, "critical").otherwise("medium").alias("level"), F.when(n > VERY_LARGE, "very large file").otherwise("large file").alias("title"), "rel_path", F.lit(1).alias("line"))
+    return size.unionByName(line_rules(lines(files.where(F.col("ext").isin(*RISK_EXT))), rules))
 
 
 def _groups(text: Column, pattern: str, *places: int) -> Column:
@@ -256,17 +264,23 @@ def sql_columns(rows: DataFrame, sql: str) -> DataFrame:
     return rows.withColumn("table", one).select("*", F.explode(every).alias("__c")).select("*", "__c.column", "__c.mode").drop("__c").where("column != '' and table != ''").distinct()
 
 
+#: Extensions of a screen's code, and what its name may have added.
+SCREEN_CODE = ".tsx .ts .jsx .js".split()
+SCREEN_SUFFIXES = "Controller Component View Screen Page".split()
+
+
 def osw_links(files: DataFrame) -> DataFrame:
-    """(from_file, to_file, kind, confidence): code that a screen definition names: by its own name with a role suffix, or as a PascalCase value; unique names are resolved by convention, others inferred."""
-    stem = lambda c: F.regexp_extract(base_name(F.col(c)), r"^([^.]+)", 1)
-    screens = files.where("ext = '.osw'").select(F.col("rel_path").alias("from_file"), "content", F.regexp_replace(F.initcap(F.regexp_replace(stem("rel_path"), "[-_]+", " ")), " ", "").alias("pascal"))
-    suffixes = ("", "Controller", "Service", "Component", "Page", "Screen")
-    by_name = screens.select("from_file", F.explode(F.array(*(F.concat("pascal", F.lit(x)) for x in suffixes))).alias("name"), F.lit(True).alias("convention"))
-    by_value = screens.select("from_file", F.explode(F.slice(F.regexp_extract_all("content", F.lit(r'"([A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)"'), 1), 1, 5000)).alias("name"), F.lit(False).alias("convention"))
-    code = files.where(F.col("ext").isin(*CODE)).select(F.col("rel_path").alias("to_file"), stem("rel_path").alias("name")).withColumn("n", F.count("*").over(Window.partitionBy("name")))
-    hit = by_name.unionByName(by_value).join(code, "name").where("from_file != to_file")
-    sure = F.max(F.when(F.col("convention") & (F.col("n") == 1), "resolved").otherwise("inferred"))
-    return hit.groupBy("from_file", "to_file").agg(sure.alias("confidence")).select("from_file", "to_file", F.lit("osw-ref").alias("kind"), "confidence")
+    """(from_file, to_file, kind, confidence): code that a screen definition names. First by its own name with a role suffix, then by its bare name, then by any PascalCase string in it; a name that one file has is resolved, a bare or shared name inferred."""
+    stem = F.regexp_replace(base_name(F.col("rel_path")), r"\.(tsx|ts|jsx|js|osw)$", "")
+    screens = files.where("ext = '.osw'").select(F.col("rel_path").alias("from_file"), "content", F.concat(F.upper(F.substring(stem, 1, 1)), F.substring(stem, 2, 1 << 20)).alias("pascal"))
+    suffixed = [F.struct(F.concat("pascal", F.lit(x)).alias("name"), F.lit(1).alias("rank")) for x in SCREEN_SUFFIXES]
+    named = F.transform(F.regexp_extract_all("content", F.lit(r'"([A-Z][A-Za-z0-9_]{2,60})"(?!\s*:)'), 1), lambda x: F.struct(x.alias("name"), F.lit(3).alias("rank")))
+    names = screens.select("from_file", F.explode(F.concat(F.array(*suffixed, F.struct(F.col("pascal").alias("name"), F.lit(2).alias("rank"))), named)).alias("n")).select("from_file", "n.name", "n.rank").distinct()
+    code = files.where(F.col("ext").isin(*SCREEN_CODE)).select(F.col("rel_path").alias("to_file"), stem.alias("name"))
+    holders = code.groupBy("name").agg(F.count("*").alias("n"))
+    hit = names.join(holders, "name").join(code, "name").where("from_file != to_file")
+    first = F.min(F.struct("rank", F.when((F.col("rank") != 2) & (F.col("n") == 1), "resolved").otherwise("inferred").alias("confidence"))).alias("first")
+    return hit.groupBy("from_file", "to_file").agg(first).select("from_file", "to_file", F.lit("osw-ref").alias("kind"), "first.confidence")
 
 
 #: Business rule markers on a line: type and pattern.
@@ -340,18 +354,54 @@ def batch_jobs(files: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).where("kind is not null").select(F.col("rel_path").alias("file"), "line", "kind", schedule.alias("schedule"), method.alias("method"))
 
 
-#: Design patterns by file name, and by content.
-PATTERNS_BY_NAME = [("controller", r"(?i)controller"), ("service", r"(?i)service"), ("repository", r"(?i)(repository|dao)"), ("factory", r"(?i)factory"), ("builder", r"(?i)builder"), ("adapter", r"(?i)adapter"), ("facade", r"(?i)facade"), ("strategy", r"(?i)strategy"), ("observer", r"(?i)(observer|listener|subscriber)"), ("singleton", r"(?i)singleton"), ("middleware", r"(?i)(middleware|interceptor|filter)"), ("dto", r"(?i)(dto|request|response)\b"), ("mapper", r"(?i)mapper"), ("guard", r"(?i)guard"), ("hook", r"(^|/)use[A-Z]\w*\.")]
-PATTERNS_BY_TEXT = [("controller", r"@(Rest)?Controller\b"), ("service", r"@(Service|Injectable)\b"), ("repository", r"@Repository\b|extends\s+\w*Repository\s*<"), ("singleton", r"(?i)\bgetInstance\s*\("), ("builder", r"@Builder\b|\.builder\(\)"), ("observer", r"\.subscribe\s*\(|@EventListener|addEventListener"), ("strategy", r"\bimplements\s+\w*Strategy\b"), ("factory", r"\bcreate[A-Z]\w*\s*\([^)]*\)\s*(:\s*\w+\s*)?\{")]
+#: Design patterns by file name (with the confidence that it gives), and by content.
+PATTERN_EXT = ".ts .tsx .js .jsx .java .py .cs .kt".split()
+PATTERNS_BY_NAME = [
+    ("Repository", r"[Rr]epository\.(ts|js|java|cs|py)$", "resolved"),
+    ("Repository", r"[Dd]ao\.(ts|js|java|cs|py)$", "resolved"),
+    ("Service", r"[Ss]ervice\.(ts|js|java|cs|py)$", "resolved"),
+    ("Controller", r"[Cc]ontroller\.(ts|js|java|cs|py)$", "resolved"),
+    ("Controller", r"[Rr]outer?\.(ts|js)$", "resolved"),
+    ("Controller", r"[Hh]andler\.(ts|js|java|cs|py)$", "inferred"),
+    ("Factory", r"[Ff]actory\.(ts|js|java|cs|py)$", "resolved"),
+    ("Facade", r"[Ff]acade\.(ts|js|java|cs|py)$", "resolved"),
+    ("DTO", r"[Dd][Tt][Oo]\.(ts|js|java|cs|py)$", "resolved"),
+    ("DTO", r"[Rr]equest\.(ts|js|java|cs)$", "inferred"),
+    ("DTO", r"[Rr]esponse\.(ts|js|java|cs)$", "inferred"),
+    ("Entity", r"[Ee]ntity\.(ts|js|java|cs|py)$", "resolved"),
+    ("Entity", r"[Mm]odel\.(ts|js|java|cs|py)$", "inferred"),
+    ("Mapper", r"[Mm]apper\.(ts|js|java|cs|py)$", "resolved"),
+    ("Middleware", r"[Mm]iddleware\.(ts|js|py)$", "resolved"),
+    ("Interceptor", r"[Ii]nterceptor\.(ts|java|cs)$", "resolved"),
+    ("Guard", r"[Gg]uard\.(ts|java|cs)$", "resolved"),
+    ("Provider", r"[Pp]rovider\.(ts|js)$", "resolved"),
+    ("UseCase", r"[Uu]se[Cc]ase\.(ts|js|java|cs|py)$", "resolved"),
+]
+PATTERNS_BY_TEXT = [
+    ("Repository", r"(?i)@Repository|@JpaRepository|extends.*Repository"),
+    ("Service", r"(?i)@Service|@Injectable.*service"),
+    ("Controller", r"(?i)@Controller|@RestController|@RequestMapping"),
+    ("Service", r"(?i)@Component\b|@Injectable\b"),
+    ("Mapper", r"(?i)@Mapper\b|implements.*Mapper"),
+    ("Middleware", r"(?i)@Middleware|implements.*Middleware"),
+    ("Interceptor", r"(?i)@UseInterceptors|@Interceptor"),
+    ("Guard", r"(?i)@UseGuards|@Guard\b|implements.*Guard"),
+    ("Observer", r"(?i)@EventListener|@Subscribe|implements.*Observer"),
+    ("Strategy", r"(?i)implements.*Strategy\b|Strategy\s*\{"),
+    ("UseCase", r"(?i)implements.*UseCase|class.*UseCase\b"),
+    ("Entity", r"(?i)@Entity\b|@Table\b|@ORM\b"),
+]
 
 
 def patterns(files: DataFrame, by_name=PATTERNS_BY_NAME, by_text=PATTERNS_BY_TEXT) -> DataFrame:
-    """(file, pattern, source, class_name): labels of each file, once each, by name before by content."""
+    """(file, pattern, source, class_name, confidence): labels of each code file, once each: the first rule that gives one, names before content. The class is told of labels by content."""
     name, text = base_name(F.col("rel_path")), F.col("content")
-    fits = [F.when(name.rlike(p), F.struct(F.lit(k).alias("pattern"), F.lit("name").alias("source"))) for k, p in by_name] + [F.when(text.rlike(p), F.struct(F.lit(k).alias("pattern"), F.lit("text").alias("source"))) for k, p in by_text]
-    cls = F.nullif(F.regexp_extract("content", r"\b(?:class|interface)\s+(\w+)", 1), F.lit(""))
-    rows = files.select(F.col("rel_path").alias("file"), cls.alias("class_name"), F.explode(F.array_compact(F.array(*fits))).alias("m"))
-    return rows.groupBy("file", "class_name", "m.pattern").agg(F.min("m.source").alias("source")).select("file", "pattern", "source", "class_name")
+    rules = [(name.rlike(p), k, "name", sure) for k, p, sure in by_name] + [(text.rlike(p), k, "text", "resolved") for k, p in by_text]
+    fits = [F.when(hit, F.struct(F.lit(k).alias("pattern"), F.lit(i).alias("i"), F.lit(source).alias("source"), F.lit(sure).alias("confidence"))) for i, (hit, k, source, sure) in enumerate(rules)]
+    cls = F.nullif(F.regexp_extract("content", r"(?:class|interface)\s+(\w+)", 1), F.lit(""))
+    rows = files.where(F.col("ext").isin(*PATTERN_EXT)).select(F.col("rel_path").alias("file"), cls.alias("class_name"), F.explode(F.array_compact(F.array(*fits))).alias("m"))
+    first = rows.groupBy("file", "class_name", "m.pattern").agg(F.min(F.struct("m.i", "m.source", "m.confidence")).alias("f"))
+    return first.select("file", "pattern", "f.source", F.when(F.col("f.source") == "text", F.col("class_name")).alias("class_name"), "f.confidence")
 
 
 def classes(files: DataFrame) -> DataFrame:

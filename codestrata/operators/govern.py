@@ -16,15 +16,17 @@ DATA = r"/(repositor(?:y|ies)|dao|persistence|database|db)/"
 CONTROLLER = r"/(controllers?|handlers?|routes?)/"
 LAYER_RULES = (("frontend-server", "high", FRONTEND, SERVER), ("controller-db", "medium", CONTROLLER, DATA))
 
-#: Triage states and where each may go.
+#: Triage states and where each may go, categories, sources and priorities.
 TRANSITIONS = {
-    "needs-triage": ("accepted", "rejected", "in-progress", "wont-fix"),
-    "accepted": ("in-progress", "rejected", "wont-fix"),
-    "in-progress": ("resolved", "accepted", "wont-fix"),
-    "resolved": ("needs-triage",),
-    "rejected": ("needs-triage",),
-    "wont-fix": ("needs-triage",),
+    "needs-triage": ("needs-info", "ready-for-agent", "ready-for-human", "wontfix"),
+    "needs-info": ("needs-triage",),
+    "ready-for-agent": ("needs-triage", "done"),
+    "ready-for-human": ("needs-triage", "done"),
+    "wontfix": ("needs-triage",),
+    "done": (),
 }
+CATEGORIES = ("bug", "enhancement")
+SOURCES = ("risk", "arch-rule", "pr-gate", "manual")
 PRIORITIES = ("critical", "high", "medium", "low")
 
 
@@ -152,13 +154,15 @@ def triage_sync(items: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def triage_transition(items: DataFrame, changes: DataFrame) -> DataFrame:
-    """items (id, state, history) after changes (id, to_state, ts): allowed ones are taken and appended to the history; ok tells, null without a change."""
-    allowed = F.lit(False)
+    """items (id, state, history) after changes (id, to_state, ts): allowed ones are taken and appended to the history; ok tells, null without a change. To the state that an item has is no move: ok, and no history."""
+    same = F.col("state") == F.col("to_state")
+    allowed = same
     for state, nexts in TRANSITIONS.items():
-        allowed = allowed | ((F.col("state") == state) & F.col("to_state").isin(*nexts))
+        if nexts:
+            allowed = allowed | ((F.col("state") == state) & F.col("to_state").isin(*nexts))
     j = items.join(changes, "id", "left").withColumn("ok", F.when(F.col("to_state").isNotNull(), allowed))
-    taken = F.coalesce("ok", F.lit(False))
-    return j.withColumn("history", F.when(taken, F.array_append("history", F.struct(F.col("to_state").alias("state"), "ts"))).otherwise(F.col("history"))).withColumn("state", F.when(taken, F.col("to_state")).otherwise(F.col("state"))).drop("to_state", "ts")
+    moved = F.coalesce("ok", F.lit(False)) & ~same
+    return j.withColumn("history", F.when(moved, F.array_append("history", F.struct(F.col("to_state").alias("state"), "ts"))).otherwise(F.col("history"))).withColumn("state", F.when(moved, F.col("to_state")).otherwise(F.col("state"))).drop("to_state", "ts")
 
 
 def triage_list(items: DataFrame, state: str | None = None, category: str | None = None) -> DataFrame:

@@ -129,18 +129,20 @@ def concept_map(sections: dict[str, tuple[DataFrame, Column, Column]], concept:
     return out.distinct()
 
 
-def gaps(modules: DataFrame, files: DataFrame, edges: DataFrame, endpoints: DataFrame, rules: DataFrame, thin: int = 3) -> DataFrame:
-    """(gap, id): modules without endpoints or rules, thin modules, and files that no edge touches. endpoints and rules: (file)."""
+def gaps(modules: DataFrame, files: DataFrame, edges: DataFrame, endpoints: DataFrame, rules: DataFrame, thin: int = 3, external: DataFrame | None = None) -> DataFrame:
+    """(gap, id): modules without endpoints or rules, thin modules (of more than three), files that no edge touches, and external packages (package). endpoints and rules: (file)."""
     where = lambda df: df.select(F.col("file").alias("rel_path")).distinct().join(files, "rel_path").select(F.col("module").alias("name")).distinct()
     row = lambda df, gap, c="name": df.select(F.lit(gap).alias("gap"), F.col(c).alias("id"))
     touched = edges.select(F.col("from_file").alias("rel_path")).union(edges.select("to_file")).distinct()
     sizes = files.groupBy(F.col("module").alias("name")).agg(F.count("*").alias("n"))
-    return (
+    several = sizes.agg((F.count("*") > 3).alias("several"))  # one row
+    out = (
         row(modules.join(where(endpoints), "name", "left_anti"), "no endpoint")
         .unionByName(row(modules.join(where(rules), "name", "left_anti"), "no rule"))
-        .unionByName(row(sizes.where(F.col("n") < thin), "thin module"))
+        .unionByName(row(sizes.crossJoin(several).where((F.col("n") < thin) & F.col("several")), "thin module"))
         .unionByName(row(files.join(touched, "rel_path", "left_anti"), "isolated file", "rel_path"))
     )
+    return out if external is None else out.unionByName(row(external, "external package", "package"))
 
 
 def openapi(endpoints: DataFrame) -> DataFrame:
@@ -148,3 +150,18 @@ def openapi(endpoints: DataFrame) -> DataFrame:
     path = F.regexp_replace("path", r":([A-Za-z_][A-Za-z0-9_]*)", r"{$1}")
     grouped = endpoints.withColumn("path", path).groupBy("path").agg(F.array_join(F.sort_array(F.collect_set("method")), ",").alias("methods"))
     return grouped.withColumn("params", F.array_join(F.regexp_extract_all("path", F.lit(r"\{([^}]*)\}"), 1), ","))
+
+
+def module_index(modules: DataFrame, files: DataFrame, risks: DataFrame) -> DataFrame:
+    """(module, files, languages, risks): files, their languages and risks by path prefix, not by membership: a file counts for every module whose path its own begins with.
+
+    modules (name, path), files (file, language), risks (file, a row each). A
+    prefix is one of the file's own beginnings, cut at the lengths that module
+    paths have, so the join is an equi-join.
+    """
+    lengths = [r.n for r in modules.select(F.length("path").alias("n")).distinct().collect()]  # the different lengths of module paths
+    cut = F.explode(F.array(*(F.substring("file", 1, n) for n in lengths)) if lengths else F.expr("cast(array() as array<string>)"))
+    count = risks.groupBy("file").agg(F.count("*").alias("n"))
+    rows = files.join(count, "file", "left").select("language", F.coalesce("n", F.lit(0)).alias("n"), cut.alias("path"), "file")
+    hit = modules.join(rows.select("file", "language", "n", "path").distinct(), "path")
+    return hit.groupBy(F.col("name").alias("module")).agg(F.count("*").alias("files"), F.count_distinct("language").alias("languages"), F.sum("n").cast("long").alias("risks"))

@@ -19,7 +19,7 @@ SYMBOLS = (
     " types array<struct<name:string,kind:string,line:int,supers:array<struct<name:string,kind:string>>,methods:array<string>>>,"
     " fields array<struct<name:string,type:string>>, calls array<struct<receiver:string,method:string,within:string>>"
 )
-TABLE = "name string, columns array<struct<name:string,type:string>>, primary_key array<string>, foreign_keys array<struct<column:string,table:string>>, source string, file string"
+TABLE = "name string, columns array<struct<name:string,type:string,nullable:boolean,unique:boolean>>, primary_key array<string>, foreign_keys array<struct<column:string,table:string,ref_column:string>>, source string, file string"
 NG = "file string, kind string, name string, parts map<string,array<string>>, lazy array<string>"
 MAX_COLUMNS = 30
 
@@ -128,27 +128,120 @@ def symbol_relations(facts: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+#: What SQL definitions are made of: quoted and plain names, numbers, strings, and single signs.
+_TOKEN = re.compile(r"""(?P<quoted>"[^"]*"|`[^`]*`|\[[^\]]*\])|(?P<text>'(?:[^']|'')*')|(?P<word>[A-Za-z_][\w$#]*)|(?P<number>\d+(?:\.\d+)?)|(?P<sign>\S)""")
+
+
+class _Tokens:
+    """A cursor over the tokens of SQL text: (upper-cased for comparison, as written without quotes)."""
+
+    def __init__(self, text: str):
+        self.items = [("" if m.lastgroup in ("quoted", "text") else m[0].upper(), m[0][1:-1] if m.lastgroup in ("quoted", "text") else m[0]) for m in _TOKEN.finditer(text)]
+        self.at = 0
+
+    def take(self, *words: str) -> bool:
+        """Steps over the given words if they come next."""
+        there = [x for x, _ in self.items[self.at : self.at + len(words)]] == list(words)
+        self.at += len(words) * there
+        return there
+
+    def name(self) -> str:
+        """The last part of a dotted name."""
+        found = self.items[self.at][1] if self.at < len(self.items) else ""
+        self.at += 1
+        while self.take(".") and self.at < len(self.items):
+            found = self.items[self.at][1]
+            self.at += 1
+        return found
+
+    def group(self) -> list[_Tokens]:
+        """What stands in the parentheses that open here, cut at its own commas. Nothing without parentheses."""
+        if not self.take("("):
+            return []
+        parts, depth = [_Tokens("")], 1
+        while self.at < len(self.items):
+            item = self.items[self.at]
+            self.at += 1
+            depth += {"(": 1, ")": -1}.get(item[0], 0)
+            if not depth:
+                break
+            if item[0] == "," and depth == 1:
+                parts.append(_Tokens(""))
+            else:
+                parts[-1].items.append(item)
+        return [p for p in parts if p.items]
+
+
+_NO_COLUMN = ("CHECK", "INDEX", "KEY", "LIKE", "EXCLUDE", "PARTITION", "SUPPLEMENTAL")
+
+
+class _Table:
+    """One CREATE TABLE while its parts are read. Part by part, each either says something of the table or is a column."""
+
+    def __init__(self, name: str):
+        self.name, self.columns, self.keys, self.foreign = name, {}, [], []
+
+    def part(self, t: _Tokens) -> None:
+        if t.take("CONSTRAINT"):
+            t.name()
+        if t.take("PRIMARY", "KEY"):
+            self.keys += [x.name() for x in t.group()]
+        elif t.take("UNIQUE"):
+            t.take("KEY")
+            inside = t.group()
+            if len(inside) == 1 and (c := self.columns.get(inside[0].name())):
+                c["unique"] = True
+        elif t.take("FOREIGN", "KEY"):
+            own = [x.name() for x in t.group()]
+            self.refer(t, own)
+        elif t.items[t.at : t.at + 1] and t.items[t.at][0] not in _NO_COLUMN:
+            self.column(t)
+
+    def refer(self, t: _Tokens, own: list[str]) -> None:
+        if t.take("REFERENCES"):
+            table, there = t.name(), [x.name() for x in t.group()]
+            self.foreign += [{"column": c, "table": table, "ref_column": there[i] if i < len(there) else None} for i, c in enumerate(own)]
+
+    def column(self, t: _Tokens) -> None:
+        name = t.name()
+        if t.at >= len(t.items):
+            return
+        kind = t.name()
+        if size := t.group():
+            kind += "(" + ",".join(" ".join(x for _, x in p.items) for p in size) + ")"
+        made = self.columns[name] = {"name": name, "type": kind, "nullable": True, "unique": False}
+        while t.at < len(t.items):
+            if t.take("NOT", "NULL"):
+                made["nullable"] = False
+            elif t.take("PRIMARY", "KEY"):
+                made["nullable"] = False
+                self.keys.append(name)
+            elif t.take("UNIQUE"):
+                made["unique"] = True
+            elif t.items[t.at][0] == "REFERENCES":
+                self.refer(t, [name])
+            elif not t.group():
+                t.at += 1
+
+
 def _sql_tables(path: str, text: str) -> list[dict]:
-    out = []
-    for m in re.finditer(r"CREATE\s+(?:GLOBAL\s+TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:[\w\"`]+\.)?[\"`]?(\w+)[\"`]?\s*\(", text, re.I):
-        depth, end = 1, m.end()
-        while end < len(text) and depth:
-            depth += {"(": 1, ")": -1}.get(text[end], 0)
-            end += 1
-        columns, keys, foreign = [], [], []
-        for part in re.split(r",(?![^(]*\))", text[m.end() : end - 1]):
-            part = " ".join(part.split())
-            if k := re.match(r"(?:CONSTRAINT\s+\w+\s+)?PRIMARY\s+KEY\s*\(([^)]*)\)", part, re.I):
-                keys += [c.strip(' "`') for c in k[1].split(",")]
-            elif k := re.match(r"(?:CONSTRAINT\s+\w+\s+)?FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+(?:\w+\.)?[\"`]?(\w+)", part, re.I):
-                foreign += [{"column": c.strip(' "`'), "table": k[2]} for c in k[1].split(",")]
-            elif (k := re.match(r"[\"`]?(\w+)[\"`]?\s+(\w+(?:\s*\([^)]*\))?)", part)) and not re.match(r"(CONSTRAINT|UNIQUE|CHECK|INDEX|KEY)\b", part, re.I):
-                columns.append({"name": k[1], "type": k[2]})
-                if re.search(r"PRIMARY\s+KEY", part, re.I):
-                    keys.append(k[1])
-                if r := re.search(r"REFERENCES\s+(?:\w+\.)?[\"`]?(\w+)", part, re.I):
-                    foreign.append({"column": k[1], "table": r[1]})
-        out.append({"name": m[1], "columns": columns[:MAX_COLUMNS], "primary_key": keys, "foreign_keys": foreign, "source": "sql", "file": path})
+    """Tables of CREATE TABLE statements, read token by token."""
+    t, out = _Tokens(text), []
+    while t.at < len(t.items):
+        if not t.take("CREATE"):
+            t.at += 1
+            continue
+        while t.at < len(t.items) and t.items[t.at][0] in ("GLOBAL", "LOCAL", "PRIVATE", "TEMPORARY", "TEMP", "UNLOGGED"):
+            t.at += 1
+        if not t.take("TABLE"):
+            continue
+        t.take("IF", "NOT", "EXISTS")
+        table = _Table(t.name())
+        parts = t.group()
+        for part in parts:
+            table.part(part)
+        if parts:
+            out.append({"name": table.name, "columns": list(table.columns.values())[:MAX_COLUMNS], "primary_key": table.keys, "foreign_keys": table.foreign, "source": "sql", "file": path})
     return out
 
 
@@ -156,8 +249,8 @@ def _prisma(path: str, text: str) -> list[dict]:
     out = []
     for m in re.finditer(r"^model\s+(\w+)\s*\{", text, re.M):
         rows = [r.split() for r in text[m.end() : block_end(text, m.end() - 1) - 1].split("\n") if r.strip() and not r.strip().startswith(("//", "@@"))]
-        foreign = [{"column": r[0], "table": r[1].rstrip("?[]")} for r in rows if len(r) > 2 and any(x.startswith("@relation") for x in r)]
-        out.append({"name": m[1], "columns": [{"name": r[0], "type": r[1]} for r in rows if len(r) > 1][:MAX_COLUMNS], "primary_key": [r[0] for r in rows if "@id" in r], "foreign_keys": foreign, "source": "prisma", "file": path})
+        foreign = [{"column": r[0], "table": r[1].rstrip("?[]"), "ref_column": (re.search(r"references:\s*\[\s*(\w+)", " ".join(r)) or [None, None])[1]} for r in rows if len(r) > 2 and any(x.startswith("@relation") for x in r)]
+        out.append({"name": m[1], "columns": [{"name": r[0], "type": r[1], "nullable": r[1].endswith("?"), "unique": "@unique" in r} for r in rows if len(r) > 1][:MAX_COLUMNS], "primary_key": [r[0] for r in rows if "@id" in r], "foreign_keys": foreign, "source": "prisma", "file": path})
     return out
 
 
@@ -179,11 +272,12 @@ def _entities(path: str, text: str, source: str) -> list[dict]:
         for ann, name, kind in found:
             named = re.search(r"@(?:Column|JoinColumn)\s*\([^)]*name\s*[=:]\s*['\"](\w+)", ann)
             column = named[1] if named else name
-            columns.append({"name": column, "type": kind})
+            columns.append(_told({"name": column, "type": kind}, ann))
             if re.search(r"@(Id|PrimaryColumn|PrimaryGeneratedColumn)\b", ann):
                 keys.append(column)
             if re.search(r"@(ManyToOne|OneToOne|JoinColumn)\b", ann):
-                foreign.append({"column": column, "table": kind})
+                there = re.search(r"referencedColumnName\s*[:=]\s*['\"](\w+)", ann)
+                foreign.append({"column": column, "table": kind, "ref_column": there[1] if there else None})
         out.append({"name": given[1] if given else c[1], "columns": columns[:MAX_COLUMNS], "primary_key": keys, "foreign_keys": foreign, "source": source, "file": path})
     return out
 
@@ -192,9 +286,9 @@ def _django(path: str, text: str) -> list[dict]:
     out = []
     for m in re.finditer(r"^class\s+(\w+)\s*\(\s*(?:models\.)?Model\s*\)\s*:\s*\n((?:[ \t]+.*\n?|\s*\n)*)", text, re.M):
         found = re.findall(r"^\s+(\w+)\s*=\s*models\.(\w+)\s*\(([^\n]*)", m[2], re.M)
-        foreign = [{"column": n, "table": re.match(r"\s*['\"]?([\w.]+)", a)[1].split(".")[-1]} for n, t, a in found if t in ("ForeignKey", "OneToOneField") and re.match(r"\s*['\"]?[\w.]+", a)]
+        foreign = [{"column": n, "table": re.match(r"\s*['\"]?([\w.]+)", a)[1].split(".")[-1], "ref_column": (re.search(r"to_field\s*=\s*['\"](\w+)", a) or [None, None])[1]} for n, t, a in found if t in ("ForeignKey", "OneToOneField") and re.match(r"\s*['\"]?[\w.]+", a)]
         keys = [n for n, _, a in found if "primary_key=True" in a.replace(" ", "")] or ["id"]
-        out.append({"name": m[1], "columns": [{"name": n, "type": t} for n, t, _ in found][:MAX_COLUMNS], "primary_key": keys, "foreign_keys": foreign, "source": "django", "file": path})
+        out.append({"name": m[1], "columns": [_told({"name": n, "type": t}, a) | ({} if "null=True" in a.replace(" ", "") else {"nullable": False}) for n, t, a in found][:MAX_COLUMNS], "primary_key": keys, "foreign_keys": foreign, "source": "django", "file": path})
     return out
 
 
@@ -205,13 +299,20 @@ def _sequelize(path: str, text: str) -> list[dict]:
         found = re.findall(r"(\w+)\s*:\s*(?:DataTypes\.(\w+)|\{([^{}]*)\})", body)
         kind = lambda t, o: t or (re.search(r"DataTypes\.(\w+)", o) or ["", ""])[1]
         found = [(n, kind(t, o), o) for n, t, o in found if kind(t, o)]
-        foreign = [{"column": n, "table": t} for n, t in re.findall(r"(\w+)\s*:\s*\{[^{}]*references\s*:\s*\{[^}]*model\s*:\s*['\"]?(\w+)", body)]
-        out.append({"name": m[1] or m[2], "columns": [{"name": n, "type": t} for n, t, _ in found][:MAX_COLUMNS], "primary_key": [n for n, _, o in found if re.search(r"primaryKey\s*:\s*true", o)], "foreign_keys": foreign, "source": "sequelize", "file": path})
+        foreign = [{"column": n, "table": t, "ref_column": c or None} for n, t, c in re.findall(r"(\w+)\s*:\s*\{[^{}]*references\s*:\s*\{[^}]*model\s*:\s*['\"]?(\w+)(?:[^}]*key\s*:\s*['\"](\w+))?", body)]
+        out.append({"name": m[1] or m[2], "columns": [_told({"name": n, "type": t}, o) for n, t, o in found][:MAX_COLUMNS], "primary_key": [n for n, _, o in found if re.search(r"primaryKey\s*:\s*true", o)], "foreign_keys": foreign, "source": "sequelize", "file": path})
     return out
 
 
+def _told(column: dict, said: str) -> dict:
+    """The column with what its marks say: nullable unless they forbid it, unique if they say so."""
+    optional = re.search(r"nullable\s*[:=]\s*true|null\s*=\s*True|allowNull\s*:\s*true", said)
+    forbidden = re.search(r"nullable\s*[:=]\s*false|allowNull\s*:\s*false|@(?:Id|PrimaryColumn|PrimaryGeneratedColumn|NotNull)\b|primaryKey\s*:\s*true|primary_key\s*=\s*True", said)
+    return column | {"nullable": bool(optional) or not forbidden, "unique": bool(re.search(r"unique\s*[:=]\s*[tT]rue|@unique\b", said))}
+
+
 def parse_tables(path: str, ext: str, content: str) -> list[dict]:
-    if ext in (".sql", ".pks", ".pkb", ".pls", ".plsql"):
+    if ext in (".sql", ".pks", ".pkb", ".pls", ".plsql", ".pck"):
         return _sql_tables(path, re.sub(r"--[^\n]*|/\*.*?\*/", " ", content, flags=re.S))
     if ext == ".prisma":
         return _prisma(path, content)
@@ -219,7 +320,7 @@ def parse_tables(path: str, ext: str, content: str) -> list[dict]:
         return _entities(path, without_comments(content), "jpa")
     if ext == ".py" and "models." in content:
         return _django(path, content)
-    if ext in (".ts", ".js"):
+    if ext in (".ts", ".tsx", ".js"):
         text = without_comments(content)
         return (_entities(path, text, "typeorm") if "@Entity" in text else []) + _sequelize(path, text)
     return []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.durable import stored
 from ..functions.text import js_round, line_count, tokens_of
 
 #: Penalty weights of risk levels, health grades and their least scores.
@@ -159,13 +160,25 @@ def roi_total(module_debt: DataFrame, reviews: DataFrame, hours_per_point: float
 
 
 def within_budget(rows: DataFrame, content: str, budget: int, order: list[str], group: str | None = None) -> DataFrame:
-    """rows with tokens and cum_tokens, in order, as long as the running sum fits the budget (per group, or over all by block sums)."""
+    """rows with tokens and cum_tokens, in order, as long as the running sum fits the budget, per group or over all.
+
+    Over all, rows are dealt to ranges of the order first. The tokens before each
+    range come from one sum per range, so only the range in which the budget
+    ends is ever counted row by row, and rows without tokens cost nothing.
+    """
     t = rows.withColumn("tokens", tokens_of(F.col(content)))
-    window = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(*order)
-    if not group:
-        # only rows that could fit are worth a global order: those before the first budget // 1 tokens are at most `budget` rows of one token
-        t = t.orderBy(*order).limit(budget + 1)
-    return t.withColumn("cum_tokens", F.sum("tokens").over(window.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("cum_tokens") <= budget)
+    if group:
+        window = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return t.withColumn("cum_tokens", F.sum("tokens").over(window)).where(F.col("cum_tokens") <= budget)
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = stored(t.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("__part").agg(F.sum("tokens").alias("__sum"))  # a row for each range
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before")).where(F.col("__before") <= budget)
+    near = ranged.join(F.broadcast(begins), "__part")  # at most `parts` rows
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = near.withColumn("cum_tokens", F.col("__before") + F.sum("tokens").over(within))
+    return counted.where(F.col("cum_tokens") <= budget).drop("__part", "__before")
 
 
 def usage(log: DataFrame) -> DataFrame:

@@ -10,17 +10,22 @@ from ..functions.text import camel_words, js_round
 K1, B = 1.2, 0.75
 MAX_TERMS = 400
 
-#: Words that say nothing about a file, English, Portuguese, and of SQL.
+#: Words that say nothing about a file, English, Portuguese and of code; and those of SQL.
 STOPWORDS = (
-    "the and for are was with that this from not but you all can has have will its our out use any one como com das dos ela ele mas mais nao nos para pela pelo por que sem ser sua seu"
-    " uma uns select from where insert update delete into values set join left inner outer group order having null"
+    "the and for are was this that with from have has had not but you all can her his one will more use get set let var new null true false else then void type enum class"
+    " interface extends implements import export return public private protected static final const que nao com por para uma dos das nos nas seu sua num ser ter tem foi como mais mas"
+    " sem quando muito bem entre depois antes onde tambem isso isto aqui"
+).split()
+SQL_WORDS = (
+    "select insert update delete where join inner outer left right group order having create table index primary foreign key values commit rollback begin declare procedure"
+    " function trigger cursor fetch open close"
 ).split()
 
 
 def terms(content: Column, path: Column | None = None, most: int = MAX_TERMS) -> Column:
     """Distinct lower-case words of at least three letters in order, split at case changes, without stopwords."""
     words = camel_words(F.concat_ws(" ", path, content) if path is not None else content)
-    return F.slice(F.array_except(F.array_distinct(words), F.array(*(F.lit(w) for w in dict.fromkeys(STOPWORDS)))), 1, most)
+    return F.slice(F.array_except(F.array_distinct(words), F.array(*(F.lit(w) for w in STOPWORDS + SQL_WORDS))), 1, most)
 
 
 def snippet(content: Column, lines: int = 3, width: int = 120) -> Column:

@@ -23,25 +23,30 @@ SCORED_NODES = 200
 TRACE_NODES = 800
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 10_000, source: str = "from_id", target: str = "to_id", carry: str | None = "confidence") -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 10_000, source: str = "from_id", target: str = "to_id", carry: str | None = "confidence", enough: int | None = None) -> DataFrame:
     """(seed, id, depth, confidence): all nodes from which a seed can be reached along source -> target edges.
 
     seeds has a column ``seed``. Start nodes themselves are left out. With
-    ``carry`` None every confidence is resolved.
+    ``carry`` None every confidence is resolved. With ``enough`` the walk ends
+    after the level in which it has found more nodes than that: all levels
+    before are whole, so the first ``enough`` by depth are right.
     """
     confidence = F.col(carry) if carry else F.lit("resolved")
-    e = edges.select(F.col(source).alias("id"), F.col(target).alias("at"), confidence.alias("hop")).where("id is not null and at is not null").groupBy("id", "at").agg(F.max("hop").alias("hop"))
-    e = stored(e, "edges")
+    e = stored(edges.select(F.col(source).alias("id"), F.col(target).alias("at"), confidence.alias("hop")).where("id is not null and at is not null"), "edges")
     frontier = stored(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit("resolved").alias("confidence")).distinct(), "frontier")
-    levels = [frontier]
+    levels, total = [frontier], 0
     for depth in range(1, max_depth + 1):
         steps = frontier.select("seed", F.col("id").alias("at"), "confidence").join(e, "at")
         found = steps.groupBy("seed", "id").agg(F.max(F.when(F.col("hop") == "resolved", F.col("confidence")).otherwise("inferred")).alias("confidence"))
         seen = reduce(DataFrame.unionByName, levels).select("seed", "id")
         frontier = stored(found.join(seen, ["seed", "id"], "left_anti").select("seed", "id", F.lit(depth).alias("depth"), "confidence"), "frontier")
-        if frontier.isEmpty():
+        more = frontier.count()
+        if not more:
             break
         levels.append(frontier)
+        total += more
+        if enough is not None and total > enough:
+            break
         if len(levels) % 32 == 0:  # keep the union short on long chains
             levels = [stored(reduce(DataFrame.unionByName, levels), "visited")]
     return reduce(DataFrame.unionByName, levels).where("depth > 0")
@@ -54,7 +59,7 @@ def kind_of(node: Column) -> Column:
 def impact_of(impact_edges: DataFrame, entity: str, max_depth: int = 10_000, max_nodes: int = MAX_NODES) -> DataFrame:
     """(id, kind, depth, confidence, truncated): what depends on an entity, nearest first, at most max_nodes by (depth, id)."""
     seed = impact_edges.sparkSession.createDataFrame([(entity,)], "seed string")
-    found = reach(impact_edges, seed, max_depth).select("id", kind_of(F.col("id")).alias("kind"), "depth", "confidence")
+    found = reach(impact_edges, seed, max_depth, enough=max_nodes).select("id", kind_of(F.col("id")).alias("kind"), "depth", "confidence")
     total = found.count()
     return found.orderBy("depth", "id").limit(max_nodes).withColumn("truncated", F.lit(total > max_nodes))
 
@@ -67,7 +72,7 @@ def dependents_of(impact_edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def blast_radius(impact_edges: DataFrame, entity: str, top: int = 20) -> DataFrame:
     """The impacted nodes that most others depend on: (id, kind, depth, dependents, confidence)."""
-    near = impact_of(impact_edges, entity).orderBy("depth", "id").limit(SCORED_NODES).drop("truncated")
+    near = impact_of(impact_edges, entity, max_nodes=SCORED_NODES).drop("truncated")
     scored = dependents_of(impact_edges, near)
     return scored.orderBy(F.desc("dependents"), "depth", "id").limit(top).select("id", "kind", "depth", "dependents", "confidence")
 
@@ -91,42 +96,45 @@ def file_impact(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def impact_index(edges: DataFrame, max_depth: int = 4, listed_direct: int = 30, listed: int = 100) -> DataFrame:
-    """For every file with importers: exact direct and transitive counts (to max_depth) and the first of each by name."""
+    """For every file with importers: direct and transitive counts, exact to max_depth, the first of each by name, and whether files lie beyond that depth (truncated)."""
     plain = edges.select(F.col("from_file").alias("from_id"), F.col("to_file").alias("to_id"), "confidence")
-    walked = reach(plain, edges.select(F.col("to_file").alias("seed")).distinct(), max_depth)
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy("id"))
-    near = F.row_number().over(Window.partitionBy("seed").orderBy(F.col("depth") > 1, "id"))
+    walked = reach(plain, edges.select(F.col("to_file").alias("seed")).distinct(), max_depth + 1)
+    near = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "id"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.col("depth") > max_depth, "id"))
+    within, first = F.col("depth") <= max_depth, F.col("depth") == 1
     ranked = walked.withColumn("r", rank).withColumn("d", near)
     return ranked.groupBy("seed").agg(
-        F.sum((F.col("depth") == 1).cast("long")).alias("direct"),
-        F.count("*").alias("transitive"),
-        F.sort_array(F.collect_list(F.when((F.col("depth") == 1) & (F.col("d") <= listed_direct), F.col("id")))).alias("direct_files"),
-        F.sort_array(F.collect_list(F.when(F.col("r") <= listed, F.col("id")))).alias("transitive_files"),
+        F.sum(first.cast("long")).alias("direct"),
+        F.sum(within.cast("long")).alias("transitive"),
+        F.sort_array(F.collect_list(F.when(first & (F.col("d") <= listed_direct), F.col("id")))).alias("direct_files"),
+        F.sort_array(F.collect_list(F.when(within & (F.col("r") <= listed), F.col("id")))).alias("transitive_files"),
+        F.max(~within).alias("truncated"),
     ).withColumnRenamed("seed", "file")
 
 
-def find_path(edges: DataFrame, start: str, goal: str, max_depth: int = 10_000, source: str = "from_file", target: str = "to_file") -> DataFrame:
-    """(step, id): the shortest path, of several the one whose ids sort first; no rows if there is none.
+def find_path(edges: DataFrame, start: str, goal: str | list[str], max_depth: int = 10_000, source: str = "from_file", target: str = "to_file") -> DataFrame:
+    """(step, id): the shortest path from start to a goal, of several the one whose ids sort first; no rows if there is none.
 
-    Distances are walked from the goal; the path then takes, at each step, the
-    least successor one step nearer.
+    One walk back from all goals: every node that is met carries the least
+    path from it on, and the walk ends with the level that meets the start.
     """
     spark = edges.sparkSession
-    if start == goal:
+    goals = [goal] if isinstance(goal, str) else list(goal)
+    if start in goals:
         return spark.createDataFrame([(0, start)], "step int, id string")
-    e = edges.select(F.col(source).alias("from_id"), F.col(target).alias("to_id")).distinct()
-    goals = spark.createDataFrame([(goal,)], "seed string")
-    far = stored(reach(e, goals, max_depth, carry=None).select("id", "depth"), "distance")
-    begin = far.where(F.col("id") == start).select("depth").first()
-    if begin is None:
-        return spark.createDataFrame([], "step int, id string")
-    far = far.unionByName(spark.createDataFrame([(goal, 0)], "id string, depth int"))
-    steps, at = [(0, start)], start
-    for step in range(1, begin.depth + 1):
-        nearer = far.where(F.col("depth") == begin.depth - step).select(F.col("id").alias("to_id"))
-        at = e.where(F.col("from_id") == at).join(nearer, "to_id").agg(F.min("to_id")).first()[0]
-        steps.append((step, at))
-    return spark.createDataFrame(steps, "step int, id string")
+    e = stored(edges.select(F.col(source).alias("id"), F.col(target).alias("at")).where("id is not null and at is not null").distinct(), "edges")
+    frontier = spark.createDataFrame([(g, [g]) for g in sorted(set(goals))], "id string, path array<string>")
+    seen = frontier.select("id")
+    for _ in range(max_depth):
+        met = frontier.select(F.col("id").alias("at"), "path").join(e, "at").groupBy("id").agg(F.min("path").alias("path"))
+        frontier = stored(met.join(seen, "id", "left_anti").select("id", F.concat(F.array("id"), "path").alias("path")), "frontier")
+        if frontier.isEmpty():
+            break
+        there = frontier.where(F.col("id") == start).select(F.posexplode("path").alias("step", "id"))
+        if not there.isEmpty():
+            return there
+        seen = stored(seen.unionByName(frontier.select("id")), "visited")
+    return spark.createDataFrame([], "step int, id string")
 
 
 def trace_edges(edges: DataFrame, cg_nodes: DataFrame, cg_edges: DataFrame) -> DataFrame:
@@ -139,15 +147,16 @@ def trace_edges(edges: DataFrame, cg_nodes: DataFrame, cg_edges: DataFrame) -> D
 
 
 def trace(links: DataFrame, nodes: DataFrame, entry: str, max_nodes: int = TRACE_NODES) -> DataFrame:
-    """(id, layer, depth, on_path): everything upstream of an entry, and a sample path.
+    """(id, layer, depth, on_path, truncated): what is upstream of an entry, the nearest max_nodes, and a sample path.
 
     The path leads from the deepest frontend node (else the deepest node; ties
     to the least id) down to the entry. nodes: (id, layer).
     """
     spark = links.sparkSession
-    up = reach(links, spark.createDataFrame([(entry,)], "seed string")).select("id", "depth")
+    up = reach(links, spark.createDataFrame([(entry,)], "seed string"), enough=max_nodes).select("id", "depth")
     named = up.unionByName(spark.createDataFrame([(entry, 0)], "id string, depth int")).join(nodes.select("id", "layer").dropDuplicates(["id"]), "id", "left")
-    kept = stored(named.withColumn("layer", F.coalesce("layer", F.lit("code"))).orderBy("depth", "id").limit(max_nodes), "trace")
+    ranked = stored(named.withColumn("layer", F.coalesce("layer", F.lit("code"))).orderBy("depth", "id").limit(max_nodes + 1), "trace")
+    kept = stored(ranked.orderBy("depth", "id").limit(max_nodes).withColumn("truncated", F.lit(ranked.count() > max_nodes)), "trace")
     first = kept.orderBy(F.col("layer") != "frontend", F.desc("depth"), "id").select("id").first()
     path = find_path(links, first.id, entry, source="from_id", target="to_id").select("id").withColumn("on_path", F.lit(True))
     return kept.join(path, "id", "left").withColumn("on_path", F.coalesce("on_path", F.lit(False)))
@@ -168,13 +177,8 @@ def flow(links: DataFrame, seeds: DataFrame, max_depth: int = 10_000) -> DataFra
     return back.select("id", F.lit("upstream").alias("direction"), "depth").unionByName(ahead.select("id", F.lit("downstream").alias("direction"), "depth"))
 
 
-def circular(edges: DataFrame, max_depth: int = 10_000, source: str = "from_file", target: str = "to_file") -> DataFrame:
-    """(from_id, to_id): edges a -> b where b also reaches a, that is, edges inside a cycle.
-
-    Nodes that no cycle can hold (without an edge in or out, again and again)
-    are peeled first; what is left is closed only over itself.
-    """
-    e = stored(edges.select(F.col(source).alias("from_id"), F.col(target).alias("to_id")).where("from_id != to_id").distinct(), "digraph")
+def _peeled(e: DataFrame) -> DataFrame:
+    """Edges (from_id, to_id) without nodes that no cycle can hold: those without an edge in or out, again and again."""
     n = e.count()
     while n:
         ins, outs = e.select(F.col("to_id").alias("from_id")).distinct(), e.select(F.col("from_id").alias("to_id")).distinct()
@@ -182,8 +186,40 @@ def circular(edges: DataFrame, max_depth: int = 10_000, source: str = "from_file
         before, n = n, e.count()
         if n == before:
             break
-    ahead = reach(e, e.select(F.col("from_id").alias("seed")).distinct(), max_depth, carry=None)
-    return e.join(ahead.select(F.col("seed").alias("from_id"), F.col("id").alias("to_id")), ["from_id", "to_id"], "left_semi")
+    return e
+
+
+def circular(edges: DataFrame, source: str = "from_file", target: str = "to_file") -> DataFrame:
+    """(from_id, to_id): edges a -> b where b also reaches a, that is, edges inside a cycle.
+
+    Strongly connected components by colouring: the largest id that reaches a
+    node is its colour; what reaches that id back inside the colour is its
+    component. Each round takes one component of every colour out, so no pairs of
+    nodes are ever kept.
+    """
+    e = _peeled(stored(edges.select(F.col(source).alias("from_id"), F.col(target).alias("to_id")).where("from_id is not null and to_id is not null and from_id != to_id").distinct(), "digraph"))
+    spark, found = edges.sparkSession, []
+    while not e.isEmpty():
+        color = stored(e.select(F.col("from_id").alias("id"), F.col("from_id").alias("color")).distinct(), "colors")  # peeled: every node has an edge out
+        while True:
+            offered = e.join(color.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.max("color").alias("offer"))
+            now = stored(color.join(offered, "id", "left").select("id", F.greatest("color", "offer").alias("color"), (F.col("offer") > F.col("color")).alias("moved")), "colors")
+            color, moved = now.select("id", "color"), now.where("moved")
+            if moved.isEmpty():
+                break
+        ends = e.join(color.select(F.col("id").alias("from_id"), "color"), "from_id").join(color.select(F.col("id").alias("to_id"), F.col("color").alias("to_color")), "to_id")
+        inside = stored(ends.where("color = to_color").select("from_id", "to_id"), "inside")
+        frontier = taken = stored(color.where("id = color"), "component")
+        while True:
+            back = inside.join(frontier.select(F.col("id").alias("to_id"), "color"), "to_id").select(F.col("from_id").alias("id"), "color").distinct()
+            frontier = stored(back.join(taken.select("id"), "id", "left_anti"), "component")
+            if frontier.isEmpty():
+                break
+            taken = stored(taken.unionByName(frontier), "taken")
+        found.append(inside.join(taken.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(taken.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id"))
+        gone = taken.select("id")
+        e = _peeled(stored(e.join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id"), "digraph"))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "from_id string, to_id string")
 
 
 def resolve_id(impact_edges: DataFrame, symbols: DataFrame, files: DataFrame, query: str) -> DataFrame:

@@ -42,9 +42,11 @@ def impact_by_kind(spark, sf_dir):
     return traverse.impact_of(A.impact_edges(spark, sf_dir), "supplier:7").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("q26_zoom_out_entity", _walk("region:ASIA") + "SELECT kind, depth, count(*) AS n FROM impacted WHERE depth <= 2 GROUP BY ALL")
+@query("q26_zoom_out_entity", _walk("region:ASIA") + "SELECT kind, depth, count(*) AS n FROM impacted WHERE depth <= 3 GROUP BY ALL")
 def zoom_out_entity(spark, sf_dir):
-    return traverse.impact_of(A.impact_edges(spark, sf_dir), "region:ASIA", max_depth=2, max_nodes=1_000_000).groupBy("kind", "depth").agg(F.count("*").alias("n"))
+    e = A.impact_edges(spark, sf_dir)
+    found = traverse.reach(e, spark.createDataFrame([("region:ASIA",)], "seed string"), max_depth=3)
+    return found.groupBy(traverse.kind_of(F.col("id")).alias("kind"), "depth").agg(F.count("*").alias("n"))
 
 
 @query("q18_table_impact", _walk("part:11") + """
@@ -62,30 +64,43 @@ def diff_impact(spark, sf_dir):
     return traverse.diff_impact(A.impact_edges(spark, sf_dir), changed)
 
 
-@query("q05_file_impact", A.with_sql("edges") + """
-  SELECT to_file AS file, count(DISTINCT from_file) AS direct, count(DISTINCT from_file) AS transitive FROM edges WHERE to_file IN ('S/1', 'S/2', 'S/3') GROUP BY 1""")
+#: Customers and suppliers lead to their nations, those to their regions, those to one root: real depth for files.
+_PLACES = """WITH RECURSIVE place AS (SELECT 'C/' || c_custkey AS from_file, 'N/' || c_nationkey AS to_file FROM customer UNION ALL SELECT 'S/' || s_suppkey, 'N/' || s_nationkey FROM supplier
+    UNION ALL SELECT 'N/' || n_nationkey, 'R/' || n_regionkey FROM nation UNION ALL SELECT 'R/' || r_regionkey, 'root' FROM region),
+  reach(file, id, depth) AS (SELECT to_file, from_file, 1 FROM place UNION ALL SELECT reach.file, place.from_file, depth + 1 FROM reach JOIN place ON place.to_file = reach.id)"""
+
+
+def _places(spark, sf_dir):
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    pairs = [("customer", "C/", "c_custkey", "N/", "c_nationkey"), ("supplier", "S/", "s_suppkey", "N/", "s_nationkey"), ("nation", "N/", "n_nationkey", "R/", "n_regionkey")]
+    rows = [A.table(spark, sf_dir, t).select(key(p, a).alias("from_file"), key(q, b).alias("to_file")) for t, p, a, q, b in pairs]
+    rows.append(A.table(spark, sf_dir, "region").select(key("R/", "r_regionkey").alias("from_file"), F.lit("root").alias("to_file")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.withColumn("confidence", F.lit("resolved")).withColumn("kind", F.lit("import"))
+
+
+@query("q05_file_impact", _PLACES + " SELECT file, count(*) FILTER (depth = 1) AS direct, count(*) AS transitive FROM reach WHERE file IN ('R/1', 'N/2', 'root') GROUP BY file")
 def file_impact(spark, sf_dir):
-    return traverse.file_impact(A.edges(spark, sf_dir), spark.createDataFrame([("S/1",), ("S/2",), ("S/3",), ("none",)], "file string"))
+    return traverse.file_impact(_places(spark, sf_dir), spark.createDataFrame([("R/1",), ("N/2",), ("root",), ("none",)], "file string"))
 
 
-@query("g10_impact_index", A.with_sql("edges") + """, r AS (SELECT *, row_number() OVER (PARTITION BY to_file ORDER BY from_file) AS r FROM edges)
-  SELECT to_file AS file, count(*) AS direct, count(*) AS transitive, string_agg(CASE WHEN r <= 30 THEN from_file END, ',' ORDER BY from_file) AS direct_files FROM r GROUP BY 1""")
+@query("g10_impact_index", _PLACES + """, r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY depth, id) AS r FROM reach)
+  SELECT file, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth <= 2) AS transitive, string_agg(CASE WHEN depth = 1 AND r <= 30 THEN id END, ',' ORDER BY id) AS direct_files, bool_or(depth > 2) AS truncated FROM r GROUP BY 1""")
 def impact_index(spark, sf_dir):
-    out = traverse.impact_index(A.edges(spark, sf_dir))
-    return out.select("file", "direct", "transitive", F.array_join("direct_files", ",").alias("direct_files"))
+    out = traverse.impact_index(_places(spark, sf_dir), max_depth=2)
+    return out.select("file", "direct", "transitive", F.array_join("direct_files", ",").alias("direct_files"), "truncated")
 
 
 @query("q06_find_path", A.with_sql("impact", recursive=True) + """, goal AS (SELECT 'order:' || min(o_orderkey) AS g FROM orders),
   p(id, step, path) AS (SELECT g, 0, [g] FROM goal UNION ALL SELECT to_id, step + 1, list_append(path, to_id) FROM impact JOIN p ON from_id = id WHERE step < 4),
-  best AS (SELECT path FROM p WHERE id = 'region:EUROPE' OR id = 'region:ASIA' OR id LIKE 'region:%' ORDER BY len(path), path LIMIT 1)
+  best AS (SELECT path FROM p WHERE id LIKE 'region:%' ORDER BY len(path), path LIMIT 1)
   SELECT (unnest(range(len(path))))::INT AS step, unnest(path) AS id FROM best""")
 def find_path(spark, sf_dir):
-    edges = A.impact_edges(spark, sf_dir)
     first = A.table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0]
-    regions = [r.r_name for r in A.table(spark, sf_dir, "region").select("r_name").collect()]  # five rows
-    every = [traverse.find_path(edges, f"order:{first}", f"region:{r}", source="from_id", target="to_id").collect() for r in regions]
-    best = min((p for p in every if p), key=lambda p: (len(p), [x.id for x in p]))
-    return spark.createDataFrame([(x.step, x.id) for x in best], "step int, id string")
+    regions = [f"region:{r.r_name}" for r in A.table(spark, sf_dir, "region").select("r_name").collect()]  # five rows
+    return traverse.find_path(A.impact_edges(spark, sf_dir), f"order:{first}", regions, source="from_id", target="to_id")
 
 
 @query("q11_module_matrix", A.with_sql("files", "edges") + """
@@ -182,9 +197,13 @@ def dead_objects(spark, sf_dir):
     return levels.dead_objects(parts, used).select(F.col("name").alias("id"))
 
 
-@query("q23_dead_files", A.with_sql("files", "edges") + "SELECT rel_path AS id FROM files WHERE rel_path LIKE 'S/%' AND rel_path NOT IN (SELECT to_file FROM edges WHERE from_file LIKE 'C/1%' AND confidence = 'inferred' AND to_file LIKE '%5')")
+@query("q23_dead_files", A.with_sql("files") + """, used AS (SELECT DISTINCT 'S/' || l_suppkey AS to_file FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'R' AND l_quantity > 49)
+  SELECT rel_path AS id FROM files WHERE rel_path LIKE 'S/%' AND rel_path NOT IN (SELECT to_file FROM used)""")
 def dead_files(spark, sf_dir):
-    return levels.dead_files(A.files(spark, sf_dir), A.edges(spark, sf_dir).where("from_file like 'C/1%' and confidence = 'inferred' and to_file like '%5'"), "^S/")
+    """Imports are the lines that are open, returned and largest: attributes of a row, no part of the ids."""
+    lines = A.table(spark, sf_dir, "lineitem").where("l_linestatus = 'O' and l_returnflag = 'R' and l_quantity > 49")
+    used = lines.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("from_file"), F.concat(F.lit("S/"), F.col("l_suppkey").cast("string")).alias("to_file"))
+    return levels.dead_files(A.files(spark, sf_dir), used, "^S/")
 
 
 @query("q24_fuzzy_module", """SELECT n_name AS name, CASE WHEN lower(n_name) = 'nation_1' THEN 100 WHEN lower(n_name) LIKE 'nation_1%' THEN 80 WHEN lower(n_name) LIKE '%nation_1%' THEN 60 ELSE 20 + 20 * (n_name LIKE '%1%')::INT END::INT AS score FROM nation""")
@@ -205,16 +224,20 @@ def concept_map(spark, sf_dir):
     return levels.concept_map({"module": (f, F.col("module"), F.col("module")), "layer": (f, F.col("layer"), F.col("layer")), "part": (p, F.col("p_partkey"), F.col("p_name"))}, "an")
 
 
-@query("q30_gaps", A.with_sql("files", "edges") + """, t AS (SELECT DISTINCT module FROM files JOIN edges ON to_file = rel_path WHERE confidence = 'inferred' AND to_file LIKE '%7')
-  SELECT 'no endpoint' AS gap, module AS id FROM (SELECT DISTINCT module FROM files) m WHERE module NOT IN (SELECT module FROM t)
-  UNION ALL SELECT 'no rule', module FROM (SELECT DISTINCT module FROM files) m WHERE module NOT IN (SELECT module FROM files WHERE rel_path LIKE 'S/%1')
-  UNION ALL SELECT 'thin module', module FROM files GROUP BY module HAVING count(*) < 3
-  UNION ALL SELECT 'isolated file', rel_path FROM files WHERE rel_path NOT IN (SELECT from_file FROM edges UNION SELECT to_file FROM edges)""")
+@query("q30_gaps", A.with_sql("files", "edges") + """, rich AS (SELECT 'C/' || c_custkey AS file FROM customer WHERE c_acctbal > 9800), sure AS (SELECT 'S/' || s_suppkey AS file FROM supplier WHERE s_acctbal > 5000),
+  ext AS (SELECT p_brand AS package, count(DISTINCT p_type) AS files FROM part GROUP BY 1)
+  SELECT 'no endpoint' AS gap, module AS id FROM (SELECT DISTINCT module FROM files) m WHERE module NOT IN (SELECT module FROM files JOIN rich ON file = rel_path)
+  UNION ALL SELECT 'no rule', module FROM (SELECT DISTINCT module FROM files) m WHERE module NOT IN (SELECT module FROM files JOIN sure ON file = rel_path)
+  UNION ALL SELECT 'thin module', module FROM files GROUP BY module HAVING count(*) < 3 AND (SELECT count(DISTINCT module) FROM files) > 3
+  UNION ALL SELECT 'isolated file', rel_path FROM files WHERE rel_path NOT IN (SELECT from_file FROM edges UNION SELECT to_file FROM edges)
+  UNION ALL SELECT 'external package', package FROM ext""")
 def gaps(spark, sf_dir):
     f, e = A.files(spark, sf_dir), A.edges(spark, sf_dir)
-    ends = e.where("confidence = 'inferred' and to_file like '%7'").select(F.col("to_file").alias("file"))
-    rules = f.where("rel_path like 'S/%1'").select(F.col("rel_path").alias("file"))
-    return levels.gaps(f.select(F.col("module").alias("name")).distinct(), f, e, ends, rules)
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string")).alias("file")
+    ends = A.table(spark, sf_dir, "customer").where("c_acctbal > 9800").select(name("C/", "c_custkey"))
+    rules = A.table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(name("S/", "s_suppkey"))
+    external = A.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("package")).agg(F.count_distinct("p_type").alias("files"))
+    return levels.gaps(f.select(F.col("module").alias("name")).distinct(), f, e, ends, rules, external=external)
 
 
 @query("q31_top_per_layer", A.with_sql("files", "edges") + """, d AS (SELECT from_file AS rel_path, count(DISTINCT to_file) AS degree FROM edges GROUP BY 1),

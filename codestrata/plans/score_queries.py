@@ -77,18 +77,21 @@ def start_here(spark, sf_dir):
     return score.start_here(score.ownership(authors, _metrics(spark, sf_dir).withColumn("cc", F.col("cc") % 9))).select("module", "hours")
 
 
-@query("m09_knowledge_risk", _SQL + """, one AS (SELECT file, min(author) AS author FROM commits WHERE file IS NOT NULL AND is_fix AND epoch(ts)::BIGINT % 7 = 0 GROUP BY file HAVING count(DISTINCT author) = 1)
+@query("m09_knowledge_risk", _SQL + """, severe AS (SELECT 'f' || json_extract_string(props, '$.k') AS file, 'u' || user_id AS author FROM events WHERE event_type = 'error' AND value > 300),
+  one AS (SELECT file, min(author) AS author FROM severe WHERE file IS NOT NULL GROUP BY file HAVING count(DISTINCT author) = 1)
   SELECT file, author, in_degree + debt AS weight FROM one JOIN metrics USING (file) WHERE in_degree + debt >= 2 ORDER BY weight DESC, file LIMIT 30""")
 def knowledge_risk(spark, sf_dir):
-    c = A.commits(spark, sf_dir).where("file is not null and is_fix").where(F.floor(F.unix_micros("ts") / 1000000.0 + 0.5) % 7 == 0)
-    return score.knowledge_risk(c.select("file", "author"), _metrics(spark, sf_dir), least=2)
+    """Who alone has mended severe faults (value over 300) of a file."""
+    e = A.table(spark, sf_dir, "events").where("event_type = 'error' and value > 300")
+    c = e.select(F.concat(F.lit("f"), F.get_json_object("props", "$.k")).alias("file"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("author")).where("file is not null")
+    return score.knowledge_risk(c, _metrics(spark, sf_dir), least=2)
 
 
 @query("m11_reviewers", A.with_sql("commits") + _AUTHORS + """, p AS (SELECT file, arg_min(author, (-commits, author)) AS author FROM authors GROUP BY file)
-  SELECT author, count(*) AS n, string_agg(file, ',' ORDER BY file) AS files FROM p WHERE file LIKE 'f1%' GROUP BY author""")
+  SELECT author, count(*) AS n, string_agg(file, ',' ORDER BY file) AS files FROM p SEMI JOIN (SELECT file FROM commits WHERE is_fix) c USING (file) GROUP BY author""")
 def reviewers(spark, sf_dir):
     owners = score.authorship(A.commits(spark, sf_dir), _now(spark, sf_dir)).where("primary").select("file", "author")
-    return score.reviewers(owners, A.commits(spark, sf_dir).where("file like 'f1%'").select("file"))
+    return score.reviewers(owners, A.commits(spark, sf_dir).where("is_fix and file is not null").select("file"))
 
 
 @query("m12_roi", "SELECT n_name AS module, sum(c_custkey % 13)::BIGINT AS debt, floor(sum(c_custkey % 13) * 0.5 * 10 + 0.5) / 10 AS hours, floor(sum(c_custkey % 13) * 0.5 / 8 * 10 + 0.5) / 10 AS days, floor(sum(c_custkey % 13) * 0.5 * 50 * 100 + 0.5) / 100 AS cost FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY cost DESC, module LIMIT 20")
@@ -231,7 +234,7 @@ def self_delta(spark, sf_dir):
 def _compared(spark, sf_dir):
     side = lambda r: {"risks": r["risks"], "rules": r["violations"].withColumn("severity", F.lit("error")), "violations": r["violations"].select(F.col("rule_id").alias("rule"), "from_file", "to_file", F.lit("high").alias("severity"))}
     predicted = risk_prediction(spark, sf_dir)
-    return govern.compare(side(_run(spark, sf_dir, 0)), side(_run(spark, sf_dir, 1)), predicted, A.commits(spark, sf_dir).where("file like 'f2%'").select("file"))
+    return govern.compare(side(_run(spark, sf_dir, 0)), side(_run(spark, sf_dir, 1)), predicted, A.commits(spark, sf_dir).where("is_fix and file is not null").select("file"))
 
 
 _COMPARE = f"""WITH {_run_sql(0, 'a')}, {_run_sql(1, 'b')}, c AS (SELECT 'new-risk' AS section, level AS severity, file || '|' || title AS key FROM (SELECT * FROM br EXCEPT SELECT * FROM ar) x
@@ -255,37 +258,47 @@ def _items(spark, sf_dir):
     return c, name
 
 
-@query("v10_triage_sync", """WITH i AS (SELECT 'c' || c_custkey AS id, 'low' AS priority, 'accepted' AS state FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT DISTINCT 'c' || o_custkey AS id FROM orders WHERE o_orderkey % 11 = 0)
-  SELECT id, id AS title, 'risk' AS category, priority, state FROM i UNION ALL SELECT id, id, 'risk', 'high', 'needs-triage' FROM n WHERE id NOT IN (SELECT id FROM i)""")
+_STATES = list(govern.TRANSITIONS)
+
+
+@query("v10_triage_sync", f"""WITH i AS (SELECT 'c' || c_custkey AS id, ['critical', 'high', 'medium', 'low'][c_custkey % 4 + 1] AS priority, {_STATES}[c_custkey % 6 + 1] AS state FROM customer WHERE c_acctbal > 5000), n AS (SELECT DISTINCT 'c' || o_custkey AS id FROM orders)
+  SELECT id, id AS title, 'bug' AS category, priority, state FROM i UNION ALL SELECT id, id, 'enhancement', 'high', 'needs-triage' FROM n WHERE id NOT IN (SELECT id FROM i)""")
 def triage_sync(spark, sf_dir):
+    """The queue holds customers in credit, in all states; every customer with an order is a candidate."""
     c, name = _items(spark, sf_dir)
-    old = c.where("c_custkey % 3 = 0").select(name.alias("id"), name.alias("title"), F.lit("risk").alias("category"), F.lit("low").alias("priority"), F.lit("accepted").alias("state"))
+    k = F.col("c_custkey")
+    pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), (k % len(values) + 1).cast("int"))
+    old = c.where("c_acctbal > 5000").select(name.alias("id"), name.alias("title"), F.lit("bug").alias("category"), pick(govern.PRIORITIES).alias("priority"), pick(_STATES).alias("state"))
     o = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
-    new = A.table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(o.alias("id"), o.alias("title"), F.lit("risk").alias("category"), F.lit("high").alias("priority"))
+    new = A.table(spark, sf_dir, "orders").select(o.alias("id"), o.alias("title"), F.lit("enhancement").alias("category"), F.lit("high").alias("priority"))
     return govern.triage_sync(old, new)
 
 
-_STATES = ["needs-triage", "accepted", "in-progress", "resolved", "rejected", "wont-fix"]
-_OK = " OR ".join(f"(state = '{a}' AND to_state IN ({', '.join(repr(x) for x in b)}))" for a, b in govern.TRANSITIONS.items())
+#: The allowed moves, written out once more as the reference answer.
+_MOVES = """(VALUES ('needs-triage', 'needs-info'), ('needs-triage', 'ready-for-agent'), ('needs-triage', 'ready-for-human'), ('needs-triage', 'wontfix'), ('needs-info', 'needs-triage'),
+  ('ready-for-agent', 'needs-triage'), ('ready-for-agent', 'done'), ('ready-for-human', 'needs-triage'), ('ready-for-human', 'done'), ('wontfix', 'needs-triage')) m(a, b)"""
 
 
-@query("v11_transition", f"""WITH i AS (SELECT 'c' || c_custkey AS id, {_STATES}[(c_custkey % 6 + 1)::INT] AS state, CASE WHEN c_custkey % 4 > 0 THEN {_STATES}[(c_custkey * 5 % 7 % 6 + 1)::INT] END AS to_state FROM customer), j AS (SELECT *, CASE WHEN to_state IS NOT NULL THEN ({_OK}) END AS ok FROM i)
-  SELECT id, CASE WHEN ok THEN to_state ELSE state END AS state, ok, CASE WHEN ok THEN 1 ELSE 0 END AS steps FROM j""")
+@query("v11_transition", f"""WITH s AS (SELECT ['needs-triage', 'needs-info', 'ready-for-agent', 'ready-for-human', 'wontfix', 'done'] AS s), i AS (SELECT 'c' || c_custkey AS id, s[(c_custkey % 6 + 1)::INT] AS state, CASE WHEN c_acctbal > 0 THEN s[(c_custkey // 6 % 6 + 1)::INT] END AS to_state FROM customer, s),
+  j AS (SELECT i.*, a IS NOT NULL AS moved FROM i LEFT JOIN {_MOVES} ON state = a AND to_state = b)
+  SELECT id, CASE WHEN moved THEN to_state ELSE state END AS state, CASE WHEN to_state IS NOT NULL THEN moved OR state = to_state END AS ok, moved::INT AS steps FROM j""")
 def transition(spark, sf_dir):
+    """All 36 pairs of states occur."""
     c, name = _items(spark, sf_dir)
     states = F.array(*(F.lit(s) for s in _STATES))
     k = F.col("c_custkey")
     items = c.select(name.alias("id"), F.element_at(states, (k % 6 + 1).cast("int")).alias("state"), F.expr("cast(array() as array<struct<state:string,ts:timestamp>>)").alias("history"))
-    changes = c.where("c_custkey % 4 > 0").select(name.alias("id"), F.element_at(states, (k * 5 % 7 % 6 + 1).cast("int")).alias("to_state"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
+    changes = c.where("c_acctbal > 0").select(name.alias("id"), F.element_at(states, (F.floor(k / 6) % 6 + 1).cast("int")).alias("to_state"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
     return govern.triage_transition(items, changes).select("id", "state", "ok", F.size("history").alias("steps"))
 
 
 @query("v12_list", "SELECT 'c' || c_custkey AS id, ['critical', 'high', 'medium', 'low'][(c_custkey % 4 + 1)::INT] AS priority FROM customer WHERE c_custkey % 6 = 2")
 def triage_list(spark, sf_dir):
+    """States go round over the keys; the listed state is the third of them."""
     c, name = _items(spark, sf_dir)
     k = F.col("c_custkey")
     pick = lambda values, n: F.element_at(F.array(*(F.lit(v) for v in values)), (k % n + 1).cast("int"))
-    return govern.triage_list(c.select(name.alias("id"), pick(_STATES, 6).alias("state"), F.lit("risk").alias("category"), pick(govern.PRIORITIES, 4).alias("priority")), state="in-progress", category="risk").select("id", "priority")
+    return govern.triage_list(c.select(name.alias("id"), pick(_STATES, 6).alias("state"), F.lit("bug").alias("category"), pick(govern.PRIORITIES, 4).alias("priority")), state="ready-for-agent", category="bug").select("id", "priority")
 
 
 @query("v13_portfolio", "SELECT substring(sha1('u' || user_id), 1, 12) AS id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
@@ -323,7 +336,7 @@ def bm25(spark, sf_dir):
 
 
 @query("e19_terms", f"""WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z]+') IF len(x) >= 3] AS w FROM documents)
-  SELECT doc_id, least(400, (SELECT count(DISTINCT x) FROM unnest(w) t(x) WHERE x NOT IN {tuple(dict.fromkeys(search.STOPWORDS))!r}))::INT AS n_terms FROM w""")
+  SELECT doc_id, least(400, (SELECT count(DISTINCT x) FROM unnest(w) t(x) WHERE x NOT IN {tuple(search.STOPWORDS + search.SQL_WORDS)!r}))::INT AS n_terms FROM w""")
 def index_terms(spark, sf_dir):
     return A.corpus(spark, sf_dir).select("doc_id", F.size(search.terms(F.col("content"))).alias("n_terms"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detect, govern, score
+from ..operators import detect, govern, levels, score
 from ..streaming import live
 from . import adapters as A
 from .registry import query
@@ -27,8 +27,8 @@ _LINES = A.with_sql("corpus") + ", lines AS (SELECT rel_path, unnest(range(1, le
 _TEXT_HITS = " UNION ALL ".join(f"SELECT '{level}' AS level, '{title}' AS title, rel_path, min(line)::INT AS line FROM lines WHERE regexp_matches(text, '{must.replace(chr(39), chr(39) * 2)}')" + (f" AND NOT regexp_matches(text, '{unless}')" if unless else "") + " GROUP BY rel_path" for level, title, must, unless in TEXT_RULES)
 
 
-@query("e03_risk_rules", f"{_LINES} {_TEXT_HITS}")
-def risk_rules(spark, sf_dir):
+@query("e03_text_rules", f"{_LINES} {_TEXT_HITS}")
+def text_rules(spark, sf_dir):
     return detect.line_rules(detect.lines(_files(spark, sf_dir)), TEXT_RULES)
 
 
@@ -45,10 +45,11 @@ def modules(spark, sf_dir):
     return detect.modules(A.corpus(spark, sf_dir)).groupBy("module").agg(F.count("*").alias("n"))
 
 
-@query("e20_layers", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'database' WHEN doc_id % 5 = 1 OR (doc_id % 5 = 2 AND source = 'src0') THEN 'frontend' ELSE 'backend' END AS layer FROM documents")
+@query("e20_layers", """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'database' WHEN 1 THEN 'frontend' WHEN 2 THEN CASE WHEN source IN ('src0', 'src1') THEN 'frontend' ELSE 'backend' END
+    WHEN 5 THEN 'database' ELSE 'backend' END AS layer FROM documents""")
 def layers(spark, sf_dir):
-    ext = F.element_at(F.array(*(F.lit(e) for e in (".sql", ".css", ".ts", ".java", ".go"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    path = F.concat_ws("/", F.when(F.col("module") == "src0", "my-web").otherwise("core"), F.col("doc_id").cast("string"))
+    ext = F.element_at(F.array(*(F.lit(e) for e in (".sql", ".css", ".ts", ".java", ".go", ".pkg", ".svelte"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    path = F.concat_ws("/", F.when(F.col("module") == "src0", "my-web").when(F.col("module") == "src1", "webapp").otherwise("screens"), F.col("doc_id").cast("string"))
     return A.corpus(spark, sf_dir).select("doc_id", detect.file_layer(path, ext).alias("layer"))
 
 
@@ -60,12 +61,6 @@ def rules(spark, sf_dir):
     return detect.business_rules(_files(spark, sf_dir), _RULE_TYPES).select("type", "file", F.substring("text", 1, 60).alias("head"), "line")
 
 
-@query("e16_patterns", A.with_sql("corpus") + """ SELECT rel_path AS file, 'first' AS pattern, 'name' AS source FROM corpus WHERE regexp_matches(rel_path, '[0-9]*1$') UNION ALL
-  SELECT rel_path, 'licensed', 'text' FROM corpus WHERE regexp_matches(content, 'Licensed')""")
-def patterns(spark, sf_dir):
-    return detect.patterns(_files(spark, sf_dir), [("first", r"^[0-9]*1$")], [("licensed", "Licensed"), ("first", "^$")]).select("file", "pattern", "source")
-
-
 @query("e12_range_join", f"{_LINES}, a AS (SELECT rel_path, line FROM lines WHERE text LIKE '%###%'), b AS (SELECT rel_path, line AS other FROM lines WHERE text LIKE '%$$$%') SELECT a.rel_path AS file, line::INT AS line, (SELECT min(other) FROM b WHERE b.rel_path = a.rel_path AND other BETWEEN line AND line + 4)::INT AS near FROM a")
 def range_join(spark, sf_dir):
     rows = detect.lines(_files(spark, sf_dir))
@@ -80,13 +75,13 @@ def children(spark, sf_dir):
     return detect.children_report(c.select(F.col("c_custkey").alias("name"), F.col("n_name").alias("parent")))
 
 
-@query("e17_inheritance", """WITH RECURSIVE c AS (SELECT 'n' || n_name AS name, 'r' || r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'c' || c_custkey, 'n' || n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 200),
+@query("e17_inheritance", """WITH RECURSIVE c AS (SELECT 'n' || n_name AS name, 'r' || r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'c' || c_custkey, 'n' || n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
   d(name, depth) AS (SELECT name, 1 FROM c WHERE parent NOT IN (SELECT name FROM c) UNION ALL SELECT c.name, depth + 1 FROM c JOIN d ON c.parent = d.name)
   SELECT c.name, parent, depth, depth = 1 AS is_root, c.name NOT IN (SELECT parent FROM c) AS is_leaf FROM c JOIN d ON c.name = d.name""")
 def inheritance(spark, sf_dir):
     t = lambda n: A.table(spark, sf_dir, n)
     n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("n"), "n_name").alias("name"), F.concat(F.lit("r"), "r_name").alias("parent"))
-    c = t("customer").where("c_custkey <= 200").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"), F.concat(F.lit("n"), "n_name").alias("parent"))
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"), F.concat(F.lit("n"), "n_name").alias("parent"))
     return detect.inheritance(n.unionByName(c).withColumn("interfaces", F.expr("cast(array() as array<string>)")))
 
 
@@ -149,10 +144,16 @@ def incremental(spark, sf_dir):
     return live.incremental(extract(before), files, files.where("doc_id % 4 = 0"), extract)
 
 
-@query("q35_module_index", "SELECT source AS module, count(*) AS files, count(DISTINCT lang) AS languages, count(*) FILTER (n_chars > 5000) AS risks FROM documents GROUP BY 1")
+@query("q35_module_index", """WITH m AS (SELECT DISTINCT source AS name, source || '/' AS path FROM documents UNION SELECT DISTINCT source || '-' || lang, source || '/' || lang FROM documents), f AS (SELECT source || '/' || lang || '/' || doc_id AS file, lang, n_chars FROM documents)
+  SELECT name AS module, count(*) AS files, count(DISTINCT lang) AS languages, count(*) FILTER (n_chars > 5000) AS risks FROM m JOIN f ON starts_with(file, path) GROUP BY name""")
 def module_index(spark, sf_dir):
+    """Modules are path prefixes of two lengths, so a file counts for each that its path begins with."""
+    f = A.corpus(spark, sf_dir).select(F.col("rel_path").alias("file"), F.col("layer").alias("language"), "doc_id")
     d = A.table(spark, sf_dir, "documents")
-    return d.groupBy(F.col("source").alias("module")).agg(F.count("*").alias("files"), F.count_distinct("lang").alias("languages"), F.count(F.when(F.col("n_chars") > 5000, 1)).alias("risks"))
+    tops = f.select(F.substring_index("file", "/", 1).alias("name"), F.concat(F.substring_index("file", "/", 1), F.lit("/")).alias("path")).distinct()
+    subs = f.select(F.replace(F.substring_index("file", "/", 2), F.lit("/"), F.lit("-")).alias("name"), F.substring_index("file", "/", 2).alias("path")).distinct()
+    risks = f.join(d.where("n_chars > 5000").select("doc_id"), "doc_id", "left_semi").select("file")
+    return levels.module_index(tops.unionByName(subs), f.drop("doc_id"), risks)
 
 
 @query("q37_module_context", "SELECT source AS module, doc_id, tokens, cum_tokens FROM (SELECT source, doc_id, ceil(length(coalesce(text, '')) / 4)::BIGINT AS tokens, sum(ceil(length(coalesce(text, '')) / 4)::BIGINT) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cum_tokens FROM documents) x WHERE cum_tokens <= 5000")

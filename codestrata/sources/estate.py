@@ -13,11 +13,11 @@ from ..schemas import RELATIONS
 
 MAX_FILES, MAX_BYTES = 200_000, 512 * 1024
 
-#: Folders that are not scanned, and extensions that are.
-SKIPPED = "node_modules dist build out target bin obj vendor coverage venv __pycache__ bower_components packages tmp temp logs generated assets".split()
+#: Folders that are not scanned (nor are hidden ones), and extensions that are.
+SKIPPED = "node_modules .git dist build out target coverage .next .nuxt .svelte-kit __pycache__ .venv venv .idea .vscode vendor bin obj".split()
 SCANNED = (
-    ".ts .tsx .js .jsx .mjs .cjs .java .kt .scala .groovy .cs .vb .py .rb .php .go .rs .c .h .cpp .hpp .swift .sql .pks .pkb .pls .plsql .prc .fnc .trg .vw .pck"
-    " .html .css .scss .less .vue .svelte .osw .json .xml .yml .yaml .properties .md .sh .bat .gradle"
+    ".ts .tsx .js .jsx .mjs .cjs .java .kt .scala .py .rb .go .rs .cs .cpp .c .h .php .swift .dart .html .htm .css .scss .sass .less"
+    " .sql .plsql .pls .pck .pks .pkb .prc .fnc .trg .pkg .json .yaml .yml .toml .xml .properties .env .osw .md .mdx .graphql .gql .proto"
 ).split()
 
 
@@ -25,7 +25,8 @@ def scan_files(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_b
     """(rel_path, ext, size, modified, lines, content) of the source files below root, first by path.
 
     Hidden and skipped folders, other extensions and larger files are left out
-    by path and size before any content is decoded.
+    by path and size before any content is decoded. Files without a byte are
+    none to Spark's reader.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^file:/*", "/", root.rstrip("/"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,11 +61,11 @@ def push(events: DataFrame, checkpoint: str, send: Callable[[DataFrame, int], No
 
 
 def dispatch_alerts(events: DataFrame, checkpoint: str, deliver: Callable[[list], None], drop: int = 10, most: int = 100, errors: list | None = None):
-    """Starts alert delivery: of each batch the selected alerts, at most ``most``. A delivery that fails is noted in ``errors`` and never ends the stream."""
+    """Starts alert delivery: all selected alerts of each batch, ``most`` to a call. A delivery that fails is noted in ``errors`` and never ends the stream."""
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        chosen = govern.alerts(batch, drop).limit(most).collect()
-        if chosen:
+        rows = govern.alerts(batch, drop).toLocalIterator()
+        while chosen := list(islice(rows, most)):
             try:
                 deliver(chosen)
             except Exception as e:

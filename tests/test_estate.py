@@ -12,6 +12,8 @@ FILES = {
     "web/src/api/index.ts": 'export { OrderApi } from "./order-api";\n',
     "web/src/app.module.ts": "@NgModule({\n  declarations: [AppComponent, OrderComponent],\n  imports: [RouterModule.forRoot([{ path: 'x', loadChildren: () => import('./lazy/lazy.module') }])],\n  providers: []\n})\nexport class AppModule {}\nexport const load = createAction('[x] load');\n",
     "web/screens/order.osw": '{"title": "OrderController", "x": ["abc"]}',
+    "web/screens/orderList.osw": '{"title": "x", "Shared": 1, "list": ["Shared", "Panel", "lower", "Order List"]}',
+    "web/a/OrderListView.tsx": "//", "web/a/OrderList.tsx": "//", "web/a/Shared.js": "//", "web/b/Shared.tsx": "//", "web/a/Panel.ts": "//",
     "back/src/OrderController.java": 'package com.shop.web;\nimport com.shop.core.OrderService;\n@RestController\n@RequestMapping("/orders")\npublic class OrderController {\n  private final OrderService service;\n  @PreAuthorize("hasRole(\'ROLE_ADMIN\')")\n  @GetMapping("/orders/{id}")\n  public Order get(String id) {\n    return service.find(id);\n  }\n}\n',
     "back/src/OrderService.java": "package com.shop.core;\npublic interface OrderService {\n  Order find(String id);\n}\n",
     "back/src/OrderServiceImpl.java": 'package com.shop.core;\n@Service\npublic class OrderServiceImpl implements OrderService {\n  private final OrderRepository repo;\n  @Transactional(propagation = Propagation.REQUIRES_NEW, readOnly = true)\n  public Order find(String id) {\n    return repo.load(id);\n  }\n  @Scheduled(cron = "0 0 * * *")\n  public void nightly() {\n  }\n}\n',
@@ -108,9 +110,9 @@ def test_transactions_jobs_rules(files):
 
 def test_patterns_osw_stack(files):
     got = {(r.file.rpartition("/")[2], r.pattern, r.source) for r in detect.patterns(files).collect()}
-    assert ("OrderController.java", "controller", "name") in got and ("OrderServiceImpl.java", "service", "name") in got
-    links = {(r.to_file.rpartition("/")[2], r.confidence) for r in detect.osw_links(files).collect()}
-    assert links == {("OrderController.java", "resolved"), ("OrderService.java", "resolved"), ("Order.java", "resolved")}
+    assert ("OrderController.java", "Controller", "name") in got and ("OrderServiceImpl.java", "Service", "text") in got and ("Order.java", "Entity", "text") in got
+    links = {(r.from_file.rpartition("/")[2], r.to_file.rpartition("/")[2], r.confidence) for r in detect.osw_links(files).collect()}
+    assert links == {("orderList.osw", "OrderListView.tsx", "resolved"), ("orderList.osw", "OrderList.tsx", "inferred"), ("orderList.osw", "Shared.js", "inferred"), ("orderList.osw", "Shared.tsx", "inferred"), ("orderList.osw", "Panel.ts", "resolved")}
     assert ("language", "Java", 5) in {tuple(r) for r in detect.stack(files).collect()}
 
 
@@ -146,14 +148,30 @@ def test_parsers(files):
     jpa = parse.parse_tables("Order.java", ".java", FILES["back/src/Order.java"])[0]
     assert jpa["primary_key"] == ["id"] and [c["name"] for c in jpa["columns"]] == ["id", "TOTAL_AMOUNT", "customer"]
     django = parse.parse_tables("m.py", ".py", "class Book(models.Model):\n    title = models.CharField(max_length=9)\n    author = models.ForeignKey('Author', on_delete=1)\n")[0]
-    assert django["foreign_keys"] == [{"column": "author", "table": "Author"}]
+    assert django["foreign_keys"] == [{"column": "author", "table": "Author", "ref_column": None}] and [c["nullable"] for c in django["columns"]] == [False, False]
     prisma = parse.parse_tables("s.prisma", ".prisma", "model User {\n  id Int @id\n  posts Post[] @relation\n}\n")[0]
-    assert prisma["primary_key"] == ["id"] and prisma["foreign_keys"] == [{"column": "posts", "table": "Post"}]
+    assert prisma["primary_key"] == ["id"] and prisma["foreign_keys"] == [{"column": "posts", "table": "Post", "ref_column": None}]
     assert parse.parse_tables("s.js", ".js", "sequelize.define('Dog', { id: { type: DataTypes.INTEGER, primaryKey: true }, name: DataTypes.STRING })")[0]["primary_key"] == ["id"]
     ng = {(r.kind, r.name): r for r in parse.angular(files).collect()}
     assert ng["module", "AppModule"].parts["declarations"] == ["AppComponent", "OrderComponent"] and ng["module", "AppModule"].lazy == ["./lazy/lazy.module"] and ("action", "load") in ng
 
 
+def test_sql_definitions():
+    text = """-- a comment with CREATE TABLE no (x int);
+    CREATE GLOBAL TEMPORARY TABLE IF NOT EXISTS shop."Order Line" (
+      ID NUMBER(10, 0) NOT NULL, CODE VARCHAR2(20 CHAR) DEFAULT 'a,(b' UNIQUE, "Made At" TIMESTAMP,
+      ORDER_ID INT REFERENCES shop.ORDERS (ID) ON DELETE CASCADE, A INT, B INT CHECK (B IN (1, 2)),
+      CONSTRAINT pk PRIMARY KEY (ID, CODE), CONSTRAINT fk FOREIGN KEY (A, B) REFERENCES `PAIRS` (X, Y), UNIQUE (A), CHECK (A > 0)
+    ) TABLESPACE t; CREATE TABLE copy AS SELECT 1; CREATE TABLE last (k int primary key)"""
+    made = parse.parse_tables("t.pck", ".pck", text)
+    assert [t["name"] for t in made] == ["Order Line", "last"]
+    assert [(c["name"], c["type"], c["nullable"], c["unique"]) for c in made[0]["columns"]] == [
+        ("ID", "NUMBER(10,0)", False, False), ("CODE", "VARCHAR2(20 CHAR)", True, True), ("Made At", "TIMESTAMP", True, False), ("ORDER_ID", "INT", True, False), ("A", "INT", True, True), ("B", "INT", True, False),
+    ]
+    assert made[0]["primary_key"] == ["ID", "CODE"] and made[1]["primary_key"] == ["k"] and not made[1]["columns"][0]["nullable"]
+    assert [(f["column"], f["table"], f["ref_column"]) for f in made[0]["foreign_keys"]] == [("ORDER_ID", "ORDERS", "ID"), ("A", "PAIRS", "X"), ("B", "PAIRS", "Y")]
+
+
 def test_symbols_and_resolution(files):
     facts = parse.symbols(files).cache()
     rel = parse.symbol_relations(facts)

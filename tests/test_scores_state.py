@@ -100,10 +100,10 @@ def test_delta_gates_triage(spark):
     got = {r.gate: r.failed for r in govern.gates(found, -5.0, "new-high-risks,new-rule-violations,health-drop:5,nonsense").collect()}
     assert got == {"new-high-risks": True, "new-rule-violations": False, "health-drop:5": False}
     assert govern.gates(found, None, "nonsense").collect() == []
-    items = spark.createDataFrame([("a", "t", "risk", "low", "accepted")], "id string, title string, category string, priority string, state string")
+    items = spark.createDataFrame([("a", "t", "bug", "low", "ready-for-agent")], "id string, title string, category string, priority string, state string")
     fresh = spark.createDataFrame([("a", "t", "risk", "high"), ("b", "t", "risk", "high"), ("b", "t", "risk", "high")], "id string, title string, category string, priority string")
     synced = govern.triage_sync(items, fresh)
-    assert sorted((r.id, r.state) for r in synced.collect()) == [("a", "accepted"), ("b", "needs-triage")]
+    assert sorted((r.id, r.state) for r in synced.collect()) == [("a", "ready-for-agent"), ("b", "needs-triage")]
     assert govern.manual_item(synced, "m1", "x", "bug").where("id = 'm1'").first().state == "needs-triage"
     assert [r.id for r in govern.triage_list(synced).collect()] == ["b", "a"]
 
