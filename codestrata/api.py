@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import govern, levels, score, search, traverse
+from .sources.durable import stored
 
 
 @dataclass
@@ -62,44 +63,94 @@ def get_zoom_out(e: Estate, entity: str | None = None) -> DataFrame:
     return traverse.impact_of(e.impact_edges, entity, max_depth=3).groupBy("kind", "depth").agg(F.count("*").alias("n"))
 
 
-def get_diagnosis(e: Estate, entity: str, most: int = 5) -> DataFrame:
-    """Suspects: one node of each depth upstream, by predicted risk."""
+def _entity(e: Estate, name: str) -> str:
+    """A graph id as given, or the best that a free name may mean."""
+    if ":" in name:
+        return name
+    best = traverse.resolve_id(e.impact_edges, e.symbols, e.files, name).first()
+    return best.id if best else name
+
+
+def get_diagnosis(e: Estate, entity: str, to: str | None = None, most: int = 5) -> DataFrame:
+    """Suspects and a hypothesis for each: one node of each depth upstream, by predicted risk. With ``to``, only what that end depends on. predictions: (id or file, score, reasons)."""
     from pyspark.sql import Window
 
-    near = traverse.impact_of(e.impact_edges, entity, max_nodes=1500).join(e.predictions.select(F.concat(F.lit("file:"), "file").alias("id"), "score", "reasons"), "id", "left")
+    entity = _entity(e, entity)
+    p = e.predictions
+    ident = F.col("id") if "id" in p.columns else F.concat(F.lit("file:"), "file")
+    near = traverse.impact_of(e.impact_edges, entity, max_nodes=1500).join(p.select(ident.alias("id"), "score", "reasons"), "id", "left")
+    if to is not None:
+        end = e.impact_edges.sparkSession.createDataFrame([(_entity(e, to),)], "seed string")
+        between = traverse.reach(e.impact_edges, end, source="to_id", target="from_id").select("id").unionByName(end.select(F.col("seed").alias("id")))
+        near = near.join(between, "id", "left_semi")
     first = Window.partitionBy("depth").orderBy(F.desc_nulls_last("score"), "id")
-    return near.withColumn("r", F.row_number().over(first)).where("r = 1").orderBy(F.desc_nulls_last("score"), "depth").limit(most).select("id", "depth", "confidence", "score", "reasons")
+    weak = F.when(F.col("confidence") == "inferred", ", by an inferred link").otherwise("")
+    risk = F.when(F.col("score").isNotNull(), F.concat(F.lit(", risk "), F.col("score").cast("string"))).otherwise("")
+    said = F.concat(F.lit("a change of "), "id", F.lit(" (depth "), F.col("depth").cast("string"), weak, risk, F.lit(f") reaches {entity}"))
+    ranked = near.withColumn("r", F.row_number().over(first)).where("r = 1").orderBy(F.desc_nulls_last("score"), "depth").limit(most)
+    return ranked.select("id", "depth", "confidence", "score", "reasons", said.alias("hypothesis"))
 
 
 def get_agent_brief(e: Estate, entity: str) -> DataFrame:
-    """(section, id, n): the blast radius, then symbols and methods of the entity's file."""
-    radius = traverse.blast_radius(e.impact_edges, entity, top=6).select(F.lit("impact").alias("section"), "id", F.col("dependents").cast("long").alias("n"))
+    """(section, id, n): the blast radius, what must still work afterwards, then symbols and methods of the entity's file."""
+    entity = _entity(e, entity)
+    near = stored(traverse.blast_radius(e.impact_edges, entity, top=10), "brief")
+    radius = near.select(F.lit("impact").alias("section"), "id", F.col("dependents").cast("long").alias("n"))
+    must = near.orderBy(F.desc("dependents"), "depth", "id").limit(6).select(F.lit("criterion").alias("section"), F.concat("id", F.lit(" still works")).alias("id"), F.col("dependents").cast("long").alias("n"))
     file = entity.partition(":")[2]
     kinds = e.symbols.where(F.col("file") == file).orderBy("line").limit(12).select(F.lit("symbol").alias("section"), F.col("simple_name").alias("id"), F.col("line").cast("long").alias("n"))
     methods = e.method_edges.where(F.col("from_file") == file).groupBy("from_method").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "from_method").limit(8).select(F.lit("method").alias("section"), F.col("from_method").alias("id"), "n")
-    return radius.unionByName(kinds).unionByName(methods)
+    return radius.unionByName(must).unionByName(kinds).unionByName(methods)
 
 
 def get_quick_context(e: Estate, budget: int = 12_000) -> DataFrame:
-    """(section, place, line): top rows of each section, as long as the running token sum fits."""
+    """(section, line, cum_tokens): top rows of each section, as long as the running token sum fits. Languages (stack) and external packages are there if the estate has them."""
+    risk = lambda level, n: e.risks.where(F.col("level") == level).orderBy("rel_path", "line").limit(n)
+    counted = lambda df, name, n, top: df.orderBy(F.desc(n), name).limit(top).select(F.concat_ws(" ", name, F.col(n).cast("string")).alias("line"))
+    stack, packages = e.facts.get("stack"), e.facts.get("packages")
     parts = [
+        ("language", None if stack is None else counted(stack.where("kind = 'language'"), "name", "n", 6)),
         ("module", e.modules.orderBy(F.desc("file_count"), "name").limit(15).select(F.concat_ws(" ", "name", "layer").alias("line"))),
         ("central", e.files.orderBy(F.desc("in_degree"), "rel_path").limit(10).select(F.col("rel_path").alias("line"))),
-        ("risk", e.risks.where("level in ('critical', 'high')").orderBy("level", "rel_path", "line").limit(13).select(F.concat_ws(" ", "level", "title", "rel_path").alias("line"))),
+        ("risk", risk("critical", 8).unionByName(risk("high", 5)).select(F.concat_ws(" ", "level", "title", "rel_path").alias("line"))),
         ("endpoint", e.endpoints.orderBy("path", "method").limit(20).select(F.concat_ws(" ", "method", "path").alias("line"))),
+        ("external", None if packages is None else counted(packages, "package", "files", 20)),
     ]
     rows = None
     for i, (name, df) in enumerate(parts):
-        part = df.select(F.lit(i).alias("place"), F.lit(name).alias("section"), "line")
-        rows = part if rows is None else rows.unionByName(part)
+        if df is not None:
+            part = df.select(F.lit(i).alias("place"), F.lit(name).alias("section"), "line")
+            rows = part if rows is None else rows.unionByName(part)
     return score.within_budget(rows, "line", budget, ["place", "line"]).select("section", "line", "cum_tokens")
 
 
 def search_code(e: Estate, query: str, vector: list[float] | None = None, top: int = 10) -> DataFrame:
-    """By vector if one is given, else by BM25 over terms."""
+    """By vector if one is given, else by BM25 over contents if the estate holds them, else by the inverted index of terms."""
     if vector is not None:
         return search.vector_search(e.embeddings, "file", "vec", vector, top)
-    return search.bm25(e.search_terms.withColumn("text", F.array_join("terms", " ")), "file", "text", query, top)
+    contents = e.facts.get("contents")
+    if contents is not None:
+        return search.bm25(contents, "rel_path", "content", query, top).withColumnRenamed("rel_path", "file")
+    return search.inverted(e.search_terms, "file", "terms", query, top)
+
+
+#: Where a concept is looked for: fact or relation, its id, and the text that is searched.
+CONCEPTS = {
+    "module": ("modules", "name", "name"), "file": ("files", "rel_path", "rel_path"), "endpoint": ("endpoints", "path", "path"), "table": ("tables", "name", "name"),
+    "object": ("objects", "name", "name"), "rule": ("rules", "text", "text"), "symbol": ("symbols", "simple_name", "simple_name"),
+}
+
+
+def get_concept_map(e: Estate, concept: str) -> DataFrame:
+    """(section, id) of everything in the estate's sections that holds the concept."""
+    held = e.relations | e.facts
+    return levels.concept_map({k: (held[name], F.col(i), F.col(t)) for k, (name, i, t) in CONCEPTS.items() if name in held}, concept)
+
+
+def get_violations(e: Estate) -> DataFrame:
+    """Layer violations, and edges that lie on a cycle."""
+    ring = traverse.circular(e.edges).select(F.lit("circular").alias("rule"), F.lit("high").alias("severity"), F.col("from_id").alias("from_file"), F.col("to_id").alias("to_file"))
+    return govern.layer_violations(e.edges).unionByName(ring)
 
 
 TOOLS = {
@@ -136,7 +187,7 @@ TOOLS = {
     "get_metrics": lambda e: score.module_metrics(e.metrics),
     "get_hotspots": lambda e, top=20: score.top_metrics(e.metrics, "debt", top),
     "get_patterns": _fact("patterns", "pattern", "file"),
-    "get_violations": lambda e: govern.layer_violations(e.edges),
+    "get_violations": get_violations,
     "get_inheritance": lambda e: e.classes.where("parent is not null").groupBy("parent").agg(F.count("*").alias("children")).orderBy(F.desc("children"), "parent").limit(20),
     "get_diff_impact": lambda e, changed: traverse.diff_impact(e.impact_edges, changed),
     "get_db_schema": _fact("tables", "name"),
@@ -152,5 +203,5 @@ TOOLS = {
     "find_path": lambda e, start, goal: traverse.find_path(e.edges, start, goal),
     "trace_flow": lambda e, entry: traverse.trace(traverse.trace_edges(e.edges, e.cg_nodes, e.cg_edges), e.cg_nodes.select(F.coalesce("file", "id").alias("id"), "layer"), entry),
     "search_code": search_code,
-    "get_concept_map": lambda e, concept: levels.concept_map({"module": (e.modules, F.col("name"), F.col("name")), "file": (e.files, F.col("rel_path"), F.col("rel_path"))}, concept),
+    "get_concept_map": get_concept_map,
 }

@@ -409,7 +409,7 @@ def classes(files: DataFrame) -> DataFrame:
     rows = lines(files.where(F.col("ext").isin(*CODE)))
     p = r"^\s*(?:export\s+)?(?:default\s+)?(?:public\s+|private\s+|protected\s+|abstract\s+|final\s+|static\s+|sealed\s+)*(class|interface)\s+(\w+)(?:<[^>{]*>)?(?:\s*\(\s*([\w.]+)[^)]*\)\s*:)?(?:\s+extends\s+([\w.]+)(?:<[^{]*?>)?)?(?:\s+implements\s+([\w.,\s<>]+))?"
     g = lambda i: F.nullif(F.regexp_extract("text", p, i), F.lit(""))
-    return rows.where(F.col("text").rlike(p)).select(g(2).alias("name"), g(1).alias("kind"), F.coalesce(g(4), g(3)).alias("parent"), F.filter(F.transform(F.split(F.coalesce(F.regexp_replace(g(5), "<[^>]*>", ""), F.lit("")), ","), F.trim), lambda x: x != "").alias("interfaces"), F.col("rel_path").alias("file"))
+    return rows.where(F.col("text").rlike(p)).select(g(2).alias("name"), g(1).alias("kind"), F.coalesce(g(4), g(3)).alias("parent"), F.filter(F.transform(F.split(F.coalesce(F.regexp_replace(g(5), "<[^>]*>", ""), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "").alias("interfaces"), F.col("rel_path").alias("file"))
 
 
 def inheritance(found: DataFrame) -> DataFrame:

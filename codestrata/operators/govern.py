@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex, js_round
+from ..sources.durable import stored
+from .traverse import reach
 
 #: Path segments of each side of the layer rules; a slash must stand before them.
 FRONTEND = r"/(components?|pages?|views?|screens?|ui|hooks?|contexts?)/"
@@ -66,8 +68,17 @@ def rule_compliance(rule_ids: DataFrame, violations: DataFrame) -> DataFrame:
     return rule_ids.join(n, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: What is said of each kind of candidate: problem, solution, benefits.
+DEEPENING = {
+    "pass-through": ("it only hands on what it is given", "let callers use what lies behind it", "one place less to change"),
+    "shallow-interface": ("many depend on little behind it", "move behaviour of its callers behind it", "callers get simpler"),
+    "god-module": ("most of the system touches it", "split it by who uses what", "changes stay local"),
+    "circular": ("it can't be changed without what depends on it", "turn one link round or cut it out", "parts can be tested alone"),
+}
+
+
 def deepening(metrics: DataFrame, degrees: DataFrame, cycles: DataFrame, god: int = 50, shallow_lines: int = 20) -> DataFrame:
-    """(kind, file, strength): candidates for a deeper design: pass-through (one in, one out, short), shallow interface (short, many users), god module, circular."""
+    """(kind, file, strength, problem, solution, benefits): candidates for a deeper design: pass-through (one in, one out, short), shallow interface (short, many users), god module, circular."""
     m = metrics.select("file", "lines", "cc").join(degrees, "file", "left").fillna(0, ["in_degree", "out_degree"])
     rows = F.array_compact(F.array(
         F.when((F.col("in_degree") == 1) & (F.col("out_degree") == 1) & (F.col("lines") <= shallow_lines), F.struct(F.lit("pass-through").alias("kind"), F.lit("medium").alias("strength"))),
@@ -76,7 +87,8 @@ def deepening(metrics: DataFrame, degrees: DataFrame, cycles: DataFrame, god: in
     ))
     found = m.select("file", F.explode(rows).alias("r")).select("r.kind", "file", "r.strength")
     ring = cycles.select(F.lit("circular").alias("kind"), F.col("from_id").alias("file"), F.lit("strong").alias("strength")).distinct()
-    return found.unionByName(ring)
+    told = F.create_map(*(x for k, v in DEEPENING.items() for x in (F.lit(k), F.struct(*(F.lit(t).alias(n) for t, n in zip(v, ("problem", "solution", "benefits"), strict=True))))))
+    return found.unionByName(ring).withColumn("t", told[F.col("kind")]).select("kind", "file", "strength", "t.problem", "t.solution", "t.benefits")
 
 
 def new_rows(base: DataFrame, head: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,6 +139,35 @@ def compare(base: dict[str, DataFrame], head: dict[str, DataFrame], predicted: D
     )
 
 
+def pr_review(impact_edges: DataFrame, changed: DataFrame, owners: DataFrame, decisions: DataFrame, health_delta: float | None, tiers=("plsql", "table", "column"), most: int = 50, asked: int = 5, large: int = 20) -> DataFrame:
+    """(section, key, n, detail): what a change touches beside compare(): impacts of the first ``most`` changed entities, what they use in the data tier, questions, whether a decision record is due, three reviewers, the change of health.
+
+    changed (id), owners (id, author), decisions (id, decision). A decision is
+    asked about if the name of a changed file stands in it.
+    """
+    spark = impact_edges.sparkSession
+    seeds = stored(changed.select(F.col("id").alias("seed")).distinct().orderBy("seed").limit(most), "changed")
+    total = reach(impact_edges, seeds).groupBy(F.col("seed").alias("key")).agg(F.count("*").alias("n"))
+    total = stored(total, "impacts")  # at most `most` rows
+    hits = impact_edges.where(F.col("to_kind").isin(*tiers)).join(total.select(F.col("key").alias("from_id")), "from_id").groupBy(F.col("from_id").alias("key")).agg(F.min("to_id").alias("detail"))
+    hits = stored(hits, "hits")
+    row = lambda df, section, n, detail: df.select(F.lit(section).alias("section"), "key", n.cast("long").alias("n"), detail.alias("detail"))
+    name = F.regexp_replace(F.substring_index(F.substring_index("seed", ":", -1), "/", -1), r"\.\w+$", "")
+    touched = decisions.crossJoin(F.broadcast(seeds.select(F.lower(name).alias("__name"))))  # at most `most` names, decisions are a configuration's
+    reopened = touched.where((F.col("__name") != "") & F.lower("decision").contains(F.col("__name"))).select(F.col("id").alias("key"), F.col("decision").alias("detail"), F.lit(1).alias("rank")).distinct()
+    about = hits.orderBy("key").limit(3).select("key", F.concat(F.lit("does "), "detail", F.lit(" still fit?")).alias("detail"), F.lit(0).alias("rank"))
+    questions = about.unionByName(reopened).orderBy("rank", "key").limit(asked)
+    adr = total.agg((F.coalesce(F.max("n"), F.lit(0)) >= large).alias("wide")).crossJoin(hits.agg((F.count("*") > 0).alias("crosses")))  # one row each
+    people = owners.join(seeds.select(F.col("seed").alias("id")), "id", "left_semi").groupBy(F.col("author").alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(3)
+    none = F.lit(None).cast("string")
+    out = row(total, "impact", F.col("n"), none).unionByName(row(hits, "cross-tier", F.lit(1), F.col("detail"))).unionByName(row(questions, "question", F.lit(1), F.col("detail")))
+    out = out.unionByName(adr.where("wide and crosses").select(F.lit("decision-record").alias("section"), F.lit("due").alias("key"), F.lit(1).cast("long").alias("n"), none.alias("detail")))
+    out = out.unionByName(row(people, "reviewer", F.col("n"), none))
+    if health_delta is not None:
+        out = out.unionByName(spark.createDataFrame([("health", "delta", int(health_delta), str(health_delta))], "section string, key string, n long, detail string"))
+    return out
+
+
 def gates(found: DataFrame, health_delta: float | None, spec: str) -> DataFrame:
     """(gate, failed, n) for each known gate of a comma list; unknown names are ignored. found: compare()."""
     section = F.col("section")
@@ -189,6 +230,13 @@ def portfolio(rows: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     return last.orderBy(F.coalesce("score", F.lit(101.0)), "id")
 
 
+def summarise(runs: DataFrame) -> DataFrame:
+    """(id, path, name, score, risks, arch_errors) of runs (path, analysis): the nested results of a run as a portfolio row; what is missing is null, counts 0."""
+    a = F.col("analysis")
+    count = lambda part, field: F.coalesce(a[part][field], F.lit(0)).cast("long")
+    return runs.select(project_id(F.col("path")).alias("id"), "path", F.substring_index("path", "/", -1).alias("name"), a["health"]["score"].alias("score"), count("risks", "total").alias("risks"), count("arch", "error_count").alias("arch_errors"))
+
+
 def portfolio_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("projects"), js_round(F.avg("score"), 1).alias("avg_score"), F.coalesce(F.sum((F.col("score") < 60).cast("long")), F.lit(0)).alias("at_risk"))
 

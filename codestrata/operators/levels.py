@@ -165,3 +165,30 @@ def module_index(modules: DataFrame, files: DataFrame, risks: DataFrame) -> Data
     rows = files.join(count, "file", "left").select("language", F.coalesce("n", F.lit(0)).alias("n"), cut.alias("path"), "file")
     hit = modules.join(rows.select("file", "language", "n", "path").distinct(), "path")
     return hit.groupBy(F.col("name").alias("module")).agg(F.count("*").alias("files"), F.count_distinct("language").alias("languages"), F.sum("n").cast("long").alias("risks"))
+
+
+def call_graph_dump(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, id, to_id, kind, label, confidence): all nodes (kind is their layer), then all edges of a call graph."""
+    none = F.lit(None).cast("string")
+    n = nodes.select(F.lit("node").alias("part"), "id", none.alias("to_id"), F.col("layer").alias("kind"), "label", none.alias("confidence"))
+    return n.unionByName(edges.select(F.lit("edge").alias("part"), F.col("from_id").alias("id"), "to_id", F.col("type").alias("kind"), "label", "confidence"))
+
+
+def executive_report(snapshots: DataFrame, risks: DataFrame, knowledge: DataFrame, costs: DataFrame, activity: DataFrame) -> DataFrame:
+    """(section, a, b, n): the last 20 scores, the first 10 critical and high risks, the 8 gravest knowledge risks, the 8 costliest modules and the last 10 activities.
+
+    snapshots (ts, event_id, grade, score), risks (level, title), knowledge
+    (file, author, weight), costs (module, cost), activity (ts, event_id, type).
+    Times are whole seconds.
+    """
+    seconds = F.floor(F.unix_micros("ts") / 1000000.0 + 0.5).cast("string")
+    last = lambda df, n: df.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+    row = lambda df, name, a, b, n: df.select(F.lit(name).alias("section"), a.alias("a"), b.alias("b"), n.cast("double").alias("n"))
+    grave = risks.where("level in ('critical', 'high')").orderBy("level", "title").limit(10)
+    return (
+        row(last(snapshots, 20), "trend", seconds, F.col("grade"), F.col("score"))
+        .unionByName(row(grave, "risk", F.col("level"), F.col("title"), F.lit(1)))
+        .unionByName(row(knowledge.orderBy(F.desc("weight"), "file").limit(8), "knowledge", F.col("file"), F.col("author"), F.col("weight")))
+        .unionByName(row(costs.orderBy(F.desc("cost"), "module").limit(8), "cost", F.col("module"), F.lit(""), F.col("cost")))
+        .unionByName(row(last(activity, 10), "activity", seconds, F.col("type"), F.col("event_id")))
+    )

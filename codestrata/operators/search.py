@@ -29,9 +29,9 @@ def terms(content: Column, path: Column | None = None, most: int = MAX_TERMS) ->
 
 
 def snippet(content: Column, lines: int = 3, width: int = 120) -> Column:
-    """The first lines with a letter, trimmed, at most width characters in all."""
-    good = F.filter(F.transform(F.split(content, "\n", -1), F.trim), lambda x: x.rlike("[A-Za-z]"))
-    return F.substring(F.array_join(F.slice(good, 1, lines), " "), 1, width)
+    """The first lines that say something, trimmed, at most width characters each, joined by a bar: no comments, imports or packages."""
+    good = F.filter(F.transform(F.split(content, "\n", -1), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(//|\*|#)|^import\s|^from\s|^require\s*\(|^package\s"))
+    return F.array_join(F.transform(F.slice(good, 1, lines), lambda x: F.substring(x, 1, width)), " | ")
 
 
 def query_tokens(query: str) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, score_queries, text_queries  # noqa: F401  each module signs its queries in
+from . import code_queries, graph_queries, report_queries, score_queries, text_queries  # noqa: F401  each module signs its queries in
 from .registry import ORACLES, QUERIES
 
 
