@@ -56,17 +56,82 @@ def stack(files: DataFrame) -> DataFrame:
     return languages.unionByName(frameworks).unionByName(managers)
 
 
-def modules(files: DataFrame, most: int = 25, least: int = 5, big: int = 80) -> DataFrame:
-    """(rel_path, module): the first folder, and below folders of at least ``big`` files the second too; modules of fewer than ``least`` files fold into their first folder; the ``most`` largest stay, the rest are ``other``."""
+#: Folder names that are no domain, top folders that hold sources, last parts of a sub-project's name.
+INFRASTRUCTURE = (
+    "src main test java kotlin resources webapp dist build target generated out output app lib internal pkg cmd assets static public styles environments i18n locale fonts images icons themes scss less"
+    " com br org net io co gov edu uk de fr ru"
+).split()
+SOURCE_DIRS = "src app lib packages modules apps internal pkg cmd source sources".split()
+SUBPROJECT_SUFFIXES = "frontend backend api web app core service worker server client ui gateway proxy admin mobile cli bff".split()
+SUBPROJECT = r"(?i)(^|[-_.])(frontend|front|backend|back|api|web|ui|client|server|mobile|bff|gateway|admin)$"
+ROOT = "__root__"
+
+
+def _short(top: Column) -> Column:
+    """A sub-project's name from its last part that says what it is (pending-approval-backend: backend), else its last part."""
+    parts = F.split(top, "[-_]", -1)
+    place = F.array_max(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(F.lower(F.element_at(parts, i)).isin(*SUBPROJECT_SUFFIXES), i).otherwise(0)))
+    return F.when(place > 0, F.array_join(F.slice(parts, place, F.size(parts)), "-")).otherwise(F.element_at(parts, -1))
+
+
+def _depths(f: DataFrame, least: int, deepest: int) -> DataFrame:
+    """(top, depth): where a sub-project has several domains: the first depth with two or more folder names that are no infrastructure and hold ``least`` files. The search goes on below a depth with one folder or infrastructure only; without success the depth is 1."""
+    inner = f.select("top", F.slice("parts", 2, deepest + 1).alias("p"), (F.size("parts") - 2).alias("folders"))
+    every = inner.where("folders > 0").select("top", "p", F.explode(F.sequence(F.lit(1), F.least("folders", F.lit(deepest)))).alias("depth"))
+    groups = every.groupBy("top", "depth", F.slice("p", F.lit(1), F.col("depth")).alias("prefix")).agg(F.count("*").alias("n")).withColumn("last", F.element_at("prefix", -1))
+    plain = ~F.col("last").isin(*INFRASTRUCTURE)
+    levels = groups.groupBy("top", "depth").agg(F.count_distinct(F.when(plain & (F.col("n") >= least), F.col("last"))).alias("domains"), F.count("*").alias("groups"), F.max(plain).alias("plain"))
+    hit, stop = F.min(F.when(F.col("domains") >= 2, F.col("depth"))), F.min(F.when((F.col("domains") < 2) & (F.col("groups") > 1) & F.col("plain"), F.col("depth")))
+    found = levels.groupBy("top").agg(hit.alias("hit"), stop.alias("stop"))
+    return found.select("top", F.when(F.col("hit").isNotNull() & (F.col("stop").isNull() | (F.col("hit") < F.col("stop"))), F.col("hit")).otherwise(1).alias("depth"))
+
+
+def modules(files: DataFrame, most: int = 25, least: int = 5, big: int = 80, deepest: int = 10) -> DataFrame:
+    """(rel_path, module): the module of each file; null beyond the ``most`` largest modules, and for fewer than ``least`` files outside folders.
+
+    A top folder of ``big`` files, or named like a sub-project, is cut at the
+    depth where its domains lie; one of sources at its second folder; others stay
+    whole. Equal names of one top folder are one module, those of another get
+    its name before them. Modules of fewer than ``least`` files fold into the
+    module named like their top folder, else into the root's, else into the
+    largest of their top folder.
+    """
     p = F.split("rel_path", "/")
-    f = files.select("rel_path", F.when(F.size(p) > 1, p[0]).otherwise("root").alias("top"), F.when(F.size(p) > 2, p[1]).alias("sub"))
+    f = files.select("rel_path", p.alias("parts")).withColumn("top", F.when(F.size("parts") > 1, F.element_at("parts", 1)).otherwise(ROOT))
     tops = f.groupBy("top").agg(F.count("*").alias("n_top"))
-    subs = f.groupBy("top", "sub").agg(F.count("*").alias("n_sub"))
-    named = f.join(tops, "top").join(subs.withColumnRenamed("top", "t2").withColumnRenamed("sub", "s2"), (F.col("top") == F.col("t2")) & F.col("sub").eqNullSafe(F.col("s2")))
-    name = F.when((F.col("n_top") >= big) & F.col("sub").isNotNull() & (F.col("n_sub") >= least), F.concat_ws("/", "top", "sub")).otherwise(F.col("top"))
-    out = named.select("rel_path", name.alias("module"))
-    top = out.groupBy("module").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module").limit(most).select("module", F.lit(True).alias("shown"))
-    return out.join(F.broadcast(top), "module", "left").select("rel_path", F.when(F.col("shown"), F.col("module")).otherwise("other").alias("module"))  # at most `most` rows
+    like = F.col("top").rlike(SUBPROJECT)
+    subs = tops.where((F.col("top") != ROOT) & ~F.col("top").isin(*SOURCE_DIRS) & ((F.col("n_top") >= big) | like)).select("top")
+    depth = subs.join(_depths(f.join(subs, "top"), least, deepest), "top", "left").select("top", F.coalesce("depth", F.lit(1)).alias("depth"))
+    at = F.least("depth", F.size("parts") - 2)
+    inner = F.when(at > 0, F.array_join(F.slice("parts", F.lit(2), at), "/")).otherwise(ROOT)
+    cut = f.join(depth, "top", "left").withColumn("inner", F.when(F.col("depth").isNotNull(), inner))
+    several = cut.where("depth is not null").groupBy("top").agg((F.count_distinct("inner") > 1).alias("several"))
+    plain = F.when(F.col("top").isin(*SOURCE_DIRS) & (F.size("parts") > 2), F.concat_ws("/", "top", F.element_at("parts", 2))).otherwise(F.col("top"))
+    whole = F.when(like, F.concat("top", F.lit(f"/{ROOT}"))).otherwise(F.col("top"))
+    keyed = cut.join(several, "top", "left").select("rel_path", "top", F.when(F.col("several"), F.concat_ws("/", "top", "inner")).when(F.col("depth").isNotNull(), whole).otherwise(plain).alias("key"), F.coalesce(F.col("several") | (F.col("depth").isNotNull() & like), F.lit(False)).alias("sub"))
+    keyed = stored(keyed, "keys")
+
+    last = F.substring_index("key", "/", -1)
+    inside = F.col("sub") & F.col("key").contains("/")
+    name = F.when(inside & (last == ROOT), _short(F.col("top"))).when(inside, F.concat_ws("/", _short(F.col("top")), last)).otherwise(last)
+    listed = keyed.groupBy("key", "top", "sub").agg(F.count("*").alias("n")).where((F.col("key") != ROOT) | (F.col("n") >= least)).withColumn("name", name)
+    owner = listed.groupBy("name").agg(F.max_by("top", F.struct("n", "key")).alias("owner"))
+    shown = listed.join(owner, "name").withColumn("display", F.when(F.col("top") == F.col("owner"), F.col("name")).otherwise(F.concat_ws("/", "top", "name")))
+    shown = stored(shown.select("key", "top", "display", "n"), "named")
+    sizes = stored(shown.groupBy("display").agg(F.sum("n").alias("n"), F.max_by("top", F.struct("n", "key")).alias("top")), "sizes")
+
+    small = sizes.where(F.col("n") < least).select("display", "top", _short(F.col("top")).alias("short"))
+    named = lambda alias: sizes.select(F.col("display").alias(alias), F.col("n").alias(f"{alias}_n"))
+    largest = sizes.groupBy("top").agg(F.max_by("display", F.struct("n", "display")).alias("h4"), F.max("n").alias("h4_n"))
+    hosts = small.join(named("h1"), F.col("short") == F.col("h1"), "left").join(named("h2"), F.col("top") == F.col("h2"), "left").join(largest, "top", "left")
+    root = sizes.where(F.col("display") == ROOT).select(F.col("display").alias("h3"), F.col("n").alias("h3_n"))
+    hosts = hosts.join(root, F.lit(True), "left")  # one row at most
+    host, held = F.coalesce("h1", "h2", "h3", "h4"), F.when(F.col("h1").isNotNull(), F.col("h1_n")).when(F.col("h2").isNotNull(), F.col("h2_n")).when(F.col("h3").isNotNull(), F.col("h3_n")).otherwise(F.col("h4_n"))
+    folds = hosts.where((host != F.col("display")) & (held >= least)).select("display", host.alias("host"))
+    final = stored(shown.join(folds, "display", "left").select("key", F.coalesce("host", "display").alias("module"), "n"), "modules")
+    top = final.groupBy("module").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "module").limit(most).select("module")
+    kept = final.join(F.broadcast(top), "module", "left_semi").select("key", "module")  # at most `most` names
+    return keyed.join(kept, "key", "left").select("rel_path", "module")
 
 
 #: Extensions that line rules read, and the line counts that make a file large and very large.

@@ -115,6 +115,11 @@ _PATH = "CASE k " + " ".join(f"WHEN {i} THEN replace('{k[0]}', '<n>', s)" for i,
 _WITH = f"WITH {_N}, f AS (SELECT *, {_PATH} AS file FROM n)"
 
 
+@query("e02_code_modules", f"{_WITH} SELECT file AS rel_path, CASE k WHEN 0 THEN 'back/web' WHEN 4 THEN 'web' WHEN 5 THEN 'web' WHEN 6 THEN 'db' WHEN 7 THEN 'db' WHEN 8 THEN 'screens' ELSE 'back/core' END AS module FROM f")
+def code_modules(spark, sf_dir):
+    return detect.modules(code(spark, sf_dir))
+
+
 @query("e03_risk_rules", f"""{_WITH} SELECT 'low' AS level, 'open task' AS title, file AS rel_path, 8 AS line FROM f WHERE k = 4 UNION ALL SELECT 'critical', 'hard-coded credential', file, 9 FROM f WHERE k = 4
   UNION ALL SELECT 'high', 'insecure random', file, 7 FROM f WHERE k = 5""")
 def risk_rules(spark, sf_dir):

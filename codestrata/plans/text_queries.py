@@ -38,11 +38,10 @@ def languages(spark, sf_dir):
     return detect.stack(A.corpus(spark, sf_dir).withColumn("ext", ext))
 
 
-@query("e02_modules", """WITH f AS (SELECT doc_id, source AS top, lang AS sub FROM documents), t AS (SELECT top, count(*) AS n FROM f GROUP BY 1), s AS (SELECT top, sub, count(*) AS n FROM f GROUP BY ALL),
-  m AS (SELECT CASE WHEN t.n >= 80 AND s.n >= 5 THEN top || '/' || sub ELSE top END AS module FROM f JOIN t USING (top) JOIN s USING (top, sub)), k AS (SELECT module, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, module LIMIT 25)
-  SELECT CASE WHEN k.module IS NULL THEN 'other' ELSE m.module END AS module, count(*) AS n FROM m LEFT JOIN k USING (module) GROUP BY 1""")
+@query("e02_modules", """WITH f AS (SELECT doc_id, source AS top, lang AS sub FROM documents), t AS (SELECT top, count(*) AS n FROM f GROUP BY 1)
+  SELECT CASE WHEN t.n >= 80 THEN top || '/' || sub ELSE top END AS module, count(*) AS n FROM f JOIN t USING (top) GROUP BY 1 ORDER BY n DESC, module LIMIT 25""")
 def modules(spark, sf_dir):
-    return detect.modules(A.corpus(spark, sf_dir)).groupBy("module").agg(F.count("*").alias("n"))
+    return detect.modules(A.corpus(spark, sf_dir)).where("module is not null").groupBy("module").agg(F.count("*").alias("n"))
 
 
 @query("e20_layers", """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'database' WHEN 1 THEN 'frontend' WHEN 2 THEN CASE WHEN source IN ('src0', 'src1') THEN 'frontend' ELSE 'backend' END

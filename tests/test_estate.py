@@ -74,6 +74,24 @@ def test_risks(files):
     assert ("open task", "web/src/api/order-api.ts", 7) in got and ("hard-coded credential", "web/src/api/order-api.ts", 8) in got
 
 
+def test_modules(spark):
+    """A monorepo: a sub-project with its domains deep down, one without, a source tree, small folders, a shared name, and files outside."""
+    paths = [f"shop-backend/src/main/java/com/acme/{d}/F{i}.java" for d in ("order", "user") for i in range(6)]
+    # tests beside the sources end the search of another sub-project: their packages branch before the domains
+    paths += [f"pay-backend/src/{m}/java/com/acme/{d}/F{i}.java" for m in ("main", "test") for d in ("card", "cash") for i in range(6)]
+    paths += [f"shop-backend/src/main/java/com/acme/tiny/F{i}.java" for i in range(2)]
+    paths += [f"shop-frontend/src/p{i}.ts" for i in range(3)] + ["shop-frontend/package.json", "shop-frontend/src/a.ts"]
+    paths += [f"src/order/a{i}.ts" for i in range(7)] + [f"src/x{i}.ts" for i in range(2)] + [f"docs/d{i}.md" for i in range(3)] + ["README.md"]
+    got = {r.rel_path: r.module for r in detect.modules(spark.createDataFrame([(x,) for x in paths], "rel_path string")).collect()}
+    assert set(got) == set(paths)
+    assert {got[p] for p in paths if "/order/" in p and p.startswith("shop")} == {"backend/order"} and {got[p] for p in paths if "/user/" in p} == {"backend/user"}
+    assert {got[p] for p in paths if p.startswith("pay")} == {"backend"}
+    assert {got[p] for p in paths if "/tiny/" in p} == {"backend"}  # folded into the module that has its top folder's short name
+    assert {got[p] for p in paths if p.startswith("shop-frontend")} == {"frontend", "frontend/src"}  # no host of five files to fold into
+    assert {got[p] for p in paths if p.startswith("src/order")} == {"order"} and {got[p] for p in paths if p.startswith("src/x")} == {"order"}
+    assert got["README.md"] is None and {got[p] for p in paths if p.startswith("docs")} == {"docs"}
+
+
 def test_endpoints_calls_permissions(files):
     ends = detect.endpoints(files)
     assert ("GET", "/orders/{id}") in {(r.method, r.path) for r in ends.collect()}
