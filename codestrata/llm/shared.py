@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,13 +27,17 @@ def bounded(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only a session without that setting (tests, one machine) gets a temporary one.
+    Where it is unset and Spark runs in this one process (tests), a temporary
+    one that goes with the process; a cluster has to name one.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="codestrata-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
     return f"file://{_own_folder[0]}"
 
 
