@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, blocks, mix
+from .shared import bounded
 
 SHINGLE = 5
 BANDS = 72
@@ -143,10 +144,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     fullest such window counts, of equals the first; first_word is the number
     of its first shared shingle's first word.
 
-    Null or empty texts hold nothing. Repeated rows each give their rows, as do
+    Null or empty texts hold nothing; texts of any length are scanned whole. Repeated rows each give their rows, as do
     null ids. Other columns are ignored. No rows give no rows.
     """
     texts = TEMPLATES if templates is None else templates
+    bounded(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     found = base.mapInArrow(lambda it: _scan(it, texts), FOUND)
     return found.select("doc_id", "template", "n_matched", "n_shingles", (F.col("n_matched") / F.col("n_shingles")).alias("containment"), "first_word")

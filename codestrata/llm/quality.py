@@ -84,8 +84,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
 def judge(book: DataFrame, policy: str = "v1") -> DataFrame:
     """The ledger with base_failed and kept under a policy.
 
-    Null or empty texts have no words and fail few_words; repeated rows are
-    judged each by itself; other columns are ignored; no rows give no rows.
+    Null or empty texts have no words and fail few_words; texts of any length
+    are measured whole; repeated rows and null ids are judged each by itself;
+    other columns are ignored; no rows give no rows.
     """
     failed = lambda name: F.col("failures").bitwiseAND(F.lit(mask(POLICIES[name]) | mask(POLICIES["base"]))) != 0
     base = F.col("failures").bitwiseAND(F.lit(mask(POLICIES["base"]))) != 0

@@ -10,12 +10,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Whole tables and whole texts; odd rows as the operator's docstring says."""
     from .html_extract import extract
 
     return extract(_table(spark, sf_dir, "pages"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 1024 tokens. Whole tables and whole texts; odd rows as the operator's docstring says."""
     import public_tokenizers
 
     from .packing import pack
@@ -24,48 +26,56 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from labels that are not held out. Whole tables and whole texts; odd rows as the operator's docstring says."""
     from .toxicity import score_toxicity
 
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url. Whole tables and whole texts; odd rows as the operator's docstring says."""
     from .url_filter import judge_urls
 
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and verdict of every document. Whole tables and whole texts; odd rows as the operator's docstring says."""
     from .quality import judge, ledger
 
     return judge(ledger(_table(spark, sf_dir, "documents")))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices in all documents. Whole tables and whole texts; odd rows as the operator's docstring says."""
     from .licenses import scan_licenses
 
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each whose id is divisible by 20. Whole tables and whole texts; odd rows as the operator's docstring says."""
     from .ann import nearest
 
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under near copies, by four-word shingles. Whole tables and whole texts; odd rows as the operator's docstring says."""
     from .near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without passages that one with a smaller id has. Whole tables and whole texts; odd rows as the operator's docstring says."""
     from .substring_dedup import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests. Whole tables and whole texts; odd rows as the operator's docstring says."""
     import public_tokenizers
 
     from .lexicon import encode

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .hashing import Words, blocks, mix
-from .shared import about
+from .shared import about, bounded
 
 BITS = 22
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
 FIT_ROWS = 16_000
+#: Features of all of these together, at most, in the same order: 256 MB in the one task that fits.
+FIT_FEATURES = 1 << 26
 EPOCHS = 10
 #: A strong L1 keeps coordinates that only chance ties to a label at zero. A toxic row counts TOXIC_WEIGHT times, being the rarer kind.
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 8.0, 0.01
@@ -82,9 +84,18 @@ def fit(samples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> tuple[np
     return every[w != 0], w[w != 0]
 
 
+def _samples(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(label, coordinates) row by row, as long as they have no more than ``most`` features in all."""
+    for batch in batches:
+        for label, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            most -= len(raw) // 4
+            if most < 0:
+                return
+            yield label, np.frombuffer(raw, "<u4")
+
+
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    samples = [(y, np.frombuffer(x, "<u4")) for b in batches for y, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-    at, w = fit(samples)
+    at, w = fit(list(_samples(batches, FIT_FEATURES)))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["coordinate", "weight"])
 
 
@@ -124,11 +135,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, car
     """One row per document: doc_id, held_out, score in [0, 1], predicted (1 if score >= 0.7).
 
     With carry, the document's own row is there too, as the struct ``row``.
-    Only the text enters a score. Null or empty text: the bias alone. Without
-    any usable label every score is 0.5. Repeated rows get equal scores; a null
+    Only the text enters a score. Null or empty text: the bias alone. Texts of
+    any length are scored whole. Without any usable label every score is 0.5. Repeated rows get equal scores; a null
     id is not held out. Other columns are ignored. No rows give no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))  # at most 2**BITS pairs
+    sent = bounded(docs.sparkSession).sparkContext.broadcast(train(docs, labels, rows))  # at most 2**BITS pairs
     if carry:
         base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
         at = docs.columns.index("text")

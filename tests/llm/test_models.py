@@ -1,11 +1,16 @@
 """Toxicity on held-out labels, nearest neighbours against brute force, and the pipeline."""
 
+import math
 import random
+import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from codestrata.llm import ann
+from codestrata.llm import ann, toxicity
 from codestrata.llm.ann import nearest
 from codestrata.llm.toxicity import fit, score_toxicity
 
@@ -17,6 +22,49 @@ def test_fit_is_sparse():
     assert w[at == 5] > 1 and len(at) < 2500
 
 
+def test_fit_equals_plain_ftrl():
+    """The same weights as FTRL-proximal written out coordinate by coordinate over dense rows, and the same scores."""
+    rng = np.random.default_rng(7)
+    d, rows = 30, []
+    for i in range(200):
+        at = np.flatnonzero(rng.random(d) < 0.3) + 1
+        rows.append((int(3 in at) if i % 9 else int(rng.random() < 0.5), at.astype(np.int64)))
+    z, n = [0.0] * (d + 1), [0.0] * (d + 1)
+    weight = lambda i: 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(toxicity.EPOCHS):
+        for label, at in rows:
+            x = [1.0] + [float(i in at) for i in range(1, d + 1)]
+            w = [weight(i) for i in range(d + 1)]
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(a * b for a, b in zip(x, w, strict=True))))))
+            for i in range(d + 1):
+                g = (p - label) * x[i] * (toxicity.TOXIC_WEIGHT if label else 1.0)
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    at, w = fit(rows)
+    got = dict(zip(at.tolist(), w.tolist(), strict=True))
+    want = {i: weight(i) for i in range(d + 1) if weight(i)}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want) and len(want) < d
+
+
+def test_fit_sample_is_bounded():
+    rows = [(1, b"abcdefgh"), (0, b"abcd"), (1, b"abcdefghijkl")]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([y for y, _ in rows]), pa.array([x for _, x in rows], pa.binary())], names=["place", "toxic", "features"])
+    assert [y for y, _ in toxicity._samples(iter([batch]), 5)] == [1, 0] and len(list(toxicity._samples(iter([batch]), 6))) == 3
+
+
+def test_toxicity_of_long_and_repeated_rows(spark, make):
+    """Repeated rows score alike, and a bad word counts wherever it stands in a very long text."""
+    good, bad = [(i, f"fine words number {i} stand here") for i in range(60) if i % 2], [(i, f"vile sludge number {i} stands here") for i in range(60) if i % 2 == 0]
+    labels = spark.createDataFrame([(i, 0) for i, _ in good] + [(i, 1) for i, _ in bad], "doc_id long, toxic int")
+    long = " ".join(f"l{i}" for i in range(100_000))
+    rows = good + bad + [(500, long), (501, long + " vile sludge"), (502, "vile sludge"), (502, "vile sludge")]
+    got = {}
+    for r in score_toxicity(make(rows), labels).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    assert got[501][0] > got[500][0] and len(got[502]) == 2 and len(set(got[502])) == 1
+
+
 def test_toxicity_on_held_out_labels(spark, make, odd):
     rng = random.Random(1)
     vocabulary = [f"v{i}" for i in range(500)]
@@ -152,6 +200,78 @@ def test_pipeline_stages(spark, make, words, tmp_path):
     assert {r.doc_id for r in packed} == {1, 5, 6} and all(r.offset + r.length <= 1024 for r in packed)
 
 
+def _write(spark, docs, folder, labels=()):
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_pipeline_against_brute_force(spark, make, words, tmp_path):
+    """Near copies, shared passages and short texts, from documents to pieces: five-word links, 50-word windows and ids all worked out plainly."""
+    rng = random.Random(12)
+    passage, rows = words(70, 90_000).split(), []
+    for i in range(60):
+        own = words(rng.randrange(60, 200), 1000 * i).split()
+        if i % 4 == 1:
+            own = rows[-1][1].split()
+            for _ in range(rng.randrange(0, 12)):
+                own[rng.randrange(len(own))] = f"e{rng.random()}"
+        if i % 5 == 2:
+            at = rng.randrange(len(own))
+            own[at:at] = passage[rng.randrange(9) :]
+        rows.append((i, " ".join(own[: 30 if i % 10 == 9 else None])))
+    _write(spark, make(rows), tmp_path)
+    left = [(i, t) for i, t in rows if len(t.split()) >= 50]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in left)}
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in sets:
+        for b in sets:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    copies = sum(find(i) != i for i in sets)
+    left = [(i, t) for i, t in left if find(i) == i]
+    first = {}
+    for i, t in left:
+        w = t.split()
+        for p in range(len(w) - 49):
+            first.setdefault(tuple(w[p : p + 50]), i)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = set()
+    for i, t in left:
+        w = t.split()
+        gone = {p + k for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < i for k in range(50)}
+        ids = [*library.encode(" ".join(x for k, x in enumerate(w) if k not in gone), add_special_tokens=False).ids, 2]
+        stop, start, piece = len(ids) % 1024 or 1024, 0, 0
+        while start < len(ids):
+            want.add((i, piece, start, stop - start, zlib.crc32(np.array(ids[start:stop], "<u4").tobytes())))
+            start, stop, piece = stop, stop + 1024, piece + 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    assert copies and any(len(t.split()) > 50 and first[tuple(t.split()[p : p + 50])] < i for i, t in left for p in range(len(t.split()) - 49))
+    used = {}
+    for r in got:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in used.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and sum(spans[-1]) <= 1024
+
+
+def test_pipeline_of_odd_rows(spark, make, words, odd, tmp_path):
+    """Null ids and texts, repeated rows, one id with two texts, a very long text, no label at all; then no rows at all."""
+    a, b, long = words(80), words(80, 500), words(60_000, 10_000)
+    _write(spark, make([*odd, (1, a), (1, a), (2, b), (2, words(70, 900)), (None, words(90, 2000)), (3, long)]), tmp_path / "odd")
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    whole = {}
+    for r in got:
+        whole.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+    assert set(whole) == {1, 2, 3, None}
+    assert len(whole[1]) == 2 and len(whole[2]) == 2 and len(whole[None]) == 1  # repeated rows and ids stay, each with its own text
+    assert len(whole[3]) == max(p for p, *_ in whole[3]) + 1 > 100
+    _write(spark, make([]), tmp_path / "none")
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_pipeline_near_copies_by_five_words(spark, make, words):
     """7 or 8 scattered edits in 300 words: 0.83 and 0.81 by four words, but below 0.8 by five; 5 edits are 0.84."""
     base = words(300).split()

@@ -201,3 +201,12 @@ def test_filter_on_ledger_ends(make, words):
     """A filter above the ledger must not be pushed into its expressions."""
     rows = ledger(make([(1, words(5000)), (2, "a b")]), carry=True)
     assert [r.doc_id for r in judge(rows).where("kept").select("row.*").collect()] == [1]
+
+
+def test_ledger_of_repeated_and_no_rows(make, words):
+    """Repeated rows are judged each; a column named like a result doesn't get in; no rows give none."""
+    text = words(60)
+    book = judge(ledger(make([(1, text), (1, text), (1, "a b"), (None, text)]))).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.kept) for r in book) == [("1", 2, False), ("1", 60, True), ("1", 60, True), ("None", 60, True)]
+    assert judge(ledger(make([]))).collect() == []
+    assert [r.n for r in compare(ledger(make([])), "base", "v1").collect()] == []

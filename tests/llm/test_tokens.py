@@ -165,3 +165,6 @@ def test_licenses(make, words, odd):
     want = {(i, name) for i, text in rows for name, t in TEMPLATES.items() if len(shingles(t) & shingles(text)) >= 0.8 * len(shingles(t))}
     assert got == want
     assert scan_licenses(make([])).collect() == []
+    name, notice = next(iter(TEMPLATES.items()))
+    twice = [(r.doc_id, r.template) for r in scan_licenses(make([(1, notice), (1, notice), (2, words(50_000) + " " + notice + " " + words(50_000, 60_000))])).collect()]
+    assert sorted(t for t in twice if t[1] == name) == [(1, name), (1, name), (2, name)]
