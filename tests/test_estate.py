@@ -88,7 +88,7 @@ def test_modules(spark):
     assert {got[p] for p in paths if p.startswith("pay")} == {"backend"}
     assert {got[p] for p in paths if "/tiny/" in p} == {"backend"}  # folded into the module that has its top folder's short name
     assert {got[p] for p in paths if p.startswith("shop-frontend")} == {"frontend", "frontend/src"}  # no host of five files to fold into
-    assert {got[p] for p in paths if p.startswith("src/order")} == {"order"} and {got[p] for p in paths if p.startswith("src/x")} == {"order"}
+    assert {got[p] for p in paths if p.startswith("src/order")} == {"order"} and {got[p] for p in paths if p.startswith("src/x")} == {"src"}
     assert got["README.md"] is None and {got[p] for p in paths if p.startswith("docs")} == {"docs"}
 
 
