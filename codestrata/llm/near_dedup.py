@@ -42,7 +42,7 @@ SIZE = BANDS * ROWS
 BINS = 20
 
 SKETCH = "doc_id long, text_key long, n_shingles long, set_id binary, bands array<long>"
-SETS = "rep long, n long, shingles binary"
+SETS = "rep long, n long, shingles binary, compared boolean, central boolean"
 
 _U = np.uint64
 
@@ -109,7 +109,7 @@ def _full(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for begin, texts in blocks(batch.column(1).to_pylist()):
             h, first = shingle_sets(texts, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[begin : begin + len(texts)], pa.array(np.diff(first)), pa.array([h[first[i] : first[i + 1]].tobytes() for i in range(len(texts))], pa.binary())], names=["rep", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[begin : begin + len(texts)], pa.array(np.diff(first)), pa.array([h[first[i] : first[i + 1]].tobytes() for i in range(len(texts))], pa.binary()), *(batch.column(c)[begin : begin + len(texts)] for c in (2, 3))], names=["rep", "n", "shingles", "compared", "central"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -123,11 +123,11 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The label pairs (a, b) of those of pairs (x_rep, y_rep, a, b) whose full sets are similar enough. Sizes too far apart are never compared."""
+def _links(pairs: DataFrame, sets: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """The label pairs (a, b) of those of pairs (x_rep, y_rep, a, b) whose full sets, in sets and others, are similar enough. Sizes too far apart are never compared."""
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     left = pairs.join(sets.select(F.col("rep").alias("x_rep"), "n", F.col("shingles").alias("x")), "x_rep")
-    right = sets.select(F.col("rep").alias("y_rep"), F.col("n").alias("m"), F.col("shingles").alias("y"))
+    right = others.select(F.col("rep").alias("y_rep"), F.col("n").alias("m"), F.col("shingles").alias("y"))
     return stored(left.join(right, "y_rep").where(near).select("a", "b", "x", "y").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
 
 
@@ -201,8 +201,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = member.where("bands is not null").select("rep", F.explode("bands").alias("bucket"))
     shared = stored(banded.groupBy("bucket").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b < other").select("bucket", "b"), "centres")
     buckets = stored(banded.join(shared, "bucket"), "buckets")
-    keys = stored(member.where("bands is not null").join(buckets.select("rep").distinct(), "rep").select("doc_id", "text_key").distinct(), "live")
-    sets = stored(base.join(keys, ["doc_id", "text_key"]).select("doc_id", "text").distinct().mapInArrow(lambda it: _full(it, words), SETS), "sets")
+    roles = buckets.groupBy("rep").agg(F.max(F.col("rep") != F.col("b")).alias("compared"), F.max(F.col("rep") == F.col("b")).alias("central"))
+    keys = stored(member.where("bands is not null").join(roles, "rep").select("doc_id", "text_key", "compared", "central").distinct(), "live")
+    sets = stored(base.join(keys, ["doc_id", "text_key"]).select("doc_id", "text", "compared", "central").distinct().mapInArrow(lambda it: _full(it, words), SETS), "sets")
 
     merged: list[DataFrame] = []  # what labels have become, step by step
 
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return merged[-1]
 
     pairs = buckets.where("rep != b").select("rep", "b").distinct()
-    links = _links(pairs.select(F.col("rep").alias("x_rep"), F.col("b").alias("y_rep"), F.col("rep").alias("a"), "b"), sets, percent)
+    links = _links(pairs.select(F.col("rep").alias("x_rep"), F.col("b").alias("y_rep"), F.col("rep").alias("a"), "b"), sets.where("compared"), sets.where("central"), percent)
     several = stored(member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("b < a"), "several")
     if not several.isEmpty():  # ids with different texts tie the classes of all of them
         links = links.unionByName(member.join(several.select("doc_id", "b"), "doc_id").where("rep != b").select(F.col("rep").alias("a"), "b").distinct())
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not mixed.isEmpty():
         prefix = stored(prefix.join(mixed, "bucket"), "open")
         star = prefix.where("label != b").select(F.col("rep").alias("x_rep"), "y_rep", F.col("label").alias("a"), "b").distinct()
-        if (now := merge(_links(star, left, percent))) is not None:
+        if (now := merge(_links(star, left, left, percent))) is not None:
             prefix = stored(_relabelled(prefix, now), "open")
         # pairs of a bucket's commonest label with the others, and of the others: never those within that label
         labels = prefix.groupBy("bucket", "label").agg(F.count("*").alias("rows")).groupBy("bucket").agg(F.max(F.struct("rows", "label")).alias("most"), F.count("*").alias("labels"))
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x, y = (sides.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "label", "n", "place", "common"))) for s in "xy")
         need = f"ceil({percent} * (x_n + y_n) / {100 + percent})"
         cross = x.where("x_label != x_common").join(y, "bucket").where(f"x_label != y_label and (y_label = y_common or x_rep > y_rep) and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and x_place <= x_n - {need} and y_place <= y_n - {need}")
-        merge(_links(cross.select("x_rep", "y_rep", F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct(), left, percent))
+        merge(_links(cross.select("x_rep", "y_rep", F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct(), left, left, percent))
 
     out = member.select("doc_id", "n_shingles", F.col("rep").alias("label"))
     for now in merged:
