@@ -198,12 +198,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
     member = stored(full.join(classes, "set_id").select("doc_id", "text_key", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
 
-    banded = member.where("bands is not null").select("rep", F.explode("bands").alias("bucket"))
+    banded = member.where("bands is not null").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = stored(banded.groupBy("bucket").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b < other").select("bucket", "b"), "centres")
     buckets = stored(banded.join(shared, "bucket"), "buckets")
-    roles = buckets.groupBy("rep").agg(F.max(F.col("rep") != F.col("b")).alias("compared"), F.max(F.col("rep") == F.col("b")).alias("central"))
+    centres = buckets.where("rep = b").select("b", F.col("n").alias("m")).distinct()
+    pairs = stored(buckets.where("rep != b").select("rep", "n", "b").distinct().join(centres, "b").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("rep", "b").distinct(), "pairs")
+    ends = pairs.select("rep", F.lit(True).alias("compared"), F.lit(False).alias("central")).unionByName(pairs.select(F.col("b").alias("rep"), F.lit(False).alias("compared"), F.lit(True).alias("central")))
+    every = buckets.select("rep", F.lit(False).alias("compared"), F.lit(False).alias("central"))
+    roles = ends.unionByName(every).groupBy("rep").agg(F.max("compared").alias("compared"), F.max("central").alias("central"))
     keys = stored(member.where("bands is not null").join(roles, "rep").select("doc_id", "text_key", "compared", "central").distinct(), "live")
-    sets = stored(base.join(keys, ["doc_id", "text_key"]).select("doc_id", "text", "compared", "central").distinct().mapInArrow(lambda it: _full(it, words), SETS), "sets")
+    # repeated rows meet once, where the join has put them
+    live = base.join(keys, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text", "compared", "central")
+    sets = stored(live.mapInArrow(lambda it: _full(it, words), SETS), "sets")
 
     merged: list[DataFrame] = []  # what labels have become, step by step
 
@@ -213,7 +219,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         merged.append(connected_components(links, "a", "b"))
         return merged[-1]
 
-    pairs = buckets.where("rep != b").select("rep", "b").distinct()
     links = _links(pairs.select(F.col("rep").alias("x_rep"), F.col("b").alias("y_rep"), F.col("rep").alias("a"), "b"), sets.where("compared"), sets.where("central"), percent)
     several = stored(member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("b < a"), "several")
     if not several.isEmpty():  # ids with different texts tie the classes of all of them
