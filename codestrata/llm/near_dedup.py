@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, blocks, mix
-from .shared import bounded, connected_components, stored
+from .shared import bounded, connected_components, discard, stored
 
 SHINGLE = 4
 BANDS, ROWS = 32, 4
@@ -198,18 +198,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
     member = stored(full.join(classes, "set_id").select("doc_id", "text_key", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
 
+    alone = stored(sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")), "alone")
+    discard(sketch, classes)
+
     banded = member.where("bands is not null").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = stored(banded.groupBy("bucket").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b < other").select("bucket", "b"), "centres")
     buckets = stored(banded.join(shared, "bucket"), "buckets")
     centres = buckets.where("rep = b").select("b", F.col("n").alias("m")).distinct()
     pairs = stored(buckets.where("rep != b").select("rep", "n", "b").distinct().join(centres, "b").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("rep", "b").distinct(), "pairs")
     ends = pairs.select("rep", F.lit(True).alias("compared"), F.lit(False).alias("central")).unionByName(pairs.select(F.col("b").alias("rep"), F.lit(False).alias("compared"), F.lit(True).alias("central")))
-    every = buckets.select("rep", F.lit(False).alias("compared"), F.lit(False).alias("central"))
-    roles = ends.unionByName(every).groupBy("rep").agg(F.max("compared").alias("compared"), F.max("central").alias("central"))
+    others = buckets.select("rep", F.lit(False).alias("compared"), F.lit(False).alias("central"))
+    roles = ends.unionByName(others).groupBy("rep").agg(F.max("compared").alias("compared"), F.max("central").alias("central"))
     keys = stored(member.where("bands is not null").join(roles, "rep").select("doc_id", "text_key", "compared", "central").distinct(), "live")
     # repeated rows meet once, where the join has put them
     live = base.join(keys, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text", "compared", "central")
     sets = stored(live.mapInArrow(lambda it: _full(it, words), SETS), "sets")
+    discard(keys, shared)
 
     merged: list[DataFrame] = []  # what labels have become, step by step
 
@@ -226,16 +230,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = buckets.select("bucket", "rep", F.col("rep").alias("label"))
     if (now := merge(links)) is not None:
         rows = stored(_relabelled(rows, now), "labelled")
+        discard(buckets)
 
     mixed = _mixed(rows)
     if not mixed.isEmpty():
         open_reps = rows.join(mixed.select("bucket"), "bucket").select("rep", "label").distinct()
         left = stored(sets.join(open_reps, "rep").select("rep", "label", "n", "shingles"), "left")
+        discard(sets)  # what is open is in left
         sent = spark.sparkContext.broadcast(_frequencies(left))  # 2**BINS numbers
         prefix = stored(left.mapInArrow(lambda it: _prefixes(it, percent, sent), "rep long, label long, n long, bucket long, place long"), "prefixes")
         mixed = _mixed(prefix)
     if not mixed.isEmpty():
-        prefix = stored(prefix.join(mixed, "bucket"), "open")
+        every, prefix = prefix, stored(prefix.join(mixed, "bucket"), "open")
+        discard(every)
         star = prefix.where("label != b").select(F.col("rep").alias("x_rep"), "y_rep", F.col("label").alias("a"), "b").distinct()
         if (now := merge(_links(star, left, left, percent))) is not None:
             prefix = stored(_relabelled(prefix, now), "open")
@@ -252,6 +259,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for now in merged:
         out = _relabelled(out, now)
     out = out.select("doc_id", "n_shingles", F.col("label").alias("component_id"))
-    alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     return out.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept)

@@ -47,7 +47,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables from which everything that will be read has been stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def about(df: DataFrame, id_col: str, rows: int, n: int) -> DataFrame:
@@ -82,12 +92,14 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
         large = e.select(F.col("u").alias("n"), F.col("v").alias("x")).join(least, "n").select(F.col("x").alias("v"), F.col("m").alias("u"))
         # nodes whose least neighbour lies below carry a link to it from the upper side, too
         large = stored(large.unionByName(least.where("m < n").select(F.col("n").alias("v"), F.col("m").alias("u"))).distinct(), "large")
+        discard(least)
         # small star: a node and what is below it move to the least of them
         least = stored(large.groupBy("v").agg(F.min("u").alias("m")), "least")
         if _summary(large) == before and least.count() == before[0]:  # every node has one link, and that to a node without: nothing can move any more
             break
         small = large.join(least, "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        e = stored(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "components")
+        old, e = e, stored(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "components")
+        discard(old, large, least)
         before = _summary(e)
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .hashing import Words, blocks
-from .shared import bounded, stored
+from .shared import bounded, discard, stored
 
 WINDOW = 50
 #: Different stretches below a prefix that one task sorts at once: about 600 bytes of word hashes each.
@@ -217,10 +217,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stretches = stored(known.mapInArrow(lambda it: _stretches(it, window, prefix), STRETCH), "stretches")
     shared = stored(stretches.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("prefix"), "prefixes")
     live = stored(stretches.join(shared, "prefix"), "live")
+    discard(stretches, shared)
 
     paths = stored(live.groupBy("prefix", "stretch").agg(F.min("doc_id").alias("least")), "paths")
     forks = stored(paths.groupBy("prefix").agg(F.count("*").alias("paths")).where("paths > 1").select("prefix", (F.col("paths") > group_rows).alias("large")), "forks")
     marked = stored(live.join(paths, ["prefix", "stretch"]).select("doc_id", "text_key", "prefix", "first", "windows", "anchor", (F.col("doc_id") > F.col("least")).alias("copy")), "marked")
+    discard(live, paths)
     whole = marked.where("copy").select("doc_id", "text_key", "first", (F.col("first") + F.col("windows") + (window - 1)).alias("stop"))
 
     opened = marked.where("not copy").join(forks, "prefix").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "first", "windows", "anchor", "large")).alias("spans"))
