@@ -56,4 +56,35 @@ REPEATS = f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS
   cut AS (SELECT doc_id, count(hit) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (hit IS NULL) AS kept FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
   SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN cut USING (doc_id)"""
 
-ORACLES = {"op4_url_filter": URLS, "op5_quality_rules": QUALITY, "op8_near_dedup": NEAR, "op9_substring_dedup": REPEATS}
+
+
+def _yinyang(k: int = 8, rounds: int = 10) -> str:
+    """Plain k-means: each round assigns all vectors by all distances (a<r>) and takes new centroids (c<r + 1>)."""
+    out = f"""WITH kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+  c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v AS w FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k})"""
+    for r in range(rounds + 1):
+        out += f""",
+  a{r} AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, c)) AS best FROM (SELECT row, vec_id, v, c, list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, c{r}) x GROUP BY row)"""
+        if r < rounds:
+            out += f""",
+  c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n, w) AS w FROM c{r} LEFT JOIN (SELECT c, list((s - ((s % m) + m) % m) // m ORDER BY i) AS n FROM
+    (SELECT best[2] AS c, i, sum(v[i])::BIGINT AS s, count(*) AS m FROM a{r}, (SELECT unnest(range(1, 65)) AS i) y GROUP BY 1, 2) z GROUP BY c) u USING (c))"""
+    return out + f"""
+  SELECT vec_id, c::INT AS cluster, best[1] AS distance, sum(best[1]) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(best[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+  FROM a{rounds} JOIN c{rounds} ON c = best[2]"""
+
+
+_LETTERS = "length(regexp_replace(t, '[^\\p{L}]+', '', 'g'))"
+_SEEN = "length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))"
+#: Targets by the order of most / weight: a source is held at its most as long as the level of the rest reaches it.
+MIXTURE = f"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+  d AS (SELECT doc_id, source, len({_WORDS.format("t")})::BIGINT AS size, -ln((('0x' || substr(md5('12:' || coalesce(doc_id::VARCHAR, ' ')), 1, 13))::BIGINT + 0.5) / 4503599627370496) / greatest(0.05, coalesce(({_LETTERS} / nullif({_SEEN}, 0)) ** 4, 0.05)) AS key FROM t),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS most, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+  l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(most) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s WINDOW w AS (ORDER BY most / weight, source NULLS LAST)),
+  g AS (SELECT source, source_size, CASE WHEN most < weight * level THEN most ELSE least(most, weight * (SELECT level FROM l WHERE most >= weight * level ORDER BY most / weight, source NULLS LAST LIMIT 1)) END AS target FROM l),
+  e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g),
+  p AS (SELECT d.*, source_size, target, epochs, round(target - epochs * source_size)::BIGINT AS left_, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through, count(*) OVER (PARTITION BY d.source, key, doc_id, size) AS n FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+  SELECT doc_id, size, source_size, target, (epochs * size + CASE WHEN size = 0 THEN 0 WHEN through <= left_ THEN size WHEN through - n * size >= left_ THEN 0 ELSE round((left_ - (through - n * size)) / n) END)::BIGINT AS taken, source, epochs FROM p"""
+
+ORACLES = {"op11_yinyang": _yinyang(), "op12_mixture": MIXTURE, "op4_url_filter": URLS, "op5_quality_rules": QUALITY, "op8_near_dedup": NEAR, "op9_substring_dedup": REPEATS}

@@ -83,12 +83,35 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False).drop("ids", "decoded")
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds of k-means over all vectors, eight clusters. Whole tables; odd rows as the operator's docstring says."""
+    from .kmeans import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of the sources by weight takes. Whole tables and whole texts; odd rows as the operator's docstring says."""
+    from .mixture import mix
+
+    # the key is a logarithm, whose last bit differs between libraries
+    return mix(_table(spark, sf_dir, "documents")).drop("key")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation. Whole tables and whole texts; odd rows as the operator's docstring says."""
+    from .conversations import damage, digests, repair
+
+    conversations = _table(spark, sf_dir, "conversations")
+    return digests(conversations, repair(damage(conversations)))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_main_text, op2_best_fit_packing, op3_toxicity, op4_url_filter, op5_quality_rules,
-            op6_license_scan, op7_nearest, op8_near_dedup, op9_substring_dedup, op10_bpe,
+            op6_license_scan, op7_nearest, op8_near_dedup, op9_substring_dedup, op10_bpe, op11_yinyang, op12_mixture, op13_conversation_repair,
         )
     }
 
