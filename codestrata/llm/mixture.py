@@ -121,7 +121,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     last = _end(last.withColumn("order", order), "order")
     edge = last.select(F.col("source").alias("s"), F.struct("cell", "fine", "order").alias("edge"), F.round((F.col("left") - F.col("before")) / F.col("n")).cast("long").alias("part"))
 
-    goal = goal.join(edge.withColumnRenamed("s", "e"), F.col("s").eqNullSafe(F.col("e")), "left").drop("e")
+    # stored, so that the join with all documents stands between plain exchanges, whose large partitions Spark splits
+    goal = stored(goal.join(edge.withColumnRenamed("s", "e"), F.col("s").eqNullSafe(F.col("e")), "left").drop("e"), "edges")
     place = F.struct("cell", "fine", order.alias("order"))
     drawn = F.when(F.col("left") <= 0, 0).when(place < F.col("edge"), F.col("size")).when(place == F.col("edge"), F.col("part")).otherwise(0)
     taken = F.when(F.col("size") > 0, F.col("epochs") * F.col("size") + drawn).otherwise(0).cast("long")
