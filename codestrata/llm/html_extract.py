@@ -27,19 +27,22 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import Words
 from .shared import bounded, stored
 from .url_filter import host_of
 
 GAMMA = 0.9
 LOW = 0.25
-#: A node is judged by its style tree if so many pages have it.
+#: A node is judged by its style tree if so many pages have it: entropies to the base of few pages say nothing.
 LEAST_PAGES = 8
 
 #: Fixed values of HTML: elements without end, without content, and those that start a new block.
@@ -65,37 +68,65 @@ FAR_MORE = 4
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 HARD, READER, SOFT = 3, 2, 1
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "label", "mark", "dropped", "core", "prose")
+    """An element. hard: it, or one around it, is no content by its tag; within: the nearest article or main, itself included."""
 
-    def __init__(self, tag: str, parent: Node | None, label: str, mark: int, core: bool):
-        self.tag, self.parent, self.label, self.mark, self.core = tag, parent, label, mark, core
+    __slots__ = ("tag", "parent", "children", "label", "mark", "dropped", "core", "prose", "hard", "within")
+
+    def __init__(self, tag: str, parent: Node | None, label: str, mark: int):
+        self.tag, self.parent, self.label, self.mark = tag, parent, label, mark
         self.children: list[Node | str] = []
         self.dropped = self.prose = False
+        self.hard = mark == HARD or parent is not None and parent.hard
+        self.within: Node | None = self if tag in ("article", "main") else parent and parent.within
+        self.core = self.within is not None
 
-    def text(self) -> str:
-        """The text below, references decoded, white space as one space."""
-        out: list[str] = []
-        self._gather(out, lambda node: False)
-        return " ".join(html.unescape("".join(out)).split())
 
-    def _gather(self, out: list[str], gone) -> None:
-        edge = self.tag in BLOCK
-        if edge:
-            out.append("\n")
-        for child in self.children:
-            if isinstance(child, str):
-                out.append(child)
-            elif not gone(child):
-                child._gather(out, gone)
-        if edge:
+def _gather(tops: list[Node], gone: Callable[[Node], bool]) -> str:
+    """The text of these elements, references decoded, white space as one space."""
+    out: list[str] = []
+    ahead: list[Node | str] = tops[::-1]
+    while ahead:
+        x = ahead.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        if x.tag in BLOCK:
             out.append("\n")
+            ahead.append("\n")
+        ahead += [c for c in reversed(x.children) if isinstance(c, str) or not gone(c)]
+    return " ".join(html.unescape("".join(out)).split())
+
+
+def _spans(root: Node, gone: Callable[[Node], bool]) -> tuple[list[str], dict[int, tuple[int, int]]]:
+    """The words of a page, and of each block which of them are its own: blocks never share a word, so no text is joined twice."""
+    words: list[str] = []
+    spans: dict[int, tuple[int, int]] = {}
+    run: list[str] = []
+    ahead: list[tuple[Node | str, int]] = [(root, -1)]
+    while ahead:
+        x, begun = ahead.pop()
+        if isinstance(x, str):
+            run.append(x)
+            continue
+        block = x.tag in BLOCK
+        if block or begun >= 0:
+            words += html.unescape("".join(run)).split()
+            run = []
+        if begun >= 0:
+            spans[id(x)] = (begun, len(words))
+            continue
+        if block:
+            ahead.append((x, len(words)))
+        ahead += [(c, -1) for c in reversed(x.children) if isinstance(c, str) or not gone(c)]
+    return words + html.unescape("".join(run)).split(), spans
 
 
 def _attributes(raw: str) -> tuple[str, int]:
@@ -115,9 +146,17 @@ def _attributes(raw: str) -> tuple[str, int]:
     return label, marked
 
 
-def _above(node: Node) -> Iterator[Node]:
-    while (node := node.parent) is not None:
-        yield node
+def _marked(inner: list[Node]) -> list[Node]:
+    """The marked elements around these; every element is looked at once."""
+    found, seen = [], set()
+    for node in inner:
+        above = node.parent
+        while above is not None and id(above) not in seen:
+            seen.add(id(above))
+            if above.mark:
+                found.append(above)
+            above = above.parent
+    return found
 
 
 def _settle(root: Node, nodes: list[Node]) -> None:
@@ -134,7 +173,7 @@ def _settle(root: Node, nodes: list[Node]) -> None:
 
     def unmark(cores: list[Node]) -> list[Node]:
         """The marked elements around these, as far as nothing else drops them."""
-        found = [n for c in cores if not any(n.mark == HARD for n in [c, *_above(c)]) for n in _above(c) if n.mark]
+        found = _marked([c for c in cores if not c.hard])
         for n in found:
             n.mark = 0
         return found
@@ -167,72 +206,136 @@ def _settle(root: Node, nodes: list[Node]) -> None:
 
 
 def _marked_prose(nodes: list[Node]) -> list[Node]:
-    """The outermost elements dropped by a class word alone that have paragraphs or headings in them."""
-    found: dict[int, Node] = {}
+    """The elements dropped by a class word alone that have paragraphs or headings in them."""
+    worst: dict[int, int] = {}
+    inner = []
     for node in nodes:
-        if node.tag == "p" or node.tag in ("h1", "h2", "blockquote"):
-            marked = [n for n in (node, *_above(node)) if n.mark]
-            if marked and all(n.mark == SOFT for n in marked):
-                found |= {id(n): n for n in marked}
-    return list(found.values())
+        worst[id(node)] = max(node.mark, worst.get(id(node.parent), 0))
+        if node.tag in ("p", "h1", "h2", "blockquote") and worst[id(node)] == SOFT:
+            inner.append(node)
+    return [*{id(n): n for n in [*_marked(inner), *(n for n in inner if n.mark)]}.values()]
 
 
 def _kept(node: Node) -> str:
-    out: list[str] = []
-    node._gather(out, lambda n: n.dropped)
-    return " ".join(html.unescape("".join(out)).split())
+    return _gather([node], lambda n: n.dropped)
+
+
+class _Tags:
+    """Tags from left to right. A tag ends at the first > outside quotes, where there is none at the first at all.
+
+    A search that came to the page's end in vain has marked the quotes it met, so
+    that none of them is followed again: the whole page costs its length.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.vain: set[int] = set()
+
+    def end(self, pos: int) -> int:
+        """Where the > of a tag is whose attributes begin at pos; there is one somewhere behind."""
+        at, met = pos, []
+        while m := _SPECIAL.search(self.page, at):
+            i = m.start()
+            if self.page[i] == ">":
+                return i
+            if i in self.vain:
+                break
+            met.append(i)
+            if i >= self.last[self.page[i]]:
+                break
+            at = self.page.index(self.page[i], i + 1) + 1
+        self.vain.update(met)
+        return self.page.index(">", pos)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, int, int]]:
+        """(slash, name, attributes, start, end); comments and declarations have no name. send() goes on elsewhere."""
+        page, pos = self.page, 0
+        while (at := page.find("<", pos)) >= 0:
+            if page.startswith("<!--", at):
+                close = page.find("-->", at + 4)
+                pos = close + 3 if close >= 0 else len(page)
+                found = "", "", ""
+            elif at > self.last[">"]:  # only a comment can still begin
+                pos = at + 1
+                if (pos := page.find("<!--", pos)) < 0:
+                    return
+                continue
+            elif page[at + 1] in "!?":
+                pos = page.index(">", at) + 1
+                found = "", "", ""
+            else:
+                slash = "/" * (page[at + 1] == "/")
+                name = _NAME.match(page, at + 1 + len(slash))
+                if not name:
+                    pos = at + 1
+                    continue
+                end = self.end(name.end())
+                found = slash, name[0], page[name.end() : end]
+                pos = end + 1
+            pos = (yield (*found, at, pos)) or pos
 
 
 def parse(page: str) -> Node:
-    """A tree of the page's elements. Every element that is open at its parent's end ends there."""
-    root = Node("", None, "", 0, False)
+    """A tree of the page's elements. Every element that is open at its parent's end ends there.
+
+    Open elements are a stack with their places by tag, so what a tag ends is
+    looked up, however deep it lies.
+    """
+    root = Node("", None, "", 0)
     nodes: list[Node] = []
-    at, pos, end = root, 0, len(page)
-    while pos < end:
-        m = _TAG.search(page, pos)
-        if not m:
-            at.children.append(page[pos:])
+    stack, places = [root], {}
+    blocks = [0]  # of the open elements that are blocks
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop().tag].pop()
+            while blocks[-1] >= len(stack):
+                blocks.pop()
+
+    tags, done, jump = _Tags(page), 0, None
+    walk = iter(tags)
+    while True:
+        try:
+            slash, name, raw, start, end = walk.send(jump)
+        except StopIteration:
             break
-        if m.start() > pos:
-            at.children.append(page[pos : m.start()])
-        pos = m.end()
-        slash, name, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        jump = None
+        if start > done:
+            stack[-1].children.append(page[done:start])
+        done = end
         if not name:
             continue
         tag = name.lower()
         if slash:
-            node = at
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is not None:
-                at = node.parent
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        if tag in BLOCK and tag != "br":  # a block ends an open paragraph
-            node = at
-            while node.parent is not None and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
+        if tag in BLOCK and tag != "br" and stack[blocks[-1]].tag == "p":  # a block ends an open paragraph
+            close(blocks[-1])
         if tag in CLOSES:
-            node, last = at, None
-            while node.parent is not None and node.tag not in _SCOPE[tag]:
-                if node.tag in CLOSES[tag]:
-                    last = node
-                node = node.parent
-            at = last.parent if last is not None else at
+            scope = max((places[t][-1] for t in _SCOPE[tag] if places.get(t)), default=0)
+            inside = [own[k] for t in CLOSES[tag] if (own := places.get(t)) and (k := bisect_right(own, scope)) < len(own)]
+            if inside:
+                close(min(inside))
         label, marked = _attributes(raw)
-        core = at.core or tag in ("article", "main")
-        hard = tag in DROPPED or (marked and tag == "article" and at.core) or (tag == "header" and not core)
+        at = stack[-1]
+        hard = tag in DROPPED or (marked and tag == "article" and at.core) or (tag == "header" and not at.core)
         mark = HARD if hard else marked if tag not in ("html", "body", "article", "main") else 0
-        node = Node(tag, at, tag + label, mark, core)
+        node = Node(tag, at, tag + label, mark)
         at.children.append(node)
         nodes.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
-            node.children.append(page[pos : close.start() if close else end])
-            pos = close.end() if close else end
+            ends = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, end, tags.last[">"] + 1)
+            node.children.append(page[end : ends.start() if ends else len(page)])
+            done = jump = ends.end() if ends else len(page)
         elif tag not in VOID and not raw.endswith("/"):
-            at = node
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(node)
+    if done < len(page):
+        stack[-1].children.append(page[done:])
     _settle(root, nodes)
     return root
 
@@ -242,29 +345,49 @@ def _hash(text: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _walk(node: Node, path: str) -> Iterator[tuple[Node, int]]:
-    """Block elements that HTML does not drop, with the hash of their path."""
-    for child in node.children:
-        if isinstance(child, Node) and not child.dropped:
-            below = f"{path}/{child.label}"
-            if child.tag in BLOCK and child.tag not in ("br", "html", "body"):
-                yield child, _hash(below)
-            yield from _walk(child, below)
-
-
-def _removable(node: Node) -> bool:
-    return not node.prose
-
-
-def _mostly(core: Node, gone: set[int]) -> bool:
-    """Whether the branches in gone hold more than half of the core's text."""
-
-    def length(cut) -> int:
-        out: list[str] = []
-        core._gather(out, cut)
-        return len(" ".join(html.unescape("".join(out)).split()))
-
-    return 2 * length(lambda n: n.dropped or id(n) in gone) < length(lambda n: n.dropped)
+def _walk(root: Node) -> Iterator[tuple[Node, int]]:
+    """Block elements that HTML does not drop, in order, with the hash of their path."""
+    ahead = [(root, 0)]
+    while ahead:
+        node, path = ahead.pop()
+        if node.tag in BLOCK and node.tag not in ("br", "html", "body"):
+            yield node, path
+        ahead += [(c, _hash(f"{path}/{c.label}")) for c in reversed(node.children) if isinstance(c, Node) and not c.dropped]
+
+
+def _removable(root: Node) -> list[tuple[Node, int, int]]:
+    """(node, path, hash of its text) of the branches that the tree may remove."""
+    words, spans = _spans(root, lambda node: False)
+    found = [(node, path, *spans[id(node)]) for node, path in _walk(root) if not node.prose]
+    found = [x for x in found if x[2] < x[3]]
+    if not found:
+        return []
+    at = np.array([x[2:] for x in found])
+    values = Words([" ".join(words).encode()]).ranges(at[:, 0], at[:, 1]).view(np.int64)
+    return [(node, path, value) for (node, path, *_), value in zip(found, values.tolist(), strict=True)]
+
+
+def _overcut(root: Node, low: list[Node]) -> set[int]:
+    """Of the branches in low those that, together, are more than half of the text of the article or main nearest to them."""
+    inside: dict[int, tuple[Node, list[Node]]] = {}
+    for node in low:
+        if node.core:
+            inside.setdefault(id(node.within), (node.within, []))[1].append(node)
+    if not inside:
+        return set()
+    words, spans = _spans(root, lambda node: node.dropped)
+    size = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).astype(int)  # with the space behind it
+    found: set[int] = set()
+    for core, own in inside.values():
+        begin, end = spans[id(core)]
+        cut, done = 0, begin
+        for a, b in sorted(spans[id(n)] for n in own):
+            if b > done:
+                cut, done = cut + size[b] - size[max(a, done)], b
+        whole = size[end] - size[begin]
+        if 2 * max(whole - cut - 1, 0) < max(whole - 1, 0):
+            found |= {id(n) for n in own}
+    return found
 
 
 PRESENT, STYLE, CONTENT = 0, 1, 2
@@ -276,14 +399,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen = set()
-            for node, path in _walk(parse(page or ""), ""):
+            root = parse(page or "")
+            seen = {(path, CONTENT, value) for _, path, value in _removable(root)}
+            for node, path in _walk(root):
                 seen.add((path, PRESENT, 0))
                 style = [c.tag for c in node.children if isinstance(c, Node)]
                 runs = [t for i, t in enumerate(style) if not i or style[i - 1] != t]
                 seen.add((path, STYLE, _hash(" ".join(runs))))
-                if _removable(node) and (text := node.text()):
-                    seen.add((path, CONTENT, _hash(text)))
             rows += ((host, *x) for x in seen)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=names)
@@ -298,20 +420,20 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for page_id, key, host, page in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            found = {(path, _hash(text)) for node, path in _walk(parse(page or ""), "") if _removable(node) and (text := node.text())}
+            found = {(path, value) for _, path, value in _removable(parse(page or ""))}
             rows += ((page_id, key, host, *x) for x in found)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=names)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
+def style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """The low-importance contents of each host's style tree: (host, path, value, importance)."""
     rows = pages.mapInArrow(_features, FEATURES)
     merged = stored(rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n")), "style-tree")
     total = merged.where(F.col("kind") == STYLE).groupBy("host", "path").agg(F.sum("n").alias("total"), F.count("*").alias("styles"))
     # entropy = log(total) - sum(n log n) / total, so no second look at the styles is needed
     spread = merged.where(F.col("kind") == STYLE).groupBy("host", "path").agg(F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    pages_at = merged.where((F.col("kind") == PRESENT) & (F.col("n") >= LEAST_PAGES)).select("host", "path", F.col("n").alias("m"))
+    pages_at = merged.where((F.col("kind") == PRESENT) & (F.col("n") >= max(least_pages, 2))).select("host", "path", F.col("n").alias("m"))
     node = pages_at.join(total, ["host", "path"]).join(spread, ["host", "path"])
     node = node.withColumn("p", F.greatest(F.lit(0.0), (F.log("total") - F.col("nlogn") / F.col("total")) / F.log("m"))).select("host", "path", "m", "styles", "p")
     shared = merged.where((F.col("kind") == CONTENT) & (F.col("n") > 1)).select("host", "path", "value", "n")
@@ -323,34 +445,24 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def main_text(page: str, noise: set[tuple[int, int]]) -> str:
     """The text of what is left of a page: inside its articles, else its main part, else its body."""
     root = parse(page)
-    gone = set()
+    gone: set[int] = set()
     if noise:
-        low = [node for node, path in _walk(root, "") if _removable(node) and (path, _hash(node.text())) in noise]
-        gone = {id(node) for node in low}
-        inside: dict[int, tuple[Node, set[int]]] = {}  # by the nearest article or main
-        for node in low:
-            core = node
-            while core.core and core.tag not in ("article", "main"):
-                core = core.parent
-            if core.core:
-                inside.setdefault(id(core), (core, set()))[1].add(id(node))
-        for core, ids in inside.values():
-            if _mostly(core, ids):
-                gone -= ids
+        low = [node for node, path, value in _removable(root) if (path, value) in noise]
+        gone = {id(node) for node in low} - _overcut(root, low)
     cut = lambda node: node.dropped or id(node) in gone
 
-    def cores(node: Node, tag: str) -> Iterator[Node]:
-        for child in node.children:
-            if isinstance(child, Node) and not cut(child):
-                if child.tag == tag:
-                    yield child
-                else:
-                    yield from cores(child, tag)
+    def cores(tag: str) -> list[Node]:
+        """The outermost elements of a tag."""
+        found, ahead = [], [root]
+        while ahead:
+            node = ahead.pop()
+            if node.tag == tag:
+                found.append(node)
+            else:
+                ahead += [c for c in reversed(node.children) if isinstance(c, Node) and not cut(c)]
+        return found
 
-    out: list[str] = []
-    for part in list(cores(root, "article")) or list(cores(root, "main")) or [root]:
-        part._gather(out, cut)
-    return " ".join(html.unescape("".join(out)).split())
+    return _gather(cores("article") or cores("main") or [root], cut)
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -364,18 +476,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
     White space inside a block becomes one space; blocks are joined in page
     order by one space. Null or empty html: empty text. Pages of any length are
-    read whole. A null url has the host ''. Repeated rows are pages like others.
+    read whole, however deep their elements nest and whatever quotes they leave
+    open, in time by their length. Nodes that fewer than ``least_pages`` pages of
+    a host have (two at least) are left to HTML's own marks. A null url has the host ''. Repeated rows are pages like others.
     Other columns are ignored. No rows give no rows.
     """
     bounded(pages.sparkSession)
     html_of = F.col("html").cast("string")
     base = pages.select("page_id", "url", html_of.alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64("url", html_of).alias("page_key"))
-    low = stored(style_tree(base.select("host", "html")).select("host", "path", "value"), "low")
+    low = stored(style_tree(base.select("host", "html"), least_pages).select("host", "path", "value"), "low")
     if low.isEmpty():
         return base.select("page_id", "url", "html", F.lit(None).cast("array<struct<path:bigint,value:bigint>>").alias("noise")).mapInArrow(_extract, RESULT)
     own = base.select("page_id", "page_key", "host", "html").mapInArrow(_branches, BRANCHES)

@@ -3,9 +3,12 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
-from codestrata.llm.html_extract import Node, _hash, _walk, extract, main_text, parse, style_tree
+import pytest
+
+from codestrata.llm.html_extract import Node, _gather, _removable, _walk, extract, main_text, parse, style_tree
 from codestrata.llm.oracles import URLS
 from codestrata.llm.shared import connected_components
 from codestrata.llm.url_filter import RULES, judge_urls, link_edges
@@ -172,18 +175,19 @@ def test_importance_against_brute_force(spark):
         middle = "".join(f"<{t}>x{rng.randrange(5)}</{t}>" for t in rng.choices(["span", "b", "section"], k=rng.randrange(4)))
         rows.append((i, f"http://{'ab'[i % 3 == 0]}.net/{i}", f"<body><div class='c1'>{rng.choice(['one', 'one', 'two', f'own {i}'])}{middle}</div><div id='c2'>same<section>{'always' if i % 2 else i}</section></div></body>"))
     got = {(r.host, r.path, r.value): r.importance for r in style_tree(pages(spark, [(i, u, p) for i, u, p in rows]).selectExpr("substring_index(substring_index(url, '/', 3), '//', -1) host", "html")).collect()}
-    seen = {}
+    seen, value_of = {}, {}
     for _, u, page in rows:
-        host = u.split("/")[2]
-        for node, path in _walk(parse(page), ""):
+        host, root = u.split("/")[2], parse(page)
+        value_of |= {_gather([node], lambda n: False): value for node, _, value in _removable(root)}
+        for node, path in _walk(root):
             style = [c.tag for c in node.children if isinstance(c, Node)]
             run = " ".join(t for k, t in enumerate(style) if not k or style[k - 1] != t)
-            seen.setdefault((host, path), []).append((run, node.text()))
+            seen.setdefault((host, path), []).append((run, _gather([node], lambda n: False)))
     want = {}
     for (host, path), found in seen.items():  # a page may have a path twice; here none has, but for sections
         if len(found) != len({id(f) for f in found}) or host not in ("a.net", "b.net"):
             continue
-        m = sum(1 for _, u, page in rows if u.split("/")[2] == host and any(q == path for _, q in _walk(parse(page), "")))
+        m = sum(1 for _, u, page in rows if u.split("/")[2] == host and any(q == path for _, q in _walk(parse(page))))
         if m != len(found) or m < 8:
             continue
         styles, contents = Counter(s for s, _ in found), Counter(t for _, t in found if t)
@@ -191,7 +195,7 @@ def test_importance_against_brute_force(spark):
         for text, f in contents.items():
             importance = (1 - 0.9 ** len(styles)) * spread + 0.9 ** len(styles) * (1 - math.log(f, m))
             if f > 1 and importance < 0.25:
-                want[host, path, _hash(text)] = importance
+                want[host, path, value_of[text]] = importance
     whole = {k for k in got if (k[0], k[1]) in {(h, p) for h, p, _ in want}}
     assert len(want) >= 2 and whole == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
 
@@ -265,3 +269,36 @@ def test_marked_wrappers_of_articles():
     assert main_text(f"<body>{article}{comments}</body>", set()) == "A one two three"
     assert main_text(f"<body><div>The text of a page without articles</div>{comments}</body>", set()) == "The text of a page without articles"
     assert main_text(f"<body><form>{comments}</form><p>short</p></body>", set()) == "short"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div>" * 100_000 + "deep", "deep"),
+        ("<div>a " * 50_000, "a " * 49_999 + "a"),
+        ("<div>" * 50_000 + "</p>" * 50_000 + "x", "x"),
+        ("<b>" * 50_000 + "<hr>" * 50_000 + "x", "x"),
+        ("<li><ul>" + "<div>" * 50_000 + "<li>x" * 50_000, "x " * 49_999 + "x"),
+        ("<div>" * 30_000 + "<article>x</article>" * 30_000, "x " * 29_999 + "x"),
+        ("<div class=ad>" * 50_000 + "<p>x</p>" * 50_000, "x " * 49_999 + "x"),
+        ("y" + '<a href="x ' * 100_000, "y" + ('<a href="x ' * 100_000).strip()),
+        ('<a x=">" ' * 100_000, ('" ' * 100_000).strip()),
+        ("<" * 1_000_000, "<" * 1_000_000),
+        ("a<!-- " * 100_000, "a"),
+        ("b<script>" + "</script " * 100_000, "b"),
+    ],
+)
+def test_deep_and_broken_pages_take_time_by_their_length(page, text):
+    began = time.time()
+    assert main_text(page, {(1, 2)}) == text
+    assert time.time() - began < 20
+
+
+def test_a_deep_page_leaves_the_others_alone(spark):
+    rows = [(i, f"http://a.net/{i}", f"<body><div>menu of all</div><article><p>text {i}</p></article></body>") for i in range(9)]
+    rows.append((99, "http://a.net/99", "<div>" * 20_000 + "deep <p>x"))
+    assert {r.page_id: r.text for r in extract(pages(spark, rows)).collect()} == {i: f"text {i}" for i in range(9)} | {99: "deep x"}
+
+
+def test_quotes_hide_the_end_of_a_tag(spark):
+    assert main_text('<p title="a > b">one</p><p title=\'c > d\'>two</p><p title="open>three</p>', set()) == "one two three"
