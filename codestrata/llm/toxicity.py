@@ -85,17 +85,17 @@ def fit(samples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> tuple[np
 
 
 def _samples(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(label, coordinates) row by row, as long as they have no more than ``most`` features in all."""
+    """(label, coordinates) row by row, as long as they have no more than ``most`` features in all; a row that would exceed it is left out."""
     for batch in batches:
         for label, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if len(raw) // 4 > most:
+                continue
             most -= len(raw) // 4
-            if most < 0:
-                return
             yield label, np.frombuffer(raw, "<u4")
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, w = fit(list(_samples(batches, FIT_FEATURES)))
+def _fit(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    at, w = fit(list(_samples(batches, most)))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["coordinate", "weight"])
 
 
@@ -119,27 +119,28 @@ def held_out(doc_id) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from at most ``rows`` labelled documents that are not held out. Null labels are ignored; a document labelled twice counts as toxic if any label says so."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights from at most ``rows`` labelled documents that are not held out, with ``fit_features`` features in all at most. Null labels are ignored; a document labelled twice counts as toxic if any label says so."""
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id"))
     usable = about(usable, "doc_id", rows, usable.count())
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     known = texts.join(F.broadcast(chosen), "doc_id")  # at most `rows` rows of three numbers
     ready = known.select("place", "toxic", "text").mapInArrow(_extract, "place long, toxic int, features binary")
-    model = ready.repartitionByRange(1, "place").sortWithinPartitions("place", "toxic", "features").mapInArrow(_fit, "coordinate long, weight double").collect()
-    return np.array([r.coordinate for r in model], np.int64), np.array([r.weight for r in model], np.float64)
+    model = ready.repartitionByRange(1, "place").sortWithinPartitions("place", "toxic", "features").mapInArrow(lambda it: _fit(it, fit_features), "coordinate long, weight double").toArrow()
+    return np.asarray(model.column("coordinate")).astype(np.int64), np.asarray(model.column("weight")).astype(np.float64)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, carry: bool = False) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, carry: bool = False, fit_features: int = FIT_FEATURES) -> DataFrame:
     """One row per document: doc_id, held_out, score in [0, 1], predicted (1 if score >= 0.7).
 
     With carry, the document's own row is there too, as the struct ``row``.
     Only the text enters a score. Null or empty text: the bias alone. Texts of
-    any length are scored whole. Without any usable label every score is 0.5. Repeated rows get equal scores; a null
+    any length are scored whole. Without any usable label every score is 0.5; of the ``rows`` labelled documents that are
+    learned from, one that would exceed ``fit_features`` with those before it is left out. Repeated rows get equal scores; a null
     id is not held out. Other columns are ignored. No rows give no rows.
     """
-    sent = bounded(docs.sparkSession).sparkContext.broadcast(train(docs, labels, rows))  # at most 2**BITS pairs
+    sent = bounded(docs.sparkSession).sparkContext.broadcast(train(docs, labels, rows, fit_features))  # at most 2**BITS pairs
     if carry:
         base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
         at = docs.columns.index("text")

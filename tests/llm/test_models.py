@@ -51,6 +51,7 @@ def test_fit_sample_is_bounded():
     rows = [(1, b"abcdefgh"), (0, b"abcd"), (1, b"abcdefghijkl")]
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([y for y, _ in rows]), pa.array([x for _, x in rows], pa.binary())], names=["place", "toxic", "features"])
     assert [y for y, _ in toxicity._samples(iter([batch]), 5)] == [1, 0] and len(list(toxicity._samples(iter([batch]), 6))) == 3
+    assert [y for y, _ in toxicity._samples(iter([batch]), 1)] == [0]  # one that is too long takes nothing from the rest
 
 
 def test_toxicity_of_long_and_repeated_rows(spark, make):
