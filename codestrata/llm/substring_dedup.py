@@ -220,13 +220,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(stretches, shared)
 
     paths = stored(live.groupBy("prefix", "stretch").agg(F.min("doc_id").alias("least")), "paths")
-    forks = stored(paths.groupBy("prefix").agg(F.count("*").alias("paths")).where("paths > 1").select("prefix", (F.col("paths") > group_rows).alias("large")), "forks")
+    forks = stored(paths.groupBy("prefix").agg(F.count("*").alias("paths")).where("paths > 1").select("prefix"), "forks")
     marked = stored(live.join(paths, ["prefix", "stretch"]).select("doc_id", "text_key", "prefix", "first", "windows", "anchor", (F.col("doc_id") > F.col("least")).alias("copy")), "marked")
     discard(live, paths)
     whole = marked.where("copy").select("doc_id", "text_key", "first", (F.col("first") + F.col("windows") + (window - 1)).alias("stop"))
 
-    opened = marked.where("not copy").join(forks, "prefix").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "first", "windows", "anchor", "large")).alias("spans"))
-    suffixes = stored(known.join(opened, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans").mapInArrow(lambda it: _suffixes(it, window), SUFFIX), "suffixes")
+    # rows that repeat a document meet once; rows are counted, as a document may have one path many times
+    alone = stored(marked.where("not copy").join(forks, "prefix").select("doc_id", "text_key", "prefix", "first", "windows", "anchor").distinct(), "alone")
+    sizes = stored(alone.groupBy("prefix").agg((F.count("*") > group_rows).alias("large")), "sizes")
+    opened = alone.join(sizes, "prefix").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "first", "windows", "anchor", "large")).alias("spans"))
+    texts = known.join(opened, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans")
+    suffixes = stored(texts.mapInArrow(lambda it: _suffixes(it, window), SUFFIX), "suffixes")
     groups = suffixes.where("words is not null").drop("node").repartition("prefix").sortWithinPartitions("prefix")
     parts = stored(groups.mapInArrow(lambda it: _grow(it, window), RANGE), "repeats")
     long = suffixes.where("words is null")
