@@ -131,6 +131,15 @@ def _links(pairs: DataFrame, sets: DataFrame, others: DataFrame, percent: int) -
     return stored(left.join(right, "y_rep").where(near).select("a", "b", "x", "y").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
 
 
+def _composed(first: DataFrame | None, then: DataFrame) -> DataFrame:
+    """One map of labels for two, one after the other. What ``then`` moves are labels that ``first`` leaves, or has made."""
+    if first is None:
+        return then
+    moved = then.select(F.col("node").alias("component"), F.col("component").alias("last"))
+    both = first.join(moved, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+    return stored(both.unionByName(then), "labels")
+
+
 def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
     """Rows with the labels that theirs have become."""
     now = merged.select(F.col("node").alias("label"), "component")
@@ -148,15 +157,21 @@ def _bins(h: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], percent: int, sent) -> Iterator[pa.RecordBatch]:
-    """The shingles of a set that a partner of at least its own similarity must share one of, rarest first, with places."""
+    """The shingles of a set that a partner of at least its own similarity must share one of, rarest first."""
     often = sent.value
     for batch in batches:
         out = []
-        for rep, label, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for n, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             h = np.frombuffer(raw, np.uint64)
-            order = np.lexsort((h, often[_bins(h)]))[: n - -(-percent * n // 100) + 1]
-            out.append((np.full(len(order), rep), np.full(len(order), label), np.full(len(order), n), h[order].view(np.int64), np.arange(len(order))))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(5)], names=["rep", "label", "n", "bucket", "place"])
+            out.append(h[np.lexsort((h, often[_bins(h)]))[: n - -(-percent * n // 100) + 1]].view(np.int64))
+        ends = np.cumsum([0, *map(len, out)])
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*out, np.zeros(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), found], names=["rep", "label", "n", "prefix"])
+
+
+def _flat(prefixes: DataFrame) -> DataFrame:
+    """A row for each shingle of a prefix, with its place."""
+    return prefixes.select("rep", "label", "n", F.posexplode("prefix").alias("place", "bucket"))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,13 +230,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(live.mapInArrow(lambda it: _full(it, words), SETS), "sets")
     discard(keys, shared)
 
-    merged: list[DataFrame] = []  # what labels have become, step by step
+    merged: DataFrame | None = None  # what labels have become
 
     def merge(links: DataFrame) -> DataFrame | None:
+        nonlocal merged
         if links.isEmpty():
             return None
-        merged.append(connected_components(links, "a", "b"))
-        return merged[-1]
+        now = connected_components(links, "a", "b")
+        merged = _composed(merged, now)
+        return now
 
     links = _links(pairs.select(F.col("rep").alias("x_rep"), F.col("b").alias("y_rep"), F.col("rep").alias("a"), "b"), sets.where("compared"), sets.where("central"), percent)
     several = stored(member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("b < a"), "several")
@@ -238,26 +255,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = stored(sets.join(open_reps, "rep").select("rep", "label", "n", "shingles"), "left")
         discard(sets)  # what is open is in left
         sent = spark.sparkContext.broadcast(_frequencies(left))  # 2**BINS numbers
-        prefix = stored(left.mapInArrow(lambda it: _prefixes(it, percent, sent), "rep long, label long, n long, bucket long, place long"), "prefixes")
-        mixed = _mixed(prefix)
+        prefix = stored(left.mapInArrow(lambda it: _prefixes(it, percent, sent), "rep long, label long, n long, prefix array<long>"), "prefixes")
+        mixed = _mixed(_flat(prefix))
     if not mixed.isEmpty():
-        every, prefix = prefix, stored(prefix.join(mixed, "bucket"), "open")
-        discard(every)
-        star = prefix.where("label != b").select(F.col("rep").alias("x_rep"), "y_rep", F.col("label").alias("a"), "b").distinct()
+        star = _flat(prefix).join(mixed, "bucket").where("label != b").select(F.col("rep").alias("x_rep"), "y_rep", F.col("label").alias("a"), "b").distinct()
         if (now := merge(_links(star, left, left, percent))) is not None:
-            prefix = stored(_relabelled(prefix, now), "open")
+            old, prefix = prefix, stored(_relabelled(prefix, now), "prefixes")  # a row for each set
+            discard(old)
         # pairs of a bucket's commonest label with the others, and of the others: never those within that label
-        labels = prefix.groupBy("bucket", "label").agg(F.count("*").alias("rows")).groupBy("bucket").agg(F.max(F.struct("rows", "label")).alias("most"), F.count("*").alias("labels"))
+        labels = _flat(prefix).groupBy("bucket", "label").agg(F.count("*").alias("rows")).groupBy("bucket").agg(F.max(F.struct("rows", "label")).alias("most"), F.count("*").alias("labels"))
         common = stored(labels.where("labels > 1").select("bucket", F.col("most.label").alias("common")), "common")
-        sides = stored(prefix.select("bucket", "rep", "label", "n", "place").join(common, "bucket"), "sides")
+        sides = stored(_flat(prefix).join(common, "bucket"), "sides")
         x, y = (sides.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "label", "n", "place", "common"))) for s in "xy")
         need = f"ceil({percent} * (x_n + y_n) / {100 + percent})"
         cross = x.where("x_label != x_common").join(y, "bucket").where(f"x_label != y_label and (y_label = y_common or x_rep > y_rep) and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and x_place <= x_n - {need} and y_place <= y_n - {need}")
         merge(_links(cross.select("x_rep", "y_rep", F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct(), left, left, percent))
 
     out = member.select("doc_id", "n_shingles", F.col("rep").alias("label"))
-    for now in merged:
-        out = _relabelled(out, now)
+    if merged is not None:
+        out = _relabelled(out, merged)
     out = out.select("doc_id", "n_shingles", F.col("label").alias("component_id"))
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     return out.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept)

@@ -53,11 +53,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables from which everything that will be read has been stored itself."""
+    """Deletes stored tables from which everything that will be read has been stored itself.
+
+    Spark deletes the shuffle files of a finished job once the driver's JVM
+    collects what refers to them. It is asked to here: where a table goes
+    because disk counts, those files of its making are the larger part.
+    """
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def about(df: DataFrame, id_col: str, rows: int, n: int) -> DataFrame:

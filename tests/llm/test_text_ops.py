@@ -57,6 +57,17 @@ def test_near_duplicates(spark, make, words, odd):
     assert got[None] == (1, None, True)
 
 
+def test_maps_of_labels_compose(spark):
+    """Two maps, one after the other, are one: chains of labels end where the second map sends them."""
+    from codestrata.llm.near_dedup import _composed, _relabelled
+
+    first = spark.createDataFrame([(5, 3), (6, 3), (9, 8)], "node long, component long")
+    then = spark.createDataFrame([(3, 1), (7, 2)], "node long, component long")
+    rows = spark.createDataFrame([(i,) for i in range(1, 10)], "label long")
+    step = _relabelled(_relabelled(rows, first), then)
+    assert sorted(_relabelled(rows, _composed(_composed(None, first), then)).collect()) == sorted(step.collect())
+
+
 def test_near_duplicates_of_repeated_ids(make, words):
     """Rows with one id tie the groups of all their texts."""
     a, b, c = words(40), words(40, 1000), words(40, 2000)
@@ -161,6 +172,16 @@ def test_repeats_of_repeated_ids(make, words):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (1, 0), (2, 60)]
 
 
+def test_repeats_of_a_row_given_many_times(make, words):
+    """Rows of one document are one in the trees, and passages that it repeats itself are counted by rows."""
+    text, other = words(70), words(60, 5)
+    rows = [(1, text)] * 2000 + [(2, "own " + other + " end")] * 3 + [(0, " ".join(["x", words(55, 3)] * 40))]
+    for group_rows in (1024, 30):
+        got = remove_repeats(make(rows), group_rows=group_rows).collect()
+        want = brute_repeats(list(dict(rows).items()))
+        assert len(got) == len(rows) and {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got} == {(i, *v) for i, v in want.items()}
+
+
 def test_repeats_empty(make):
     assert remove_repeats(make([])).collect() == []
 
