@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex, js_round
 from ..sources.durable import stored
-from .traverse import reach
+from .walks import counted, walk
 
 #: Path segments of each side of the layer rules; a slash must stand before them.
 FRONTEND = r"/(components?|pages?|views?|screens?|ui|hooks?|contexts?)/"
@@ -140,15 +140,18 @@ def compare(base: dict[str, DataFrame], head: dict[str, DataFrame], predicted: D
 
 
 def pr_review(impact_edges: DataFrame, changed: DataFrame, owners: DataFrame, decisions: DataFrame, health_delta: float | None, tiers=("plsql", "table", "column"), most: int = 50, asked: int = 5, large: int = 20) -> DataFrame:
-    """(section, key, n, detail): what a change touches beside compare(): impacts of the first ``most`` changed entities, what they use in the data tier, questions, whether a decision record is due, three reviewers, the change of health.
+    """(section, key, n, detail): what a change touches beside compare(): impacts of the first ``most`` changed entities, what they use in the data tier, questions, whether a decision record is due, three reviewers, the change of health. A row ``truncated`` says that more entities have changed.
 
     changed (id), owners (id, author), decisions (id, decision). A decision is
     asked about if the name of a changed file stands in it.
     """
     spark = impact_edges.sparkSession
-    seeds = stored(changed.select(F.col("id").alias("seed")).distinct().orderBy("seed").limit(most), "changed")
-    total = reach(impact_edges, seeds).groupBy(F.col("seed").alias("key")).agg(F.count("*").alias("n"))
-    total = stored(total, "impacts")  # at most `most` rows
+    seeds = stored(changed.select(F.col("id").alias("seed")).distinct().orderBy("seed").limit(most + 1), "changed")
+    more = seeds.count() > most
+    seeds = stored(seeds.orderBy("seed").limit(most), "changed")
+    impact_edges = stored(impact_edges.select("from_id", "to_id", "to_kind"), "graph")  # built once for the walk and the hits
+    reached = walk(impact_edges, seeds)
+    total = stored(counted(reached.levels.select("block", "bits"), reached.seeds).withColumnRenamed("seed", "key"), "impacts")  # at most `most` rows
     hits = impact_edges.where(F.col("to_kind").isin(*tiers)).join(total.select(F.col("key").alias("from_id")), "from_id").groupBy(F.col("from_id").alias("key")).agg(F.min("to_id").alias("detail"))
     hits = stored(hits, "hits")
     row = lambda df, section, n, detail: df.select(F.lit(section).alias("section"), "key", n.cast("long").alias("n"), detail.alias("detail"))
@@ -163,6 +166,8 @@ def pr_review(impact_edges: DataFrame, changed: DataFrame, owners: DataFrame, de
     out = row(total, "impact", F.col("n"), none).unionByName(row(hits, "cross-tier", F.lit(1), F.col("detail"))).unionByName(row(questions, "question", F.lit(1), F.col("detail")))
     out = out.unionByName(adr.where("wide and crosses").select(F.lit("decision-record").alias("section"), F.lit("due").alias("key"), F.lit(1).cast("long").alias("n"), none.alias("detail")))
     out = out.unionByName(row(people, "reviewer", F.col("n"), none))
+    if more:
+        out = out.unionByName(spark.createDataFrame([("truncated", "changed", most, None)], "section string, key string, n long, detail string"))
     if health_delta is not None:
         out = out.unionByName(spark.createDataFrame([("health", "delta", int(health_delta), str(health_delta))], "section string, key string, n long, detail string"))
     return out

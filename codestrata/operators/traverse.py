@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.durable import stored
+from .walks import counted, pairs, walk
 
 MAX_NODES = 2000
 FILE_NODES = 200
@@ -71,45 +72,63 @@ def dependents_of(impact_edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def blast_radius(impact_edges: DataFrame, entity: str, top: int = 20) -> DataFrame:
-    """The impacted nodes that most others depend on: (id, kind, depth, dependents, confidence)."""
-    near = impact_of(impact_edges, entity, max_nodes=SCORED_NODES).drop("truncated")
-    scored = dependents_of(impact_edges, near)
+    """The impacted nodes that most others depend on: (id, kind, depth, dependents, confidence). The graph is built once."""
+    graph = stored(impact_edges.select("from_id", "to_id", "confidence"), "graph")
+    near = stored(impact_of(graph, entity, max_nodes=SCORED_NODES).drop("truncated"), "near")
+    scored = dependents_of(graph, near)
     return scored.orderBy(F.desc("dependents"), "depth", "id").limit(top).select("id", "kind", "depth", "dependents", "confidence")
 
 
-def diff_impact(impact_edges: DataFrame, changed: DataFrame, max_files: int = 30) -> DataFrame:
-    """(id, kind, depth, hits): what changed entities (column id) affect, less themselves. One walk from all of them."""
-    seeds = changed.select(F.col("id").alias("seed")).distinct().orderBy("seed").limit(max_files)
-    hit = reach(impact_edges, seeds).groupBy("id").agg(F.min("depth").alias("depth"), F.count_distinct("seed").alias("hits"))
-    return hit.join(seeds.select(F.col("seed").alias("id")), "id", "left_anti").select("id", kind_of(F.col("id")).alias("kind"), "depth", "hits")
-
-
-def file_impact(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(file, direct, transitive): distinct importers of each given file (column file), and all files that reach it. A file on a cycle counts itself."""
-    seeds = files.select(F.col("file").alias("seed")).distinct()
-    plain = edges.select(F.col("from_file").alias("from_id"), F.col("to_file").alias("to_id"), "confidence")
-    direct = plain.join(seeds, plain.to_id == seeds.seed).groupBy("seed").agg(F.count_distinct("from_id").alias("direct"))
-    walked = reach(plain, seeds)
-    back = plain.join(walked.select("seed", F.col("id").alias("to_id")), "to_id").where("from_id = seed").select("seed", F.col("from_id").alias("id")).distinct()
-    total = walked.select("seed", "id").unionByName(back).distinct().groupBy("seed").agg(F.count("*").alias("transitive"))
-    return direct.join(total, "seed").select(F.col("seed").alias("file"), "direct", "transitive")
-
-
-def impact_index(edges: DataFrame, max_depth: int = 4, listed_direct: int = 30, listed: int = 100) -> DataFrame:
-    """For every file with importers: direct and transitive counts, exact to max_depth, the first of each by name, and whether files lie beyond that depth (truncated)."""
-    plain = edges.select(F.col("from_file").alias("from_id"), F.col("to_file").alias("to_id"), "confidence")
-    walked = reach(plain, edges.select(F.col("to_file").alias("seed")).distinct(), max_depth + 1)
-    near = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "id"))
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.col("depth") > max_depth, "id"))
-    within, first = F.col("depth") <= max_depth, F.col("depth") == 1
-    ranked = walked.withColumn("r", rank).withColumn("d", near)
-    return ranked.groupBy("seed").agg(
-        F.sum(first.cast("long")).alias("direct"),
-        F.sum(within.cast("long")).alias("transitive"),
-        F.sort_array(F.collect_list(F.when(first & (F.col("d") <= listed_direct), F.col("id")))).alias("direct_files"),
-        F.sort_array(F.collect_list(F.when(within & (F.col("r") <= listed), F.col("id")))).alias("transitive_files"),
-        F.max(~within).alias("truncated"),
-    ).withColumnRenamed("seed", "file")
+def diff_impact(impact_edges: DataFrame, changed: DataFrame, max_files: int = 30, max_nodes: int | None = None) -> DataFrame:
+    """(id, kind, depth, hits, truncated): what changed entities (column id) affect, less themselves, and how many of them affect it.
+
+    One walk from the first ``max_files`` of them, each as far as ``max_nodes``
+    nodes; truncated says whether there are more of either.
+    """
+    seeds = stored(changed.select(F.col("id").alias("seed")).where("seed is not null").distinct().orderBy("seed").limit(max_files + 1), "changed")
+    more = seeds.count() > max_files
+    seeds = seeds.orderBy("seed").limit(max_files)
+    w = walk(impact_edges, seeds, enough=max_nodes)
+    hit = w.levels.groupBy("id").agg(F.min("depth").alias("depth"), F.sum(F.bit_count("bits")).cast("long").alias("hits"))
+    cut = more or w.stopped is not None and not w.stopped.isEmpty()
+    return hit.join(seeds.select(F.col("seed").alias("id")), "id", "left_anti").select("id", kind_of(F.col("id")).alias("kind"), "depth", "hits", F.lit(cut).alias("truncated"))
+
+
+def file_impact(edges: DataFrame, files: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """(file, direct, transitive): distinct importers of each given file (column file), and all files that reach it. A file on a cycle counts itself.
+
+    With ``max_nodes`` a file's walk ends after the level that exceeds it, and no more are counted.
+    """
+    w = walk(edges, files.select(F.col("file").alias("seed")), source="from_file", target="to_file", starts=True, enough=max_nodes)
+    n = counted(w.levels.select("block", "bits", (F.col("depth") == 1).alias("first")), w.seeds, "first")
+    total = F.sum("n") if max_nodes is None else F.least(F.sum("n"), F.lit(max_nodes))
+    return n.groupBy(F.col("seed").alias("file")).agg(F.sum(F.when(F.col("first"), F.col("n"))).alias("direct"), total.cast("long").alias("transitive"))
+
+
+def impact_index(edges: DataFrame, max_depth: int = 4, listed_direct: int = 30, listed: int = 100, max_nodes: int | None = None) -> DataFrame:
+    """For every file with importers: direct and transitive counts, exact to max_depth, the first of each by name, and whether there are more (truncated).
+
+    With ``max_nodes`` the nearest so many count, by (depth, name), and a file
+    with more is truncated. Lists are cut by the tasks that write pairs out, so
+    what is shuffled for a file is no more than it lists.
+    """
+    w = walk(edges, edges.select(F.col("to_file").alias("seed")), max_depth + 1, "from_file", "to_file", enough=max_nodes)
+    levels = w.levels.withColumn("zone", F.when(F.col("depth") == 1, 1).when(F.col("depth") <= max_depth, 2).otherwise(3))
+    n = counted(levels, w.seeds, "zone").groupBy("seed").agg(*(F.coalesce(F.sum(F.when(F.col("zone") == z, F.col("n"))), F.lit(0)).alias(f"n{z}") for z in (1, 2, 3)))
+    transitive = F.col("n1") + F.col("n2")
+    most = F.lit(max_nodes).cast("long") if max_nodes is not None else transitive
+    n = n.where("n1 > 0").select("seed", F.col("n1").alias("direct"), F.least(transitive, most).alias("transitive"), ((F.col("n3") > 0) | (transitive > most)).alias("truncated"))
+
+    def first(zones: str, k: int, name: str) -> DataFrame:
+        within = pairs(levels.where(zones), w.seeds)
+        if max_nodes is not None:  # the nearest count, then the first of these by name
+            near = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "id"))
+            within = within.withColumn("near", near).where(F.col("near") <= max_nodes)
+        by_name = F.row_number().over(Window.partitionBy("seed").orderBy("id"))
+        return within.withColumn("r", by_name).where(F.col("r") <= k).groupBy("seed").agg(F.sort_array(F.collect_list("id")).alias(name))
+
+    lists = first("zone = 1", listed_direct, "direct_files").join(first("zone < 3", listed, "transitive_files"), "seed")
+    return n.join(lists, "seed").select(F.col("seed").alias("file"), "direct", "transitive", "direct_files", "transitive_files", "truncated")
 
 
 def find_path(edges: DataFrame, start: str, goal: str | list[str], max_depth: int = 10_000, source: str = "from_file", target: str = "to_file") -> DataFrame:

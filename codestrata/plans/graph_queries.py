@@ -61,7 +61,7 @@ def table_impact(spark, sf_dir):
   SELECT id, split_part(id, ':', 1) AS kind, min(depth) AS depth, count(DISTINCT s) AS hits FROM walk WHERE id NOT IN (SELECT s FROM seeds) GROUP BY id""")
 def diff_impact(spark, sf_dir):
     changed = A.table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"))
-    return traverse.diff_impact(A.impact_edges(spark, sf_dir), changed)
+    return traverse.diff_impact(A.impact_edges(spark, sf_dir), changed).drop("truncated")
 
 
 #: Customers and suppliers lead to their nations, those to their regions, those to one root: real depth for files.
