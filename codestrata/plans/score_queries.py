@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import govern, levels, score, search
+from ..sources.durable import shared_folder
+from ..sources.versions import open_version, publish
 from . import adapters as A
 from .registry import query
 
@@ -223,14 +227,26 @@ def _run_sql(odd: int, p: str) -> str:
 _NEW_V = "SELECT * FROM bv EXCEPT SELECT * FROM av"
 
 
-@query("v06_self_delta", f"WITH {_run_sql(0, 'a')}, {_run_sql(1, 'b')} " + f"""SELECT CASE WHEN b.score < a.score THEN 'health-down' ELSE 'health-up' END AS type, CASE WHEN b.score - a.score <= -10 THEN 'critical' WHEN b.score < a.score THEN 'warn' ELSE 'info' END AS severity, 'health ' || (b.score - a.score)::BIGINT AS title FROM ah a, bh b WHERE a.score <> b.score
+_DELTA = f"WITH {_run_sql(0, 'a')}, {_run_sql(1, 'b')} " + f"""SELECT CASE WHEN b.score < a.score THEN 'health-down' ELSE 'health-up' END AS type, CASE WHEN b.score - a.score <= -10 THEN 'critical' WHEN b.score < a.score THEN 'warn' ELSE 'info' END AS severity, 'health ' || (b.score - a.score)::BIGINT AS title FROM ah a, bh b WHERE a.score <> b.score
   UNION ALL SELECT 'new-risk', CASE WHEN level = 'critical' THEN 'critical' ELSE 'warn' END, title || ': ' || file FROM (SELECT * FROM br EXCEPT SELECT * FROM ar) x
   UNION ALL SELECT 'rule-violation', 'warn', rule_id || ' ' || from_file || ' ' || to_file FROM ({_NEW_V}) y
-  UNION ALL SELECT 'module-added', 'info', name FROM (SELECT * FROM bm EXCEPT SELECT * FROM am) z UNION ALL SELECT 'module-removed', 'info', name FROM (SELECT * FROM am EXCEPT SELECT * FROM bm) w""")
+  UNION ALL SELECT 'module-added', 'info', name FROM (SELECT * FROM bm EXCEPT SELECT * FROM am) z UNION ALL SELECT 'module-removed', 'info', name FROM (SELECT * FROM am EXCEPT SELECT * FROM bm) w"""
+
+
+@query("v06_self_delta", _DELTA)
 def self_delta(spark, sf_dir):
     return govern.self_delta(_run(spark, sf_dir, 0), _run(spark, sf_dir, 1))
 
 
+@query("s08_versions", _DELTA)
+def versions(spark, sf_dir):
+    """The same delta between two published versions of an index: what is not given anew is taken over."""
+    place = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    for k in (0, 1):
+        publish(_run(spark, sf_dir, k), place)
+    return govern.self_delta(open_version(spark, place, 1), open_version(spark, place))
+
+
 def _compared(spark, sf_dir):
     side = lambda r: {"risks": r["risks"], "rules": r["violations"].withColumn("severity", F.lit("error")), "violations": r["violations"].select(F.col("rule_id").alias("rule"), "from_file", "to_file", F.lit("high").alias("severity"))}
     predicted = risk_prediction(spark, sf_dir)

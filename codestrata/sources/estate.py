@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, line_count
-from ..schemas import RELATIONS
+from .versions import open_version, publish
 
 MAX_FILES, MAX_BYTES = 200_000, 512 * 1024
 
@@ -89,27 +89,16 @@ def diff(*parts: DataFrame) -> DataFrame:
 
 
 def write_index(relations: dict[str, DataFrame], path: str) -> dict[str, int]:
-    """Rewrites the given relations below path, each with its declared columns; rows of each."""
-    sizes = {}
-    for name, df in relations.items():
-        ddl = [c.split() for c in RELATIONS[name].split(", ")]
-        df.select(*(F.col(c).cast(" ".join(t)) if c in df.columns else F.lit(None).cast(" ".join(t)).alias(c) for c, *t in ddl)).write.mode("overwrite").parquet(f"{path}/{name}")
-        sizes[name] = df.sparkSession.read.parquet(f"{path}/{name}").count()
-    return sizes
-
-
-def open_index(spark: SparkSession, path: str, views: bool = True) -> dict[str, DataFrame] | None:
-    """The relations below path (also as temporary views), or None if there are none."""
-    found = {}
-    for name, ddl in RELATIONS.items():
-        try:
-            found[name] = spark.read.schema(ddl).parquet(f"{path}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    for name, df in found.items() if views else ():
+    """Publishes the given relations, each with its declared columns, as the next version of the index; rows of each."""
+    return {name: r["rows"] for name, r in publish(relations, path)["relations"].items() if name in relations}
+
+
+def open_index(spark: SparkSession, path: str, views: bool = True, version: int | None = None) -> dict[str, DataFrame] | None:
+    """The relations of a version of the index (the last), also as temporary views, or None if there is none."""
+    found = open_version(spark, path, version)
+    for name, df in (found or {}).items() if views else ():
         df.createOrReplaceTempView(name)
-    return found or None
+    return found
 
 
 def write_json(df: DataFrame, path: str) -> None:
