@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import govern, levels, score, search
+from ..operators import govern, levels, postings, score, search
 from ..sources.durable import shared_folder
 from ..sources.versions import open_version, publish
 from . import adapters as A
@@ -342,13 +342,24 @@ def history(spark, sf_dir):
     return govern.capped(A.table(spark, sf_dir, "events"), 200, ["ts", "event_id"]).select("event_id")
 
 
-@query("q12_bm25", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS w FROM documents), t AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w),
+_BM25 = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS w FROM documents), t AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w),
   f AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM w) x WHERE starts_with(term, 'license') OR starts_with(term, 'apache') GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
-  SELECT doc_id, floor(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / a))) * 10 + 0.5) / 10 AS score FROM f JOIN d USING (term), t GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
+  SELECT doc_id, floor(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / a))) * 10 + 0.5) / 10 AS score FROM f JOIN d USING (term), t GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10"""
+
+
+@query("q12_bm25", _BM25)
 def bm25(spark, sf_dir):
     return search.bm25(A.corpus(spark, sf_dir), "doc_id", "content", "License Apache")
 
 
+@query("q12_index", _BM25)
+def bm25_of_index(spark, sf_dir):
+    """The same from a stored index of all documents, of which those of one language were indexed with other texts first and have changed since."""
+    place, docs = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", A.corpus(spark, sf_dir).select("doc_id", "content", "layer")
+    before = docs.withColumn("content", F.when(F.col("layer") == "de", F.concat(F.lit("apache license "), F.substring("content", 1, 200))).otherwise(F.col("content")))
+    postings.add(before, place, "doc_id")
+    postings.add(docs.where("layer = 'de'"), place, "doc_id")
+    return postings.Index(spark, place).bm25("License Apache").withColumnRenamed("key", "doc_id")
 
 
 @query("e19_terms", f"""WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z]+') IF len(x) >= 3] AS w FROM documents)
@@ -357,13 +368,24 @@ def index_terms(spark, sf_dir):
     return A.corpus(spark, sf_dir).select("doc_id", F.size(search.terms(F.col("content"))).alias("n_terms"))
 
 
-@query("q14_inverted", """WITH w AS (SELECT doc_id, list_distinct([x FOR x IN string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z]+') IF len(x) >= 3]) AS w FROM documents)
-  SELECT doc_id, (SELECT sum(CASE WHEN x = 'version' THEN 2 ELSE 1 END) FROM unnest(w) t(x) WHERE starts_with(x, 'version'))::BIGINT AS score FROM w WHERE len([x FOR x IN w IF starts_with(x, 'version')]) > 0 ORDER BY score DESC, doc_id LIMIT 10""")
+_INVERTED = """WITH w AS (SELECT doc_id, list_distinct([x FOR x IN string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z]+') IF len(x) >= 3]) AS w FROM documents)
+  SELECT doc_id, (SELECT sum(CASE WHEN x = 'version' THEN 2 ELSE 1 END) FROM unnest(w) t(x) WHERE starts_with(x, 'version'))::BIGINT AS score FROM w WHERE len([x FOR x IN w IF starts_with(x, 'version')]) > 0 ORDER BY score DESC, doc_id LIMIT 10"""
+
+
+@query("q14_inverted", _INVERTED)
 def inverted(spark, sf_dir):
     docs = A.corpus(spark, sf_dir).select("doc_id", search.terms(F.col("content"), most=1_000_000).alias("terms"))
     return search.inverted(docs, "doc_id", "terms", "version")
 
 
+@query("q14_index", _INVERTED)
+def inverted_of_index(spark, sf_dir):
+    """The same from stored postings of all terms."""
+    place = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    postings.add(A.corpus(spark, sf_dir), place, "doc_id", tokens=search.terms(F.col("content"), most=1_000_000))
+    return postings.Index(spark, place).inverted("version").withColumnRenamed("key", "doc_id")
+
+
 @query("q15_vector_topk", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 3)
   SELECT vec_id, floor(coalesce(list_cosine_similarity(embedding::DOUBLE[], q), 0) * 1000 + 0.5) / 1000 AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10""")
 def vector_topk(spark, sf_dir):
