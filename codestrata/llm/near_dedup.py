@@ -40,6 +40,8 @@ BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 #: Shingles are ordered by the counts of 2**BINS hashed bins.
 BINS = 20
+#: Longs of the bit filter that spares the texts nobody asks for their shuffle.
+FILTER_WORDS = 1 << 18
 
 SKETCH = "doc_id long, text_key long, n_shingles long, set_id binary, bands array<long>"
 SETS = "rep long, n long, shingles binary, compared boolean, central boolean"
@@ -191,6 +193,20 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
     return n
 
 
+def _asked_for(base: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of base whose (doc_id, text_key) keys may hold: all that it does, and by chance a few more.
+
+    A bit filter of FILTER_WORDS longs, joined by word: a broadcast of that many
+    rows at most. With far more keys than bits it lets all pass, which costs a
+    shuffle and changes nothing.
+    """
+    h = F.xxhash64("doc_id", "text_key")
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)), h.bitwiseAND(63).cast("int")
+    on = keys.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    held = F.call_function("getbit", F.col("bits"), F.col("bit")) == 1
+    return base.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(on), "word").where(held).drop("word", "bit", "bits")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -226,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roles = ends.unionByName(others).groupBy("rep").agg(F.max("compared").alias("compared"), F.max("central").alias("central"))
     keys = stored(member.where("bands is not null").join(roles, "rep").select("doc_id", "text_key", "compared", "central").distinct(), "live")
     # repeated rows meet once, where the join has put them
-    live = base.join(keys, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text", "compared", "central")
+    live = _asked_for(base, keys).join(keys, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text", "compared", "central")
     sets = stored(live.mapInArrow(lambda it: _full(it, words), SETS), "sets")
     discard(keys, shared)
 

@@ -68,6 +68,18 @@ def test_maps_of_labels_compose(spark):
     assert sorted(_relabelled(rows, _composed(_composed(None, first), then)).collect()) == sorted(step.collect())
 
 
+def test_bit_filter_loses_no_key(spark, monkeypatch):
+    from codestrata.llm import near_dedup
+
+    base = spark.createDataFrame([(i, i * 7, f"t{i}") for i in range(3000)], "doc_id long, text_key long, text string")
+    keys = base.where("doc_id % 10 = 0").select("doc_id", "text_key")
+    few = {r.doc_id for r in near_dedup._asked_for(base, keys).collect()}
+    assert {i for i in range(0, 3000, 10)} <= few and len(few) < 400
+    monkeypatch.setattr(near_dedup, "FILTER_WORDS", 1)  # full: all pass
+    assert near_dedup._asked_for(base, keys).count() == 3000
+    assert near_dedup._asked_for(base, keys.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_repeated_ids(make, words):
     """Rows with one id tie the groups of all their texts."""
     a, b, c = words(40), words(40, 1000), words(40, 2000)
