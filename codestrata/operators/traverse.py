@@ -209,7 +209,12 @@ def _peeled(e: DataFrame) -> DataFrame:
 
 
 def circular(edges: DataFrame, source: str = "from_file", target: str = "to_file") -> DataFrame:
-    """(from_id, to_id): edges a -> b where b also reaches a, that is, edges inside a cycle.
+    """(from_id, to_id): edges a -> b where b also reaches a, that is, edges inside a cycle."""
+    return components(edges, source, target).select("from_id", "to_id")
+
+
+def components(edges: DataFrame, source: str = "from_file", target: str = "to_file") -> DataFrame:
+    """(from_id, to_id, component): edges inside a cycle, with the node that names their component.
 
     Strongly connected components by colouring: the largest id that reaches a
     node is its colour; what reaches that id back inside the colour is its
@@ -235,10 +240,11 @@ def circular(edges: DataFrame, source: str = "from_file", target: str = "to_file
             if frontier.isEmpty():
                 break
             taken = stored(taken.unionByName(frontier), "taken")
-        found.append(inside.join(taken.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(taken.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id"))
+        held = inside.join(taken.select(F.col("id").alias("from_id"), F.col("color").alias("component")), "from_id")
+        found.append(held.join(taken.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id", "component"))
         gone = taken.select("id")
         e = _peeled(stored(e.join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id"), "digraph"))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "from_id string, to_id string")
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "from_id string, to_id string, component string")
 
 
 def resolve_id(impact_edges: DataFrame, symbols: DataFrame, files: DataFrame, query: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import build, levels, traverse
+from ..operators import build, levels, reachability, traverse
+from ..sources.durable import shared_folder
 from . import adapters as A
 from .registry import query
 
@@ -32,6 +35,30 @@ def blast_radius(spark, sf_dir):
     return traverse.blast_radius(A.impact_edges(spark, sf_dir), ENTITY)
 
 
+def _stored_reach(spark, sf_dir):
+    place = f"{shared_folder(spark)}/reach-{uuid.uuid4().hex}"
+    reachability.save(A.impact_edges(spark, sf_dir), place)
+    return reachability.Reach(spark, place)
+
+
+@query("q03_depends", """SELECT 'order:' || o_orderkey AS from_id, o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7')
+    OR o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7') AS depends FROM orders""")
+def depends(spark, sf_dir):
+    """Whether each order depends on one nation, from the stored index: by labels where they decide, else by steps along its own edges."""
+    asked = A.table(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("from_id"), F.lit("nation:NATION_7").alias("to_id"))
+    return _stored_reach(spark, sf_dir).depends(asked).select("from_id", "depends")
+
+
+@query("q04_stored_radius", _walk("region:ASIA") + """,
+  near AS (SELECT * FROM impacted ORDER BY depth, id LIMIT 200)
+  SELECT id, kind, depth, coalesce(n, 0) AS dependents, confidence FROM near
+  LEFT JOIN (SELECT to_id, count(DISTINCT from_id) AS n FROM impact GROUP BY 1) d ON to_id = id
+  ORDER BY dependents DESC, depth, id LIMIT 20""")
+def stored_radius(spark, sf_dir):
+    """The blast radius read from the stored index."""
+    return _stored_reach(spark, sf_dir).blast_radius("region:ASIA")
+
+
 @query("q03_impact_of", _walk("nation:NATION_7") + "SELECT id, kind, depth, confidence, (SELECT count(*) > 2000 FROM impacted) AS truncated FROM impacted ORDER BY depth, id LIMIT 2000")
 def impact_of(spark, sf_dir):
     return traverse.impact_of(A.impact_edges(spark, sf_dir), "nation:NATION_7")
