@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..operators import govern, levels
 from ..sources import estate
 from ..sources.durable import shared_folder
 from ..streaming import live
+from ..streaming.ledger import Ledger, deliver_alerts
 from . import adapters as A
 from .graph_queries import ENTITY, _walk
 from .registry import query
@@ -162,6 +164,23 @@ def dispatch(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in seen], "event_id long")
 
 
+@query("l05_ledger", "SELECT event_id FROM events WHERE event_type = 'error' AND value > 50")
+def ledger(spark, sf_dir):
+    """Alerts of the stream sent by tasks, 20 to a call; a third of all calls fails, is kept open and tried again until all are sent."""
+    place = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+
+    def deliver(payloads, key):
+        if zlib.crc32(key.encode()) % 3 == 0:
+            raise RuntimeError("no line")
+
+    events = _events(spark, sf_dir).where("event_type = 'error'").withColumn("type", F.lit("new-risk")).withColumn("change", F.lit(0)).withColumn("severity", F.when(F.col("value") > 50, "critical").otherwise("warn"))
+    deliver_alerts(events, f"{place}/checkpoint", f"{place}/ledger", deliver, most=20, tries=50).awaitTermination()
+    book = Ledger(spark, f"{place}/ledger", deliver, most=20, tries=50)
+    while book.retry():
+        pass
+    return book.sent().select(F.col("event").cast("long").alias("event_id"))
+
+
 @query("s07_index", A.with_sql("edges") + " SELECT from_file, count(*) AS n, min(confidence) AS confidence FROM edges GROUP BY 1")
 def index(spark, sf_dir):
     """The edges written to an index, opened again and read as a view."""

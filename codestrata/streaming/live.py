@@ -61,7 +61,8 @@ def push(events: DataFrame, checkpoint: str, send: Callable[[DataFrame, int], No
 
 
 def dispatch_alerts(events: DataFrame, checkpoint: str, deliver: Callable[[list], None], drop: int = 10, most: int = 100, errors: list | None = None):
-    """Starts alert delivery: all selected alerts of each batch, ``most`` to a call. A delivery that fails is noted in ``errors`` and never ends the stream."""
+    """Starts alert delivery: all selected alerts of each batch, ``most`` to a call, from the driver. A delivery that fails is noted in ``errors`` and never ends the stream; without such a list it
+    does end it, and the batch comes again. ``ledger.deliver_alerts`` sends from executors and keeps account."""
 
     def send(batch: DataFrame, batch_id: int) -> None:
         rows = govern.alerts(batch, drop).toLocalIterator()
@@ -69,8 +70,9 @@ def dispatch_alerts(events: DataFrame, checkpoint: str, deliver: Callable[[list]
             try:
                 deliver(chosen)
             except Exception as e:
-                if errors is not None:
-                    errors.append((batch_id, str(e)))
+                if errors is None:
+                    raise
+                errors.append((batch_id, str(e)))
 
     return push(events, checkpoint, send)
 
