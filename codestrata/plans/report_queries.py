@@ -181,6 +181,30 @@ def ledger(spark, sf_dir):
     return book.sent().select(F.col("event").cast("long").alias("event_id"))
 
 
+@query("s04_commit_log", """WITH x AS (SELECT event_id, event_type IN ('error', 'purchase') AS head, 'f' || json_extract_string(props, '$.k') AS file FROM events),
+  y AS (SELECT file, last_value(CASE WHEN head THEN event_id END IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS last_head FROM x)
+  SELECT lpad(lower(to_hex(event_id)), 12, '0') AS sha, floor(epoch(ts))::BIGINT AS epoch, 'u' || user_id AS author, y.file, event_type = 'error' AS is_fix FROM y JOIN events ON event_id = last_head WHERE y.file IS NOT NULL""")
+def commit_log(spark, sf_dir):
+    """All events as one log: errors and purchases are commits, every event up to the next one is a file of theirs."""
+    e = A.table(spark, sf_dir, "events").withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"))
+    sha, author = F.lpad(F.lower(F.hex("event_id")), 12, "0"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    line = lambda k, value: F.struct((F.col("event_id") * 2 + k).alias("line_no"), value.alias("value"))
+    head = F.when(F.col("event_type").isin("error", "purchase"), F.concat_ws("|", sha, "at", author, F.when(F.col("event_type") == "error", "fix it").otherwise("go on")))
+    lines = e.select(F.lit("all").alias("log"), F.explode(F.array(line(0, head), line(1, F.concat(F.lit("f"), F.get_json_object("props", "$.k"))))).alias("l")).select("log", "l.*")
+    return estate.commit_log(lines).select("sha", F.unix_timestamp("ts").alias("epoch"), "author", "file", "is_fix")
+
+
+@query("s03_cache", "SELECT source || '/' || lang || '/' || doc_id AS rel_path FROM documents WHERE n_chars % 2 = 1")
+def cache(spark, sf_dir):
+    """A saved cache of all files, read again: files of an odd length have another time now. A cache of another version is none."""
+    place = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    d = A.table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("rel_path"), F.col("n_chars").cast("long").alias("n"))
+    estate.save_cache(d.select("rel_path", F.timestamp_seconds("n").alias("modified")), place)
+    if estate.load_cache(spark, place, version=2) is not None:
+        raise ValueError("a cache of another version was taken")
+    return estate.changed_files(d.select("rel_path", F.timestamp_seconds(F.col("n") + F.col("n") % 2).alias("modified")), estate.load_cache(spark, place))
+
+
 @query("s07_index", A.with_sql("edges") + " SELECT from_file, count(*) AS n, min(confidence) AS confidence FROM edges GROUP BY 1")
 def index(spark, sf_dir):
     """The edges written to an index, opened again and read as a view."""

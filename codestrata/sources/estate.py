@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, line_count
+from .durable import stored
 from .versions import open_version, publish
 
 MAX_FILES, MAX_BYTES = 200_000, 512 * 1024
@@ -64,19 +65,29 @@ def load_cache(spark: SparkSession, path: str, version: int = 1) -> DataFrame |
 
 
 def commit_log(lines: DataFrame) -> DataFrame:
-    """(sha, ts, author, subject, file, is_fix) of a log as text: a header line ``sha|epoch|author|subject``, then a file a line.
+    """(sha, ts, author, subject, file, is_fix) of logs as text: a header line ``sha|epoch|author|subject``, then a file a line.
 
-    lines: (log, line_no, value); each log is a file of bounded size, ordered by line_no.
+    lines: (log, line_no, value), of any length, ordered by line_no. All lines
+    are sorted in parts; each part carries on from the last header of the parts
+    before it, so a log that is most of the table is many tasks' work. Files
+    before a log's first header, and empty or null lines, are nobody's.
     """
     from pyspark.sql import Window
 
     from ..operators.score import is_fix
 
     head = r"^([0-9a-f]{7,40})\|(\d+)\|([^|]*)\|(.*)$"
-    own = F.when(F.col("value").rlike(head), F.col("value"))
-    at = F.last(own, ignorenulls=True).over(Window.partitionBy("log").orderBy("line_no"))
-    rows = lines.withColumn("head", at).where(own.isNull() & (F.trim("value") != "") & F.col("head").isNotNull())
-    part = lambda i: F.regexp_extract("head", head, i)
+    own = F.when(F.col("value").rlike(head), F.struct("log", F.col("value").alias("line")))
+    ordered = lines.select("log", "line_no", "value").orderBy("log", "line_no")
+    parts = stored(ordered.select("log", "value", own.alias("own"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n")), "log")
+    # a row for each part of the sort, however long the logs are
+    lasts = parts.groupBy("part").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("n"))).alias("last"))
+    before = F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.broadcast(lasts.select("part", before.alias("carried")))
+    within = F.last("own", ignorenulls=True).over(Window.partitionBy("part").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = parts.withColumn("at", within).join(carried, "part").withColumn("at", F.coalesce("at", "carried"))
+    rows = placed.where(F.col("own").isNull() & (F.trim("value") != "") & F.col("at").isNotNull() & F.col("at.log").eqNullSafe(F.col("log")))
+    part = lambda i: F.regexp_extract("at.line", head, i)
     return rows.select(part(1).alias("sha"), part(2).cast("long").cast("timestamp").alias("ts"), part(3).alias("author"), part(4).alias("subject"), F.col("value").alias("file"), is_fix(part(4)).alias("is_fix"))
 
 

@@ -1,5 +1,7 @@
 """Sources, detectors, parsers and graph building over a small code estate of our own."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,10 +62,30 @@ def test_log_and_diff(spark):
     rows = [("l", i, v) for i, v in enumerate(["abcdef1|1700000000|Ann|Fix the bug", "a.ts", "b.ts", "", "abcdef2|1700000100|Bo|prefix feature", "a.ts"])]
     got = estate.commit_log(spark.createDataFrame(rows, "log string, line_no int, value string")).collect()
     assert sorted((r.sha[-1], r.author, r.file, r.is_fix) for r in got) == [("1", "Ann", "a.ts", True), ("1", "Ann", "b.ts", True), ("2", "Bo", "a.ts", False)]
+    assert estate.commit_log(spark.createDataFrame([], "log string, line_no int, value string")).isEmpty()
     one = spark.createDataFrame([("a",), ("b",), (None,)], "file string")
     assert sorted(r.file for r in estate.diff(one, one).collect()) == ["a", "b"]
 
 
+def test_long_logs_are_read_in_parts(spark):
+    """One log that is nearly all rows, with few headers, cut by the sort into parts without any; logs do not run into each other."""
+    rng = random.Random(3)
+    rows, want = [], []
+    for log, n in (("a", 3), ("b", 4000), (None, 9), ("c", 30)):
+        sha = None
+        for i in range(n):
+            if rng.random() < (0.002 if log == "b" else 0.2):
+                sha = f"{rng.randrange(16**8):08x}"
+                rows.append((log, i, f"{sha}|{i}|Ann|go on"))
+            else:
+                rows.append((log, i, rng.choice([f"{log}{i}", f"{log}{i}", " ", None])))
+                if sha and rows[-1][2] and rows[-1][2].strip():
+                    want.append((sha, rows[-1][2]))
+    rng.shuffle(rows)
+    got = estate.commit_log(spark.createDataFrame(rows, "log string, line_no int, value string").repartition(5))
+    assert sorted((r.sha, r.file) for r in got.collect()) == sorted(want)
+
+
 def test_config():
     text = '{ // note\n "compilerOptions": {"baseUrl": "./src", "paths": {"@app/*": ["app/*"], "@/*": ["./*",]}, }, /* "x" */ "s": "a//b" }'
     assert estate.path_aliases(text) == [("@app", "src/app"), ("@", "src")]
