@@ -27,5 +27,5 @@ OPERATORS: dict[str, str] = {
     "V1": "operators.govern.layer_violations", "V2": "operators.traverse.circular", "V3": "operators.govern.arch_rules", "V4": "functions.text.glob_regex", "V5": "operators.govern.deepening", "V6": "operators.govern.self_delta",
     "V7": "operators.govern.prediction_feedback", "V8": "operators.govern.compare, pr_review", "V9": "operators.govern.gates", "V10": "operators.govern.triage_sync", "V11": "operators.govern.triage_transition", "V12": "operators.govern.triage_list",
     "V13": "operators.govern.portfolio", "V14": "operators.govern.alerts", "V15": "operators.govern.capped", "V16": "operators.govern.capped", "V17": "operators.govern.manual_item", "V18": "operators.govern.portfolio, summarise, portfolio_totals", "V19": "operators.govern.rule_compliance",
-    "L1": "streaming.live.watch_files, debounced", "L2": "streaming.live.once", "L3": "streaming.live.push", "L4": "streaming.live.append_activity, compact_activity", "L5": "streaming.live.dispatch_alerts, streaming.ledger.deliver_alerts, Ledger", "L6": "streaming.live.incremental", "L7": "streaming.ledger.deliver_alerts",
+    "L1": "streaming.live.watch_files, debounced, streaming.debounce.quiet_bursts, reanalyse", "L2": "streaming.live.once", "L3": "streaming.live.push", "L4": "streaming.live.append_activity, compact_activity", "L5": "streaming.live.dispatch_alerts, streaming.ledger.deliver_alerts, Ledger", "L6": "streaming.live.incremental", "L7": "streaming.ledger.deliver_alerts",
 }

@@ -109,6 +109,23 @@ def debounce_sessions(spark, sf_dir):
     return out.select("user_id", whole("start"), whole("end"), "n")
 
 
+@query("l01_quiet_bursts", """WITH x AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id::VARCHAR AS user_id, epoch_us(min(ts)::TIMESTAMP) AS start, epoch_us(max(ts)::TIMESTAMP) + 21600000000 AS "end", count(*) AS n FROM s GROUP BY user_id, g""")
+def quiet(spark, sf_dir):
+    """Bursts of each user from the event table as a stream; the last ones end by their timers."""
+    import uuid
+
+    from ..sources.durable import shared_folder
+    from ..streaming.debounce import quiet_bursts, settled
+
+    events = A.table(spark, sf_dir, "events")
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(_folder(sf_dir))
+    place = f"{shared_folder(spark)}/bursts-{uuid.uuid4().hex}"
+    out = quiet_bursts(source, 6 * 3600, key="user_id", patience=2).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint")
+    settled(out.trigger(processingTime="1 second").start())
+    return spark.read.schema("key string, start timestamp, end timestamp, n long").parquet(f"{place}/out").select(F.col("key").alias("user_id"), F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
 @query("l04_activity_stream", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def activity_stream(spark, sf_dir):
     """Hourly rates of the event table read as a stream; a late batch row would be dropped, so the watermark spans the table."""
