@@ -15,7 +15,7 @@ OPERATORS: dict[str, str] = {
     "G4": "operators.build.call_graph", "G5": "operators.build.match_routes", "G6": "operators.build.match_names", "G7": "functions.text.node_id", "G8": "operators.build.typed_edges",
     "G9": "operators.build.resolve_names", "G10": "operators.traverse.impact_index", "G11": "operators.parse.symbol_relations",
     "Q1": "operators.traverse.resolve_id", "Q2": "operators.traverse.resolve_file", "Q3": "operators.traverse.impact_of, operators.reachability.save, Reach", "Q4": "operators.traverse.blast_radius", "Q5": "operators.traverse.file_impact",
-    "Q6": "operators.traverse.find_path", "Q7": "operators.traverse.trace", "Q8": "operators.traverse.resolve_entry", "Q9": "operators.traverse.flow", "Q10": "operators.levels.level", "Q11": "operators.levels.module_matrix",
+    "Q6": "operators.traverse.find_path", "Q7": "operators.traverse.trace", "Q8": "operators.traverse.resolve_entry", "Q9": "operators.traverse.flow", "Q10": "operators.levels.level, operators.lattice.save, Lattice", "Q11": "operators.levels.module_matrix",
     "Q12": "operators.search.bm25", "Q13": "operators.search.snippet", "Q14": "operators.search.inverted", "Q15": "operators.search.vector_search", "Q16": "operators.levels.call_graph_dump", "Q17": "api.get_table_columns",
     "Q18": "api.get_table_impact", "Q19": "operators.traverse.diff_impact", "Q20": "api.get_table_access", "Q21": "api.get_plsql_object", "Q22": "operators.levels.dead_objects", "Q23": "operators.levels.dead_files",
     "Q24": "operators.levels.fuzzy_modules", "Q25": "operators.levels.zoom_out", "Q26": "api.get_zoom_out", "Q27": "operators.levels.concept_map", "Q28": "api.get_diagnosis", "Q29": "api.get_agent_brief", "Q30": "operators.levels.gaps",

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import build, levels, reachability, traverse
+from ..operators import build, lattice, levels, reachability, traverse
 from ..sources.durable import shared_folder
 from . import adapters as A
 from .registry import query
@@ -161,6 +161,24 @@ def level_file(spark, sf_dir):
     return levels.level(A.edges(spark, sf_dir), A.files(spark, sf_dir), modules=("NATION_7",))
 
 
+_VIEWS = {
+    "layer": ("'layer:' || layer", {}),
+    "module": ("CASE WHEN layer = 'EUROPE' THEN 'module:' || module ELSE 'layer:' || layer END", {"layers": ("EUROPE",)}),
+    "file": ("""CASE WHEN rel_path IN (SELECT rel_path FROM top) THEN 'file:' || rel_path WHEN module = 'NATION_7' THEN 'more:' || module
+    WHEN layer IN (SELECT layer FROM files WHERE module = 'NATION_7') THEN 'module:' || module ELSE 'layer:' || layer END""", {"modules": ("NATION_7",)}),
+}
+
+
+@query("q10_lattice", " UNION ALL ".join(f"SELECT '{name}' AS view, * FROM ({_level_sql(node)}) {name}_view" for name, (node, _) in _VIEWS.items()))
+def stored_levels(spark, sf_dir):
+    """Three views from one stored lattice of roll-ups."""
+    place = f"{shared_folder(spark)}/lattice-{uuid.uuid4().hex}"
+    lattice.save(A.edges(spark, sf_dir), A.files(spark, sf_dir), place)
+    opened = lattice.Lattice(spark, place)
+    parts = [opened.level(**how).withColumn("view", F.lit(name)) for name, (_, how) in _VIEWS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("g01_dependency_edges", A.with_sql("edges") + """, d AS (SELECT file, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (
     SELECT from_file AS file, 0 AS i, 1 AS o FROM edges UNION ALL SELECT to_file, 1, 0 FROM edges) x GROUP BY 1)
   SELECT file, in_degree, out_degree, in_degree > 0 AND file IN (SELECT file FROM d WHERE in_degree > 0 ORDER BY in_degree DESC, file LIMIT 20) AS central FROM d""")
