@@ -52,15 +52,14 @@ def get_module(e: Estate, module: str, budget: int = 75_000) -> DataFrame:
 
 
 def get_plsql_object(e: Estate, name: str) -> DataFrame:
-    """Objects by exact name, else by part of it."""
-    exact = e.objects.where(F.upper("name") == name.upper())
-    return exact if not exact.isEmpty() else _matching(e.objects, ("name",), name)
+    """One object with what it reads and writes, who calls it and what it calls."""
+    return levels.object_report(e.objects, e.cg_edges, name, e.facts.get("object_access"))
 
 
 def get_zoom_out(e: Estate, entity: str | None = None) -> DataFrame:
     if entity is None:
         return levels.zoom_out(e.edges, e.files)
-    return traverse.impact_of(e.impact_edges, entity, max_depth=3).groupBy("kind", "depth").agg(F.count("*").alias("n"))
+    return levels.zoom_out_entity(traverse.impact_of(e.impact_edges, entity, max_depth=3), e.files, entity)
 
 
 def _entity(e: Estate, name: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.durable import stored
+
 SHOWN_FILES = 150
 
 
@@ -111,6 +113,52 @@ def dead_objects(objects: DataFrame, calls: DataFrame) -> DataFrame:
     return free.join(calls.where("pkg is not null").select(upper("pkg").alias("__p")).distinct(), upper("pkg") == F.col("__p"), "left_anti")
 
 
+def object_report(objects: DataFrame, cg_edges: DataFrame, name: str, access: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """(section, item, truncated) of a database object: object, place, reads, writes, caller, callee, the first ``most`` of each by name.
+
+    The object is the one of that name (and package, if the name has a dot),
+    else the first whose name holds it; without any, section available lists 20
+    procedures and functions. objects: (kind, name, pkg, file, line); access:
+    (object, table, mode read or write), object with or without its package;
+    calls are edges of the call graph whose end holds the object's name.
+    """
+    *pkg, last = [x for x in name.upper().strip().split(".") if x][-2:] or [""]
+    upper = F.upper("name")
+    exact = (upper == last) & (F.upper("pkg") == pkg[0] if pkg else F.lit(True))
+    rank = F.when(exact, 0).when(upper.contains(last), 1)
+    full = F.concat_ws(".", "pkg", "name")
+    found = objects.withColumn("rank", rank).where("rank is not null").orderBy("rank", "pkg", "name", "file", "line").select("kind", "name", "pkg", "file", "line").first()
+
+    def first(section: str, items: DataFrame, n: int) -> DataFrame:
+        kept = items.toDF("item").where("item is not null").distinct().orderBy("item").limit(n + 1)
+        ranked = stored(kept, "report")
+        return ranked.orderBy("item").limit(n).select(F.lit(section).alias("section"), "item", F.lit(ranked.count() > n).alias("truncated"))
+
+    if found is None:
+        return first("available", objects.where(F.lower("kind").isin("procedure", "function")).select(full), 20)
+    title = f"{found.pkg}.{found.name}" if found.pkg else found.name
+    out = objects.sparkSession.createDataFrame([("object", f"{found.kind} {title}", False), ("place", f"{found.file}:{found.line}", False)], "section string, item string, truncated boolean")
+    if access is not None:
+        own = access.where(F.upper("object").isin(title.upper(), found.name.upper()))
+        out = out.unionByName(first("reads", own.where("mode = 'read'").select("table"), most)).unionByName(first("writes", own.where("mode = 'write'").select("table"), most))
+    calls = cg_edges.where(F.col("type").isin("PLSQL_CALL", "DB_CALL"))
+    out = out.unionByName(first("caller", calls.where(F.col("to_id").contains(found.name)).select("from_id"), most))
+    return out.unionByName(first("callee", calls.where(F.col("from_id").contains(found.name)).select(F.coalesce("label", "to_id")), most))
+
+
+def zoom_out_entity(impacted: DataFrame, files: DataFrame, entity: str, top: int = 8) -> DataFrame:
+    """(section, name, n): the entity's own module and layer (home), the ``top`` modules with most of what depends on it, and counts by kind.
+
+    impacted: (id, kind, ...); only files (``file:<path>``) have a module. files: (rel_path, module, layer).
+    """
+    place = files.select(F.concat(F.lit("file:"), "rel_path").alias("id"), "module", "layer")
+    own = F.inline(F.array(*(F.struct(F.lit(f"home {c}").alias("section"), F.col(c).alias("name"), F.lit(1).cast("long").alias("n")) for c in ("module", "layer"))))
+    home = place.where(F.col("id") == entity).dropDuplicates(["id"]).select(own).where("name is not null")
+    kinds = impacted.groupBy(F.col("kind").alias("name")).agg(F.count("*").alias("n")).select(F.lit("kind").alias("section"), "name", "n")
+    by = impacted.join(place, "id").where("module is not null and module != ''").groupBy(F.col("module").alias("name")).agg(F.count("*").alias("n"))
+    return home.unionByName(by.orderBy(F.desc("n"), "name").limit(top).select(F.lit("module").alias("section"), "name", "n")).unionByName(kinds)
+
+
 def fuzzy_modules(modules: DataFrame, query: str) -> DataFrame:
     """(name, score): 100 equal, 80 prefix, 60 contained, else up to 40 by the share of the query's words in the name."""
     name, q = F.lower("name"), query.lower()

@@ -17,8 +17,8 @@ OPERATORS: dict[str, str] = {
     "Q1": "operators.traverse.resolve_id", "Q2": "operators.traverse.resolve_file", "Q3": "operators.traverse.impact_of, operators.reachability.save, Reach", "Q4": "operators.traverse.blast_radius", "Q5": "operators.traverse.file_impact",
     "Q6": "operators.traverse.find_path", "Q7": "operators.traverse.trace", "Q8": "operators.traverse.resolve_entry", "Q9": "operators.traverse.flow", "Q10": "operators.levels.level, operators.lattice.save, Lattice", "Q11": "operators.levels.module_matrix",
     "Q12": "operators.search.bm25", "Q13": "operators.search.snippet", "Q14": "operators.search.inverted", "Q15": "operators.search.vector_search", "Q16": "operators.levels.call_graph_dump", "Q17": "api.get_table_columns",
-    "Q18": "api.get_table_impact", "Q19": "operators.traverse.diff_impact", "Q20": "api.get_table_access", "Q21": "api.get_plsql_object", "Q22": "operators.levels.dead_objects", "Q23": "operators.levels.dead_files",
-    "Q24": "operators.levels.fuzzy_modules", "Q25": "operators.levels.zoom_out", "Q26": "api.get_zoom_out", "Q27": "operators.levels.concept_map", "Q28": "api.get_diagnosis", "Q29": "api.get_agent_brief", "Q30": "operators.levels.gaps",
+    "Q18": "api.get_table_impact", "Q19": "operators.traverse.diff_impact", "Q20": "api.get_table_access", "Q21": "operators.levels.object_report", "Q22": "operators.levels.dead_objects", "Q23": "operators.levels.dead_files",
+    "Q24": "operators.levels.fuzzy_modules", "Q25": "operators.levels.zoom_out", "Q26": "operators.levels.zoom_out_entity", "Q27": "operators.levels.concept_map", "Q28": "api.get_diagnosis", "Q29": "api.get_agent_brief", "Q30": "operators.levels.gaps",
     "Q31": "operators.levels.multigraph, top_per_layer", "Q32": "operators.levels.module_pairs", "Q33": "operators.levels.openapi", "Q34": "operators.detect.children_report", "Q35": "operators.levels.module_index",
     "Q36": "api.get_quick_context", "Q37": "api.get_module", "Q38": "operators.levels.executive_report", "Q39": "operators.detect.transaction_report", "Q40": "sources.estate.summary",
     "M1": "operators.score.complexity", "M2": "operators.score.file_metrics", "M3": "operators.score.module_metrics", "M4": "operators.score.top_metrics", "M5": "operators.score.health_score", "M6": "operators.score.predict_risk",

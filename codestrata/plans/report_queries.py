@@ -53,6 +53,35 @@ def agent_brief(spark, sf_dir):
     return api.get_agent_brief(_impact(spark, sf_dir), ENTITY)
 
 
+_OBJECTS = """WITH calls AS (SELECT 'order_' || l_orderkey AS a, 'db_P' || l_partkey AS b, 'S' || l_suppkey AS s, l_returnflag AS f, l_partkey AS k FROM lineitem)"""
+
+
+@query("q21_object", _OBJECTS + """ SELECT 'object' AS section, 'procedure ' || p_brand || '.P7' AS item, false AS truncated FROM part WHERE p_partkey = 7 UNION ALL SELECT 'place', 'sql/7.sql:7', false
+  UNION ALL SELECT * FROM (SELECT DISTINCT 'reads' AS section, s, (SELECT count(DISTINCT s) > 10 FROM calls WHERE k = 7 AND f <> 'R') FROM calls WHERE k = 7 AND f <> 'R' ORDER BY s LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT DISTINCT 'writes' AS section, s, (SELECT count(DISTINCT s) > 10 FROM calls WHERE k = 7 AND f = 'R') FROM calls WHERE k = 7 AND f = 'R' ORDER BY s LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT DISTINCT 'caller' AS section, a, (SELECT count(DISTINCT a) > 10 FROM calls WHERE contains(b, 'P7')) FROM calls WHERE contains(b, 'P7') ORDER BY a LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT DISTINCT 'callee' AS section, s, (SELECT count(DISTINCT s) > 10 FROM calls WHERE contains(b, 'P7')) FROM calls WHERE contains(b, 'P7') ORDER BY s LIMIT 10)""")
+def object_report(spark, sf_dir):
+    """Parts as procedures of their brand's package, called by orders and calling suppliers."""
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    p, line = A.table(spark, sf_dir, "part"), A.table(spark, sf_dir, "lineitem")
+    objects = p.select(F.lit("procedure").alias("kind"), text("P", "p_partkey").alias("name"), F.col("p_brand").alias("pkg"), F.concat(text("sql/", "p_partkey"), F.lit(".sql")).alias("file"), F.col("p_partkey").cast("int").alias("line"))
+    up = line.select(text("order_", "l_orderkey").alias("from_id"), text("db_P", "l_partkey").alias("to_id"), F.lit("PLSQL_CALL").alias("type"), F.lit(None).cast("string").alias("label"))
+    down = line.select(text("db_P", "l_partkey").alias("from_id"), text("db_S", "l_suppkey").alias("to_id"), F.lit("DB_CALL").alias("type"), text("S", "l_suppkey").alias("label"))
+    access = line.select(text("P", "l_partkey").alias("object"), text("S", "l_suppkey").alias("table"), F.when(F.col("l_returnflag") == "R", "write").otherwise("read").alias("mode"))
+    return api.Estate({"cg_edges": up.unionByName(down)}, {"objects": objects, "object_access": access}).call("get_plsql_object", name="p7")
+
+
+@query("q26_by_module", _walk("region:ASIA") + """, i AS (SELECT replace(replace(id, 'customer:', 'C/'), 'supplier:', 'S/') AS id, CASE WHEN kind IN ('customer', 'supplier') THEN 'file' ELSE kind END AS kind FROM impacted WHERE depth <= 3 ORDER BY depth, replace(replace(impacted.id, 'customer:', 'file:C/'), 'supplier:', 'file:S/') LIMIT 2000),
+  m AS (SELECT n_name AS name, count(*) AS n FROM i JOIN (SELECT 'C/' || c_custkey AS id, c_nationkey AS k FROM customer UNION ALL SELECT 'S/' || s_suppkey, s_nationkey FROM supplier) f USING (id) JOIN nation ON k = n_nationkey GROUP BY 1 ORDER BY n DESC, name LIMIT 8)
+  SELECT 'module' AS section, name, n FROM m UNION ALL SELECT 'kind', kind, count(*) FROM i GROUP BY kind""")
+def zoom_out_by_module(spark, sf_dir):
+    """What depends on a region within three steps, by nation as module: customers and suppliers are files here."""
+    path = lambda c: F.regexp_replace(F.regexp_replace(c, "^customer:", "file:C/"), "^supplier:", "file:S/")
+    e = A.impact_edges(spark, sf_dir).withColumns({"from_id": path("from_id"), "to_id": path("to_id")})
+    return api.Estate({"impact_edges": e, "files": A.files(spark, sf_dir)}).call("get_zoom_out", entity="region:ASIA")
+
+
 @query("q36_quick_context", """WITH lang AS (SELECT lang || ' ' || count(*) AS line FROM documents GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 6), m AS (SELECT source || ' ' || min(lang) AS line FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 15),
   c AS (SELECT source || '/' || lang || '/' || doc_id AS line FROM documents ORDER BY coalesce(n_chars, 0) DESC, line LIMIT 10), x AS (SELECT p_brand || ' ' || count(*) AS line FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 20),
   e AS (SELECT 'GET ' || path AS line FROM (SELECT regexp_replace(url, '^[a-z]+://[^/]*', '') AS path FROM pages) y ORDER BY path LIMIT 20), r AS (SELECT 'critical risk P' || p_partkey AS line FROM part WHERE p_size = 50 ORDER BY 'P' || p_partkey LIMIT 8), h AS (SELECT 'high risk P' || p_partkey AS line FROM part WHERE p_size = 49 ORDER BY 'P' || p_partkey LIMIT 5),

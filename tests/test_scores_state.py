@@ -156,3 +156,24 @@ def test_tools(spark):
     assert len(TOOLS) == 50
     assert e.call("find_path", start="b", goal="a").count() == 2 and e.call("get_impact", file="a").first().direct == 1
     assert [r.name for r in e.call("search_module", query="m").collect()] == ["m"]
+
+
+def test_object_report(spark):
+    objects = spark.createDataFrame([("procedure", "PAY", "BILL", "b.sql", 3), ("procedure", "PAY", "CASH", "c.sql", 9), ("function", "REPAY_ALL", None, "d.sql", 1)], "kind string, name string, pkg string, file string, line int")
+    calls = [(f"x{i:02}", "db_PAY", "PLSQL_CALL", None) for i in range(12)] + [("x00", "db_PAY", "DB_CALL", None), ("web", "db_PAY", "HTTP_CALL", None), ("db_PAY", "db_LOG", "PLSQL_CALL", "LOG"), ("db_PAY", "db_Z", "PLSQL_CALL", None)]
+    access = spark.createDataFrame([("CASH.PAY", "T1", "read"), ("PAY", "T2", "write"), ("BILL.PAY", "T3", "read")], "object string, table string, mode string")
+    e = Estate({"cg_edges": spark.createDataFrame(calls, "from_id string, to_id string, type string, label string")}, {"objects": objects, "object_access": access})
+    rows = [tuple(r) for r in e.call("get_plsql_object", name="cash.pay").collect()]
+    assert rows[:4] == [("object", "procedure CASH.PAY", False), ("place", "c.sql:9", False), ("reads", "T1", False), ("writes", "T2", False)]
+    assert [r for r in rows if r[0] == "caller"] == [("caller", f"x{i:02}", True) for i in range(10)]
+    assert [r[1:] for r in rows if r[0] == "callee"] == [("LOG", False), ("db_Z", False)]
+    assert e.call("get_plsql_object", name="repay").first().item == "function REPAY_ALL"
+    assert [tuple(r) for r in e.call("get_plsql_object", name="none").collect()] == [("available", "BILL.PAY", False), ("available", "CASH.PAY", False), ("available", "REPAY_ALL", False)]
+
+
+def test_zoom_out_of_an_entity(spark):
+    edges = spark.createDataFrame([(f"file:f{i}", "table:T", "resolved") for i in range(5)] + [("job:J", "file:f0", "resolved")], "from_id string, to_id string, confidence string")
+    files = spark.createDataFrame([(f"f{i}", None if i == 4 else f"m{i % 2}", "ui") for i in range(5)], "rel_path string, module string, layer string")
+    e = Estate({"impact_edges": edges, "files": files})
+    assert {tuple(r) for r in e.call("get_zoom_out", entity="table:T").collect()} == {("module", "m0", 2), ("module", "m1", 2), ("kind", "file", 5), ("kind", "job", 1)}
+    assert {tuple(r) for r in e.call("get_zoom_out", entity="file:f0").collect()} == {("home module", "m0", 1), ("home layer", "ui", 1), ("kind", "job", 1)}
