@@ -53,11 +53,6 @@ def is_parameter(segment: Column) -> Column:
     return segment.rlike(r"^(\{.*\}|:.+)$")
 
 
-def same_route(call: Column, endpoint: Column) -> Column:
-    """Equal segments, or a parameter on either side, at every place; sizes must be equal (join on them)."""
-    return F.forall(F.zip_with(call, endpoint, lambda a, b: (a == b) | is_parameter(a) | is_parameter(b)), lambda x: x)
-
-
 ROLE_SUFFIX = r"(controller|service|serviceimpl|repository|component|resource|handler|router|routes?|page|view|screen|client|api|impl|dao)$"
 
 

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, domain_keyword, is_parameter, node_id, same_route, segments
+from ..functions.text import base_name, domain_keyword, node_id
 from ..sources.durable import stored
+from .routes import match_routes
 
 CENTRAL = 20
 
@@ -101,28 +102,6 @@ def barrels(imports: DataFrame, exports: DataFrame) -> DataFrame:
     return imports.join(ends, ["origin", "name"], "left").select("file", "name", F.coalesce("end", "origin").alias("origin"))
 
 
-def match_routes(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """calls (call_id, url) with the first endpoint (endpoint_id, path, by ord) of equal route.
-
-    Joined on the number of segments and on the first one: a plain one meets
-    itself and parameters, a parameter meets all of its number.
-    """
-    def keyed(rows: DataFrame, parts: str, plain: list[str], any_: list[str]) -> DataFrame:
-        head = F.when(F.size(parts) > 0, F.element_at(parts, 1)).otherwise(F.lit(""))
-        own = F.array(head, *(F.lit(x) for x in plain))
-        return rows.withColumn("n", F.size(parts)).withColumn("head", F.explode(F.when(is_parameter(head), F.array(*(F.lit(x) for x in any_))).otherwise(own)))
-
-    c = keyed(calls.withColumn("cs", segments(F.col("url"))), "cs", ["\0some"], ["\0any"])
-    e = keyed(endpoints.withColumn("es", segments(F.col("path"))), "es", ["\0any"], ["\0some", "\0any"])
-    pairs = c.join(F.broadcast(e) if _few(endpoints) else e, ["n", "head"]).where(same_route(F.col("cs"), F.col("es")))
-    return pairs.groupBy("call_id").agg(F.min_by("endpoint_id", "ord").alias("endpoint_id"))
-
-
-def _few(df: DataFrame, rows: int = 100_000) -> bool:
-    """Whether a table is small enough to be sent out, by count."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def match_names(files: DataFrame, endpoints: DataFrame) -> DataFrame:
     """files (file) with the first endpoint (endpoint_id, file, by ord) whose subject is a prefix of the file's, or the other way round.
 
