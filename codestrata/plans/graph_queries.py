@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import build, lattice, levels, reachability, traverse
+from ..operators.closure import Closure
 from ..sources.durable import shared_folder
 from . import adapters as A
 from .registry import query
@@ -208,6 +209,19 @@ def name_resolution(spark, sf_dir):
 _ROUTES = [("/fr/{n}", 1), ("/en/{n}", 2), ("/{lang}/7", 3), ("/{lang}/{n}", 4), ("/de/{n}/extra", 5)]
 
 
+@query("g10_closure_update", A.with_sql("impact", recursive=True) + """, g AS (SELECT DISTINCT from_id, to_id FROM impact WHERE via IN ('belongs-to', 'reads')),
+  w(seed, id) AS (SELECT to_id, from_id FROM g WHERE to_id LIKE 'nation:%' OR to_id LIKE 'region:%' UNION SELECT w.seed, g.from_id FROM g JOIN w ON g.to_id = w.id)
+  SELECT seed, count(*) AS n FROM w GROUP BY 1""")
+def closure_update(spark, sf_dir):
+    """What depends on each nation and region, after all calls have gone from a stored closure and all reads have come to it."""
+    edges = A.impact_edges(spark, sf_dir)
+    via = lambda name: edges.where(F.col("via") == name)
+    watched = edges.where("to_kind in ('nation', 'region')").select(F.col("to_id").alias("seed"))
+    old = via("belongs-to").unionByName(via("call"))
+    closure = Closure.build(old, watched, f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}", buckets=16)
+    return closure.update(via("reads"), via("call")).counts()
+
+
 @query("g05_url_match", """WITH calls AS (SELECT page_id AS call_id, string_split(trim(regexp_replace(regexp_replace(lower(regexp_replace(url, '[?#].*$', '')), '^[a-z]+://[^/]*', ''), '^/+|/+$', '', 'g'), '/'), '/') AS s FROM pages)
   SELECT call_id, CASE WHEN s[1] = 'fr' THEN 1 WHEN s[1] = 'en' THEN 2 WHEN s[2] = '7' THEN 3 ELSE 4 END::BIGINT AS endpoint_id FROM calls WHERE len(s) = 2""")
 def url_match(spark, sf_dir):
@@ -215,6 +229,19 @@ def url_match(spark, sf_dir):
     return build.match_routes(A.table(spark, sf_dir, "pages").select(F.col("page_id").alias("call_id"), "url"), ends)
 
 
+@query("g05_route_trie", """SELECT CASE WHEN p_size <= 25 THEN p_size * 1000 ELSE 0 END + substr(p_brand, 7)::BIGINT AS endpoint_id, count(*) AS calls
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def route_trie(spark, sf_dir):
+    """Each line calls the page of its part; all routes begin alike, those of small sizes go before those of a whole brand."""
+    part = A.table(spark, sf_dir, "part")
+    brand, number, size = F.regexp_replace("p_brand", "#", "-"), F.expr("cast(substr(p_brand, 7) as bigint)"), F.col("p_size")
+    own = part.where("p_size <= 25").select((size * 1000 + number).alias("endpoint_id"), F.concat_ws("/", F.lit("/shop"), brand, size.cast("string"), F.lit("{part}")).alias("path"), size.alias("ord"))
+    rest = part.select(number.alias("endpoint_id"), F.concat_ws("/", F.lit("/shop"), brand, F.lit(":size"), F.lit("{part}")).alias("path"), F.lit(99).alias("ord"))
+    url = F.concat_ws("/", F.lit("https://store/api/v1/shop"), brand, size.cast("string"), F.col("p_partkey").cast("string"))
+    calls = A.table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.struct("l_orderkey", "l_linenumber", F.monotonically_increasing_id().alias("row")).alias("call_id"), url.alias("url"))
+    return build.match_routes(calls, own.unionByName(rest).distinct()).groupBy("endpoint_id").agg(F.count("*").alias("calls"))
+
+
 @query("g06_name_affinity", """WITH f AS (SELECT DISTINCT 'src/' || split_part(url, '/', 3) || '.ts' AS file FROM pages), k AS (SELECT file, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(file, '[^/]*$'), '\\.[^.]*$', '')), '[^a-z0-9]', '', 'g'), '$', '') AS key FROM f),
   e AS (SELECT * FROM (VALUES (1, 'blog'), (2, 'www'), (3, 'mth')) v(endpoint_id, ek))
   SELECT file, min(endpoint_id)::BIGINT AS endpoint_id FROM k JOIN e ON starts_with(key, ek) OR starts_with(ek, key) GROUP BY 1""")
