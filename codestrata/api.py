@@ -48,7 +48,8 @@ def _fact(name: str, *columns: str):
 
 
 def get_module(e: Estate, module: str, budget: int = 75_000) -> DataFrame:
-    return score.within_budget(e.contents.where(F.col("module") == module), "content", budget, ["rel_path"])
+    """The module's files, risks, endpoints and contents, central files first, as far as the budget of tokens goes."""
+    return levels.module_context(module, e.files, e.contents, e.edges, e.risks, e.endpoints, budget)
 
 
 def get_plsql_object(e: Estate, name: str) -> DataFrame:

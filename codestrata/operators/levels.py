@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import extension, tokens_of
 from ..sources.durable import stored
+from .build import central_files
 
 SHOWN_FILES = 150
 
@@ -240,3 +244,79 @@ def executive_report(snapshots: DataFrame, risks: DataFrame, knowledge: DataFram
         .unionByName(row(costs.orderBy(F.desc("cost"), "module").limit(8), "cost", F.col("module"), F.lit(""), F.col("cost")))
         .unionByName(row(last(activity, 10), "activity", seconds, F.col("type"), F.col("event_id")))
     )
+
+
+def module_context(module: str, files: DataFrame, contents: DataFrame, edges: DataFrame, risks: DataFrame, endpoints: DataFrame, budget: int = 75_000, listed: int = 50, shown: int = 10) -> DataFrame:
+    """(section, place, text, truncated) about a module, sections in order, as far as ``budget`` tokens go.
+
+    module: its name, languages and counts; file: the first ``listed`` by path,
+    central ones with a star, then how many more; risk: the first 20, all or
+    none, and only with over 1,000 tokens left; endpoint: as many as fit, with
+    over 1,000 left; content: whole files, central ones first and then by path,
+    ``shown`` of them at most, while 2,000 tokens are left; the one that
+    doesn't fit is cut to what does, if that is over 500 characters.
+
+    files: (rel_path, module, lines); contents: (rel_path, content); edges:
+    (from_file, to_file); risks: (level, title, rel_path, line); endpoints:
+    (method, path, file, line). Nulls in texts are left out of them. A file that
+    files list twice is one. An unknown module has only its first line, with no files.
+    """
+    first = files.where(F.col("module") == module).groupBy("rel_path").agg(F.max("lines").alias("lines"))
+    own = stored(first.join(F.broadcast(central_files(edges).withColumnRenamed("file", "rel_path")), "rel_path", "left"), "own")
+    here = own.select("rel_path")
+    hit = stored(risks.join(here, "rel_path", "left_semi").select("level", "title", "rel_path", "line"), "risks")
+    served = stored(endpoints.join(here.withColumnRenamed("rel_path", "file"), "file", "left_semi").select("method", "path", "file", "line"), "endpoints")
+    n_files, n_risks, n_served = own.count(), hit.count(), served.count()
+    ext = F.when(extension(F.col("rel_path")) != "", extension(F.col("rel_path")))
+    languages = F.sort_array(F.collect_set(ext))
+    line = F.concat_ws(", ", F.lit(module), F.lit(f"{n_files} files"), F.lit(f"{n_risks} risks"), F.lit(f"{n_served} endpoints"), F.when(F.size(languages) > 0, F.array_join(languages, " ")))
+
+    def section(name: str, rows: DataFrame, text: Column, *order) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(*order))
+        return rows.select(F.lit(name).alias("section"), place.cast("long").alias("place"), text.alias("text"), F.lit(False).alias("truncated"))
+
+    head = section("module", own.agg(line.alias("text")), F.col("text"), "text")
+    star = F.when(F.col("in_degree").isNotNull(), F.lit("*"))
+    size = F.concat(F.lit("("), F.col("lines").cast("string"), F.lit(" lines)"))
+    parts = [head, section("file", own.orderBy("rel_path").limit(listed), F.concat_ws(" ", "rel_path", size, star), "rel_path")]
+    if n_files > listed:
+        more = own.limit(1).select(F.lit(f"and {n_files - listed} more").alias("text"))
+        parts.append(more.select(F.lit("file").alias("section"), F.lit(listed + 1).cast("long").alias("place"), "text", F.lit(True).alias("truncated")))
+
+    def fitting(rows: DataFrame, left: int) -> tuple[DataFrame, int]:
+        upto = F.sum(tokens_of(F.col("text"))).over(Window.orderBy("place"))  # rows of one section: ``listed``, or a budget's
+        kept = stored(rows.withColumn("upto", upto).where(F.col("upto") <= left), "section")
+        return kept.drop("upto"), left - (kept.agg(F.max("upto")).first()[0] or 0)
+
+    def tokens(rows: DataFrame) -> int:
+        return rows.agg(F.sum(tokens_of(F.col("text")))).first()[0] or 0
+
+    left = budget
+    out = []
+    for part in parts:
+        part, left = fitting(part, left)
+        out.append(part)
+    order: list
+    if n_risks and left > 1000:
+        order = ["level", "rel_path", "line", "title"]
+        most = section("risk", hit.orderBy(*order).limit(20), F.concat_ws(" ", F.concat(F.lit("["), F.upper("level"), F.lit("]")), "title", F.concat_ws(":", "rel_path", "line")), *order)
+        most = stored(most, "section")
+        if tokens(most) <= left:
+            out, left = [*out, most], left - tokens(most)
+    if n_served and left > 1000:
+        order = ["path", "method", "file", "line"]
+        # every line takes a token at least, so no more than that many can fit
+        lines = section("endpoint", served.orderBy(*order).limit(left), F.concat_ws(" ", "method", "path", F.concat_ws(":", "file", "line")), *order)
+        part, left = fitting(lines, left)
+        out.append(part)
+    if left > 5000:
+        order = [F.col("in_degree").isNull(), F.desc("in_degree"), "rel_path"]
+        chosen = F.broadcast(own.orderBy(*order).limit(shown))  # ten rows
+        texts = contents.join(chosen, "rel_path").where("content is not null").dropDuplicates(["rel_path"])
+        block = section("content", texts, F.concat_ws("\n", "rel_path", "content"), *order)
+        before = F.coalesce(F.sum(tokens_of(F.col("text"))).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rest = F.lit(left) - F.col("before")
+        fits, cut = tokens_of(F.col("text")) <= rest, (rest * 4 - 200).cast("int")
+        kept = block.withColumn("before", before).where(rest >= 2000).where(fits | (cut > 500))
+        out.append(kept.select("section", "place", F.when(fits, F.col("text")).otherwise(F.expr(f"substr(text, 1, cast(({left} - before) * 4 - 200 as int))")).alias("text"), (~fits).alias("truncated")))
+    return reduce(DataFrame.unionByName, out)

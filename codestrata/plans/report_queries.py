@@ -270,3 +270,25 @@ def pr_review(spark, sf_dir):
     owners = s.select(ident.alias("id"), F.concat(F.lit("a"), F.col("s_nationkey").cast("string")).alias("author"))
     decisions = spark.createDataFrame([("D1", "nothing of this")], "id string, decision string")
     return govern.pr_review(A.impact_edges(spark, sf_dir), s.select(ident.alias("id")), owners, decisions, -6.0, tiers=("nation",))
+
+
+@query("q37_module_report", A.with_sql("files", "edges") + """,
+  own AS (SELECT DISTINCT rel_path, layer FROM files WHERE module = 'NATION_19'),
+  central AS (SELECT to_file AS rel_path, count(DISTINCT from_file) AS d FROM edges WHERE from_file <> to_file GROUP BY 1 ORDER BY d DESC, rel_path LIMIT 20),
+  listed AS (SELECT rel_path, layer, d, row_number() OVER (ORDER BY rel_path) AS p, row_number() OVER (ORDER BY d DESC NULLS LAST, rel_path) AS q FROM own LEFT JOIN central USING (rel_path)),
+  risk AS (SELECT rel_path, c_mktsegment AS title, row_number() OVER (ORDER BY rel_path, c_mktsegment) AS p FROM customer JOIN own ON rel_path = 'C/' || c_custkey WHERE c_acctbal < 0),
+  served AS (SELECT rel_path, '/' || s_name AS path, row_number() OVER (ORDER BY s_name) AS p FROM supplier JOIN own ON rel_path = 'S/' || s_suppkey)
+  SELECT 'module' AS section, 1::BIGINT AS place, 'NATION_19, ' || (SELECT count(*) FROM own) || ' files, ' || (SELECT count(*) FROM risk) || ' risks, ' || (SELECT count(*) FROM served) || ' endpoints' AS text, false AS truncated
+  UNION ALL SELECT 'file', p, rel_path || ' (' || length(rel_path) || ' lines)' || CASE WHEN d IS NULL THEN '' ELSE ' *' END, false FROM listed WHERE p <= 50
+  UNION ALL SELECT 'file', 51, 'and ' || (count(*) - 50) || ' more', true FROM own HAVING count(*) > 50
+  UNION ALL SELECT 'risk', p, '[HIGH] ' || title || ' ' || rel_path || ':1', false FROM risk WHERE p <= 20
+  UNION ALL SELECT 'endpoint', p, 'GET ' || path || ' ' || rel_path || ':1', false FROM served
+  UNION ALL SELECT 'content', q, rel_path || chr(10) || rel_path || ' lies in ' || layer, false FROM listed WHERE q <= 10""")
+def module_report(spark, sf_dir):
+    files = A.files(spark, sf_dir).withColumn("lines", F.length("rel_path"))
+    texts = files.select("rel_path", F.concat_ws(" lies in ", "rel_path", "layer").alias("content"))
+    key = lambda c, k: F.concat(F.lit(c), F.col(k).cast("string"))
+    risks = A.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("high").alias("level"), F.col("c_mktsegment").alias("title"), key("C/", "c_custkey").alias("rel_path"), F.lit(1).alias("line"))
+    served = A.table(spark, sf_dir, "supplier").select(F.lit("GET").alias("method"), F.concat(F.lit("/"), "s_name").alias("path"), key("S/", "s_suppkey").alias("file"), F.lit(1).alias("line"))
+    estate_ = api.Estate({"files": files, "edges": A.edges(spark, sf_dir)}, {"contents": texts, "risks": risks, "endpoints": served})
+    return estate_.call("get_module", module="NATION_19")
