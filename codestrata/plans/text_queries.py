@@ -105,7 +105,7 @@ def table_access(spark, sf_dir):
   s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, epoch(min(ts))::BIGINT AS start, epoch(max(ts) + INTERVAL 6 HOUR)::BIGINT AS "end", count(*) AS n FROM s GROUP BY user_id, g""")
 def debounce_sessions(spark, sf_dir):
     out = live.debounced(A.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), gap="6 hours", key="user_id")
-    whole = lambda c: F.floor(F.unix_micros(c) / 1000000.0 + 0.5).alias(c)
+    whole = lambda c: F.rint(F.unix_micros(c) / F.lit(1e6)).cast("long").alias(c)  # noqa: E731  # half seconds to the even one, as SQL casts
     return out.select("user_id", whole("start"), whole("end"), "n")
 
 
