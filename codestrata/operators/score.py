@@ -107,7 +107,9 @@ def predict_risk(churned: DataFrame, metrics: DataFrame, top: int = 50) -> DataF
 def authorship(commits: DataFrame, now, days: int = 365) -> DataFrame:
     """(file, author, commits, last_days, share, primary) of the last days before now; of equal counts the least author is primary."""
     at = F.lit(now).cast("timestamp")
-    g = commits.where((F.col("ts") >= at - F.expr(f"interval {days} days")) & F.col("file").isNotNull()).groupBy("file", "author").agg(F.count_distinct("sha").alias("commits"), F.min(F.floor((at.cast("long") - F.col("ts").cast("long")) / 86400)).alias("last_days"))
+    seconds = lambda c: F.unix_micros(c) / F.lit(1e6)  # noqa: E731  # with their fractions: a day is whole to the microsecond
+    days_ago = F.floor((seconds(at) - seconds(F.col("ts").cast("timestamp"))) / 86400)
+    g = commits.where((F.col("ts") >= at - F.expr(f"interval {days} days")) & F.col("file").isNotNull()).groupBy("file", "author").agg(F.count_distinct("sha").alias("commits"), F.min(days_ago).alias("last_days"))
     per = Window.partitionBy("file")
     return g.withColumn("share", F.col("commits") / F.sum("commits").over(per)).withColumn("primary", F.row_number().over(per.orderBy(F.desc("commits"), "author")) == 1)
 
