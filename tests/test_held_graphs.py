@@ -26,6 +26,10 @@ def test_flow_and_trace_build_their_graph_once(spark):
     edges, made = counted_edges(spark, pairs)
     got = {(r.id, r.direction, r.depth) for r in traverse.flow(edges, spark.createDataFrame([("b",)], "seed string")).collect()}
     assert got == {("c", "upstream", 1), ("d", "upstream", 1), ("a", "downstream", 1)} and made.value == len(pairs)
+    edges, made = counted_edges(spark, pairs)
+    nodes = spark.createDataFrame([(x, "frontend" if x == "c" else "code") for x in "abcd"], "id string, layer string")
+    got = {(r.id, r.layer, r.depth, r.on_path) for r in traverse.trace(edges, nodes, "a").collect()}
+    assert got == {("a", "code", 0, True), ("b", "code", 1, True), ("c", "frontend", 2, True), ("d", "code", 2, False)} and made.value == len(pairs)
 
 
 def test_a_path_leaves_a_hub_alone(spark, monkeypatch):
