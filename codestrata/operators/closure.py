@@ -12,6 +12,10 @@ Relations are cut into buckets by a hash of the node by which they are looked
 up. A level of a walk reads the buckets of its nodes, an update writes those
 buckets in which a row changes; the others are taken over by name. A version is
 there once its manifest has got its name.
+
+Rows of ``into`` say what the version that wrote them did with the edge (``op``:
+1 added, -1 removed, null left alone); removed ones are not read as edges. So
+one exchange finds what changes and writes it.
 """
 
 from __future__ import annotations
@@ -23,19 +27,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.durable import stored
+from ..sources.durable import TASK_ROWS, stored
 from ..sources.versions import _Files, manifest
 from .walks import KEPT, counted, numbered, pairs
 
 BUCKETS = 256
-#: Files that a bucket may be written as at once.
+#: Files that a bucket may be written as at once, more where these would have more than TASK_ROWS rows.
 SPLITS = 4
 
-#: Relations by name: schema and the column whose hash gives the bucket. Edges lie there by either end.
+#: Relations by name: schema, the column whose hash gives the bucket, the columns that tell rows apart. Edges lie there by either end.
 STORED = {
-    "into": ("from_id string, to_id string", "to_id"),
-    "out": ("from_id string, to_id string", "from_id"),
-    "reach": ("block long, id string, bits long, base long", "id"),
+    "into": ("from_id string, to_id string, op int", "to_id", ("from_id", "to_id")),
+    "out": ("from_id string, to_id string", "from_id", ("from_id", "to_id")),
+    "reach": ("block long, id string, bits long, base long", "id", ("block", "id")),
 }
 
 
@@ -59,6 +63,11 @@ def _merged(levels: list[DataFrame], name: str) -> DataFrame:
     return reduce(DataFrame.unionByName, levels).groupBy("block", "id").agg(F.bit_or("bits").alias(name))
 
 
+def _whole(levels: list[DataFrame], name: str) -> DataFrame:
+    """All levels of a walk; one alone has no row twice."""
+    return levels[0].withColumnRenamed("bits", name) if len(levels) == 1 else stored(_merged(levels, name), name)
+
+
 class Closure:
     """A version (the last) of a stored closure. ``renewed``: buckets of each relation that the update leading to it has written."""
 
@@ -85,7 +94,8 @@ class Closure:
         empty.places, empty.renewed = {name: {} for name in STORED}, {}
         empty.seeds = spark.read.schema("seed string, block long, bit int").parquet(f"{root}/{at}")
         own = F.expr("shiftleft(1L, bit)")
-        empty.places["reach"] = empty._written("reach", empty.seeds.select("block", F.col("seed").alias("id"), own.alias("bits"), own.alias("base")), range(buckets))
+        start = empty.seeds.select("block", F.col("seed").alias("id"), own.alias("bits"), own.alias("base"))
+        empty.places["reach"] = empty._written("reach", empty._dealt("reach", start, start.count()))
         return empty.update(edges, edges.limit(0))
 
     def _bucket(self, column: str) -> Column:
@@ -94,6 +104,10 @@ class Closure:
     def _read(self, name: str, buckets=None) -> DataFrame:
         held = self.places[name]
         paths = [f"{self.path}/{held[b]}" for b in (held if buckets is None else map(str, buckets)) if b in held]
+        rows = self._rows(name, paths)
+        return rows.where("op is null or op > 0").drop("op") if name == "into" else rows
+
+    def _rows(self, name: str, paths: list[str]) -> DataFrame:
         schema = STORED[name][0]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -105,18 +119,40 @@ class Closure:
         """The relation's buckets in which values of a column of rows fall."""
         return self._read(name, self._touched(rows, column))
 
-    def _written(self, name: str, rows: DataFrame, buckets) -> dict[str, str]:
-        """Places of the relation after ``buckets`` were replaced by rows."""
+    def _dealt(self, name: str, rows: DataFrame, n: int) -> DataFrame:
+        """About n rows with columns bucket and part, dealt by these to tasks of about TASK_ROWS. What is grouped by these and more is not dealt again."""
+        _, key, apart = STORED[name]
+        splits, tasks = max(SPLITS, -(-n // (self.buckets * TASK_ROWS))), -(-n // TASK_ROWS)
+        cells = rows.withColumn("bucket", self._bucket(key)).withColumn("part", F.pmod(F.xxhash64(*apart), F.lit(splits)))
+        more = tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return cells.repartition(tasks, "bucket", "part") if more else cells.repartition("bucket", "part")
+
+    def _written(self, name: str, cells: DataFrame) -> dict[str, str]:
+        """Places of the buckets that dealt rows have."""
         at = f"data/{uuid.uuid4().hex}/{name}"
-        key = STORED[name][1]
-        spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SPLITS))
-        rows.withColumn("bucket", self._bucket(key)).repartition(F.col("bucket"), spread).write.partitionBy("bucket").parquet(f"{self.path}/{at}")
-        made = {n.partition("=")[2] for n in _Files(self.spark, self.path).names(at) if n.startswith("bucket=")}
-        kept = {b: p for b, p in self.places[name].items() if int(b) not in set(buckets)}
-        return kept | {b: f"{at}/bucket={b}" for b in made}
+        cells.drop("part").write.partitionBy("bucket").parquet(f"{self.path}/{at}")
+        made = (n.partition("=")[2] for n in _Files(self.spark, self.path).names(at) if n.startswith("bucket="))
+        return {b: f"{at}/bucket={b}" for b in made}
+
+    def _replaced(self, name: str, buckets: list[int], made: dict[str, str]) -> dict[str, str]:
+        """Places of the relation after buckets were replaced by those made."""
+        new = set(map(str, buckets))
+        return {b: p for b, p in self.places[name].items() if b not in new} | {b: p for b, p in made.items() if b in new}
+
+    def _step(self, level: DataFrame) -> DataFrame:
+        """(block, id, met): where the level's nodes lead. Those to which no edge leads are left out before edges are dealt."""
+        edges = self._near("into", level, "id")
+        inner = stored(edges.select(F.col("to_id").alias("id")).distinct(), "inner")
+        front = stored(level.join(inner, "id", "left_semi"), "front")
+        if front.isEmpty():
+            return front.withColumnRenamed("bits", "met")
+        steps = front.withColumnRenamed("id", "to_id").join(edges, "to_id")
+        return steps.groupBy("block", F.col("from_id").alias("id")).agg(F.bit_or("bits").alias("met"))
 
     def _lost(self, gone: DataFrame) -> DataFrame:
         """(block, id, lost): what may have rested on edges that are gone, along the edges as they were; what a watched node is by itself stays."""
+        if gone.isEmpty():
+            return self.spark.createDataFrame([], "block long, id string, lost long")
         ends = self._near("reach", gone, "to_id").select("block", F.col("id").alias("to_id"), "bits")
         found = gone.join(ends, "to_id").groupBy("block", F.col("from_id").alias("id")).agg(F.bit_or("bits").alias("met"))
         levels: list[DataFrame] = []
@@ -130,21 +166,25 @@ class Closure:
             if level.isEmpty():
                 break
             levels = [*levels, level] if len(levels) < KEPT else [stored(_merged([*levels, level], "bits"), "lost")]
-            steps = level.withColumnRenamed("id", "to_id").join(self._near("into", level, "id"), "to_id")
-            found = steps.groupBy("block", F.col("from_id").alias("id")).agg(F.bit_or("bits").alias("met"))
-        return stored(_merged([*levels, level], "lost"), "lost")
+            found = self._step(level)
+        return _whole(levels or [level], "lost")
 
-    def _won(self, new: DataFrame, lost: DataFrame) -> DataFrame:
-        """(block, id, won): what comes by added edges, and what was taken back and has another way; self holds the edges as they are now."""
+    def _won(self, new: DataFrame, lost: DataFrame, before: Closure, gone: DataFrame) -> DataFrame:
+        """(block, id, won): what comes by added edges, and what was taken back and has another way; self holds the edges as they are now.
+
+        Whatever added edges bring comes with them, also to nodes that have lost it, so other ways are those along edges that were there before.
+        """
 
         def now(rows: DataFrame, column: str) -> DataFrame:
             left = self._near("reach", rows, column).join(lost, ["block", "id"], "left")
             return left.select("block", F.col("id").alias("to_id"), _without(F.col("bits"), _or_zero("lost")).alias("bits")).where("bits != 0")
 
         came = new.join(now(new, "to_id"), "to_id").select("block", "from_id", "bits")
-        ways = stored(lost.withColumnRenamed("id", "from_id").join(self._near("out", lost, "id"), "from_id"), "ways")
-        again = ways.join(now(ways, "to_id"), ["block", "to_id"]).select("block", "from_id", F.col("bits").bitwiseAND(F.col("lost")).alias("bits"))
-        found = came.unionByName(again).groupBy("block", F.col("from_id").alias("id")).agg(F.bit_or("bits").alias("met"))
+        if not lost.isEmpty():
+            ways = lost.withColumnRenamed("id", "from_id").join(before._near("out", lost, "id"), "from_id")
+            ways = stored(ways.join(gone, ["from_id", "to_id"], "left_anti"), "ways")
+            came = came.unionByName(ways.join(now(ways, "to_id"), ["block", "to_id"]).select("block", "from_id", F.col("bits").bitwiseAND(F.col("lost")).alias("bits")))
+        found = came.groupBy("block", F.col("from_id").alias("id")).agg(F.bit_or("bits").alias("met"))
         levels: list[DataFrame] = []
         while True:
             found = stored(found, "found")
@@ -156,9 +196,8 @@ class Closure:
             if level.isEmpty():
                 break
             levels = [*levels, level] if len(levels) < KEPT else [stored(_merged([*levels, level], "bits"), "won")]
-            steps = level.withColumnRenamed("id", "to_id").join(self._near("into", level, "id"), "to_id")
-            found = steps.groupBy("block", F.col("from_id").alias("id")).agg(F.bit_or("bits").alias("met"))
-        return stored(_merged([*levels, level], "won"), "won")
+            found = self._step(level)
+        return _whole(levels or [level], "won")
 
     def update(self, added: DataFrame, removed: DataFrame) -> Closure:
         """The version after edges were removed and added; equal to a full build of the graph as it is then.
@@ -166,30 +205,33 @@ class Closure:
         An edge on both lists is there afterwards. Removing what is not there and
         adding what is there change nothing.
         """
-        op = F.max("op").alias("op")
-        asked = _edges(added).withColumn("op", F.lit(1)).unionByName(_edges(removed).withColumn("op", F.lit(-1))).groupBy("from_id", "to_id").agg(op)
-        asked = stored(asked, "asked")
-        there = self._near("into", asked, "to_id").withColumn("there", F.lit(True))
-        changed = stored(asked.join(there, ["from_id", "to_id"], "left").where("op = 1 and there is null or op = -1 and there").drop("there"), "changed")
+        asked = stored(_edges(added).withColumn("op", F.lit(1)).unionByName(_edges(removed).withColumn("op", F.lit(-1))), "asked")
+        there = self._near("into", asked, "to_id").withColumn("op", F.lit(0))
+        rows = self._dealt("into", asked.unionByName(there), asked.count() + there.count())
+        rows = rows.groupBy("bucket", "part", "from_id", "to_id").agg(F.max(F.when(F.col("op") != 0, F.col("op"))).alias("asked"), F.max(F.col("op") == 0).alias("there"))
+        op = F.when((F.col("asked") == 1) & ~F.col("there"), 1).when((F.col("asked") == -1) & F.col("there"), -1)
+        made = self._written("into", rows.select("bucket", "part", "from_id", "to_id", op.alias("op")).where("there or op = 1"))
+        changed = self._rows("into", [f"{self.path}/{p}" for p in made.values()]).where("op is not null")
         new, gone = changed.where("op = 1").drop("op"), changed.where("op = -1").drop("op")
-        lost = self._lost(gone)
+        renewed = {"into": self._touched(changed, "to_id"), "out": self._touched(changed, "from_id")}
         after = Closure.__new__(Closure)
-        after.__dict__.update(self.__dict__, places=dict(self.places))
-        renewed = {}
-        for name in ("into", "out"):
-            buckets = renewed[name] = self._touched(changed, STORED[name][1])
-            rows = self._read(name, buckets).join(changed, ["from_id", "to_id"], "left_anti").unionByName(new)
-            if buckets:
-                after.places[name] = self._written(name, rows, buckets)
-        won = after._won(new, lost)
+        after.__dict__.update(self.__dict__, places=self.places | {"into": self._replaced("into", renewed["into"], made)})
+        if buckets := renewed["out"]:
+            there = self._read("out", buckets).withColumn("op", F.lit(0))
+            rows = self._dealt("out", changed.unionByName(there), changed.count() + there.count())
+            if not gone.isEmpty():
+                rows = rows.groupBy("bucket", "part", "from_id", "to_id").agg(F.min("op").alias("op")).where("op >= 0")
+            after.places["out"] = self._replaced("out", buckets, self._written("out", rows.drop("op")))
+        lost = self._lost(gone)
+        won = after._won(new, lost, self, gone)
         none = lambda c: _zero().alias(c)
         parts = [lost.select("block", "id", none("bits"), none("base"), "lost", none("won")), won.select("block", "id", none("bits"), none("base"), none("lost"), "won")]
         buckets = renewed["reach"] = self._touched(parts[0].unionByName(parts[1]), "id")
         if buckets:
-            held = self._read("reach", buckets).select("*", none("lost"), none("won"))
-            all_of = reduce(DataFrame.unionByName, parts, held).groupBy("block", "id").agg(*(F.bit_or(c).alias(c) for c in ("bits", "base", "lost", "won")))
-            rows = all_of.select("block", "id", _without(F.col("bits"), F.col("lost")).bitwiseOR(F.col("won")).alias("bits"), "base").where("bits != 0")
-            after.places["reach"] = self._written("reach", rows, buckets)
+            all_of = reduce(DataFrame.unionByName, parts, self._read("reach", buckets).select("*", none("lost"), none("won")))
+            all_of = self._dealt("reach", all_of, all_of.count()).groupBy("bucket", "part", "block", "id").agg(*(F.bit_or(c).alias(c) for c in ("bits", "base", "lost", "won")))
+            rows = all_of.select("bucket", "part", "block", "id", _without(F.col("bits"), F.col("lost")).bitwiseOR(F.col("won")).alias("bits"), "base").where("bits != 0")
+            after.places["reach"] = self._replaced("reach", buckets, self._written("reach", rows))
         after.renewed = {name: len(b) for name, b in renewed.items()}
         after._publish(self.version + 1)
         return after

@@ -66,3 +66,30 @@ def test_empty_graph_and_two_writers(spark, tmp_path):
     with pytest.raises(RuntimeError):
         c.update(frame(spark, [("z", "a")]), frame(spark, []))
     assert found(Closure(spark, f"file://{tmp_path}/c")) == {("a", "b")}
+
+
+def dealt(spark, after=-1):
+    """(last stage, rows that stages after a given one have written to exchanges)."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    every = jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(every, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    seen = [(stages.apply(i).stageId(), stages.apply(i).shuffleWriteRecords()) for i in range(stages.size())]
+    return max((i for i, _ in seen), default=-1), sum(n for i, n in seen if i > after)
+
+
+def test_a_large_change_is_dealt_a_few_times(spark, tmp_path):
+    """All calls of the lowest nodes go, all their reads come. No table is small enough for a broadcast."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    base = {(f"c{i}", "top") for i in range(20)} | {(f"s{i}", "top") for i in range(20)}
+    calls, reads = {(f"o{i}", f"c{i % 20}") for i in range(1000)}, {(f"o{i}", f"s{(i + 3 * j) % 20}") for i in range(1000) for j in range(4)}
+    c = Closure.build(frame(spark, sorted(base | calls)), seeds(spark, ["top"]), f"file://{tmp_path}/c", buckets=2)
+    last, _ = dealt(spark)
+    try:
+        c = c.update(frame(spark, sorted(reads)), frame(spark, sorted(calls)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    _, n = dealt(spark, last)
+    assert n < 10 * len(reads | calls), n
+    assert found(c) == want(base | reads, ["top"])
