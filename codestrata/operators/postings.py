@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import js_round
-from ..sources.durable import stored
+from ..sources.durable import TASK_ROWS, stored
 from ..sources.versions import open_version, publish
 from .search import B, K1, query_tokens
 
 #: Documents of a block, about; bytes of a Parquet row group, the unit that statistics skip.
 BLOCK_DOCS, GROUP_BYTES = 1024, 1 << 20
+#: Bytes of text that one task cuts into words, about.
+TASK_BYTES = 8 << 20
 #: Blocks that are scored before the others are judged; blocks that a filter names one by one.
 FIRST_BLOCKS, NAMED = 8, 1000
 
@@ -47,23 +49,32 @@ def add(docs: DataFrame, path: str, key: str = "rel_path", content: str = "conte
     Of rows that repeat a key one counts: the one whose text sorts last. Null keys
     are no documents; a null text has no words. ``tokens``: an array of terms
     instead of the words of ``content``.
+
+    Documents are dealt as texts to tasks of about TASK_BYTES, postings to tasks of
+    about TASK_ROWS, so that a task's memory doesn't grow with the input.
     """
     spark = docs.sparkSession
     old = open_version(spark, path) or {}
     segment = max(_segments(old), default=-1) + 1
     terms = words(F.col(content)) if tokens is None else F.coalesce(tokens, F.array().cast("array<string>"))
-    base = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), terms.alias("w")).groupBy("key").agg(F.max("w").alias("w"))
-    sized = base.select("key", F.size("w").cast("long").alias("size"), F.lit(False).alias("gone"))
+    docs = docs.where(F.col(key).isNotNull())
+    held = F.octet_length(F.col(content)) if content in docs.columns else F.aggregate(terms, F.lit(0), lambda n, t: n + F.octet_length(t))
+    parts = max(1, -(-(docs.agg(F.sum(held.cast("long"))).first()[0] or 0) // TASK_BYTES))
+    base = docs.repartition(parts, F.col(key)).select(F.col(key).alias("key"), terms.alias("w")).groupBy("key").agg(F.max("w").alias("w"))
+    # one more row for each document, without a term: it has a size even where it has no words
+    each = base.select("key", F.size("w").cast("long").alias("size"), F.explode(F.array_append(F.array_compact("w"), F.lit(None).cast("string"))).alias("term"))
+    each = stored(each.groupBy("key", "size", "term").agg(F.count("*").alias("tf")), "words")
+    sized = each.where("term is null").select("key", "size", F.lit(False).alias("gone"))
+    blocks = max(1, -(-sized.count() // BLOCK_DOCS))
     if gone is not None:
         dead = gone.select(F.col(key).alias("key")).where("key is not null").distinct().join(sized.select("key"), "key", "left_anti")
         sized = sized.unionByName(dead.select("key", F.lit(0).cast("long").alias("size"), F.lit(True).alias("gone")))
-    blocks = max(1, -(-base.count() // BLOCK_DOCS))
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")
-    counts = base.select("key", F.size("w").cast("long").alias("size"), F.explode("w").alias("term")).groupBy("term", "key", "size").agg(F.count("*").alias("tf")).select("term", block, "key", "tf", "size")
-    order = ["term", "block", "key"]
-    counts = stored(counts.repartitionByRange(*order).sortWithinPartitions(*order), "postings")
-    headers = counts.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("size").alias("size"))
-    made = {f"postings-{segment}": counts, f"headers-{segment}": headers.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), f"sizes-{segment}": sized}
+    counts = each.where("term is not null").select("term", block, "key", "tf", "size")
+    tasks = max(1, -(-counts.count() // TASK_ROWS))
+    ranged = counts.repartitionByRange(tasks, "term", "block")  # a block's documents of a term stay together
+    headers = ranged.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("size").alias("size"))
+    made = {f"postings-{segment}": ranged.sortWithinPartitions("term", "block", "key"), f"headers-{segment}": headers.sortWithinPartitions("term", "block"), f"sizes-{segment}": sized}
     publish(made, path, options={"parquet.block.size": str(GROUP_BYTES)})
     return segment
 

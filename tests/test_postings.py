@@ -99,3 +99,19 @@ def test_inverted_and_odd_rows(spark, tmp_path):
     assert Index(spark, empty).bm25("order").collect() == []
     with pytest.raises(ValueError, match="no index"):
         Index(spark, f"file://{tmp_path}/none")
+
+
+def test_tasks_follow_the_size(spark, tmp_path, monkeypatch):
+    """More documents are more tasks, not larger ones: the session has four partitions."""
+    monkeypatch.setattr(postings, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(postings, "TASK_BYTES", 1000, raising=False)
+    monkeypatch.setattr(postings, "TASK_ROWS", 400, raising=False)
+    texts = corpus(200) | {"empty": "", "long": "order list " * 500}
+    add(frame(spark, texts), path := f"file://{tmp_path}/i")
+    index = Index(spark, path)
+    rows = index.relations["postings-0"].count()
+    assert len(index.relations["postings-0"].inputFiles()) > rows // 800 > 4
+    headers = index._all("headers")
+    assert headers.count() == headers.select("term", "block").distinct().count() and headers.agg(F.sum("n")).first()[0] == rows
+    assert {r.key: r.size for r in index.documents().collect()} == {k: len(re.findall("[a-z]{3,}", t)) for k, t in texts.items()}
+    assert [tuple(r) for r in index.bm25("order").collect()] == scan(spark, texts, "order")
