@@ -28,8 +28,8 @@ from .search import B, K1, query_tokens
 
 #: Documents of a block, about; bytes of a Parquet row group, the unit that statistics skip.
 BLOCK_DOCS, GROUP_BYTES = 1024, 1 << 20
-#: Bytes of text that one task cuts into words, about.
-TASK_BYTES = 8 << 20
+#: Bytes of documents that one task cuts into words, about: text, key and DOC_BYTES for each, so that empty ones count too.
+TASK_BYTES, DOC_BYTES = 8 << 20, 16
 #: Blocks that are scored before the others are judged; blocks that a filter names one by one.
 FIRST_BLOCKS, NAMED = 8, 1000
 
@@ -50,7 +50,7 @@ def add(docs: DataFrame, path: str, key: str = "rel_path", content: str = "conte
     are no documents; a null text has no words. ``tokens``: an array of terms
     instead of the words of ``content``.
 
-    Documents are dealt as texts to tasks of about TASK_BYTES, postings to tasks of
+    Documents are dealt to tasks of about TASK_BYTES, postings to tasks of
     about TASK_ROWS, so that a task's memory doesn't grow with the input.
     """
     spark = docs.sparkSession
@@ -58,8 +58,9 @@ def add(docs: DataFrame, path: str, key: str = "rel_path", content: str = "conte
     segment = max(_segments(old), default=-1) + 1
     terms = words(F.col(content)) if tokens is None else F.coalesce(tokens, F.array().cast("array<string>"))
     docs = docs.where(F.col(key).isNotNull())
-    held = F.octet_length(F.col(content)) if content in docs.columns else F.aggregate(terms, F.lit(0), lambda n, t: n + F.octet_length(t))
-    parts = max(1, -(-(docs.agg(F.sum(held.cast("long"))).first()[0] or 0) // TASK_BYTES))
+    held = F.octet_length(F.col(content)) if content in docs.columns else F.aggregate(F.array_compact(terms), F.lit(0), lambda n, t: n + F.octet_length(t) + 1)
+    held = F.coalesce(held, F.lit(0)).cast("long") + F.octet_length(F.col(key).cast("string")) + DOC_BYTES
+    parts = max(1, -(-(docs.agg(F.sum(held)).first()[0] or 0) // TASK_BYTES))
     base = docs.repartition(parts, F.col(key)).select(F.col(key).alias("key"), terms.alias("w")).groupBy("key").agg(F.max("w").alias("w"))
     # one more row for each document, without a term: it has a size even where it has no words
     each = base.select("key", F.size("w").cast("long").alias("size"), F.explode(F.array_append(F.array_compact("w"), F.lit(None).cast("string"))).alias("term"))

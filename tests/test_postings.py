@@ -115,3 +115,32 @@ def test_tasks_follow_the_size(spark, tmp_path, monkeypatch):
     assert headers.count() == headers.select("term", "block").distinct().count() and headers.agg(F.sum("n")).first()[0] == rows
     assert {r.key: r.size for r in index.documents().collect()} == {k: len(re.findall("[a-z]{3,}", t)) for k, t in texts.items()}
     assert [tuple(r) for r in index.bm25("order").collect()] == scan(spark, texts, "order")
+
+
+def test_tasks_of_a_changed_segment_follow_the_size(spark, tmp_path, monkeypatch):
+    """Also where documents are indexed again with other texts, and what the first segment says of them is void."""
+    monkeypatch.setattr(postings, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(postings, "TASK_BYTES", 1000, raising=False)
+    monkeypatch.setattr(postings, "TASK_ROWS", 400, raising=False)
+    texts = corpus(200)
+    changed = {k: v for i, (k, v) in enumerate(texts.items()) if i % 2}
+    add(frame(spark, texts | {k: f"order list {v[:20]}" for k, v in changed.items()}), path := f"file://{tmp_path}/i")
+    add(frame(spark, changed), path)
+    index = Index(spark, path)
+    for name in ("postings-0", "postings-1"):
+        assert len(index.relations[name].inputFiles()) > index.relations[name].count() // 800 > 2
+    assert len(index.relations["postings-1"].inputFiles()) > 4
+    assert [tuple(r) for r in index.bm25("order list").collect()] == scan(spark, texts, "order list")
+
+
+@pytest.mark.parametrize("tokens", [None, "array(cast(null as string))"], ids=["empty", "null terms"])
+def test_documents_without_words_are_dealt_out_too(spark, tmp_path, monkeypatch, tokens):
+    """They have no bytes of text, but a key and a size: a million of them are no task's share."""
+    monkeypatch.setattr(postings, "TASK_BYTES", 1000)
+    made, keep = [], postings.stored
+    monkeypatch.setattr(postings, "stored", lambda df, name="table": made.append(keep(df, name)) or made[-1])
+    docs = spark.range(400).select(F.format_string("f%04d", "id").alias("rel_path"), F.when(F.col("id") % 2 == 0, "").alias("content"))
+    add(docs if tokens is None else docs.select("rel_path"), path := f"file://{tmp_path}/i", tokens=tokens and F.expr(tokens))
+    shares = [r[1] for r in made[0].groupBy(F.input_file_name()).count().collect()]
+    assert sum(shares) == 400 and max(shares) < 100
+    assert Index(spark, path).documents().count() == 400 and Index(spark, path).bm25("order").collect() == []
