@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import js_round
-from ..sources.durable import TASK_ROWS, stored
+from ..sources.durable import TASK_ROWS, scans_of, stored
 from ..sources.versions import open_version, publish
 from .search import B, K1, query_tokens
 
@@ -30,6 +30,8 @@ from .search import B, K1, query_tokens
 BLOCK_DOCS, GROUP_BYTES = 1024, 1 << 20
 #: Bytes of documents that one task cuts into words, about: text, key and DOC_BYTES for each, so that empty ones count too.
 TASK_BYTES, DOC_BYTES = 8 << 20, 16
+#: Bytes of counted words, as stored, that one task deals out by term: some two files of the tasks before.
+SCAN_BYTES = 16 << 20
 #: Blocks that are scored before the others are judged; blocks that a filter names one by one.
 FIRST_BLOCKS, NAMED = 8, 1000
 
@@ -72,11 +74,12 @@ def add(docs: DataFrame, path: str, key: str = "rel_path", content: str = "conte
         sized = sized.unionByName(dead.select("key", F.lit(0).cast("long").alias("size"), F.lit(True).alias("gone")))
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")
     counts = each.where("term is not null").select("term", block, "key", "tf", "size")
-    tasks = max(1, -(-counts.count() // TASK_ROWS))
-    ranged = counts.repartitionByRange(tasks, "term", "block")  # a block's documents of a term stay together
-    headers = ranged.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("size").alias("size"))
-    made = {f"postings-{segment}": ranged.sortWithinPartitions("term", "block", "key"), f"headers-{segment}": headers.sortWithinPartitions("term", "block"), f"sizes-{segment}": sized}
-    publish(made, path, options={"parquet.block.size": str(GROUP_BYTES)})
+    with scans_of(spark, SCAN_BYTES):
+        tasks = max(1, -(-counts.count() // TASK_ROWS))
+        ranged = counts.repartitionByRange(tasks, "term", "block")  # a block's documents of a term stay together
+        headers = ranged.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("size").alias("size"))
+        made = {f"postings-{segment}": ranged.sortWithinPartitions("term", "block", "key"), f"headers-{segment}": headers.sortWithinPartitions("term", "block"), f"sizes-{segment}": sized}
+        publish(made, path, options={"parquet.block.size": str(GROUP_BYTES)})
     return segment
 
 

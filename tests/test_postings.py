@@ -144,3 +144,17 @@ def test_documents_without_words_are_dealt_out_too(spark, tmp_path, monkeypatch,
     shares = [r[1] for r in made[0].groupBy(F.input_file_name()).count().collect()]
     assert sum(shares) == 400 and max(shares) < 100
     assert Index(spark, path).documents().count() == 400 and Index(spark, path).bm25("order").collect() == []
+
+
+def test_a_task_deals_out_few_files_of_words(spark, tmp_path, monkeypatch):
+    """Tasks that deal words out by term grow in number, not in what they hold; the session is left as it was."""
+    monkeypatch.setattr(postings, "TASK_BYTES", 1000)
+    monkeypatch.setattr(postings, "SCAN_BYTES", 4 << 20, raising=False)
+    made, scans, keep, put = [], [], postings.stored, postings.publish
+    monkeypatch.setattr(postings, "stored", lambda df, name="table": made.append(keep(df, name)) or made[-1])
+    monkeypatch.setattr(postings, "publish", lambda *a, **b: scans.append(made[0].select("*").rdd.getNumPartitions()) or put(*a, **b))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    add(frame(spark, texts := corpus(200)), path := f"file://{tmp_path}/i")
+    assert scans == [len(made[0].inputFiles())] and scans[0] > 16
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert [tuple(r) for r in Index(spark, path).bm25("order").collect()] == scan(spark, texts, "order")
